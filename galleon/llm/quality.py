@@ -105,20 +105,24 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve over margins, by Newton steps with smoothed targets."""
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + c, -35, 35)))
+    unit = margin.std() or 1.0
+    x, a, c = margin / unit, 1.0, 0.0
+    loss = lambda a, c: (np.logaddexp(0, a * x + c) - t * (a * x + c)).sum() + 1e-3 * a * a
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + c, -35, 35)))
         s = p * (1 - p) + 1e-9
-        ga, gc = ((p - t) * margin).sum() + 1e-3 * a, (p - t).sum()
-        haa, hac, hcc = (s * margin**2).sum() + 1e-3, (s * margin).sum(), s.sum()
+        ga, gc = ((p - t) * x).sum() + 2e-3 * a, (p - t).sum()
+        haa, hac, hcc = (s * x**2).sum() + 2e-3, (s * x).sum(), s.sum()
         det = haa * hcc - hac**2
-        if det <= 1e-12:
+        if det <= 1e-14:
             break
-        da, dc = (hcc * ga - hac * gc) / det, (haa * gc - hac * ga) / det
-        a, c = a - da, c - dc
-        if abs(da) + abs(dc) < 1e-9:
+        da, dc, step = (hcc * ga - hac * gc) / det, (haa * gc - hac * ga) / det, 1.0
+        while step > 1e-6 and loss(a - step * da, c - step * dc) > loss(a, c):
+            step /= 2
+        a, c = a - step * da, c - step * dc
+        if step * (abs(da) + abs(dc)) < 1e-8:
             break
-    return (a, c) if np.isfinite(a) and np.isfinite(c) and a > 0 else (1.0, 0.0)
+    return (float(a / unit), float(c)) if np.isfinite(a) and np.isfinite(c) and a > 0 else (1.0, 0.0)
 
 
 def fit(ids: list[int], found: list[bytes], label: list[int]) -> bytes:

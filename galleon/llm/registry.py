@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from galleon.llm import licenses, quality
+from galleon.llm import licenses, pii, quality, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op4_pii": pii.op4_pii,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_quality_classifier": quality.op9_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
