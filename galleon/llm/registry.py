@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from galleon.llm import licenses, pii, quality, toxicity
+from galleon.llm import licenses, packing, pii, quality, store, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_pii": pii.op4_pii,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_token_store": store.op7_token_store,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
