@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from galleon.llm import licenses, packing, pii, quality, store, toxicity
+from galleon.llm import licenses, packing, pii, quality, simhash, store, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op4_pii": pii.op4_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_store": store.op7_token_store,
