@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from galleon.llm import licenses, packing, pii, quality, simhash, store, toxicity
+from galleon.llm import decontaminate, licenses, packing, pii, quality, simhash, store, topk, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_store": store.op7_token_store,
+    "op8_exact_topk": topk.op8_exact_topk,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_exact_topk": topk.ORACLE}
