@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from galleon.llm import decontaminate, licenses, packing, pii, quality, simhash, store, topk, toxicity
+from galleon.llm import decontaminate, licenses, packing, pii, quality, simhash, store, substrings, topk, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
+    "op5_suffix_dedup": substrings.op5_suffix_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_token_store": store.op7_token_store,
     "op8_exact_topk": topk.op8_exact_topk,
