@@ -3,8 +3,9 @@
 Winnowing deals the work out: the smallest hash of the 16-byte grams inside a 100-byte string is the string's anchor,
 so equal strings have equal anchors at equal places inside. An anchor and the strings that chose it, a run of
 starts, are a stretch of text. Stretches with equal anchors meet; a stretch that equals an earlier one goes whole
-(within an Arrow batch before anything is shuffled, so copies don't pile up). What is left, different stretches around
-one anchor, is gathered into shards. Each shard gets a suffix array by induced sorting, and its permuted common
+(within an Arrow batch before anything is shuffled, so copies don't pile up). Of different stretches around one anchor
+those can share a string that agree in the 42 bytes before or after the anchor; of these, the single strings whose
+hashes come more than once are gathered into shards. Each shard gets a suffix array by induced sorting, and its permuted common
 prefixes tell which starts have 100 bytes in common: all but the earliest go. Anchors with more than CROWD different
 stretches are dealt out by the hashes of their single strings instead, so no task gets an unbounded group.
 
@@ -28,7 +29,7 @@ from galleon.llm.suffix import common_prefixes, suffix_array
 LENGTH, GRAM = 100, 16
 GRAMS = LENGTH - GRAM + 1
 PART = 1 << 19
-SHARD_BYTES = 300_000
+SHARD_BYTES = 1_000_000
 CROWD = 20_000
 INDEX = np.uint64((1 << 20) - 1)
 BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,7 +59,7 @@ def strings(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
 
 
 def stretches(b: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first start, last start, anchor's place, anchor's hash, hash of the stretch) of runs of valid starts."""
+    """(first start, last start, anchor's hash, the stretch's, those of the bytes beside the anchor) of runs of starts."""
     h = hashes(b)
     gram = mixed(h[16])
     m = (gram & ~INDEX) | np.arange(len(gram), dtype=np.uint64)
@@ -74,7 +75,12 @@ def stretches(b: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     hi = np.concatenate((lo[1:], [len(at)])) - 1
     first, last, place = at[lo], at[hi], anchor[lo]
     whole = mixed(strings(h, first) * ODD[1] + strings(h, last) * ODD[2] + (last - first).astype(np.uint64) * ODD[3] + (place - first).astype(np.uint64))
-    return first, last, place, gram[place], whole
+    # the bytes beside the anchor, where some string of the stretch has them; 0: none has
+    before, after = np.where(place - first >= SIDE, place - SIDE, 0), np.where(last + LENGTH - GRAM - place >= SIDE, place + GRAM, 0)
+    left = mixed(h[32][before] * ODD[1] + h[16][before + SIDE - 16]) >> np.uint64(33) | np.uint64(1)
+    right = np.where(after > 0, mixed(h[32][np.minimum(after, len(h[32]) - 1)] * ODD[2] + h[16][np.minimum(after + SIDE - 16, len(h[16]) - 1)]) >> np.uint64(33) | np.uint64(1), 0)
+    left = np.where(place - first >= SIDE, left, 0)
+    return first, last, gram[place], whole, left.astype(np.int32), right.astype(np.int32)
 
 
 def joined(found: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,7 +103,11 @@ def joined(found: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
         yield b"".join(part), np.array(which), np.array([*here, size]), np.array(there)
 
 
-SCHEMA = "g long, whole long, doc_id long, row long, start int, stop int, gone boolean"
+#: A 100-byte string holds its anchor and, on one side of it, this many bytes more.
+SIDE = (LENGTH - GRAM) // 2
+#: Stretches of one anchor looked at together; an anchor with more passes all of them on, which only costs time.
+TOGETHER = 500_000
+SCHEMA = "g long, whole long, doc_id long, row long, start int, stop int, left int, right int, gone boolean"
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -109,19 +119,19 @@ def anchored(docs: DataFrame) -> DataFrame:
             ids, rows = batch.column("doc_id").to_pylist(), np.array(batch.column("row").to_pylist(), np.int64)
             rank = np.zeros(len(ids), np.int64)  # the order of the batch's documents
             rank[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, rows[i]))] = np.arange(len(ids))
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for data, which, here, there in joined(batch.column("text").to_pylist()):
                 b = np.frombuffer(data, np.uint8)
                 valid = np.ones(len(b), bool)
                 for end in here[1:]:
                     valid[max(0, end - LENGTH + 1) : end] = False
-                first, last, place, gram, whole = stretches(b, valid)
+                first, last, gram, whole, left, right = stretches(b, valid)
                 k = np.searchsorted(here, first, side="right") - 1
-                for c, v in zip(cols, (gram.view(np.int64), whole.view(np.int64), which[k], first - here[k] + there[k], last - first), strict=True):
+                for c, v in zip(cols, (gram.view(np.int64), whole.view(np.int64), which[k], first - here[k] + there[k], last - first, left, right), strict=True):
                     c.append(v)
             if not cols[0]:
                 continue
-            g, whole, which, start, span = (np.concatenate(c) for c in cols)
+            g, whole, which, start, span, left, right = (np.concatenate(c) for c in cols)
             order = np.lexsort((start, rank[which], whole, g))
             g, whole, which, start, stop = g[order], whole[order], which[order], start[order], (start + span)[order] + LENGTH
             gone = np.concatenate(([False], (g[1:] == g[:-1]) & (whole[1:] == whole[:-1])))
@@ -139,53 +149,86 @@ def anchored(docs: DataFrame) -> DataFrame:
                 "row": rows[which],
                 "start": np.concatenate((start[~gone], lo)).astype(np.int32),
                 "stop": np.concatenate((stop[~gone], hi)).astype(np.int32),
+                "left": np.concatenate((left[order][~gone], np.zeros(len(w), np.int32))),
+                "right": np.concatenate((right[order][~gone], np.zeros(len(w), np.int32))),
                 "gone": np.arange(len(which)) >= len(which) - len(w),
             }
 
     return mapped(docs, step, SCHEMA)
 
 
-def met(rows: DataFrame) -> DataFrame:
-    """Stretches by anchor, from rows sorted by (g, whole, order): gone ones, and the first of each where they differ."""
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """Rows sorted by g, in tables that end where an anchor ends: (table, True, False).
+
+    An anchor of over `most` rows comes in several tables, not full ones; the later ones begin with the last row of the
+    one before, to be compared with and then left out (carried).
+    """
+    held: list[pa.RecordBatch] = []
+    size, split = 0, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g = np.asarray(b.column("g"))
+        cut = int(np.searchsorted(g, g[-1]))
+        if held and g[0] != held[-1].column("g")[-1].as_py() or cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]), not split, split
+            held, size, split = [], 0, False
+        held.append(b.slice(cut))
+        size += b.num_rows - cut
+        if size > most:
+            yield pa.Table.from_batches(held), False, split
+            # its last row stays: the next table's first row may equal it
+            held, size, split = [held[-1].slice(held[-1].num_rows - 1)], 1, True
+    if held:
+        yield pa.Table.from_batches(held), not split, split
+
+
+def met(rows: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """Stretches by anchor: gone ones, and the first of each different ones that may share a string with another."""
     names = ("g", "doc_id", "row", "start", "stop")
 
+    def kept(batches: Iterator[pa.RecordBatch], aside: list) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            aside.append(b.filter(b.column("gone")))
+            yield b.filter(pa.compute.invert(b.column("gone")))
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        last_g = last_whole = None
-        waiting: dict | None = None  # the first stretch of the anchor at hand, until a different one comes
-        for batch in batches:
-            lost = batch.filter(batch.column("gone"))
-            if lost.num_rows:
+        aside: list[pa.RecordBatch] = []
+        for t, full, carried in whole_groups(kept(batches, aside), together):
+            while aside:
+                lost = aside.pop()
                 yield {k: lost.column(k) for k in (*names, "gone")}
-            b = batch.filter(pa.compute.invert(batch.column("gone")))
-            g, whole = np.asarray(b.column("g")), np.asarray(b.column("whole"))
-            if not len(g):
-                continue
-            new_g = np.concatenate(([g[0] != last_g if last_g is not None else True], g[1:] != g[:-1]))
-            new = new_g | np.concatenate(([whole[0] != last_whole if last_whole is not None else True], whole[1:] != whole[:-1]))
-            firsts = np.flatnonzero(new)
-            group = np.cumsum(new_g)[firsts]  # 0: goes on with the anchor of the batch before
-            n = np.bincount(group, minlength=group.max() + 1 if len(group) else 1)
-            old = n[0] if len(n) else 0
-            differ = firsts[(n[group] > 1) | (group == 0)] if len(firsts) else firsts
-            cols = {k: b.column(k) for k in names}
-            out = {k: cols[k].take(pa.array(np.concatenate((np.flatnonzero(~new), differ)))).to_pylist() for k in names}
-            out["gone"] = [True] * int((~new).sum()) + [False] * len(differ)
-            if old and waiting is not None:
-                for k in names:
-                    out[k].append(waiting[k])
-                out["gone"].append(False)
-                waiting = None
-            yield out
-            if len(firsts) and group[-1] > 0:
-                alone = n[group[-1]] == 1
-                waiting = {k: cols[k][int(firsts[-1])].as_py() for k in names} if alone else None
-            last_g, last_whole = g[-1], whole[-1]
+            g, whole, left, right = (np.asarray(t.column(k)) for k in ("g", "whole", "left", "right"))
+            again = np.concatenate(([False], (g[1:] == g[:-1]) & (whole[1:] == whole[:-1])))[: len(g)]
+            first = np.flatnonzero(~again)[int(carried) :]
+            if full:
+                shared = np.zeros(len(first), bool)
+                for side in (left, right):
+                    key = mixed(g[first].view(np.uint64) + side[first].astype(np.uint64) * ODD[3])
+                    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+                    shared |= (n[back] > 1) & (side[first] != 0)
+                first = first[shared]
+            at = pa.array(np.concatenate((np.flatnonzero(again), first)))
+            yield {k: t.column(k).take(at).combine_chunks() for k in names} | {"gone": np.arange(len(at)) < again.sum()}
+        while aside:
+            lost = aside.pop()
+            yield {k: lost.column(k) for k in (*names, "gone")}
 
     order = ("g", "whole", F.asc_nulls_first("doc_id"), "row", "start")
     dealt = rows.repartition("g").sortWithinPartitions(*order)
     return mapped(dealt, step, "g long, doc_id long, row long, start int, stop int, gone boolean")
 
 
+def twice(data: list[bytes], spans: list[int]) -> list[np.ndarray]:
+    """For each stretch of a shard: which of its starts have a string whose hash comes more than once in the shard."""
+    text = np.frombuffer(b"".join(data), np.uint8)
+    first = np.concatenate(([0], np.cumsum([len(d) for d in data])))[:-1]
+    n = np.array(spans) + 1
+    at = np.repeat(first - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+    _, back, count = np.unique(strings(hashes(text), at), return_inverse=True, return_counts=True)
+    return np.split(count[back] > 1, np.cumsum(n)[:-1])
+
+
 def repeated(text: bytes, first: list[int], spans: list[int]) -> np.ndarray:
     """Which starts of a shard have their 100 bytes in common with an earlier start.
 
@@ -224,13 +267,17 @@ def sharded(rows: DataFrame) -> DataFrame:
         def solve() -> dict:
             out: dict[str, list] = {"row": [], "lo": [], "hi": []}
             first, at = [], 0
-            for _, _, _, data in held:
+            # only strings that can have an equal one here are sorted: an equal string has an equal hash
+            parts = [(row, start + a, b - a, data[a : b + LENGTH]) for (row, start, _, data), hit in zip(held, twice([h[3] for h in held], [h[2] for h in held]), strict=True) for a, b in runs(np.flatnonzero(hit))]
+            for _, _, _, data in parts:
                 first.append(at)
                 at += len(data)
-            found = repeated(b"".join(h[3] for h in held), first, [h[2] for h in held])
+            if not parts:
+                return out
+            found = repeated(b"".join(h[3] for h in parts), first, [h[2] for h in parts])
             which = np.searchsorted(first, found, side="right") - 1
             for k in np.unique(which).tolist():
-                row, start, _, _ = held[k]
+                row, start, _, _ = parts[k]
                 for a, b in runs(found[which == k] - first[k] + start):
                     for key, v in zip(out, (row, a, b + LENGTH), strict=True):
                         out[key].append(v)
@@ -268,10 +315,10 @@ def crowded(rows: DataFrame) -> DataFrame:
     return each.join(least, "name").where(place > F.col("first")).select("row", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
 
 
-def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD, together: int = TOGETHER) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and removed (its spans)."""
     text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    found = written(met(anchored(text)))
+    found = written(met(anchored(text), together))
     spans = found.where("gone").select("row", F.col("start").alias("lo"), F.col("stop").alias("hi"))
     differ = found.where("NOT gone").withColumn("span", F.col("stop") - F.col("start") - LENGTH)
     dealt = text.repartition("row")
