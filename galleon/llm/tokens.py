@@ -2,7 +2,9 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts (between a letter and what follows it that is
 no letter, and before white space), so the ids of the units, put together, are the ids of the text. The library
-encodes each unit once while it stays in the memo; units come back often, so most of the text never reaches it.
+encodes each unit once while it stays in the memo; units come back often, so most of the text never reaches it. New
+units that are single words go to the library together, as one text, and are told apart again by the tokens that
+end a word or begin with its space.
 Texts with characters beyond Latin-1 are cut at ASCII white space only, and texts that hold a special token's string
 go to the library whole.
 """
@@ -14,8 +16,12 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 #: Units kept in each half of the memo: the older half goes when the newer one is full.
-MEMO = 400_000
+MEMO = 300_000
+#: Words that go to the library in one text.
+TOGETHER = 200
 GAP = r" \t\n\r\f\v"
 LOWER_CLASS = "a-zªµºß-öø-ÿ"
 LETTER_CLASS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -34,6 +40,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words, self.code = words, code
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        # tokens at the edge of a word: its last one, or the one with the space before it
+        self.edge = np.zeros(self.library.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if words else t.startswith("\u0120"))]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         if words:
@@ -59,7 +69,20 @@ class Encoder:
                 self.new[u] = ids
             else:
                 ask.append(u)
-        for u, e in zip(ask, self.library.encode_batch(ask, add_special_tokens=False), strict=True):
+        single = [u for u in ask if (u.isalpha() if self.words else u[0] == " " and u[1:].isalpha())]
+        groups = [single[lo : lo + TOGETHER] for lo in range(0, len(single), TOGETHER)]
+        gap, rest = " " if self.words else "", set(ask).difference(single)
+        for group, e in zip(groups, self.library.encode_batch_fast([gap.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, f"<u{array(self.code).itemsize}")
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) != len(group):  # a word that falls apart for the library: one by one
+                rest.update(group)
+                continue
+            cut = (np.concatenate(([0], edge + 1)) if self.words else np.concatenate((edge, [len(ids)]))) * ids.itemsize
+            data = ids.tobytes()
+            self.new.update((u, data[i:j]) for u, i, j in zip(group, cut.tolist(), cut[1:].tolist(), strict=False))
+        others = list(rest)
+        for u, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.new[u] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -71,9 +94,11 @@ class Encoder:
             units, out = self.units(text), []
             for lo in range(0, len(units), 100_000):
                 part = units[lo : lo + 100_000] if len(units) > 100_000 else units
-                while missing := set(part).difference(self.new):  # again if the halves changed places
-                    self.learn(missing)
-                out.append(b"".join(map(self.new.__getitem__, part)))
+                ids = list(map(self.new.get, part))
+                while None in ids:  # again if the halves of the memo changed places
+                    self.learn({u for u, x in zip(part, ids, strict=True) if x is None})
+                    ids = list(map(self.new.get, part))
+                out.append(b"".join(ids))
             yield b"".join(out)
 
 
