@@ -27,7 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from galleon.llm.base import LOWER, mapped, shared, texts, written, table
+from galleon.llm.base import LOWER, mapped, table, texts, written
+from galleon.llm.licenses import WORDS
 from galleon.operators.graph import connected_components
 
 RADIUS = 3
@@ -158,3 +159,149 @@ def near_copies(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+# --- near copies by exact similarity, for whole corpora -----------------------------------------------------------
+
+#: Similarity of five-word shingle sets from which on two documents are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Cells: so many groups of so many two-bit segments, drawn once from the 64 of a 128-bit fingerprint.
+GROUPS, SEGMENTS = 32, 12
+#: Candidates differ in at most so many of the 128 bits: copies that change one word in 45 differ in about 10.
+FAR = 28
+#: Members of a cell that are compared with each other at once.
+CELL = 4096
+
+
+def sketch(docs: DataFrame) -> DataFrame:
+    """row, doc_id, a digest of the word sequence, and the 128-bit SimHash of the set of words in two longs."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            same, low, high = [], [], []
+            for text in b.column("text").to_pylist():
+                w = text.translate(WORDS).split()
+                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                distinct = list(set(w))
+                fp = 0
+                if distinct:
+                    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint8).reshape(-1, 16)
+                    total = np.zeros(128, np.int64)
+                    for lo in range(0, len(h), 1 << 15):
+                        total += np.unpackbits(h[lo : lo + (1 << 15)], axis=1).sum(0, dtype=np.int64)
+                    fp = int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
+                low.append(fp & (1 << 64) - 1)
+                high.append(fp >> 64)
+            yield {"row": b.column("row"), "doc_id": b.column("doc_id"), "same": same, "low": np.array(low, np.uint64).view(np.int64), "high": np.array(high, np.uint64).view(np.int64)}
+
+    return mapped(docs, step, "row long, doc_id long, same binary, low long, high long")
+
+
+def group_cells(nodes: DataFrame) -> DataFrame:
+    """(cell, row, low, high): every node in the cells of its GROUPS groups of segments' bit counts."""
+    draw, out = random.Random(17), []
+
+    def counts(fp: str, mask: int):
+        """The counts of the masked segments: 00, 01 or 10 in their two bits; parts keep clear of the sign."""
+        even = F.col(fp).bitwiseAND(F.lit(mask & 0x1555555555555555)) + F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(mask & 0x1555555555555555))
+        top = F.shiftrightunsigned(fp, 62).bitwiseAND(F.lit(1)) + F.shiftrightunsigned(fp, 63)
+        return even, top if mask >> 62 & 1 else F.lit(0)
+
+    for k in range(GROUPS):
+        masks = [0, 0]
+        for s in draw.sample(range(64), SEGMENTS):
+            masks[s // 32] |= 1 << (2 * (s % 32))
+        out.append(F.xxhash64(F.lit(k), *counts("low", masks[0]), *counts("high", masks[1])))
+    return nodes.select("row", "low", "high", F.explode(F.array(*out)).alias("cell")).select("cell", "row", "low", "high")
+
+
+def nearest(row: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning tree under the Hamming distance, without those longer than far. fp: (n, 2)."""
+    n = len(row)
+    best, by, todo, at, out = np.full(n, 999), np.zeros(n, int), np.ones(n, bool), 0, []
+    todo[0] = False
+    for _ in range(n - 1):
+        d = np.bitwise_count(fp ^ fp[at]).sum(1)
+        closer = todo & (d < best)
+        best[closer], by[closer] = d[closer], at
+        at = int(np.where(todo, best, 9999).argmin())
+        todo[at] = False
+        if best[at] <= far:
+            out.append((int(row[at]), int(row[by[at]])))
+    return out
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, between each node and the nearest ones in its cells."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for cell, row, low, high in grouped(batches):
+            fp = np.stack((low, high), axis=1).view(np.uint64)
+            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            first, size = edge[:-1], np.diff(edge)
+            two = first[size == 2]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1) <= FAR]
+            a, b = row[two].tolist(), row[two + 1].tolist()
+            for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                order = lo + np.lexsort((high[lo : lo + n], low[lo : lo + n]))
+                for at in range(0, max(1, n - CELL // 2), CELL // 2):  # larger cells in halves that overlap
+                    some = order[at : at + CELL]
+                    for x, y in nearest(row[some], fp[some], FAR):
+                        a.append(x)
+                        b.append(y)
+            if a:
+                a, b = np.array(a), np.array(b)
+                yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    dealt = group_cells(nodes).repartition("cell").sortWithinPartitions("cell")
+    return mapped(dealt, step, "a long, b long").distinct()
+
+
+def word_shingles(text: bytes) -> set[bytes]:
+    w = text.translate(WORDS).split()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))) if len(w) > SHINGLE else {b" ".join(w)}
+
+
+def verified(edges: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose ends' shingle sets have this similarity or more, from whole texts."""
+    ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
+    own = written(text.join(ends, "row", "left_semi").select("row", "text"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            keep, last, mine = [], None, set()
+            for a, x, y in zip(b.column("a").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                if a != last:
+                    last, mine = a, word_shingles(x)
+                other = word_shingles(y)
+                both = len(mine & other)
+                keep.append(both >= similarity * (len(mine) + len(other) - both))
+            yield {"a": b.column("a").filter(pa.array(keep)), "b": b.column("b").filter(pa.array(keep))}
+
+    with_b = edges.join(own.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+    both = with_b.join(own.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
+    return mapped(both.select("a", "b", "x", "y"), step, "a long, b long")
+
+
+def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row, doc_id and first: the row number of the first document (by doc_id, then reading order) of its group.
+
+    Groups hold equal word sequences, and what is linked by a similarity of `similarity` or more. row numbers the
+    rows in reading order; the frame must give its rows in the same order each time it is read, as a table does.
+    """
+    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    found = written(sketch(text))
+    place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")
+    nodes = written(found.groupBy("same").agg(F.min(place).alias("place"), F.min("low").alias("low"), F.min("high").alias("high")).select("same", "place", F.col("place.row").alias("row"), "low", "high"))
+    edges = written(candidates(nodes.select("row", "low", "high")))
+    parts = connected_components(written(verified(edges, text, similarity)), written)
+    named = nodes.join(parts, nodes["row"] == parts["id"], "left").select("same", "place", F.coalesce("component", "row").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("place").alias("least"))
+    by_node = named.join(firsts, "component").select("same", F.col("least.row").alias("first"))
+    return found.join(by_node, "same").select("row", "doc_id", "first")
+
+
+def drop_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without those that are copies or near copies of an earlier one: one of each group stays."""
+    gone = written(copy_groups(docs, similarity).where(F.col("row") != F.col("first")).select(F.col("row").alias("__row")))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
