@@ -1,6 +1,267 @@
-"""Registered queries over the driver tables and their SQL."""
+"""Registered queries over the driver's tables, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from galleon.functions.columns import aspect_ratio, extension, full_path, hex_colour, is_image_path, match_probability, pack_rgb, safe_dir, srgb_to_lab, stem
+from galleon.functions.scoring import LUNA, SILVA, WAIFU
+from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, pending as pe, sampling as sa, search as se, stats as st
+from galleon.operators.filters import PostFilter as PF, apply_filter
+from galleon.operators.graph import connected_components
+from galleon.plans.views import Library, open_library, sql_of
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def add(name: str, plan: Callable[[Library], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: plan(open_library(spark, sf_dir))
+    if sql:
+        ORACLE[name] = sql_of(sql)
+
+
+C = "canonical_post_id IS NULL"
+POSTS = "SELECT p.id, p.score, p.rating FROM g_posts p"
+
+
+def ids(f: PF) -> Callable[[Library], DataFrame]:
+    return lambda lib: apply_filter(lib, f).select("id", "score", "rating")
+
+
+# --- filters (P1-P8, J1-J4) ---------------------------------------------------------------------------------------
+add("count_canonical", lambda lib: fa.count_posts(lib, PF()), f"SELECT count(id) AS n FROM g_posts WHERE {C}")  # A1, P2
+add("count_all", lambda lib: fa.count_posts(lib, PF(only_canonical=False)), "SELECT count(id) AS n FROM g_posts")
+add("filter_rating_in", ids(PF(rating=[1, 3])), f"{POSTS} WHERE {C} AND rating IN (1, 3)")  # P3
+add("filter_score_in", ids(PF(score=[0, 5])), f"{POSTS} WHERE {C} AND score IN (0, 5)")
+add("filter_ext_in", ids(PF(extension=["png"])), f"{POSTS} WHERE {C} AND extension IN ('png')")
+add("filter_tags_and", ids(PF(tags=["hot", "Brand#13"])), f"{POSTS} WHERE {C} AND EXISTS (SELECT 1 FROM g_post_has_tag t WHERE t.post_id = p.id AND t.tag_name = 'hot') AND EXISTS (SELECT 1 FROM g_post_has_tag t WHERE t.post_id = p.id AND t.tag_name = 'Brand#13')")  # P4
+add("filter_folder_prefix", ids(PF(folder="ECONOMY", only_canonical=False)), f"{POSTS} WHERE file_path = 'ECONOMY' OR (file_path >= 'ECONOMY/' AND file_path < 'ECONOMY0')")  # P5
+add("filter_folder_sibling_guard", ids(PF(folder="ECONOMY/Brand#1", only_canonical=False)), f"{POSTS} WHERE file_path = 'ECONOMY/Brand#1' OR starts_with(file_path, 'ECONOMY/Brand#1/')")
+add("filter_score_range", ids(PF(waifu_score_range=(2.5, 7.5))), f"{POSTS} LEFT JOIN g_waifu w ON w.post_id = p.id WHERE {C} AND w.score >= 2.5 AND w.score <= 7.5")  # P6
+add("filter_levels", ids(PF(waifu_score_levels=["A", "E"])), f"{POSTS} LEFT JOIN g_waifu w ON w.post_id = p.id WHERE {C} AND ((w.score >= 8 AND w.score < 10.001) OR (w.score >= 0 AND w.score < 2))")  # P7
+add("filter_levels_unscored", ids(PF(silva_score_levels=["B", "UNSCORED"])), f"{POSTS} LEFT JOIN g_aesthetic s ON s.post_id = p.id AND s.scorer = 'silva' WHERE {C} AND ((s.score >= 0.6 AND s.score < 0.8) OR s.post_id IS NULL)")
+add("filter_levels_bogus", ids(PF(waifu_score_levels=["nope"])), f"{POSTS} WHERE {C}")
+add("filter_both_scorers", ids(PF(silva_score_levels=["A"], silva_luna_score_levels=["A", "B"])), f"{POSTS} LEFT JOIN g_aesthetic s ON s.post_id = p.id AND s.scorer = 'silva' LEFT JOIN g_aesthetic l ON l.post_id = p.id AND l.scorer = 'silva_luna' WHERE {C} AND s.score >= 0.8 AND s.score < 1.0001 AND l.score >= 0.6 AND l.score < 1.0001")  # P8, J3
+add("filter_kitchen_sink", ids(PF(rating=[0, 1, 2], score=[1, 2, 3, 4, 5], tags=["hot"], extension=["jpg", "png"], waifu_score_range=(1, 9), silva_score_levels=["A", "B", "C", "UNSCORED"])), f"{POSTS} LEFT JOIN g_waifu w ON w.post_id = p.id LEFT JOIN g_aesthetic s ON s.post_id = p.id AND s.scorer = 'silva' WHERE {C} AND rating IN (0, 1, 2) AND p.score IN (1, 2, 3, 4, 5) AND p.id IN (SELECT post_id FROM g_post_has_tag WHERE tag_name = 'hot') AND extension IN ('jpg', 'png') AND w.score BETWEEN 1 AND 9 AND ((s.score >= 0.4 AND s.score < 1.0001) OR s.post_id IS NULL)")
+
+# --- facets (A2-A9, A20-A22) --------------------------------------------------------------------------------------
+for _c in ("rating", "score", "extension"):
+    add(f"facet_{_c}", lambda lib, c=_c: fa.count_by_column(lib, c, PF()), f"SELECT {_c}, count(id) AS n FROM g_posts WHERE {C} GROUP BY {_c}")  # A2
+
+
+def _bucket_sql(view: str, edges: tuple, scorer: str = "") -> str:
+    e, d, c, b = edges
+    on = f" AND w.scorer = '{scorer}'" if scorer else ""
+    return f"SELECT CASE WHEN w.post_id IS NULL THEN 'UNSCORED' WHEN w.score >= {b} THEN 'A' WHEN w.score >= {c} THEN 'B' WHEN w.score >= {d} THEN 'C' WHEN w.score >= {e} THEN 'D' ELSE 'E' END AS bucket, count(*) AS n FROM g_posts p LEFT JOIN {view} w ON w.post_id = p.id{on} WHERE {C} GROUP BY 1"
+
+
+add("facet_waifu_bucket", lambda lib: fa.count_by_bucket(lib, "waifu", PF()), _bucket_sql("g_waifu", (2, 4, 6, 8)))  # A3, A4
+add("facet_silva_bucket", lambda lib: fa.count_by_bucket(lib, "silva", PF()), _bucket_sql("g_aesthetic", (0.2, 0.4, 0.6, 0.8), "silva"))
+add("facet_luna_bucket", lambda lib: fa.count_by_bucket(lib, "silva_luna", PF()), _bucket_sql("g_aesthetic", (0.2, 0.4, 0.6, 0.8), "silva_luna"))
+TAGS = f"SELECT t.tag_name AS name, count(*) AS n FROM g_post_has_tag t JOIN g_posts p ON p.id = t.post_id WHERE {C}"
+add("facet_tags_fast", lambda lib: fa.tag_facet(lib, PF(), limit=20), f"{TAGS} GROUP BY 1 ORDER BY n DESC, name LIMIT 20")  # A7
+add("facet_tags_filtered", lambda lib: fa.tag_facet(lib, PF(rating=[1, 2]), limit=20), f"{TAGS} AND p.rating IN (1, 2) GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
+add("facet_tags_like", lambda lib: fa.tag_facet(lib, PF(), query="BRAND#1", extra=["hot"], limit=20), f"SELECT * FROM ({TAGS} GROUP BY 1) WHERE contains(lower(name), 'brand#1') OR name = 'hot' ORDER BY n DESC, name LIMIT 20")
+add("facet_without_self", lambda lib: fa.facet_share(fa.count_by_column(lib, "rating", PF(rating=[1], extension=["jpg"]).without("rating"))), f"SELECT rating, n, round(n * 100.0 / sum(n) OVER (), 1) AS pct FROM (SELECT rating, count(id) AS n FROM g_posts WHERE {C} AND extension = 'jpg' GROUP BY rating)")  # A21
+add("stats_overall", lambda lib: fa.overall_stats(lib, PF()), f"SELECT count(*) AS total, round(avg(CASE WHEN p.score > 0 THEN p.score END), 6) AS avg_score, count(CASE WHEN p.score > 0 THEN 1 END) AS scored_count, round(avg(w.score), 6) AS avg_waifu, count(w.score) AS waifu_count FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE {C}")  # A5
+add("stats_rating_distribution", lambda lib: fa.rating_distribution(lib, PF()), f"SELECT coalesce(rating, 0) AS rating, count(*) AS n FROM g_posts WHERE {C} GROUP BY 1")
+add("hist_waifu", fa.waifu_histogram, "SELECT b.bin AS bin, b.bin || '~' || (b.bin + 1) AS label, count(w.post_id) AS n FROM (SELECT CAST(unnest(range(10)) AS BIGINT) AS bin) b LEFT JOIN g_waifu w ON least(CAST(floor(w.score) AS BIGINT), 9) = b.bin GROUP BY 1, 2")  # A8
+SUMS = "count(*) AS posts, coalesce(sum(CASE WHEN p.score > 0 THEN p.score END), 0) AS ss, count(CASE WHEN p.score > 0 THEN 1 END) AS sn, sum(p.rating) AS rs, coalesce(sum(s.score), 0) AS vs, count(s.score) AS vn, coalesce(sum(l.score), 0) AS ls, count(l.score) AS ln"
+JOINS = "LEFT JOIN g_aesthetic s ON s.post_id = p.id AND s.scorer = 'silva' LEFT JOIN g_aesthetic l ON l.post_id = p.id AND l.scorer = 'silva_luna'"
+AVG = "CASE WHEN sn > 0 THEN round(CAST(ss AS DOUBLE) / sn, 6) END AS score_avg, round(CAST(rs AS DOUBLE) / posts, 6) AS rating_avg, CASE WHEN vn > 0 THEN round(vs / vn, 6) END AS silva_avg, CASE WHEN ln > 0 THEN round(ls / ln, 6) END AS luna_avg"
+add("folder_direct", fa.folder_direct, f"SELECT file_path, posts, {AVG} FROM (SELECT p.file_path, {SUMS} FROM g_posts p {JOINS} GROUP BY 1)")  # A6, J11
+add("folder_rollup", fa.folder_rollup, f"SELECT folder, posts, {AVG} FROM (SELECT f.folder, {SUMS} FROM g_posts p JOIN (SELECT DISTINCT file_path, '.' AS folder FROM g_posts UNION SELECT file_path, split_part(file_path, '/', 1) FROM g_posts UNION SELECT file_path, file_path FROM g_posts) f ON f.file_path = p.file_path {JOINS} GROUP BY 1)")  # A6b
+add("selection_stats", lambda lib: fa.selection_stats(lib.posts.where("file_path LIKE 'ECONOMY/%'")), "SELECT count(*) AS n, " + ", ".join([f"count(CASE WHEN rating = {k} THEN 1 END) AS rating_{k}" for k in range(5)] + [f"count(CASE WHEN score = {k} THEN 1 END) AS score_{k}" for k in range(6)]) + ", min(CASE WHEN width > 0 THEN width END) AS min_width, max(CASE WHEN width > 0 THEN width END) AS max_width, min(CASE WHEN height > 0 THEN height END) AS min_height, max(CASE WHEN height > 0 THEN height END) AS max_height, CASE WHEN min(rating) = max(rating) THEN min(rating) END AS common_rating, CASE WHEN min(score) = max(score) THEN min(score) END AS common_score, CASE WHEN min(extension) = max(extension) THEN min(extension) END AS common_extension, CASE WHEN min(file_path) = max(file_path) THEN min(file_path) WHEN min(split_part(file_path, '/', 1)) = max(split_part(file_path, '/', 1)) THEN min(split_part(file_path, '/', 1)) ELSE '' END AS common_folder FROM g_posts WHERE file_path LIKE 'ECONOMY/%'")  # A20
+add("extension_tally", lambda lib: fa.extension_tally(lib.posts), "SELECT extension, count(*) AS n FROM g_posts GROUP BY 1")  # A22
+add("backlog", pe.backlog, None)  # A19
+ROW = "id, file_path, file_name, extension, width, height, score, rating"
+
+# --- search and pages (O1-O9, W7) ---------------------------------------------------------------------------------
+add("search_default_desc", lambda lib: se.search(lib, PF(), "score", limit=50), f"SELECT {ROW} FROM g_posts WHERE {C} ORDER BY score DESC, id DESC LIMIT 50")  # O1
+add("search_nulls_asc", lambda lib: se.search(lib, PF(), "published_key", "asc", limit=300, offset=20), f"SELECT {ROW} FROM g_posts WHERE {C} ORDER BY published_key ASC NULLS FIRST, id LIMIT 300 OFFSET 20")
+PR = "p.id, file_path, file_name, extension, width, height, p.score, rating"
+add("search_waifu_sort", lambda lib: se.search(lib, PF(), "waifu_score", limit=100), f"SELECT {PR}, w.score AS waifu_score FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE {C} ORDER BY w.score DESC NULLS LAST, p.id DESC LIMIT 100")  # O2
+add("search_silva_sort", lambda lib: se.search(lib, PF(), "silva_score", "asc", limit=100), f"SELECT {PR}, s.score AS silva_score FROM g_posts p LEFT JOIN g_aesthetic s ON s.post_id = p.id AND s.scorer = 'silva' WHERE {C} ORDER BY s.score ASC NULLS LAST, p.id LIMIT 100")
+add("search_discrepancy", lambda lib: se.search(lib, PF(), "discrepancy", limit=50).withColumn("discrepancy", F.round("discrepancy", 6)), f"SELECT {PR}, round(CASE WHEN p.score >= 1 AND s.score IS NOT NULL THEN abs(s.score * 4 + 1 - p.score) END, 6) AS discrepancy FROM g_posts p LEFT JOIN g_aesthetic s ON s.post_id = p.id AND s.scorer = 'silva' WHERE {C} ORDER BY CASE WHEN p.score >= 1 AND s.score IS NOT NULL THEN abs(s.score * 4.0::DOUBLE + 1.0::DOUBLE - p.score) END DESC NULLS LAST, p.id DESC LIMIT 50")  # O3
+add("search_random_seeded", lambda lib: se.search(lib, PF(), direction="random", seed=1234567891, limit=50), f"SELECT {ROW} FROM g_posts WHERE {C} ORDER BY (id * 1234567891) % 2147483647 LIMIT 50")  # O4
+add("search_random_resort", lambda lib: se.search(lib, PF(), direction="random", seed=77, limit=50, offset=10, resort="score").select(*se.SIMPLE), f"SELECT * FROM (SELECT {ROW} FROM g_posts WHERE {C} ORDER BY (id * 77) % 2147483647 LIMIT 50 OFFSET 10) ORDER BY score DESC, id DESC")  # O5
+add("search_lab", lambda lib: se.search(lib, PF(lab=(50, 0, 0)), limit=20).withColumn("distance", F.round("distance", 5)), f"SELECT {ROW}, round(sqrt((lab_l - 50) * (lab_l - 50) + lab_a * lab_a + lab_b * lab_b), 5) AS distance FROM g_posts WHERE {C} AND lab_l IS NOT NULL ORDER BY sqrt((lab_l - 50) * (lab_l - 50) + lab_a * lab_a + lab_b * lab_b), id LIMIT 20")  # O6, V5
+add("list_keyset", lambda lib: se.keyset_page(lib, 100, 50), f"SELECT id, row_number() OVER (ORDER BY id) > 50 AS is_next FROM (SELECT id FROM g_posts WHERE id >= 100 AND {C} ORDER BY id LIMIT 51)")  # O8, W7
+COUNTS = f"SELECT g.name AS name, g.group_id AS group_id, count(p.id) AS post_count FROM g_tags g LEFT JOIN g_post_has_tag t ON t.tag_name = g.name LEFT JOIN g_posts p ON p.id = t.post_id AND p.{C} GROUP BY 1, 2"
+add("tags_keyset", lambda lib: se.tags_page(fa.tag_counts(lib), "Brand#2", 15), f"SELECT name, post_count FROM ({COUNTS}) WHERE name > 'Brand#2' ORDER BY name LIMIT 15")  # O9
+add("tag_count_refresh", fa.tag_counts, COUNTS)  # D15
+
+# --- read models (J9, J19, J22, P12, P13) -------------------------------------------------------------------------
+add("detail_nested", lambda lib: se.details(lib, lib.posts.where("id <= 50")).select("id", "full_path", F.round("aspect_ratio", 6).alias("aspect_ratio"), "waifu_score", "members", F.array_join(F.transform("tags", lambda t: t["name"]), ",").alias("tags"), F.size("aesthetic").alias("scores")), """
+SELECT p.id AS id, file_path || '/' || file_name || '.' || extension AS full_path, round(CASE WHEN height <> 0 THEN CAST(width AS DOUBLE) / height END, 6) AS aspect_ratio, w.score AS waifu_score, (SELECT count(*) FROM g_posts m WHERE m.canonical_post_id = p.id) AS members,
+ coalesce((SELECT string_agg(t.tag_name, ',' ORDER BY CASE g.name WHEN 'artist' THEN 0 WHEN 'copyright' THEN 1 WHEN 'character' THEN 2 WHEN 'general' THEN 3 WHEN 'meta' THEN 4 ELSE 5 END, t.tag_name) FROM g_post_has_tag t JOIN g_tags n ON n.name = t.tag_name LEFT JOIN g_tag_groups g ON g.id = n.group_id WHERE t.post_id = p.id), '') AS tags,
+ CAST((SELECT count(*) FROM g_aesthetic a WHERE a.post_id = p.id) AS INT) AS scores FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE p.id <= 50""")
+add("group_members", lambda lib: lib.posts.where("canonical_post_id = 21").select("id"), "SELECT id FROM g_posts WHERE canonical_post_id = 21")
+add("member_counts", lambda lib: se.member_counts(lib.posts), "SELECT canonical_post_id AS id, count(*) AS members FROM g_posts WHERE canonical_post_id IS NOT NULL GROUP BY 1")  # A9
+add("ordered_lookup", lambda lib: se.in_given_order(lib.posts, [7, 3, 999999999, 5], True).select("id", "pos"), f"SELECT p.id AS id, v.pos AS pos FROM g_posts p JOIN (SELECT * FROM (VALUES (7, 0), (3, 1), (999999999, 2), (5, 3)) t(id, pos)) v ON v.id = p.id WHERE {C}")  # J22
+add("full_paths", lambda lib: lib.posts.select("id", full_path().alias("path"), is_image_path(full_path()).alias("image"), stem(F.concat("file_name", F.lit("."), "extension")).alias("stem"), extension(F.concat("file_name", F.lit("."), "extension")).alias("ext"), F.round(aspect_ratio(), 6).alias("aspect")), "SELECT id, file_path || '/' || file_name || '.' || extension AS path, lower(extension) IN ('jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp') AS image, file_name AS stem, extension AS ext, round(CASE WHEN height <> 0 THEN CAST(width AS DOUBLE) / height END, 6) AS aspect FROM g_posts")  # S3, P16
+add("colour_columns", lambda lib: lib.posts.select("id", hex_colour(pack_rgb(F.col("width") % 256, F.col("height") % 256, (F.col("id") % 256).cast("int"))).alias("hex"), safe_dir(F.concat("file_path", F.lit(". "))).alias("dir")), r"SELECT id, '#' || lpad(lower(printf('%x', (width % 256) * 65536 + (height % 256) * 256 + id % 256)), 6, '0') AS hex, CASE WHEN file_path = '.' THEN '_' ELSE replace(file_path, '/', '_') END AS dir FROM g_posts")
+
+# --- vectors (V1-V9) ----------------------------------------------------------------------------------------------
+COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+NEAR = f"SELECT b.post_id AS post_id, 1 - {COS} AS d FROM g_vectors a, g_vectors b WHERE a.post_id = 42 ORDER BY d, b.post_id"
+R5 = lambda df: df.withColumn("distance", F.round(F.abs("distance"), 5))
+add("knn_seed", lambda lib: R5(se.knn_of(lib.vectors, 42, 10)), f"SELECT post_id, round(abs(d), 5) AS distance FROM ({NEAR} LIMIT 10)")  # V1, O12
+add("similar_posts", lambda lib: R5(se.similar_posts(lib, 42, 20)).select("post_id", "distance", F.round("match_prob", 5).alias("match_prob")), f"SELECT n.post_id AS post_id, round(abs(d), 5) AS distance, round(1 - d, 5) AS match_prob FROM (SELECT * FROM ({NEAR} LIMIT 21) WHERE post_id <> 42) n JOIN g_posts p ON p.id = n.post_id WHERE {C}")  # V2
+add("text_vector_search", lambda lib: R5(se.text_search(lib, [1.0] * 8 + [0.0] * 56, PF(rating=[0, 1, 2]), 15, 5)).select("post_id", "distance"), f"SELECT n.post_id AS post_id, round(abs(d), 5) AS distance FROM (SELECT b.post_id, 1 - list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), list_concat(list_transform(range(8), lambda x: 1.0::DOUBLE), list_transform(range(56), lambda x: 0.0::DOUBLE))) AS d FROM g_vectors b ORDER BY d, b.post_id LIMIT 1000) n JOIN g_posts p ON p.id = n.post_id WHERE {C} AND rating IN (0, 1, 2) ORDER BY d, n.post_id LIMIT 15 OFFSET 5")  # V3, J14
+add("match_prob", lambda lib: se.knn_of(lib.vectors, 42, 10).select("post_id", F.round(match_probability(1 - F.col("distance"), 10.0, -5.0), 5).alias("p")), f"SELECT post_id, round(1 / (1 + exp(-((1 - d) * 10 - 5))), 5) AS p FROM ({NEAR} LIMIT 10)")  # V4
+add("unit_vectors", lambda lib: dedup.unit_vectors(lib.vectors).select("post_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total")), "SELECT post_id, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS total FROM g_vectors WHERE list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0")  # V6
+add("vector_export", lambda lib: dedup.export_vectors(lib).select("post_id", F.size("embedding").alias("dim")), "SELECT v.post_id AS post_id, CAST(len(embedding) AS INT) AS dim FROM g_vectors v JOIN g_posts p ON p.id = v.post_id")  # S10, J15
+PAIRS = f"SELECT a.post_id AS a, b.post_id AS b FROM g_vectors a JOIN g_vectors b ON a.post_id < b.post_id WHERE {COS} >= 0.45"
+add("near_pairs", lambda lib: dedup.near_pairs(lib.vectors, 0.55), PAIRS)  # V9, J16
+
+
+def _keep(lib: Library):
+    """Rounds of iterative operators are written to the cluster's shared folder, or a temporary one where none is named."""
+    spark = lib.posts.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='galleon-')}")
+    return lambda df: df.checkpoint()
+
+
+# lexicographically first: three rounds of "no smaller neighbour is canonical" settle these graphs
+FIRST = f"WITH e AS ({PAIRS}), s0 AS (SELECT DISTINCT a AS id FROM e WHERE a NOT IN (SELECT b FROM e)), m0 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM s0)), e1 AS (SELECT * FROM e WHERE a NOT IN (SELECT id FROM s0 UNION SELECT id FROM m0) AND b NOT IN (SELECT id FROM s0 UNION SELECT id FROM m0)), s1 AS (SELECT DISTINCT a AS id FROM e1 WHERE a NOT IN (SELECT b FROM e1)), m1 AS (SELECT DISTINCT b AS id FROM e1 WHERE a IN (SELECT id FROM s1)), s2 AS (SELECT id FROM (SELECT a AS id FROM e UNION SELECT b FROM e) WHERE id NOT IN (SELECT id FROM s0 UNION SELECT id FROM m0 UNION SELECT id FROM s1 UNION SELECT id FROM m1)), s AS (SELECT id FROM s0 UNION SELECT id FROM s1 UNION SELECT id FROM s2) SELECT b AS member, min(a) AS canonical FROM e WHERE a IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM s) GROUP BY b"
+add("canonical_assign", lambda lib: dedup.assign_canonicals(dedup.near_pairs(lib.vectors, 0.55), _keep(lib)), FIRST)  # V10
+add("regroup_posts", lambda lib: dedup.replace_groups(lib.posts, dedup.assign_canonicals(dedup.near_pairs(dedup.export_vectors(lib), 0.55), _keep(lib))).where("canonical_post_id IS NOT NULL").select("id", "canonical_post_id"), FIRST.replace("FROM g_vectors a JOIN g_vectors b", "FROM (SELECT * FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts)) a JOIN (SELECT * FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts)) b").replace("SELECT b AS member, min(a) AS canonical", "SELECT b AS id, min(a) AS canonical_post_id"))  # V11
+
+# --- annotations (U1, O10, A10, W1, A11, A12, D23, X15) -----------------------------------------------------------
+LINE = "SELECT 'pairwise' AS kind, id, created_at, post_a AS post_id, post_b AS other_id, dimension, winner AS verdict FROM g_pairwise UNION ALL SELECT 'absolute', id, created_at, post_id, NULL, dimension, CAST(value AS VARCHAR) FROM g_absolute UNION ALL SELECT 'flag', id, created_at, post_id, NULL, NULL, flag FROM g_flags UNION ALL SELECT 'listwise', id, created_at, coalesce(best, m1), NULL, NULL, NULL FROM g_listwise"
+NEWEST = "ORDER BY created_at DESC, kind DESC, id DESC LIMIT 50"
+CUT = ("2024-06-01 00:00:00", "flag", 5000)
+add("timeline_page1", lambda lib: an.timeline_page(lib, 50), f"SELECT * FROM ({LINE}) {NEWEST}")
+add("timeline_cursor", lambda lib: an.timeline_page(lib, 50, CUT), f"SELECT * FROM ({LINE}) WHERE (created_at, kind, id) < (TIMESTAMP '{CUT[0]}', '{CUT[1]}', {CUT[2]}) {NEWEST}")
+add("pairwise_count", lambda lib: an.pairwise_counts(lib.pairwise, "overall"), "SELECT count(*) FILTER (winner = 'a') AS a, count(*) FILTER (winner = 'b') AS b, count(*) FILTER (winner = 'tie') AS tie, count(*) FILTER (winner = 'skip') AS skip, count(*) FILTER (winner IN ('a', 'b')) AS decisive, count(*) FILTER (winner IN ('a', 'b', 'tie')) AS total FROM g_pairwise WHERE dimension = 'overall'")
+add("flag_latest", lambda lib: an.latest(lib.flags, ["post_id"], "flag"), "SELECT post_id, arg_max(flag, id) AS flag, max(id) AS id FROM g_flags GROUP BY 1")
+add("absolute_latest_wins", lambda lib: an.latest(lib.absolute, ["post_id", "dimension"], "value"), "SELECT post_id, dimension, arg_max(value, id) AS value, max(id) AS id FROM g_absolute GROUP BY 1, 2")
+add("queue_progress", lambda lib: an.queue_progress([("pairwise", lib.pair_queue)]), "SELECT 'pairwise' AS kind, queue_id, count(*) AS total, CAST(sum(done) AS BIGINT) AS done FROM g_pair_queue GROUP BY queue_id")
+add("queue_next_pairwise", lambda lib: an.queue_next_pairs(lib, 1, 20), "SELECT position, post_a, post_b, a.file_name AS name_a, b.file_name AS name_b FROM g_pair_queue q JOIN g_posts a ON a.id = q.post_a JOIN g_posts b ON b.id = q.post_b WHERE queue_id = 1 AND done = 0 ORDER BY position, post_a LIMIT 20")  # O13, J12
+add("listwise_pairs", lambda lib: an.listwise_pairs(an.ranking(lib.listwise)), "WITH r AS (SELECT id, best, list_filter([m1, m2, m3], lambda m: m <> best) AS rest FROM g_listwise WHERE best IS NOT NULL) SELECT id, best AS winner, unnest(rest) AS loser FROM r UNION ALL SELECT id, rest[1], rest[2] FROM r")
+add("listwise_membership", lambda lib: an.history(an.ranking(lib.listwise), 12, "post_ids").select("id"), "SELECT id FROM g_listwise WHERE 12 IN (m1, m2, m3)")
+add("pair_history", lambda lib: an.history(lib.pairwise, 12, "post_a", "post_b").select("id", "winner"), "SELECT id, winner FROM g_pairwise WHERE post_a = 12 OR post_b = 12")
+ENDS = "SELECT post_a AS post_id, winner = 'a' AS win, winner = 'b' AS loss FROM g_pairwise WHERE dimension = 'overall' AND winner <> 'skip' UNION ALL SELECT post_b, winner = 'b', winner = 'a' FROM g_pairwise WHERE dimension = 'overall' AND winner <> 'skip'"
+WL = f"SELECT post_id, count(*) AS degree, count(*) FILTER (win) AS wins, count(*) FILTER (loss) AS losses FROM ({ENDS}) GROUP BY 1"
+add("win_loss_degree", lambda lib: an.win_loss(lib.pairwise, "overall"), WL)
+add("unbounded_players", lambda lib: an.unbounded(an.win_loss(lib.pairwise, "overall")).where("direction <> 0"), f"SELECT * FROM (SELECT *, CASE WHEN wins + losses >= 2 AND losses = 0 THEN 1 WHEN wins + losses >= 2 AND wins = 0 THEN -1 ELSE 0 END AS direction FROM ({WL})) WHERE direction <> 0")  # G3
+add("components", lambda lib: connected_components(lib.pairwise.where("dimension = 'overall' AND winner <> 'skip'").select(F.col("post_a").alias("a"), F.col("post_b").alias("b")), _keep(lib)))  # G1
+add("main_component", lambda lib: an.main_component(connected_components(lib.pairwise.where("dimension = 'overall' AND winner <> 'skip'").select(F.col("post_a").alias("a"), F.col("post_b").alias("b")), _keep(lib))))  # G2
+add("valid_verdicts", lambda lib: lib.absolute.select("id", an.valid_absolute().alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "SELECT scale IN (2, 3, 5) AND value BETWEEN 1 AND scale AS ok, count(*) AS n FROM g_absolute GROUP BY 1")  # P22
+
+# --- samplers (G8-G17) --------------------------------------------------------------------------------------------
+KEY = "(id * 99) % 2147483647"
+add("sample_stratified", lambda lib: sa.stratified(lib.posts.where("canonical_post_id IS NULL"), 30, 99), f"WITH q AS (SELECT id, score, row_number() OVER (PARTITION BY score ORDER BY {KEY}, id) AS n FROM g_posts WHERE {C} AND score BETWEEN 1 AND 5), s AS (SELECT id, score, 0 AS r FROM q WHERE n <= 6), f AS (SELECT id, score, 1 AS r FROM g_posts WHERE {C} AND id NOT IN (SELECT id FROM s) ORDER BY {KEY}, id LIMIT 30) SELECT id, score FROM (SELECT * FROM s UNION ALL SELECT * FROM f) ORDER BY r, {KEY}, id LIMIT 30")  # G9, W4
+add("sample_random_pairs", lambda lib: sa.random_pairs(sa.pairwise_eligible(lib), 10, 99), f"WITH d AS (SELECT id, row_number() OVER (ORDER BY {KEY}, id) - 1 AS n FROM g_posts WHERE {C} AND id NOT IN (SELECT post_a FROM g_pair_queue WHERE done = 0 UNION SELECT post_b FROM g_pair_queue WHERE done = 0) QUALIFY n < 20) SELECT CAST(floor(n / 2) AS BIGINT) AS pair, arg_min(id, n) AS post_a, arg_max(id, n) AS post_b FROM d GROUP BY 1 HAVING count(*) = 2")  # G10, P19
+SILVAS = lambda lib: lib.aesthetic.where("scorer = 'silva'").select("post_id", "score")
+add("score_window_candidates", lambda lib: sa.window_candidates(SILVAS(lib), SILVAS(lib).where("post_id % 50 = 2").select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), seed=99), "SELECT seed_id, post_id, score FROM (SELECT s.post_id AS seed_id, c.post_id AS post_id, c.score AS score, row_number() OVER (PARTITION BY s.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM g_aesthetic s JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> s.post_id AND abs(c.score - s.score) <= 0.05::DOUBLE WHERE s.scorer = 'silva' AND s.post_id % 50 = 2) WHERE n <= 32")  # G13, J17
+add("calibration_partners", lambda lib: sa.calibration_partners(an.unbounded(an.win_loss(lib.pairwise, "overall")).select("post_id", "direction"), SILVAS(lib), seed=99), f"WITH w AS (SELECT post_id, CASE WHEN wins + losses >= 2 AND losses = 0 THEN 1 WHEN wins + losses >= 2 AND wins = 0 THEN -1 ELSE 0 END AS direction FROM ({WL})) SELECT post_id, direction, partner, round(score, 6) AS score FROM (SELECT w.post_id AS post_id, direction, c.post_id AS partner, c.score AS score, row_number() OVER (PARTITION BY w.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM w JOIN g_aesthetic o ON o.post_id = w.post_id AND o.scorer = 'silva' JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> w.post_id AND (c.score - o.score) * direction >= 0.15::DOUBLE AND (c.score - o.score) * direction <= 0.25::DOUBLE WHERE direction <> 0) WHERE n <= 1")  # G17
+add("revisit_pool", lambda lib: sa.revisit_pool(lib.pairwise.where("dimension = 'overall'"), an.win_loss(lib.pairwise, "overall").select("post_id", "degree")), f"SELECT e.post_id AS post_id, coalesce(w.degree, 0) AS degree FROM (SELECT post_a AS post_id FROM g_pairwise WHERE dimension = 'overall' UNION SELECT post_b FROM g_pairwise WHERE dimension = 'overall') e LEFT JOIN ({WL}) w ON w.post_id = e.post_id WHERE coalesce(w.degree, 0) < 3")  # G14, J18, U2
+add("eligible_absolute", lambda lib: sa.eligible(lib, ["overall", "color"]).select("id"), f"SELECT id FROM g_posts WHERE {C} AND id NOT IN (SELECT post_id FROM g_absolute WHERE dimension IN ('overall', 'color'))")  # P18
+add("draw_embedded", lambda lib: sa.draw_embedded(lib, lib.posts.where("canonical_post_id IS NULL"), 40, 99).select("id"), f"SELECT id FROM (SELECT id FROM g_posts WHERE {C} ORDER BY {KEY}, id LIMIT 80) WHERE id IN (SELECT post_id FROM g_vectors) ORDER BY {KEY}, id LIMIT 40")  # G8, U4
+
+# --- pending sets (B1-B5, P15, P17, J5-J8) ------------------------------------------------------------------------
+IMG = "lower(extension) IN ('jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp')"
+OPEN = "NOT EXISTS (SELECT 1 FROM g_failures f WHERE f.post_id = p.id AND f.worker = '{}')"
+add("pending_silva", lambda lib: pe.pending_scorer(lib, "silva"), f"SELECT id FROM g_posts p WHERE id IN (SELECT post_id FROM g_vectors) AND id NOT IN (SELECT post_id FROM g_aesthetic WHERE scorer = 'silva') AND {OPEN.format('silva')}")
+add("pending_waifu", pe.pending_waifu, f"SELECT id FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE {IMG} AND w.post_id IS NULL AND {OPEN.format('waifu')}")
+add("pending_tagger", pe.pending_tagger, f"SELECT id FROM g_posts p WHERE {IMG} AND id NOT IN (SELECT post_id FROM g_post_has_tag WHERE is_auto = 1) AND {OPEN.format('tagger')}")
+add("pending_embedding", pe.pending_embedding, f"SELECT id FROM g_posts p WHERE {IMG} AND id NOT IN (SELECT post_id FROM g_vectors) AND {OPEN.format('embedding:siglip2')}")
+add("pending_basics", pe.pending_basics, f"SELECT id, sha256 <> '' AS has_sha256, lab_l IS NOT NULL AS has_colour FROM g_posts p WHERE {IMG} AND (sha256 = '' OR lab_l IS NULL) AND {OPEN.format('basics')}")
+add("non_images", lambda lib: lib.posts.where(~F.lower("extension").isin("jpg", "jpeg", "png", "webp", "gif", "bmp")).select("id", "extension"), f"SELECT id, extension FROM g_posts WHERE NOT {IMG}")  # P21
+
+# --- changes (D1-D15, T8) -----------------------------------------------------------------------------------------
+DISK = "file_path, file_name, extension"
+add("sync_diff", lambda lib: _sync(lib), f"SELECT 'new' AS side, file_name FROM (SELECT 'new' || CAST(id AS VARCHAR) AS file_name FROM g_posts WHERE id % 10 = 1) UNION ALL SELECT 'lost', file_name FROM g_posts WHERE id % 10 = 0")  # J21, U3
+
+
+def _sync(lib: Library) -> DataFrame:
+    disk = lib.posts.where("id % 10 <> 0").select("file_path", "file_name", "extension").union(lib.posts.where("id % 10 = 1").select("file_path", F.concat(F.lit("new"), F.col("id").cast("string")), "extension"))
+    new, lost, _ = ch.reconcile(disk, lib.posts)
+    return new.select(F.lit("new").alias("side"), "file_name").union(lost.select(F.lit("lost").alias("side"), "file_name"))
+
+
+STATE = ("id", "score", "rating", "canonical_post_id")
+add("score_mirror", lambda lib: ch.update_field(lib.posts, 21, "score", 5).select(*STATE), "SELECT id, CAST(CASE WHEN id = 21 OR canonical_post_id = 21 THEN 5 ELSE score END AS INT) AS score, rating, canonical_post_id FROM g_posts")  # D1
+add("bulk_rating", lambda lib: ch.bulk_update(lib.posts, [1, 2, 3], "rating", 4).select(*STATE), "SELECT id, score, CAST(CASE WHEN id IN (1, 2, 3) THEN 4 ELSE rating END AS INT) AS rating, canonical_post_id FROM g_posts")  # D2
+add("make_canonical", lambda lib: ch.make_canonical(lib.posts, 20).select("id", "canonical_post_id"), "SELECT id, CASE WHEN id = 20 THEN NULL WHEN id = o.c OR canonical_post_id = o.c THEN 20 ELSE canonical_post_id END AS canonical_post_id FROM g_posts, (SELECT canonical_post_id AS c FROM g_posts WHERE id = 20) o")  # D4
+add("delete_cascade", lambda lib: _deleted(lib), "SELECT 'posts' AS t, count(*) AS n, count(canonical_post_id) FILTER (canonical_post_id % 3 <> 0) AS m FROM g_posts WHERE id % 3 <> 0 UNION ALL SELECT 'waifu', count(*), 0 FROM g_waifu WHERE post_id % 3 <> 0 UNION ALL SELECT 'aesthetic', count(*), 0 FROM g_aesthetic WHERE post_id % 3 <> 0 UNION ALL SELECT 'post_has_tag', count(*), 0 FROM g_post_has_tag WHERE post_id % 3 <> 0 UNION ALL SELECT 'vectors', count(*), 0 FROM g_vectors WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL SELECT 'failures', count(*), 0 FROM g_failures WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts))")  # D5
+
+
+def _deleted(lib: Library) -> DataFrame:
+    out = None
+    for name, df in ch.delete_posts(lib, lib.posts.where("id % 3 = 0").select("id")).items():
+        row = df.agg(F.count("*").alias("n"), (F.count("canonical_post_id") if name == "posts" else F.lit(0).cast("bigint")).alias("m")).select(F.lit(name).alias("t"), "n", "m")
+        out = row if out is None else out.union(row)
+    return out
+
+
+add("folder_ids", lambda lib: ch.ids_in_folder(lib.posts, "PROMO"), "SELECT id FROM g_posts WHERE file_path = 'PROMO' OR starts_with(file_path, 'PROMO/')")  # D6
+add("upsert_scores", lambda lib: pe.upsert(lib.waifu, lib.waifu.where("post_id % 5 = 0").select("post_id", (F.col("score") / 2).alias("score"), F.lit(1).alias("seq")).union(lib.waifu.where("post_id % 10 = 0").select("post_id", F.lit(1.0), F.lit(2))), ["post_id"]), "SELECT post_id, CASE WHEN post_id % 10 = 0 THEN 1.0 WHEN post_id % 5 = 0 THEN score / 2 ELSE score END AS score FROM g_waifu")  # D9
+
+
+def _results(lib: Library) -> DataFrame:
+    return lib.posts.where("id % 4 = 0").select(F.col("id").alias("post_id"), F.array(F.lit("hot"), F.lit("new_tag")).alias("tags"), F.when(F.col("id") % 8 == 0, "explicit").otherwise("general").alias("rating"))
+
+
+add("tagger_persist", lambda lib: pe.tagger_links(lib.post_has_tag, _results(lib))[0].groupBy("tag_name", "is_auto").agg(F.count("*").alias("n")), "SELECT tag_name, is_auto, count(*) AS n FROM (SELECT * FROM g_post_has_tag UNION ALL SELECT id, 'new_tag', 1 FROM g_posts WHERE id % 4 = 0 UNION ALL SELECT id, 'hot', 1 FROM g_posts p WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM g_post_has_tag t WHERE t.post_id = p.id AND t.tag_name = 'hot')) GROUP BY 1, 2")  # D11
+add("tagger_rating", lambda lib: pe.tagger_rating(lib.posts, _results(lib)).select("id", "rating"), "SELECT id, CAST(CASE WHEN id % 4 = 0 AND rating = 0 THEN CASE WHEN id % 8 = 0 THEN 4 ELSE 1 END ELSE rating END AS INT) AS rating FROM g_posts")
+add("tagger_rating_forced", lambda lib: pe.tagger_rating(lib.posts, _results(lib), False).select("id", "rating"), "SELECT id, CAST(CASE WHEN id % 8 = 0 THEN 4 WHEN id % 4 = 0 THEN 1 ELSE rating END AS INT) AS rating FROM g_posts")  # D12
+add("import_upsert", lambda lib: _imported(lib), "SELECT tag_name, count(*) AS n FROM (SELECT post_id, tag_name FROM g_post_has_tag UNION SELECT id, 'imported' FROM g_posts WHERE id <= 10 UNION SELECT id + 1000000, 'imported' FROM g_posts WHERE id <= 5 UNION SELECT id, 'hot' FROM g_posts WHERE id <= 10 UNION SELECT id + 1000000, 'hot' FROM g_posts WHERE id <= 5) GROUP BY 1")  # D7, U5
+
+
+def _imported(lib: Library) -> DataFrame:
+    tags = F.array(F.struct(F.lit("imported").alias("name"), F.lit(2).alias("group_id")), F.struct(F.lit("hot").alias("name"), F.lit(4).alias("group_id")))
+    old = lib.posts.where("id <= 10").select((F.col("id") + 2000000).alias("id"), "file_path", "file_name", "extension", "rating", "published_key", tags.alias("tags"))
+    new = lib.posts.where("id <= 5").select((F.col("id") + 1000000).alias("id"), "file_path", F.concat(F.lit("n"), "file_name").alias("file_name"), "extension", "rating", "published_key", tags.alias("tags"))
+    return ch.import_posts(lib.posts, lib.tags, lib.post_has_tag, old.union(new))["post_has_tag"].groupBy("tag_name").agg(F.count("*").alias("n"))
+
+
+add("imported_ids", lambda lib: ch.imported_ids(lib.posts, lib.post_has_tag), "SELECT id FROM g_posts WHERE id IN (SELECT post_id FROM g_post_has_tag WHERE is_auto = 0)")  # D8
+add("record_failures", lambda lib: pe.record_failures(lib.failures, lib.posts.where("id % 9 = 0").select(F.col("id").alias("post_id"), F.lit("waifu").alias("worker"), F.lit(-1).cast("bigint").alias("first_event"))), "SELECT post_id, worker, first_event FROM g_failures UNION ALL SELECT id, 'waifu', -1 FROM g_posts p WHERE id % 9 = 0 AND NOT EXISTS (SELECT 1 FROM g_failures f WHERE f.post_id = p.id AND f.worker = 'waifu')")  # D10
+
+# --- statistics (A13-A18) -----------------------------------------------------------------------------------------
+XY = "SELECT w.post_id AS id, w.score AS x, s.score AS y FROM g_waifu w JOIN g_aesthetic s ON s.post_id = w.post_id AND s.scorer = 'silva'"
+add("describe_scores", lambda lib: st.describe(st.scored_pairs(lib), "x"), f"SELECT count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, round(min(x), 6) AS low, round(max(x), 6) AS high, " + ", ".join(f"round(quantile_cont(x, {p / 100}), 6) AS p{p:02d}" for p in st.PERCENTS) + f" FROM ({XY})")
+add("score_histogram", lambda lib: st.histogram(st.scored_pairs(lib), "x", 0.0, 10.0, 8), f"SELECT bin, n, round(n * 100.0 / sum(n) OVER (), 4) AS pct FROM (SELECT CAST(least(greatest(floor(x / 1.25), 0), 7) AS BIGINT) AS bin, count(*) AS n FROM ({XY}) GROUP BY 1)")
+add("corr_pearson", lambda lib: st.pearson(st.scored_pairs(lib)), f"SELECT round(corr(x, y), 6) AS r FROM ({XY})")
+add("corr_spearman", lambda lib: st.spearman(st.scored_pairs(lib)), f"SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM ({XY}))")  # W3
+add("joint_grid", lambda lib: st.joint_grid(st.scored_pairs(lib)), f"WITH v AS ({XY}), q AS (SELECT quantile_cont(x, 0.05) AS xl, quantile_cont(x, 0.95) AS xh, quantile_cont(y, 0.05) AS yl, quantile_cont(y, 0.95) AS yh FROM v) SELECT CAST(least(greatest(floor((x - xl) / ((xh - xl) / 5)), 0), 4) AS BIGINT) AS x_bin, CAST(least(greatest(floor((y - yl) / ((yh - yl) / 5)), 0), 4) AS BIGINT) AS y_bin, count(*) AS n FROM v, q GROUP BY 1, 2")
+add("zgap_extremes", lambda lib: st.z_gaps(st.scored_pairs(lib)), f"WITH v AS ({XY}), m AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy FROM v), g AS (SELECT id, (x - mx) / sx - (y - my) / sy AS gap FROM v, m) SELECT 'high' AS side, id, round(gap, 6) AS gap FROM (SELECT * FROM g ORDER BY gap DESC, id LIMIT 5) UNION ALL SELECT 'low', id, round(gap, 6) FROM (SELECT * FROM g ORDER BY gap, id LIMIT 5)")
+
+
+# --- streams (T1-T6): drained at once -----------------------------------------------------------------------------
+def _stream_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.streaming.pipelines import run_backfill
+
+    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**9}-{id(object())}"
+    open_library(spark, sf_dir).posts.select("id").write.mode("overwrite").parquet(f"{top}/in")
+    run_backfill(spark, f"{top}/in", "id long", f"{top}/out", f"{top}/state", _half)
+    return spark.read.parquet(f"{top}/out").select("post_id", "score")
+
+
+def _half(ids: list[int]) -> list[float]:
+    return [i / 2 for i in ids]
+
+
+QUERIES["stream_backfill"] = _stream_backfill
+ORACLE["stream_backfill"] = sql_of("SELECT id AS post_id, CAST(id AS DOUBLE) / 2 AS score FROM g_posts")
+
+
+def _stream_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from galleon.streaming.pipelines import stream_tag_counts
+
+    name = f"tag_counts_{abs(hash(sf_dir)) % 10**9}_{id(object())}"
+    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{name}"
+    open_library(spark, sf_dir).post_has_tag.write.mode("overwrite").parquet(f"{top}/in")
+    return stream_tag_counts(spark, f"{top}/in", "post_id long, tag_name string, is_auto int", name, f"{top}/state")
+
+
+QUERIES["stream_tag_counts"] = _stream_tag_counts
+ORACLE["stream_tag_counts"] = sql_of("SELECT tag_name, count(*) AS n FROM g_post_has_tag GROUP BY 1")
