@@ -77,10 +77,10 @@ def stretches(b: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     whole = mixed(strings(h, first) * ODD[1] + strings(h, last) * ODD[2] + (last - first).astype(np.uint64) * ODD[3] + (place - first).astype(np.uint64))
     # the bytes beside the anchor, where some string of the stretch has them; 0: none has
     before, after = np.where(place - first >= SIDE, place - SIDE, 0), np.where(last + LENGTH - GRAM - place >= SIDE, place + GRAM, 0)
-    left = mixed(h[32][before] * ODD[1] + h[16][before + SIDE - 16]) >> np.uint64(33) | np.uint64(1)
-    right = np.where(after > 0, mixed(h[32][np.minimum(after, len(h[32]) - 1)] * ODD[2] + h[16][np.minimum(after + SIDE - 16, len(h[16]) - 1)]) >> np.uint64(33) | np.uint64(1), 0)
+    left = mixed(h[32][before] * ODD[1] + h[16][before + SIDE - 16]) >> np.uint64(49) | np.uint64(1)
+    right = np.where(after > 0, mixed(h[32][np.minimum(after, len(h[32]) - 1)] * ODD[2] + h[16][np.minimum(after + SIDE - 16, len(h[16]) - 1)]) >> np.uint64(49) | np.uint64(1), 0)
     left = np.where(place - first >= SIDE, left, 0)
-    return first, last, gram[place], whole, left.astype(np.int32), right.astype(np.int32)
+    return first, last, gram[place], whole, left.astype(np.int16), right.astype(np.int16)
 
 
 def joined(found: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -107,7 +107,7 @@ def joined(found: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
 SIDE = (LENGTH - GRAM) // 2
 #: Stretches of one anchor looked at together; an anchor with more passes all of them on, which only costs time.
 TOGETHER = 500_000
-SCHEMA = "g long, whole long, doc_id long, row long, start int, stop int, left int, right int, gone boolean"
+SCHEMA = "g long, whole long, doc_id long, row long, start int, stop int, left short, right short, gone boolean"
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -149,8 +149,8 @@ def anchored(docs: DataFrame) -> DataFrame:
                 "row": rows[which],
                 "start": np.concatenate((start[~gone], lo)).astype(np.int32),
                 "stop": np.concatenate((stop[~gone], hi)).astype(np.int32),
-                "left": np.concatenate((left[order][~gone], np.zeros(len(w), np.int32))),
-                "right": np.concatenate((right[order][~gone], np.zeros(len(w), np.int32))),
+                "left": np.concatenate((left[order][~gone], np.zeros(len(w), np.int16))),
+                "right": np.concatenate((right[order][~gone], np.zeros(len(w), np.int16))),
                 "gone": np.arange(len(which)) >= len(which) - len(w),
             }
 
@@ -336,9 +336,10 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, together: int = TOGETHER
     pieces = mapped(dealt.join(wanted, "row").select("doc_id", "row", "text", "wanted"), fetch, "g long, doc_id long, row long, start int, span int, data binary")
     # anchors with more stretches than a task should get: at most rows / crowd of them
     big = differ.groupBy("g").count().where(F.col("count") > crowd).select("g")
-    order = ("g", F.asc_nulls_first("doc_id"), "row", "start")
-    more = [sharded(pieces.join(big, "g", "left_anti").repartition("g").sortWithinPartitions(*order))]
-    if not big.isEmpty():
+    order, crowds = ("g", F.asc_nulls_first("doc_id"), "row", "start"), not big.isEmpty()
+    few = pieces.join(big, "g", "left_anti") if crowds else pieces
+    more = [sharded(few.repartition("g").sortWithinPartitions(*order))]
+    if crowds:
         more.append(crowded(pieces.join(big, "g", "left_semi")))
     for m in more:
         spans = spans.union(m)
