@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def median_cut(pixels: np.ndarray, colours: int = 5) -> list[int]:
@@ -20,14 +20,14 @@ def median_cut(pixels: np.ndarray, colours: int = 5) -> list[int]:
             break
         box = boxes.pop(max(spans)[1])
         axis = int(np.ptp(box, axis=0).argmax())
-        order = box[box[:, axis].argsort(kind="stable")]
-        half = len(order) // 2
-        boxes += [order[:half], order[half:]]
+        v, middle = box[:, axis], np.median(box[:, axis])
+        low = v <= middle if (v > middle).any() else v < middle  # equal values stay together
+        boxes += [box[low], box[~low]]
     boxes.sort(key=len, reverse=True)
     return [int((r << 16) + (g << 8) + b) for r, g, b in (box.mean(axis=0).round().astype(int) for box in boxes)]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def palette(pixels: pd.Series) -> pd.Series:
     """Palette of flat RGBA arrays."""
     return pixels.map(lambda p: median_cut(np.array(p, dtype=np.int64)) if p is not None else None)

@@ -1,0 +1,185 @@
+"""Operators on literal fixtures: filters, the text form, grouping, graph, samplers, changes."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from galleon.functions import columns as co, palette
+from galleon.functions.scoring import SILVA
+from galleon.operators import annotations as an, changes as ch, dedup, dsl, facets as fa, pending as pe, sampling as sa
+from galleon.operators.filters import PostFilter, apply_filter, checked, GROUPABLE
+from galleon.operators.graph import connected_components
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_active_ignores_canonical():
+    assert not PostFilter().active() and not PostFilter(folder=".").active()
+    assert PostFilter(lab=(1, 2, 3)).active() and PostFilter(rating=[0]).active()
+    assert PostFilter(rating=[1], extension=["a"]).without("rating") == PostFilter(extension=["a"])
+    with pytest.raises(ValueError):
+        checked("file_name", GROUPABLE)
+
+
+def test_scorers_join_once(lib):
+    df = SILVA.join(lib.posts, lib.waifu, lib.aesthetic)
+    assert SILVA.join(df, lib.waifu, lib.aesthetic) is df
+    assert "silva_luna_score" not in df.columns and df.count() == lib.posts.count()
+    assert apply_filter(lib, PostFilter(waifu_score_levels=["nope"])).count() == apply_filter(lib, PostFilter()).count()
+
+
+def test_dsl():
+    p = dsl.parse('rating:g rating:>=3 score:<2 tag:"long hair" ext:.PNG silva:best waifu:nope foo:bar blue sky')
+    assert p.rating == [1, 3, 4] and p.score == [0, 1] and p.tags == ["long_hair"] and p.extension == ["png"]
+    assert p.silva_score_levels == ["best"] and p.unknown == ["waifu:nope", "foo:bar"] and p.text == "foo:bar blue sky"
+    assert p.to_filter().silva_score_levels == ["A"] and p.has_terms()
+    again = dsl.parse(dsl.render(p))
+    assert (again.rating, again.score, again.tags, again.text) == (p.rating, p.score, p.tags, p.text)
+    assert dsl.parse(":x y:").text == ":x y:" and not dsl.parse("").has_terms()
+
+
+def test_paths_and_names(spark):
+    df = spark.createDataFrame([("a.b.jpg",), (".gitignore",), ("plain",), ("x.",)], "name string")
+    assert [tuple(r) for r in df.select(co.stem("name"), co.extension("name")).collect()] == [("a.b", "jpg"), (".gitignore", ""), ("plain", ""), ("x", "")]
+    names = spark.createDataFrame([("a/b:c. .",), ("...",)], "n string")
+    assert [r[0] for r in names.select(co.safe_dir(F.col("n"))).collect()] == ["a_b_c", "_"]
+    lab = spark.range(1).select(co.srgb_to_lab(F.lit(255), F.lit(255), F.lit(255)).alias("v")).first()[0]
+    assert abs(lab[0] - 100) < 0.1 and abs(lab[1]) < 0.1 and abs(lab[2]) < 0.1
+
+
+CASES = [
+    ([(10, 20), (10, 30), (20, 30)], [(20, 10), (30, 10)]),
+    ([(1, 2), (2, 3)], [(2, 1)]),
+    ([(1, 3), (4, 3)], [(3, 1)]),
+    ([(8, 7)], [(8, 7)]),
+    ([(7, 7)], []),
+    ([], []),
+]
+
+
+@pytest.mark.parametrize("pairs,want", CASES)
+def test_canonicals(spark, pairs, want):
+    assert rows(dedup.assign_canonicals(spark.createDataFrame(pairs, "a long, b long"))) == want
+
+
+def test_canonicals_like_the_greedy_way(spark):
+    r = random.Random(3)
+    edges, want = [], []
+    for g in range(40):
+        own = {tuple(sorted(r.sample(range(12), 2))) for _ in range(r.randint(1, 14))}
+        edges += [(100 * g + a, 100 * g + b) for a, b in own]
+        claimed = set()
+        for i in range(12):
+            if i not in claimed:
+                for a, b in sorted(own):
+                    if a == i and b not in claimed:
+                        claimed.add(b)
+                        want.append((100 * g + b, 100 * g + i))
+    assert rows(dedup.assign_canonicals(spark.createDataFrame(edges, "a long, b long"))) == sorted(want)
+
+
+def test_components(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(170)] + [(k, k + 1) for k in range(300, 340)] + [(None, 1)]
+    top = {x: x for e in edges for x in e if x is not None and e[0] != e[1] and None not in e}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+    assert rows(connected_components(spark.createDataFrame(edges, "a long, b long"))) == sorted((x, find(x)) for x in top)
+    assert rows(connected_components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_regroup_defaults(spark, lib):
+    v = [(i, [float(np.sin(s * 7.13 + k * 0.011)) for k in range(32)]) for i, s in ((1, 1), (2, 1), (3, 5))]
+    assert rows(dedup.near_pairs(spark.createDataFrame(v, "post_id long, embedding array<float>"))) == [(1, 2)]
+    posts = spark.createDataFrame([(1, None), (2, None), (3, 1)], "id long, canonical_post_id long")
+    new = dedup.replace_groups(posts, spark.createDataFrame([(2, 1), (3, 99)], "member long, canonical long"))
+    assert rows(new.select("id", F.coalesce("canonical_post_id", F.lit(0)))) == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_events(spark):
+    assert an.parse_cursor(an.make_cursor("2024-01-01", "flag", 7)) == ("2024-01-01", "flag", 7)
+    for bad in ("", "a|b", "a|b|c"):
+        with pytest.raises(ValueError):
+            an.parse_cursor(bad)
+    lists = spark.createDataFrame([([1, 2, 3], [3, 1, 2]), ([1, 2, 3], []), ([1, 2, 3], [1, 2]), ([12, 112, 3], [3, 3, 12])], "post_ids array<long>, ranking array<long>")
+    assert [r[0] for r in lists.select(an.valid_ranking()).collect()] == [True, True, False, False]
+    events = spark.createDataFrame([(1, "s1", 4), (2, "s2", 5)], "id long, session_id string, value int")
+    assert rows(an.undo(events, spark.createDataFrame([(1,), (2,)], "id long"), "s1")) == [(2, "s2", 5)]
+    assert [r["value"] for r in an.edit(events, 2, "value", 1, F.lit("now")).orderBy("id").collect()] == [4, 1]
+    q = an.create_queue(spark, 1, [(5, 6), (7, 8)], "post_a long, post_b long")
+    assert rows(an.mark_done(q, 1, [1]).select("position", "done")) == [(0, 0), (1, 1)]
+
+
+def test_reconcile_guards(spark):
+    posts = spark.createDataFrame([(i, "." if i < 150 else "d/e", f"f{i}", "jpg") for i in range(200)], "id long, file_path string, file_name string, extension string")
+    disk = posts.where("id < 50").drop("id")
+    new, lost, held = ch.reconcile(disk, posts)
+    assert held and lost.count() == 0 and new.count() == 0
+    _, lost, held = ch.reconcile(disk, posts, allow_mass_delete=True)
+    assert not held and lost.count() == 150
+    _, lost, held = ch.reconcile(disk, posts, failed=["d"], allow_mass_delete=True)
+    assert lost.count() == 100
+    assert ch.reconcile(disk, posts, failed=["."])[1].count() == 0
+
+
+def test_changes(spark, lib):
+    posts = spark.createDataFrame([(1, None, 3), (2, 1, 3), (3, 1, 3)], "id long, canonical_post_id long, score int")
+    assert rows(ch.make_canonical(posts, 2).select("id", F.coalesce("canonical_post_id", F.lit(0)))) == [(1, 2), (2, 0), (3, 2)]
+    assert rows(ch.make_canonical(posts, 1)) == rows(posts) or rows(ch.make_canonical(posts, 1).select("id")) == [(1,), (2,), (3,)]
+    assert rows(ch.ungroup(posts, 2).select("id", F.coalesce("canonical_post_id", F.lit(0)))) == [(1, 0), (2, 0), (3, 1)]
+    tags = spark.createDataFrame([("a", 1)], "name string, group_id int")
+    links = spark.createDataFrame([(1, "a", 0)], "post_id long, tag_name string, is_auto int")
+    t, link, new = ch.add_tag(tags, links, 1, "a")
+    assert not new and t.count() == 1 and link.count() == 1
+    t, link, new = ch.add_tag(tags, links, 2, "b")
+    assert new and t.count() == 2 and link.count() == 2
+    counts = fa.tag_counts(lib)
+    moved = ch.count_changes(counts, lib.post_has_tag.where("post_id = 1"), lib.post_has_tag.where("post_id = 1"))
+    assert rows(moved.select("name", "post_count")) == rows(counts.select("name", "post_count"))
+    known = pe.tagger_groups(tags, spark.createDataFrame([("a", 4), ("n", 4)], "name string, group_id int"))
+    assert rows(known) == [("a", 1), ("n", 4)]
+
+
+def test_batch_cores():
+    assert sa.cycle_edges([1, 2, 3]) == [(1, 2), (2, 3), (3, 1)] and sa.cycle_edges([1, 2]) == [(1, 2)] and sa.cycle_edges([1]) == []
+    r = random.Random(2)
+    for _ in range(50):
+        edges = list({tuple(sorted(r.sample(range(9), 2))) for _ in range(8)})
+        for block in sa.connected_blocks(edges):
+            seen = set(block[0])
+            for e in block[1:]:
+                assert seen & set(e)
+                seen |= set(e)
+        assert sorted(sa.breadth_first(edges)) == sorted(edges)
+    g = sa.PairGraph([(1, 2, "a"), (1, 3, "skip")])
+    assert g.claim(1, 1) is None and g.claim(2, 1) is None and g.claim(3, 1) is None and g.claim(2, 3) == (2, 3)
+    pairs = sa.close_pairs([sa.cycle_edges([1, 2, 3, 4]), sa.cycle_edges([5, 6, 7]), sa.cycle_edges([8, 9])], sa.PairGraph([]), 8)
+    assert len(pairs) == 8 == len({frozenset(p) for p in pairs})
+    seen = set(pairs[0])
+    for p in pairs[1:]:
+        assert seen & set(p)
+        seen |= set(p)
+    band = sa.band_pairs([(i, i * 0.6) for i in range(10)], sa.PairGraph([]))
+    assert all(abs(a - b) * 0.6 <= 1 for a, b in band) and len({x for p in band for x in p}) == 2 * len(band)
+    v = np.eye(6)
+    assert len(sa.diverse(list(range(6)), v, 4)) == 4
+    assert sa.diverse([1, 2], np.ones((2, 3)), 2) == [1]
+    assert sorted(sa.listwise_group(0, [1, 2, 3, 4, 5], v)) == [0, 1, 2, 3, 4, 5] and sa.listwise_group(0, [1], v[:2]) is None
+
+
+def test_palette():
+    px = np.array([[255, 0, 0, 255]] * 6 + [[0, 0, 255, 255]] * 3 + [[255, 255, 255, 255]] * 5 + [[0, 255, 0, 0]] * 5)
+    assert palette.median_cut(px, 2) == [0xFF0000, 0x0000FF]
+    assert palette.median_cut(np.zeros((0, 4))) == []
