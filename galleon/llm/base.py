@@ -103,4 +103,5 @@ def fitted(sample: DataFrame, fit: Callable[[list[int], list[bytes], list[int]],
         order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))
         yield pa.RecordBatch.from_pydict({"model": [fit([ids[i] for i in order], [found[i] for i in order], [label[i] for i in order])]})
 
-    return bytes(sample.repartition(1).mapInArrow(step, "model binary").collect()[0][0])
+    found = sample.repartition(1).mapInArrow(step, "model binary").collect()
+    return bytes(found[0][0]) if found else fit([], [], [])

@@ -122,7 +122,7 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         a, c = a - step * da, c - step * dc
         if step * (abs(da) + abs(dc)) < 1e-8:
             break
-    return (float(a / unit), float(c)) if np.isfinite(a) and np.isfinite(c) and a > 0 else (1.0, 0.0)
+    return (float(a / unit), float(c)) if np.isfinite(a) and np.isfinite(c) and a > 0 else (1.0, float(np.log((n1 + 1) / (n0 + 1))))
 
 
 def fit(ids: list[int], found: list[bytes], label: list[int]) -> bytes:

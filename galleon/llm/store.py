@@ -29,6 +29,8 @@ from galleon.llm.tokens import encoder, vocabulary
 
 END, WINDOW, SHORTEST, MASK, LONGEST = (1).to_bytes(2, "little"), 8, 64, 255, 2048
 DIGEST = 16
+OBJECTS = "doc_id long, row long, seq int, n int, name binary, data binary, kind string"
+MANIFEST = "part int, doc_id long, row long, local long, n_tokens long, recipe binary, root binary"
 
 
 def digest(data: bytes) -> bytes:
@@ -110,7 +112,7 @@ def write_store(docs: DataFrame, path: str | None = None, folder: str | None = N
             }
 
     rows = chunked(docs, path or vocabulary("word_bpe_49k.json")).repartition("name")
-    mapped(rows, once, "doc_id long, row long, seq int, n int, name binary, data binary, kind string").write.partitionBy("kind").parquet(f"{folder}/objects")
+    mapped(rows, once, OBJECTS).write.partitionBy("kind").parquet(f"{folder}/objects")
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, at, key, names, n = TaskContext.get().partitionId(), 0, None, [], 0
@@ -136,9 +138,9 @@ def write_store(docs: DataFrame, path: str | None = None, folder: str | None = N
         close()
         yield out
 
-    refs = spark.read.parquet(f"{folder}/objects").where("kind = 'ref'").select("doc_id", "row", "seq", "name", "n")
+    refs = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'ref'").select("doc_id", "row", "seq", "name", "n")
     ordered = refs.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row", "seq")
-    mapped(ordered, recipes, "part int, doc_id long, row long, local long, n_tokens long, recipe binary, root binary").write.parquet(f"{folder}/manifest")
+    mapped(ordered, recipes, MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -176,8 +178,8 @@ def combined(crc: np.ndarray, after: np.ndarray, tables: np.ndarray) -> np.ndarr
 
 def read_store(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files, all of them verified."""
-    objects = spark.read.parquet(f"{folder}/objects")
-    manifest = spark.read.parquet(f"{folder}/manifest")
+    objects = spark.read.schema(OBJECTS).parquet(f"{folder}/objects")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -218,7 +220,7 @@ def read_store(spark, folder: str) -> DataFrame:
     checks = mapped(parts, whole, "row long, ids_crc32 long, found long")
     # one row per range partition: their totals give every partition's start
     totals = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    starts, at = [], 0
+    starts, at = [], 0  # an empty store has no totals
     for part, n in totals:
         starts.append((part, at))
         at += n
