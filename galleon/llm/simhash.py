@@ -265,7 +265,7 @@ def word_shingles(text: bytes) -> set[bytes]:
 def verified(edges: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     """The edges whose ends' shingle sets have this similarity or more, from whole texts."""
     ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
-    own = written(text.join(ends, "row", "left_semi").select("row", "text"))
+    own = written(text.join(ends.hint("merge"), "row", "left_semi").select("row", "text"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -278,8 +278,9 @@ def verified(edges: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(mine) + len(other) - both))
             yield {"a": b.column("a").filter(pa.array(keep)), "b": b.column("b").filter(pa.array(keep))}
 
-    with_b = edges.join(own.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
-    both = with_b.join(own.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
+    # merge joins by name: what meets the texts grows with the corpus, and the plan is the same at every size
+    with_b = edges.hint("merge").join(own.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+    both = with_b.hint("merge").join(own.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
     return mapped(both.select("a", "b", "x", "y"), step, "a long, b long")
 
 
@@ -304,4 +305,4 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def drop_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without those that are copies or near copies of an earlier one: one of each group stays."""
     gone = written(copy_groups(docs, similarity).where(F.col("row") != F.col("first")).select(F.col("row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("merge"), "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])

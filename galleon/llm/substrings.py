@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, together: int = TOGETHER
                         out[key].append(v)
             yield out
 
-    pieces = mapped(dealt.join(wanted, "row").select("doc_id", "row", "text", "wanted"), fetch, "g long, doc_id long, row long, start int, span int, data binary")
+    pieces = mapped(dealt.join(wanted.hint("merge"), "row").select("doc_id", "row", "text", "wanted"), fetch, "g long, doc_id long, row long, start int, span int, data binary")
     # anchors with more stretches than a task should get: at most rows / crowd of them
     big = differ.groupBy("g").count().where(F.col("count") > crowd).select("g")
     order, crowds = ("g", F.asc_nulls_first("doc_id"), "row", "start"), not big.isEmpty()
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, together: int = TOGETHER
                     out[key].append(v)
             yield out
 
-    return mapped(dealt.join(lists, "row", "left").select("doc_id", "text", "spans"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed string")
+    return mapped(dealt.join(lists.hint("merge"), "row", "left").select("doc_id", "text", "spans"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed string")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
