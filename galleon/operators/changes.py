@@ -51,6 +51,27 @@ def delete_posts(lib, ids: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def create_post(posts: DataFrame, row: dict) -> DataFrame:
+    """One more post; score and rating are unset (0) unless given."""
+    new = posts.sparkSession.createDataFrame([tuple(({"score": 0, "rating": 0} | row).get(c) for c in posts.columns)], posts.schema)
+    return posts.unionByName(new)
+
+
+def rotate(posts: DataFrame, post_id: int, sha256: str) -> DataFrame:
+    """A quarter turn: width and height change places, and the file has a new digest."""
+    hit = F.col("id") == post_id
+    turned = {"width": F.when(hit, F.col("height")).otherwise(F.col("width")), "height": F.when(hit, F.col("width")).otherwise(F.col("height"))}
+    return posts.withColumns(turned | {"sha256": F.when(hit, F.lit(sha256)).otherwise(F.col("sha256"))})
+
+
+def ensure_groups(groups: DataFrame, names: tuple[str, ...] = ("artist", "character", "copyright", "general", "meta")) -> DataFrame:
+    """The canonical tag groups, new ones after the highest id, in order of priority; nothing changes a second time."""
+    want = groups.sparkSession.createDataFrame(list(enumerate(names, 1)), "place long, name string").join(groups, "name", "left_anti")
+    top = groups.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    fresh = want.join(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("place"))).alias("id"), "name")
+    return groups.select("id", "name").unionByName(fresh)
+
+
 def ids_in_folder(posts: DataFrame, folder: str) -> DataFrame:
     """Hidden members included."""
     return posts.where(under(folder)).select("id")

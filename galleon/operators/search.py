@@ -100,6 +100,11 @@ def details(lib, posts: DataFrame) -> DataFrame:
     return out.select(*SIMPLE, "canonical_post_id", full_path().alias("full_path"), aspect_ratio().alias("aspect_ratio"), "waifu_score", empty("tags"), empty("aesthetic"), F.coalesce("members", F.lit(0)).cast("bigint").alias("members"))
 
 
+def fetch_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """Vectors of the given posts (column id); those without one are absent."""
+    return vectors.join(ids.select(F.col("id").alias("post_id")), "post_id", "left_semi")
+
+
 def knn(vectors: DataFrame, probe: DataFrame, k: int) -> DataFrame:
     """post_id and cosine distance of the k nearest; probe: one row with a column v. Ties go by post_id."""
     one = probe.select("v").limit(1)

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleon.functions.columns import aspect_ratio, extension, full_path, hex_colour, is_image_path, match_probability, pack_rgb, safe_dir, srgb_to_lab, stem
-from galleon.functions.scoring import LUNA, SILVA, WAIFU
+from galleon.functions.shapes import shaped
 from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, pending as pe, sampling as sa, search as se, stats as st
 from galleon.operators.filters import PostFilter as PF, apply_filter
 from galleon.operators.graph import connected_components
+from galleon.operators.tree import folder_tree
 from galleon.plans.views import Library, open_library, sql_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +107,11 @@ add("ordered_lookup", lambda lib: se.in_given_order(lib.posts, [7, 3, 999999999,
 add("full_paths", lambda lib: lib.posts.select("id", full_path().alias("path"), is_image_path(full_path()).alias("image"), stem(F.concat("file_name", F.lit("."), "extension")).alias("stem"), extension(F.concat("file_name", F.lit("."), "extension")).alias("ext"), F.round(aspect_ratio(), 6).alias("aspect")), "SELECT id, file_path || '/' || file_name || '.' || extension AS path, lower(extension) IN ('jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp') AS image, file_name AS stem, extension AS ext, round(CASE WHEN height <> 0 THEN CAST(width AS DOUBLE) / height END, 6) AS aspect FROM g_posts")  # S3, P16
 add("colour_columns", lambda lib: lib.posts.select("id", hex_colour(pack_rgb(F.col("width") % 256, F.col("height") % 256, (F.col("id") % 256).cast("int"))).alias("hex"), safe_dir(F.concat("file_path", F.lit(". "))).alias("dir")), r"SELECT id, '#' || lpad(lower(printf('%x', (width % 256) * 65536 + (height % 256) * 256 + id % 256)), 6, '0') AS hex, CASE WHEN file_path = '.' THEN '_' ELSE replace(file_path, '/', '_') END AS dir FROM g_posts")
 
+add("shape_simple", lambda lib: shaped(lib.posts.select("id", "file_path", "file_name", "score", "canonical_post_id")), 'SELECT id, file_path AS "filePath", file_name AS "fileName", coalesce(score, 0) AS score, canonical_post_id AS "canonicalPostId" FROM g_posts')  # P13
+add("folder_tree", lambda lib: folder_tree(lib.posts.withColumn("failed", F.lit(False)), fa.folder_rollup(lib)).select("folder", "name", "parent", "direct", "total", "rating_avg"), "SELECT f.folder AS folder, CASE WHEN f.folder = '.' THEN '' ELSE split_part(f.folder, '/', -1) END AS name, CASE WHEN f.folder = '.' THEN NULL WHEN contains(f.folder, '/') THEN split_part(f.folder, '/', 1) ELSE '.' END AS parent, count(*) FILTER (p.file_path = f.folder) AS direct, count(*) AS total, round(CAST(sum(p.rating) AS DOUBLE) / count(*), 6) AS rating_avg FROM g_posts p JOIN (SELECT DISTINCT file_path, '.' AS folder FROM g_posts UNION SELECT file_path, split_part(file_path, '/', 1) FROM g_posts UNION SELECT file_path, file_path FROM g_posts) f ON f.file_path = p.file_path GROUP BY 1")  # S4
+add("fetch_vectors", lambda lib: se.fetch_vectors(lib.vectors, lib.posts.where("id % 10 = 1").select("id")).select("post_id"), "SELECT post_id FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts WHERE id % 10 = 1)")  # S12
+add("rotate_post", lambda lib: ch.rotate(lib.posts, 5, "new").select("id", "width", "height", "sha256"), "SELECT id, CASE WHEN id = 5 THEN height ELSE width END AS width, CASE WHEN id = 5 THEN width ELSE height END AS height, CASE WHEN id = 5 THEN 'new' ELSE sha256 END AS sha256 FROM g_posts")  # D22
+
 # --- vectors (V1-V9) ----------------------------------------------------------------------------------------------
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 NEAR = f"SELECT b.post_id AS post_id, 1 - {COS} AS d FROM g_vectors a, g_vectors b WHERE a.post_id = 42 ORDER BY d, b.post_id"

@@ -74,7 +74,10 @@ def not_imported(rows: DataFrame, imported: DataFrame) -> DataFrame:
 
 def grouped_tags(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """tags: array of (name, group_id), each name once, under the first group in order of priority."""
-    parts = [F.transform(tag_words(F.coalesce(F.col(c), F.lit(""))), lambda t, g=GROUP_IDS[g]: F.struct(t.alias("name"), F.lit(g).alias("group_id"))) for g, c in columns.items()]
+    def under(group: int, column: str) -> Column:
+        return F.transform(tag_words(F.coalesce(F.col(column), F.lit(""))), lambda t: F.struct(t.alias("name"), F.lit(group).alias("group_id")))
+
+    parts = [under(GROUP_IDS[g], c) for g, c in columns.items()]
     every = F.concat(*parts)
     once = F.aggregate(every, F.array().cast("array<struct<name:string,group_id:int>>"), lambda have, t: F.when(F.exists(have, lambda h: h["name"] == t["name"]), have).otherwise(F.concat(have, F.array(t))))
     return rows.withColumn("tags", once)

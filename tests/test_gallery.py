@@ -152,6 +152,15 @@ def test_changes(spark, lib):
     assert rows(known) == [("a", 1), ("n", 4)]
 
 
+def test_groups_and_posts(spark, lib):
+    groups = spark.createDataFrame([(3, "general"), (9, "own")], "id long, name string")
+    once = ch.ensure_groups(groups)
+    assert rows(once) == [(3, "general"), (9, "own"), (10, "artist"), (11, "character"), (12, "copyright"), (13, "meta")]
+    assert rows(ch.ensure_groups(once)) == rows(once)
+    new = ch.create_post(lib.posts, {"id": 10**6, "file_path": ".", "file_name": "x", "extension": "png"})
+    assert new.count() == lib.posts.count() + 1 and new.where("id = 1000000").first()["score"] == 0
+
+
 def test_batch_cores():
     assert sa.cycle_edges([1, 2, 3]) == [(1, 2), (2, 3), (3, 1)] and sa.cycle_edges([1, 2]) == [(1, 2)] and sa.cycle_edges([1]) == []
     r = random.Random(2)

@@ -66,18 +66,17 @@ def test_versions_and_manifests(spark, tmp_path):
     assert rows(fetch.select("key")) == [("b",), ("c",)] and rows(drop.select("key")) == [("x",)]
 
 
-def fails_on_seven(ids):
-    if any(i % 7 == 0 for i in ids):
-        raise ValueError("seven")
-    return [float(i) for i in ids]
-
-
 def test_ladder():
     ok, bad = sp.ladder(lambda xs: [1 / x for x in xs], [1, 2, 0, 4, 5, 8])
     assert ok == [1, 0.5, 0.25, 0.2, 0.125] and [b[0] for b in bad] == [0]
 
 
 def test_backfill_is_idempotent(spark, tmp_path):
+    def fails_on_seven(ids):
+        if any(i % 7 == 0 for i in ids):
+            raise ValueError("seven")
+        return [float(i) for i in ids]
+
     top, drained = f"file://{tmp_path}", []
     spark.range(1, 30).write.parquet(f"{top}/in/a")
     args = (spark, f"{top}/in/*", "id long", f"{top}/out", f"{top}/state", fails_on_seven, lambda: drained.append(1))
@@ -96,3 +95,14 @@ def test_timeline_view():
     v.patch("flag", 1, x=5)
     v.remove({("flag", 2)})
     assert v.entries == [{"kind": "flag", "id": 1, "x": 5}]
+
+
+def test_translations(spark, tmp_path):
+    from galleon.sources import translations as tr
+
+    (tmp_path / "de.json").write_text(json.dumps({"cat": "Katze", "dog": "Hund", "tomcat": "KATER"}))
+    (tmp_path / "bad.json").write_text("[1")
+    top = f"file://{tmp_path}"
+    assert tr.languages(spark, top) == ["bad", "de"] and tr.languages(spark, f"{top}/none") == []
+    assert rows(tr.names_like(tr.table(spark, top, "de"), "kat")) == [("cat",), ("tomcat",)]
+    assert tr.table(spark, top, "../de").count() == 0 and tr.table(spark, top, "bad").count() == 0
