@@ -36,6 +36,10 @@ BASE = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches in time linear in the text: an address is found by its @, and no number is begun in its middle.
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+NUMBERS = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 TRIGGER = re.compile(r"[0-9@]+")
 HIDDEN, WINDOW, MARGIN, SURE = 16, 96, 24, 0.9
 TAGS = 1 + 2 * len(KINDS)
@@ -57,7 +61,7 @@ def luhn(digits: str) -> bool:
 def valid(kind: str, found: str) -> bool:
     digits = re.sub(r"[^0-9]", "", found)
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in found.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in found.split("."))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return kind != "phone" or 9 <= len(digits) <= 15
@@ -65,7 +69,22 @@ def valid(kind: str, found: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end) by kind, then start."""
-    return [(k, m.start(), m.end()) for k, kind in enumerate(KINDS) for m in BASE[kind].finditer(text) if valid(kind, m[0])]
+    return [(k, a, b) for k, kind in enumerate(KINDS) for a, b in places(kind, text) if valid(kind, text[a:b])]
+
+
+def places(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """The places of the kind's base pattern, leftmost and non-overlapping."""
+    if kind != "email":
+        yield from (m.span() for m in (NUMBERS if kind == "ip" else BASE[kind]).finditer(text))
+        return
+    last = 0
+    for m in DOMAIN.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            last = m.end()
+            yield start, last
 
 
 def codes(text: str) -> np.ndarray:

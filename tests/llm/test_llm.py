@@ -211,6 +211,15 @@ def test_pii(spark, docs):
     assert new[0] == "mail [EMAIL] and [IP], card [CARD], call [PHONE]." and new[2] == "nothing here" and new[3] is None
 
 
+def test_places_are_those_of_the_patterns():
+    r = random.Random(5)
+    for _ in range(4000):
+        t = "".join(r.choice("aZ01259..@@-+ ()%\n") for _ in range(r.randint(0, 40)))
+        for kind in pii.KINDS:
+            assert list(pii.places(kind, t)) == [m.span() for m in pii.BASE[kind].finditer(t)], (kind, t)
+    assert pii.base_spans("a" * 200_000 + "1" * 200_000) == []
+
+
 def test_crf_gradient():
     rng = np.random.default_rng(0)
     e, y, trans = rng.normal(size=(5, 2, pii.TAGS)), rng.integers(0, pii.TAGS, (2, 5)), rng.normal(size=(pii.TAGS, pii.TAGS))
