@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Units kept in each half of the memo: the older half goes when the newer one is full.
-MEMO = 300_000
+MEMO = 150_000
 #: Words that go to the library in one text.
 TOGETHER = 200
 GAP = r" \t\n\r\f\v"
@@ -27,6 +27,15 @@ LOWER_CLASS = "a-zªµºß-öø-ÿ"
 LETTER_CLASS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 
 
+def give_back() -> None:
+    """Hands memory that is free inside the process back to the machine, where the C library can."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Encoder:
     """words=True: the tokenizer lower-cases and drops white space; otherwise white space and case belong to the ids.
 
@@ -38,6 +47,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        give_back()  # reading the file takes several times what the tokenizer keeps
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words, self.code = words, code
         vocabulary = self.library.get_vocab(with_added_tokens=False)
@@ -63,6 +73,7 @@ class Encoder:
     def learn(self, missing: set[str]) -> None:
         if len(self.new) + len(missing) > MEMO:
             self.old, self.new = self.new, {}
+            give_back()
         ask = []
         for u in missing:
             if (ids := self.old.get(u)) is not None:
