@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -246,7 +247,7 @@ add("zgap_extremes", lambda lib: st.z_gaps(st.scored_pairs(lib)), f"WITH v AS ({
 def _stream_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.streaming.pipelines import run_backfill
 
-    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**9}-{id(object())}"
+    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     open_library(spark, sf_dir).posts.select("id").write.mode("overwrite").parquet(f"{top}/in")
     run_backfill(spark, f"{top}/in", "id long", f"{top}/out", f"{top}/state", _half)
     return spark.read.parquet(f"{top}/out").select("post_id", "score")
@@ -263,7 +264,7 @@ ORACLE["stream_backfill"] = sql_of("SELECT id AS post_id, CAST(id AS DOUBLE) / 2
 def _stream_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.streaming.pipelines import stream_tag_counts
 
-    name = f"tag_counts_{abs(hash(sf_dir)) % 10**9}_{id(object())}"
+    name = f"tag_counts_{uuid.uuid4().hex}"
     top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{name}"
     open_library(spark, sf_dir).post_has_tag.write.mode("overwrite").parquet(f"{top}/in")
     return stream_tag_counts(spark, f"{top}/in", "post_id long, tag_name string, is_auto int", name, f"{top}/state")
