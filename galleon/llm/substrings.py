@@ -258,11 +258,15 @@ def runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def sharded(rows: DataFrame) -> DataFrame:
-    """(row, lo, hi): bytes to remove, from stretches with their bytes, sorted by anchor and order within partitions."""
+    """(row, lo, hi): bytes to remove, from rows sorted by (key, name, order) within partitions.
+
+    Rows without a name are stretches with their bytes, key being their anchor: they are gathered into shards. Rows
+    with one are single strings of crowded anchors: of those with the same digest all but the first go.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple] = []
-        size, last = 0, None
+        size, last, known = 0, None, None
 
         def solve() -> dict:
             out: dict[str, list] = {"row": [], "lo": [], "hi": []}
@@ -284,37 +288,28 @@ def sharded(rows: DataFrame) -> DataFrame:
             return out
 
         for b in batches:
-            for g, row, start, span, data in zip(*(b.column(k).to_pylist() for k in ("g", "row", "start", "span", "data")), strict=True):
-                if g != last and size >= SHARD_BYTES:
+            gone: dict[str, list] = {"row": [], "lo": [], "hi": []}
+            for key, name, row, start, span, data in zip(*(b.column(k).to_pylist() for k in ("key", "name", "row", "start", "span", "data")), strict=True):
+                if name is not None:
+                    if name == known:
+                        for k, v in zip(gone, (row, start, start + LENGTH), strict=True):
+                            gone[k].append(v)
+                    known = name
+                    continue
+                if key != last and size >= SHARD_BYTES:
                     yield solve()
                     held, size = [], 0
                 held.append((row, start, span, data))
                 size += len(data)
-                last = g
+                last = key
+            if gone["row"]:
+                yield gone
         if held:
             yield solve()
 
     return mapped(rows, step, "row long, lo int, hi int")
 
 
-def crowded(rows: DataFrame) -> DataFrame:
-    """(row, lo, hi) for anchors with very many stretches: their single strings are grouped by 128-bit digests."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            out: dict[str, list] = {"name": [], "doc_id": [], "row": [], "start": []}
-            for doc, row, start, span, data in zip(*(b.column(k).to_pylist() for k in ("doc_id", "row", "start", "span", "data")), strict=True):
-                for i in range(span + 1):
-                    for key, v in zip(out, (hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest(), doc, row, start + i), strict=True):
-                        out[key].append(v)
-            yield out
-
-    each = written(mapped(rows, step, "name binary, doc_id long, row long, start int"))
-    place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row", "start")
-    least = each.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return each.join(least, "name").where(place > F.col("first")).select("row", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
-
-
 def remove_repeats(docs: DataFrame, crowd: int = CROWD, together: int = TOGETHER) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and removed (its spans)."""
     text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -322,27 +317,28 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, together: int = TOGETHER
     spans = found.where("gone").select("row", F.col("start").alias("lo"), F.col("stop").alias("hi"))
     differ = found.where("NOT gone").withColumn("span", F.col("stop") - F.col("start") - LENGTH)
     dealt = text.repartition("row")
-    wanted = differ.groupBy("row").agg(F.collect_list(F.struct("g", "start", "span")).alias("wanted"))
+    # anchors with more stretches than a task should get: at most rows / crowd of them
+    big = differ.groupBy("g").count().where(F.col("count") > crowd).select("g", F.lit(True).alias("big"))
+    wanted = differ.join(big, "g", "left").groupBy("row").agg(F.collect_list(F.struct("g", "start", "span", F.coalesce("big", F.lit(False)).alias("big"))).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("g", "doc_id", "row", "start", "span", "data")}
+            out: dict[str, list] = {k: [] for k in ("key", "name", "doc_id", "row", "start", "span", "data")}
             for doc, row, t, wanted in zip(*(b.column(k).to_pylist() for k in ("doc_id", "row", "text", "wanted")), strict=True):
                 for w in wanted:
-                    for key, v in zip(out, (w["g"], doc, row, w["start"], w["span"], t[w["start"] : w["start"] + w["span"] + LENGTH]), strict=True):
-                        out[key].append(v)
+                    if w["big"]:
+                        for at in range(w["start"], w["start"] + w["span"] + 1):
+                            name = hashlib.blake2b(t[at : at + LENGTH], digest_size=16).digest()
+                            for key, v in zip(out, (int.from_bytes(name[:8], "little", signed=True), name, doc, row, at, 0, None), strict=True):
+                                out[key].append(v)
+                    else:
+                        for key, v in zip(out, (w["g"], None, doc, row, w["start"], w["span"], t[w["start"] : w["start"] + w["span"] + LENGTH]), strict=True):
+                            out[key].append(v)
             yield out
 
-    pieces = mapped(dealt.join(wanted.hint("merge"), "row").select("doc_id", "row", "text", "wanted"), fetch, "g long, doc_id long, row long, start int, span int, data binary")
-    # anchors with more stretches than a task should get: at most rows / crowd of them
-    big = differ.groupBy("g").count().where(F.col("count") > crowd).select("g")
-    order, crowds = ("g", F.asc_nulls_first("doc_id"), "row", "start"), not big.isEmpty()
-    few = pieces.join(big, "g", "left_anti") if crowds else pieces
-    more = [sharded(few.repartition("g").sortWithinPartitions(*order))]
-    if crowds:
-        more.append(crowded(pieces.join(big, "g", "left_semi")))
-    for m in more:
-        spans = spans.union(m)
+    pieces = mapped(dealt.join(wanted.hint("merge"), "row").select("doc_id", "row", "text", "wanted"), fetch, "key long, name binary, doc_id long, row long, start int, span int, data binary")
+    order = ("key", F.asc_nulls_first("name"), F.asc_nulls_first("doc_id"), "row", "start")
+    spans = spans.union(sharded(pieces.repartition("key").sortWithinPartitions(*order)))
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
