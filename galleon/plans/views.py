@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: {name} stands for a table of the folder, or for another view.
@@ -71,31 +69,31 @@ FROM {orders}""",
 TABLES = ("part", "embeddings", "events", "orders")
 
 
-@dataclass
 class Library:
-    """The frames of a gallery; every operator takes the ones it needs."""
+    """The frames of a gallery: posts, waifu, aesthetic, post_has_tag, tags, tag_groups, vectors, pairwise, absolute,
+    flags, listwise, failures, pair_queue. Each is made when it is first asked for, so a query opens what it reads."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._folder, self._made = spark, sf_dir, {}
+
+    def _frame(self, name: str) -> DataFrame:
+        if name not in self._made:
+            if name in VIEWS:
+                parts = {t: self._frame(t) for t in (*TABLES, *VIEWS) if "{" + t + "}" in VIEWS[name]}
+                self._made[name] = self._spark.sql(VIEWS[name], **parts)
+            else:
+                self._made[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._made[name]
 
-    posts: DataFrame
-    waifu: DataFrame
-    aesthetic: DataFrame
-    post_has_tag: DataFrame
-    tags: DataFrame
-    tag_groups: DataFrame
-    vectors: DataFrame
-    pairwise: DataFrame
-    absolute: DataFrame
-    flags: DataFrame
-    listwise: DataFrame
-    failures: DataFrame
-    pair_queue: DataFrame
+    def __getattr__(self, name: str) -> DataFrame:
+        if f"g_{name}" not in VIEWS:
+            raise AttributeError(name)
+        return self._frame(f"g_{name}")
 
 
 def open_library(spark: SparkSession, sf_dir: str) -> Library:
-    """The views over the folder's tables, as frames; nothing is read before a query runs."""
-    known = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for name, sql in VIEWS.items():
-        known[name] = spark.sql(sql, **{t: df for t, df in known.items() if "{" + t + "}" in sql})
-    return Library(**{f.name: known[f"g_{f.name}"] for f in fields(Library)})
+    """The views over the folder's tables; nothing is read before a query runs."""
+    return Library(spark, sf_dir)
 
 
 def sql_of(query: str) -> str:
