@@ -150,6 +150,21 @@ def test_copies(spark):
     assert simhash.drop_copies(frame(spark, [])).count() == 0
 
 
+def test_copies_with_edited_blocks(spark):
+    r = random.Random(19)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    t = []
+    for k in range(100):
+        w = [word() for _ in range(300)]
+        at, some = r.randint(1, 250), set(r.sample(range(5, 295), 6))
+        t += [w, w[:at] + w[at + 48 :], w + [word() for _ in range(54)], [word() if i in some else x for i, x in enumerate(w)]]
+    sets = [simhash.word_shingles(" ".join(w).encode()) for w in t]
+    near = [i for i in range(len(t)) if i % 4 and 0.8 <= len(sets[i] & sets[i - i % 4]) / len(sets[i] | sets[i - i % 4]) <= 0.88]
+    assert len(near) > 290
+    kept = {x["doc_id"] for x in simhash.drop_copies(frame(spark, [" ".join(w) for w in t])).collect()}
+    assert set(range(0, len(t), 4)) <= kept and len(kept & set(near)) <= 0.01 * len(near)
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
