@@ -9,9 +9,9 @@ the exact Hamming distance decides. Equal fingerprints are one node beforehand,
 spanning forest leaves it: never all pairs.
 
 The general operator for near copies works on the five-word shingle sets that decide: cells are bands of their smallest
-hashes, so the chance to meet depends on the similarity alone, not on where a copy was edited; each cell's nearest
-neighbours (a minimum spanning tree under the Hamming distance of the smallest hashes' low bits) are the candidates,
-and the exact similarity of the sets decides.
+hashes, so the chance to meet depends on the similarity alone, not on where a copy was edited; a
+spanning forest of each cell (under the Hamming distance of the smallest hashes' low bits) is verified by the exact
+similarity of the sets, and where an edge fails, the cell's other pairs are too, unless verified edges connect them.
 
 Null and empty texts have no shingles and the fingerprint zero. Rows that share a doc_id share a component when their
 fingerprints do; null ids come back as they are and never become a component's name unless no other id is in it.
@@ -20,7 +20,7 @@ fingerprints do; null ids come back as they are and never become a component's n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,8 +171,10 @@ HASHES, BANDS, DEEP = 128, 20, 5
 #: Candidates differ in at most so many of the smallest hashes' 128 low bits: at 0.8 about 13 differ, and more than 28
 #: with a probability of about 0.002 %.
 FAR = 28
-#: Members of a cell that are compared with each other at once.
+#: Members of a cell up to which its links are a minimum spanning tree.
 CELL = 4096
+#: After each round of verification, members of a cell that are up to so many times further apart in it are compared.
+STRIDE = 8
 
 
 _rng = np.random.default_rng(17)
@@ -243,8 +245,24 @@ def nearest(row: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, between each node and the nearest ones in its cells."""
+def forest(row: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all pairs within far, for cells of any size: found nodes ask those not yet found."""
+    out, todo = [], np.arange(len(row))
+    while len(todo):
+        ask, todo = [int(todo[0])], todo[1:]
+        while ask and len(todo):
+            at = ask.pop()
+            near = np.bitwise_count(fp[todo] ^ fp[at]).sum(1) <= far
+            if near.any():
+                new = todo[near]
+                out += [(int(row[at]), int(x)) for x in row[new]]
+                ask += new.tolist()
+                todo = todo[~near]
+    return out
+
+
+def candidates(nodes: DataFrame, cell_size: int = CELL) -> DataFrame:
+    """Rows (a, b, cell), a < b: a spanning forest of each cell's pairs within FAR, of the nearest up to cell_size."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for cell, row, low, high in grouped(batches):
@@ -253,20 +271,41 @@ def candidates(nodes: DataFrame) -> DataFrame:
             first, size = edge[:-1], np.diff(edge)
             two = first[size == 2]
             two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1) <= FAR]
-            a, b = row[two].tolist(), row[two + 1].tolist()
+            a, b, c = row[two].tolist(), row[two + 1].tolist(), cell[two].tolist()
             for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                order = lo + np.lexsort((high[lo : lo + n], low[lo : lo + n]))
-                for at in range(0, max(1, n - CELL // 2), CELL // 2):  # larger cells in halves that overlap
-                    some = order[at : at + CELL]
-                    for x, y in nearest(row[some], fp[some], FAR):
-                        a.append(x)
-                        b.append(y)
+                for x, y in (nearest if n <= cell_size else forest)(row[lo : lo + n], fp[lo : lo + n], FAR):
+                    a.append(x)
+                    b.append(y)
+                    c.append(int(cell[lo]))
             if a:
                 a, b = np.array(a), np.array(b)
-                yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+                yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "cell": c}
 
-    dealt = group_cells(nodes).repartition("cell").sortWithinPartitions("cell")
-    return mapped(dealt, step, "a long, b long").distinct()
+    dealt = group_cells(nodes).repartition("cell").sortWithinPartitions("cell", "low", "high", "row")
+    return mapped(dealt, step, "a long, b long, cell long")
+
+
+def apart(cells: DataFrame, least: int, most: int) -> DataFrame:
+    """Edges (a, b), a < b, with the components p and q of their ends: pairs of a cell within FAR, of two components,
+    whose places in the cell differ by least or more and less than most. cells: cell, row, low, high, component."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for cell, row, low, high, part in grouped(batches):
+            fp, found, held = np.stack((low, high), axis=1).view(np.uint64), [], 0
+            largest = int(np.unique(cell, return_counts=True)[1].max())
+            for gap in range(least, min(most, largest)):
+                at = np.flatnonzero((cell[:-gap] == cell[gap:]) & (part[:-gap] != part[gap:]))
+                at = at[np.bitwise_count(fp[at] ^ fp[at + gap]).sum(1) <= FAR]
+                found.append(np.stack((np.minimum(row[at], row[at + gap]), np.maximum(row[at], row[at + gap]), np.minimum(part[at], part[at + gap]), np.maximum(part[at], part[at + gap]))))
+                held += len(at)
+                if held > 1 << 18:
+                    yield dict(zip("abpq", np.concatenate(found, axis=1), strict=True))
+                    found, held = [], 0
+            if held:
+                yield dict(zip("abpq", np.concatenate(found, axis=1), strict=True))
+
+    dealt = cells.repartition("cell").sortWithinPartitions("cell", "low", "high", "row")
+    return mapped(dealt, step, "a long, b long, p long, q long").distinct()
 
 
 def word_shingles(text: bytes) -> set[bytes]:
@@ -274,10 +313,14 @@ def word_shingles(text: bytes) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))) if len(w) > SHINGLE else {b" ".join(w)}
 
 
-def verified(edges: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """The edges whose ends' shingle sets have this similarity or more, from whole texts."""
+def ends_of(edges: DataFrame, text: DataFrame) -> DataFrame:
+    """row and text of the edges' ends, written once."""
     ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
-    own = written(text.join(ends.hint("merge"), "row", "left_semi").select("row", "text"))
+    return written(text.join(ends.hint("merge"), "row", "left_semi").select("row", "text"))
+
+
+def verified(edges: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose ends' shingle sets have this similarity or more, from whole texts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -296,6 +339,46 @@ def verified(edges: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     return mapped(both.select("a", "b", "x", "y"), step, "a long, b long")
 
 
+def linked_copies(nodes: DataFrame, text: DataFrame, similarity: float, cell_size: int = CELL) -> DataFrame:
+    """(id, component) of all nodes with a near copy: every pair of a cell within FAR is connected by verified edges,
+    or has been compared and refuted.
+
+    Each cell's spanning forest is verified first. Where an edge of it fails, the pairs of different components are
+    verified too, those STRIDE times further apart in the cell's order after each round, until all have been.
+    """
+    found = written(candidates(nodes, cell_size))
+    pairs = found.select("a", "b").distinct()
+    own = ends_of(pairs, text)
+    good = written(verified(pairs, own, similarity))
+    parts = written(connected_components(good, written))
+    # a cell of two has no pair but its edge; ends of edges are all that can be within FAR of another
+    failed = found.join(good.hint("merge"), ["a", "b"], "left_anti").select("cell").distinct()
+    ends = found.hint("merge").join(failed.hint("merge"), "cell", "left_semi").select("cell", F.explode(F.array("a", "b")).alias("row")).distinct()
+    larger = ends.groupBy("cell").agg(F.count("*").alias("n")).where("n > 2")
+    ends = written(ends.hint("merge").join(larger.hint("merge"), "cell"))
+    most = ends.agg(F.max("n")).first()[0] or 0
+    if not most:
+        return parts
+    open_ = ends.hint("merge").join(nodes.select("row", "low", "high"), "row")
+    open_ = open_.hint("merge").join(parts.withColumnRenamed("id", "row"), "row", "left")
+    open_ = written(open_.select("cell", "row", "low", "high", F.coalesce("component", "row").alias("component")))
+    least, more = 1, []
+    while least < most:
+        tried = written(apart(open_, least, least * STRIDE))
+        least *= STRIDE
+        new = written(verified(tried.select("a", "b"), own, similarity))
+        if new.isEmpty():
+            continue
+        more.append(new)
+        between = tried.hint("merge").join(new.hint("merge"), ["a", "b"], "left_semi").select(F.col("p").alias("a"), F.col("q").alias("b"))
+        moved = connected_components(between, written).select(F.col("id").alias("component"), F.col("component").alias("now"))
+        open_ = written(open_.hint("merge").join(moved.hint("merge"), "component", "left").select("cell", "row", "low", "high", F.coalesce("now", "component").alias("component")))
+    if not more:
+        return parts
+    known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return connected_components(reduce(DataFrame.union, more, known), written)
+
+
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """row, doc_id and first: the row number of the first document (by doc_id, then reading order) of its group.
 
@@ -306,8 +389,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = written(sketch(text))
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")
     nodes = written(found.groupBy("same").agg(F.min(place).alias("place"), F.min("cells").alias("cells"), F.min("low").alias("low"), F.min("high").alias("high")).select("same", "place", F.col("place.row").alias("row"), "cells", "low", "high"))
-    edges = written(candidates(nodes.select("row", "cells", "low", "high")))
-    parts = connected_components(written(verified(edges, text, similarity)), written)
+    parts = linked_copies(nodes, text, similarity)
     named = nodes.join(parts, nodes["row"] == parts["id"], "left").select("same", "place", F.coalesce("component", "row").alias("component"))
     firsts = named.groupBy("component").agg(F.min("place").alias("least"))
     by_node = named.join(firsts, "component").select("same", F.col("least.row").alias("first"))

@@ -165,6 +165,32 @@ def test_copies_with_edited_blocks(spark):
     assert set(range(0, len(t), 4)) <= kept and len(kept & set(near)) <= 0.01 * len(near)
 
 
+def test_copies_beside_reordered_ones(spark):
+    """X and its near copies meet, though reordered texts with the same lines stand between them in every cell."""
+    docs = [(k, f"text {k}") for k in range(4)]
+    text = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(300))), (1, " ".join(f"v{i}" for i in range(300))), (2, " ".join(f"w{i}" for i in [*range(290), *range(400, 410)])), (3, "v0 v1")], "row long, text string")
+    text = text.select("row", F.col("text").cast("binary").alias("text"))
+    # distances 0-1: 1, 1-2: 1, 0-2: 2; the tree is 0-1-2, both edges fail, 0-2 passes
+    nodes = spark.createDataFrame([(k, [5], (0, 1, 3, 7)[k], 0) for k, _ in docs], "row long, cells array<long>, low long, high long")
+    for size in (simhash.CELL, 1):
+        got = {r["id"]: r["component"] for r in simhash.linked_copies(nodes, text, 0.8, size).collect()}
+        assert got == {0: 0, 2: 0}
+
+
+def test_forest_of_large_cells():
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
+    fp = np.concatenate((fp, fp ^ np.uint64(1 << 62), fp ^ np.array([1 << 61, 1 << 60], np.uint64)))
+    row, edges = np.arange(len(fp)), simhash.Forest(len(fp))
+    for x, y in simhash.forest(row, fp, 2):
+        assert edges.join(x, y)
+    want = simhash.Forest(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]).sum(1) <= 2).tolist():
+            want.join(i, j)
+    assert [edges.top(i) for i in row] == [want.top(i) for i in row]
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
