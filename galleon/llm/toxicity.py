@@ -45,15 +45,20 @@ SIGN[[ord(c) for c in LEET]] = True
 APART = np.zeros(256, bool)
 APART[[ord(c) for c in " ._-*"]] = True
 WORD = bytes(LOWER[c] if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Signs amid letters, after them or before them; single letters with one separator after
-#: each; a letter three times or more. Repeats are bounded, so that long runs of letters cost time in proportion.
+#: Runs of one letter or sign over LONG count as LONG: what they can stand for stays the same.
+LONG = 8
+RUNS = re.compile(rb"([a-z0134578@$!|+])\1{%d,}" % LONG)
+#: Signs amid letters, after them or before them; single letters with one separator after each; a letter three times
+#: or more. Places have any length; each kind starts at a run's beginning only, so time is in proportion.
 PLACES = re.compile(
-    rb"[a-z0134578@$!|+]{0,40}[a-z][0134578@$!|+]{1,40}[a-z][a-z0134578@$!|+]{0,40}"
-    rb"|[a-z]{2,40}[0134578@][0134578@$!|+]{0,40}"
-    rb"|(?<![a-z0-9@$!|+])[0134578@$!|+]{1,40}[a-z]{2}[a-z0134578@$!|+]{0,40}"
-    rb"|(?<![a-z0-9\x80-\xff])[a-z0134578@$!|+](?:[ ._*-][a-z0134578@$!|+]){3,40}(?![a-z0-9\x80-\xff])"
-    rb"|[a-z]{0,40}([a-z])\1\1[a-z]{0,40}"
+    rb"(?<![a-z0134578@$!|+])[a-z0134578@$!|+]*[a-z][0134578@$!|+]+[a-z][a-z0134578@$!|+]*"
+    rb"|(?<![a-z])[a-z]{2,}[0134578@][0134578@$!|+]*"
+    rb"|(?<![a-z0-9@$!|+])[0134578@$!|+]+[a-z]{2}[a-z0134578@$!|+]*"
+    rb"|(?<![a-z0-9\x80-\xff])[a-z0134578@$!|+](?:[ ._*-][a-z0134578@$!|+]){3,}(?![a-z0-9\x80-\xff])"
+    rb"|(?<![a-z])[a-z]*([a-z])\1\1[a-z]*"
 )
+#: Log-probability that a single separator between single letters stands between two words, as in spaced-out sentences.
+BREAK = -3.0
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -99,12 +104,12 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 def lattice(place: str) -> list[list[tuple[str, float]]]:
     """For each run of the place: what it can stand for, with the channel's log-probability."""
     spaced = len(place) > 6 and all(c in " ._*-" for c in place[1::2])
-    out = []
+    out, dotted = [], "." in place
     for m in re.finditer(r"(.)\1*", place, re.S):
         end = m.end() == len(place)
         c, n = m[1], len(m[0])
         if c in " ._*-":
-            out.append([("", 0.0)] + ([(" ", -1.0)] if c == " " and n > 1 or c == " " and "." in place else []) if spaced else [(" ", 0.0)])
+            out.append([("", 0.0), (" ", -1.0 if c == " " and dotted else BREAK)] if spaced else [(" ", 0.0)])
         elif c in LEET:
             out.append([(x * k, -0.7 - (0.3 if k < n else 0)) for x in LEET[c] for k in {1, n, min(n, 2)}] + ([("", -0.7)] if end and c in "!|+$" else []))
         elif n >= 3:
@@ -115,11 +120,11 @@ def lattice(place: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(place: bytes, lm: np.ndarray) -> bytes:
-    """The likeliest reading of a place: Viterbi search with the last two characters as state."""
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a place: Viterbi search with the last two characters as state and links back."""
+    beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for arcs in [*lattice(place.decode("latin-1")), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, text) in beam.items():
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (p, back) in beam.items():
             for out, cost in arcs:
                 x, y, q = a, b, p + cost
                 for ch in out:
@@ -127,9 +132,13 @@ def restore(place: bytes, lm: np.ndarray) -> bytes:
                     q += lm[x, y, z]
                     x, y = y, z
                 if (x, y) not in new or q > new[x, y][0]:
-                    new[x, y] = (q, text + out)
+                    new[x, y] = (q, (back, out))
         beam = new
-    return max(beam.values())[1].strip().encode("latin-1")
+    back, parts = max(beam.values(), key=lambda v: v[0])[1], []
+    while back:
+        back, out = back
+        parts.append(out)
+    return "".join(reversed(parts)).strip().encode("latin-1")
 
 
 def suspicious(b: np.ndarray) -> bool:
@@ -153,7 +162,7 @@ def restored(text: bytes, lm: np.ndarray) -> list[bytes]:
     """The words of the restored text."""
     lower = text.translate(LOWER)
     if suspicious(np.frombuffer(lower, np.uint8)):
-        lower = PLACES.sub(lambda m: restore(m[0], lm) if len(m[0]) <= 64 else m[0], lower)
+        lower = PLACES.sub(lambda m: restore(m[0], lm), RUNS.sub(lambda m: m[1] * LONG, lower))
     return lower.translate(WORD).split()
 
 

@@ -366,6 +366,21 @@ def test_channel(docs):
     assert (np.exp(lm).sum(2) - 1 < 1e-6).all()
 
 
+def test_channel_of_any_length(docs):
+    counts = np.zeros(toxicity.SIGNS**3)
+    text = "  ".join([t or "" for _, t in texts_of(docs)] + ["idiot stupid trash moron worthless"] * 50).encode().translate(base.LOWER)
+    c = toxicity.CODE[np.frombuffer(text, np.uint8)]
+    np.add.at(counts, (c[:-2] * toxicity.SIGNS + c[1:-1]) * toxicity.SIGNS + c[2:], 1)
+    lm = toxicity.language_model(counts)
+    for n in (10, 60, 100, 5000):
+        assert toxicity.restored(b"The m" + b"o" * n + b"ron, st" + b"U" * n + b"pid", lm) == [b"the", b"moron", b"stupid"]
+        assert b"idiot" in toxicity.words(b"1d" + b"1" * n + b"ot", lm)
+    for n in (1, 4, 400):
+        letters = b"thepeoplewhocamehereareallstupidandworthlessidiotstoo" * n
+        got = toxicity.restored(b" ".join(bytes([x]) for x in letters), lm)
+        assert b"".join(got) == letters and {b"stupid", b"worthless", b"idiot"} <= set(got)
+
+
 def test_dual_coordinate_descent():
     rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])]
     y = np.array([1, 1, -1, -1])
