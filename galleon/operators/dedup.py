@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from galleon.functions.columns import unit
 
 THRESHOLD, BLOCK = 0.01, 1024
+#: So many open edges are settled in one task; more are in rounds.
+FEW = 500_000
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -59,26 +61,45 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     return pairs.mapInArrow(multiply, "a long, b long")
 
 
-def assign_canonicals(pairs: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 100) -> DataFrame:
+def first_set(edges: DataFrame) -> DataFrame:
+    """(id) of the first maximal independent set in id order, in one task: for bounded numbers of edges a < b."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, members = set(), set()
+        for x in batches:
+            for b, a in zip(x.column("b").to_pylist(), x.column("a").to_pylist(), strict=True):
+                ends.update((a, b))
+                if a not in members:  # edges come by b, so what is smaller is settled
+                    members.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(ends - members), pa.int64())], names=["id"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).sortWithinPartitions("b", "a").mapInArrow(step, "id long")
+
+
+def assign_canonicals(pairs: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, few: int = FEW) -> DataFrame:
     """(member, canonical): the first maximal independent set in id order, each member with its least canonical.
 
     A node without smaller neighbours that may still become canonical is canonical; neighbours of canonicals are
-    members. Each round decides every node whose smaller neighbours are decided, the least open one at any rate.
+    members. Each round decides every node whose smaller neighbours are decided, the least open one at any rate, until
+    at most `few` edges are open; one task settles these in order, as chains would take a round for every two nodes.
     """
     keep = keep or (lambda df: df.checkpoint())
     edges = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    open_, seeds = edges, None
-    for _ in range(rounds):
+    open_, seeds, rounds = edges, None, 0
+    while (left := open_.limit(few + 1).count()) > few:
         blocked = open_.select(F.col("b").alias("id")).distinct()
-        new = open_.select(F.col("a").alias("id")).distinct().join(blocked, "id", "left_anti")
-        if (new := keep(new)).isEmpty():
-            break
-        seeds = new if seeds is None else seeds.union(new)
+        new = keep(open_.select(F.col("a").alias("id")).distinct().join(blocked, "id", "left_anti"))
+        seeds, rounds = new if seeds is None else seeds.union(new), rounds + 1
+        if rounds % 20 == 0:
+            seeds = keep(seeds)
         members = open_.join(new.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
         gone = keep(members.union(new).distinct())
         open_ = open_.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
         # a node all of whose edges went without its being decided has no neighbour left: it is canonical alone
         open_ = keep(open_)
+    if left:
+        last = keep(first_set(open_))
+        seeds = last if seeds is None else seeds.union(last)
     if seeds is None:
         return edges.select(F.col("b").alias("member"), F.col("a").alias("canonical")).limit(0)
     free = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(seeds, "id", "left_anti")

@@ -66,6 +66,25 @@ def test_canonicals(spark, pairs, want):
     assert rows(dedup.assign_canonicals(spark.createDataFrame(pairs, "a long, b long"))) == want
 
 
+def test_canonicals_of_long_chains(spark):
+    n = 701
+    pairs = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert rows(dedup.assign_canonicals(pairs)) == [(i, i - 1) for i in range(1, n, 2)]
+
+
+def test_canonicals_in_rounds_and_at_once(spark):
+    r = random.Random(23)
+    edges = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(60, 70)})
+    pairs = spark.createDataFrame(edges, "a long, b long").coalesce(2)
+    got = [rows(dedup.assign_canonicals(pairs, few=n)) for n in (0, 25, 10_000)]
+    chosen = set()
+    for x in range(71):
+        if not any(b == x and a in chosen for a, b in edges):
+            chosen.add(x)
+    want = sorted((b, min(a for a, c in edges if c == b and a in chosen)) for b in {b for _, b in edges} - chosen)
+    assert got == [want] * 3
+
+
 def test_canonicals_like_the_greedy_way(spark):
     r = random.Random(3)
     edges, want = [], []
