@@ -39,6 +39,9 @@ NOTICES = [
     ("all rights reserved", "all-rights-reserved", 1),
 ]
 
+#: Places that touch are searched together up to so many characters; longer stretches overlap by a whole place.
+STRETCH = 1000
+
 #: Word characters as a table for bytes: everything else becomes a space.
 WORDS = bytes(LOWER[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -80,7 +83,7 @@ def fuzzy(words: str) -> list[tuple[str, int, int, int]]:
             start = max(0, end + 1 - length - at - k)
             stop = min(len(words), start + len(notice) + 2 * k + 1)
             spans = windows.setdefault(i, [])
-            if spans and start <= spans[-1][1]:
+            if spans and start <= spans[-1][1] and stop - spans[-1][0] <= STRETCH:
                 spans[-1][1] = max(spans[-1][1], stop)
             else:
                 spans.append([start, stop])
@@ -90,8 +93,12 @@ def fuzzy(words: str) -> list[tuple[str, int, int, int]]:
             # whole words at both ends, so that the pattern's word boundaries see what the text has there
             start = words.rfind(" ", 0, start) + 1
             stop = len(words) if (e := words.find(" ", stop)) < 0 else e
-            for m in patterns[i].finditer(words, start, stop):
-                found.append((NOTICES[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+            todo = [(start, stop)]
+            while todo:  # the best match comes first: what lies before it is searched like what lies after it
+                lo, hi = todo.pop()
+                if m := patterns[i].search(words, lo, hi):
+                    found.append((NOTICES[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                    todo += [(x, y) for x, y in ((lo, m.start()), (m.end(), hi)) if y - x >= len(NOTICES[i][0]) - NOTICES[i][2]]
     # the same place can look like two notices (version 2, version 3): the one with fewer errors stays
     found.sort(key=lambda x: (x[3], x[1], x[0]))
     kept: list[tuple[str, int, int, int]] = []

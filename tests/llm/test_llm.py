@@ -55,6 +55,12 @@ def test_licenses_fuzzy(spark):
     assert licenses.license_scan(frame(spark, ODD)).count() == len(ODD) and licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_side_by_side(spark):
+    t = ["undor the mit licence undor the mit license under the mit license x", "under the mit license; under thee mit license. Under the mit licens", "all rights reservd all rights reserved all right reserved"]
+    r = licenses.license_scan(frame(spark, t)).orderBy("doc_id").collect()
+    assert [x["spans"] for x in r] == ["mit:0:4:2,mit:4:8:1,mit:8:12:0", "mit:0:4:0,mit:4:8:1,mit:8:12:1", "all-rights-reserved:0:3:1,all-rights-reserved:3:6:0,all-rights-reserved:6:9:1"]
+
+
 def test_pieces_keep_one_whole():
     r = random.Random(1)
     for notice, _, k in licenses.NOTICES:
