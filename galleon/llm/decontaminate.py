@@ -8,8 +8,10 @@ each block's table holds its items under their value and its one-bit neighbours.
 the window exactly, by weighted shingle similarity (sum of the smaller weights over the sum of the larger ones).
 Windows without any shingle of an item have similarity 0 and are passed over.
 
-Items go to the tasks in parts of about PART_BYTES, one scan of the documents each, so what is broadcast is bounded.
-Items of fewer than five words have no shingle and match nothing; null and empty texts match nothing. Repeated items
+Items go to the tasks in parts of about PART_BYTES, one scan of the documents each. Weights are those of the whole
+benchmark in every part: a shingle of one item weighs as much as one of none, so beside its items a part gets only the
+shingles of two items or more. An item of fewer than five words is one shingle, met by equal windows of its size; null
+and empty texts match nothing. Repeated items
 and documents are each reported. Whole texts are scanned, and no document meets another, so no key can be hot.
 """
 
@@ -22,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from galleon.llm.base import mapped, table, texts
@@ -38,15 +41,17 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def shingle_codes(ids: np.ndarray) -> np.ndarray:
-    """A number for each run of SHINGLE word numbers."""
-    n = len(ids) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+    """A number for each run of SHINGLE word numbers; for all together if there are fewer."""
+    n = max(len(ids) - SHINGLE + 1, min(len(ids), 1))
     v = ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
     v ^= v >> np.uint64(31)
     out = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(min(SHINGLE, len(ids))):
         out += v[i : i + n] * POWERS[i]
     return out ^ (out >> np.uint64(32))
 
@@ -62,18 +67,27 @@ def signs(codes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The items of one part: shingle weights, fingerprints and the tables of their blocks."""
+    """The items of one part: shingle weights, fingerprints and the tables of their blocks.
 
-    def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        split = [(i, w) for i, t in items if len(w := words(t)) >= SHINGLE]
+    total and spread, the number of items and the numbers of items of shingles that two or more have, are those of the
+    whole benchmark; without them the part is the whole.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]], total: int | None = None, spread: dict[int, int] | None = None) -> None:
+        split = [(i, w) for i, t in items if (w := words(t))]
         self.ids, self.sizes = [i for i, _ in split], [len(w) for _, w in split]
-        self.vocabulary = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for _, x in split for w in x))}
-        codes = [shingle_codes(np.array([self.vocabulary[w] for w in x], np.int64)) for _, x in split]
+        self.vocabulary = {w for _, x in split for w in x}
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        for k, (_, w) in enumerate(split):
+            if len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append(k)
+        codes = [shingle_codes(word_codes(w)) for _, w in split]
         self.bags = [Counter(c.tolist()) for c in codes]
-        spread = Counter(k for bag in self.bags for k in bag)
-        self.unseen = math.log(1 + len(split)) if split else 1.0
-        self.weight = {k: math.log(1 + len(split) / n) for k, n in spread.items()}
-        self.known = np.array(sorted(self.weight), np.uint64)
+        if spread is None:
+            total, spread = len(split), Counter(k for bag in self.bags for k in bag)
+        self.unseen = math.log(1 + total) if total else 1.0
+        self.weight = {k: math.log(1 + total / n) for k, n in spread.items() if n > 1}
+        self.known = np.array(sorted({k for bag in self.bags for k in bag}), np.uint64)
         self.where: dict[int, list[tuple[int, int]]] = {}
         for k, c in enumerate(codes):
             for at, code in enumerate(c.tolist()):
@@ -103,29 +117,43 @@ class Index:
 
     def similarity(self, codes: np.ndarray, item: int) -> float:
         a, b = Counter(codes.tolist()), self.bags[item]
-        low = high = 0.0
-        for k in a.keys() | b.keys():
-            w = self.weight.get(k, self.unseen)
-            low += w * min(a[k], b[k])
-            high += w * max(a[k], b[k])
-        return low / high if high else 0.0
+        weight = {k: self.weight.get(k, self.unseen) for k in a.keys() | b.keys()}
+        low, high = (math.fsum(w * of(a[k], b[k]) for k, w in weight.items()) for of in (min, max))
+        return round(low / high, 12) if high else 0.0  # 0.8 is 0.8 in whatever order weights are summed
 
     def search(self, text: bytes) -> list[tuple[int, int, int, float, int]]:
         """(item's number, start word, words, similarity, distance): the best window of each item at SIMILARITY or more."""
         if not self.ids:
             return []
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words(text)], np.int64)
+        split = words(text)
+        run = np.fromiter(map(self.vocabulary.__contains__, split), bool, len(split))
+        best = self.equal(split, run)
+        self.windows(split, run, best)
+        return [(k, s, size, -neg, d) for k, (neg, s, size, d) in sorted(best.items())]
+
+    def equal(self, split: list[bytes], run: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
+        """The first window equal to each item of fewer than SHINGLE words."""
+        best: dict[int, tuple[float, int, int, int]] = {}
+        for size, items in self.short.items():
+            full = run[: max(0, len(run) - size + 1)].copy()
+            for i in range(1, size):
+                full &= run[i : len(run) - size + 1 + i]
+            for s in np.flatnonzero(full).tolist():
+                for k in items.get(tuple(split[s : s + size]), ()):
+                    best.setdefault(k, (-1.0, s, size, 0))
+        return best
+
+    def windows(self, ids: list[bytes], run: np.ndarray, best: dict[int, tuple[float, int, int, int]]) -> None:
+        """Adds the best window of each longer item."""
         if len(ids) < SHINGLE:
-            return []
-        run = ids > 0
+            return
         full = run[: len(ids) - SHINGLE + 1].copy()
         for i in range(1, SHINGLE):
             full &= run[i : len(ids) - SHINGLE + 1 + i]
         at = np.flatnonzero(full)
         if not len(at):
-            return []
-        codes = shingle_codes(ids)
+            return
+        codes = shingle_codes(word_codes(ids))
         hit = codes[at]
         at = at[self.known[np.minimum(np.searchsorted(self.known, hit), len(self.known) - 1)] == hit]
         starts: dict[int, set[int]] = {}  # by window size
@@ -136,7 +164,6 @@ class Index:
                 first = min(max(0, p - offset - slack), len(ids) - size)
                 last = min(max(0, p - offset + slack), len(ids) - size)
                 starts.setdefault(size, set()).update(range(first, last + 1))
-        best: dict[int, tuple[float, int, int, int]] = {}
         for size, places in starts.items():
             n, ordered, lo = size - SHINGLE + 1, np.array(sorted(places)), 0
             for group in np.split(ordered, np.flatnonzero(np.diff(ordered) > size) + 1):
@@ -150,26 +177,44 @@ class Index:
                             sim = self.similarity(codes[s : s + n], item)
                             if sim >= SIMILARITY and (-sim, s) < best.get(item, (2.0,))[:2]:
                                 best[item] = (-sim, s, size, d)
-        return [(k, s, size, -neg, d) for k, (neg, s, size, d) in sorted(best.items())]
 
 
-def parts(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The items in parts of about PART_BYTES; only one part is on the driver at a time."""
+def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[tuple[list[tuple[int, bytes]], int | None, dict[int, int] | None]]:
+    """The items in parts of about part_bytes, with the arguments of their index; the driver holds one part at a time."""
     items = benchmark.select("item_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-size // PART_BYTES)
+    n = -(-size // part_bytes)
+    total, spread = frequencies(items) if n > 1 else (None, None)
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield sorted(((r[0], bytes(r[1])) for r in part.collect()), key=lambda r: (r[0] is None, r))
+        yield sorted(((r[0], bytes(r[1])) for r in part.collect()), key=lambda r: (r[0] is None, r)), total, spread
+
+
+def frequencies(items: DataFrame) -> tuple[int, dict[int, int]]:
+    """The number of items with words, and of each shingle of two items or more the number of items that have it."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            found = [np.unique(shingle_codes(word_codes(w))) for t in b.column("text").to_pylist() if (w := words(t))]
+            code = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            first = np.zeros(len(code), np.int64)
+            first[np.cumsum([0, *map(len, found)])[:-1]] = 1
+            yield {"code": code, "first": first}
+
+    counted = mapped(items.select("text"), step, "code long, first long").groupBy("code").agg(F.count("*").alias("n"), F.sum("first").alias("first")).persist()
+    total = counted.agg(F.sum("first")).first()[0] or 0
+    spread = {r[0] % (1 << 64): r[1] for r in counted.where("n > 1").select("code", "n").collect()}
+    counted.unpersist()
+    return total, spread
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row per document and item that the document holds: the best window, its similarity and Hamming distance."""
     found = []
-    for items in parts(benchmark):
+    for part in parts(benchmark, part_bytes):
 
-        def step(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[dict]:
-            index = Index(items)
+        def step(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[dict]:
+            index = Index(*part)
             for b in batches:
                 out: dict[str, list] = {k.split()[0]: [] for k in SCHEMA.split(", ")}
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -182,12 +227,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents that hold no item, with the columns they came with: searched in place, without a join."""
-    for items in parts(benchmark):
+    for part in parts(benchmark, part_bytes):
 
-        def step(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+        def step(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            index = Index(*part)
             for b in batches:
                 yield b.filter(pa.array([not index.search((t or "").encode()) for t in b.column("text").to_pylist()], pa.bool_()))
 

@@ -229,6 +229,22 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_in_parts_as_at_once(spark):
+    r = random.Random(31)
+    common = [" ".join(f"c{r.randrange(400)}" for _ in range(12)) for _ in range(5)]
+    items = [" ".join([*(f"x{r.randrange(4000)}" for _ in range(20)), r.choice(common), *(f"x{r.randrange(4000)}" for _ in range(10))]) for _ in range(40)]
+    bench = spark.createDataFrame([*enumerate(items), (40, "three short words"), (41, ""), (42, None)], "item_id long, text string")
+    t = []
+    for x in items:
+        w = x.split()
+        w[r.choice([0, 1, 2, len(w) - 1])] = "edited"
+        t.append(" ".join(["before", *w, "and", r.choice(common)]))
+    docs = frame(spark, [*t, "here are Three short, words", "three short other words", *ODD])
+    once, apart = (sorted(tuple(x) for x in decontaminate.contaminated(docs, bench, n).collect()) for n in (10**9, 900))
+    assert once == apart and {x[:2] for x in once} >= {(i, i) for i in range(40)}
+    assert [x for x in once if x[1] > 39] == [(40, 40, 2, 3, 1.0, 0)]
+
+
 def test_index_guarantees_radius():
     r = random.Random(11)
     items = [(i, " ".join(f"x{r.randrange(500)}" for _ in range(30)).encode()) for i in range(20)]
