@@ -31,8 +31,15 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared folder; Spark deletes it when the session's JVM ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/galleon"
+    """A new folder in the cluster's shared folder; Spark deletes it when the session's JVM ends.
+
+    Only a local session may do without such a folder: its executors are this machine.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = f"file://{tempfile.gettempdir()}/galleon"
     path = f"{top.rstrip('/')}/galleon-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,10 +49,27 @@ def shared(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
+#: Spark removes a query's shuffle files when the query ends, where this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str, *parts: str) -> None:
+    """Writes the frame as Parquet. What it shuffled goes from the disks at once: nobody reads it again."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*parts).parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder: lineage is cut, and a lost executor costs nothing already written."""
     path = path or f"{shared(df.sparkSession)}/table"
-    df.write.options(**options).parquet(path)
+    stored(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

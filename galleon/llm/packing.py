@@ -43,18 +43,22 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     """Every document's pieces: doc_id, row (a number of its own for each row), piece, start, length, ids_crc32."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        enc = encoder(path, False, "I")
+        enc = encoder(path, False)
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-            found = enc.encode(t or "" for t in b.column("text").to_pylist())
-            for doc, row, ids in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), found, strict=True):
-                ids += END
-                for k, (start, n) in enumerate(cut(len(ids) // 4)):
-                    for key, v in zip(out, (doc, row, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])), strict=True):
+            ids, count = enc.encode(b.column("text").to_pylist())
+            data, at = memoryview(ids.astype("<u4", copy=False).tobytes()), 0
+            for doc, row, n in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), count.tolist(), strict=True):
+                pieces = cut(n + 1)
+                for k, (start, size) in enumerate(pieces):
+                    last = k == len(pieces) - 1  # the end id isn't among the encoder's
+                    crc = zlib.crc32(data[at + 4 * start : at + 4 * (start + size - last)])
+                    for key, v in zip(out, (doc, row, k, start, size, zlib.crc32(END, crc) if last else crc), strict=True):
                         out[key].append(v)
+                at += 4 * n
             yield out
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.monotonically_increasing_id().alias("row"))
     return mapped(rows, step, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 

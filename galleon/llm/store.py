@@ -5,30 +5,33 @@ give equal chunks wherever they stand. The store has two tables in the shared fo
 distinct chunk once under its BLAKE2b digest (16-bit little-endian ids), kind=ref says which chunk is which part of
 which document. `manifest`: in ascending doc_id order, for each document its recipe (the digests in order), its number
 of ids, its start among all ids and the Merkle root over the recipe. Reading back checks every chunk against its name
-and every recipe against its root, joins chunk facts to recipes and puts the checksums together; the ids themselves
-aren't dealt out a second time.
+and every recipe against its root, fetches the chunks of each recipe and puts the document's ids together again.
 
 Null and empty texts are the end id alone. Rows that share a doc_id, or have none, are stored each (null ids first).
-Texts of any length give chunks of at most LONGEST ids. Copies, however many, share their chunks, and a chunk's bytes
-leave a task once.
+Texts of any length give chunks of at most LONGEST ids. Copies, however many, share their chunks: a chunk's bytes
+leave a task once when they are stored, and uses of a chunk are asked for once by every USES of them, so a chunk that
+a third of all documents share is spread over many rows. The documents must come from a table: their rows are numbered
+once, while they are encoded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from galleon.llm.base import mapped, shared, table
+from galleon.llm.base import mapped, shared, stored, table
 from galleon.llm.tokens import encoder, vocabulary
 
-END, WINDOW, SHORTEST, MASK, LONGEST = (1).to_bytes(2, "little"), 8, 64, 255, 2048
+END, WINDOW, SHORTEST, MASK, LONGEST = 1, 8, 64, 255, 2048
 DIGEST = 16
+#: Uses of chunks that a task puts together before it asks for the chunks.
+USES = 1 << 16
 OBJECTS = "doc_id long, row long, seq int, n int, name binary, data binary, kind string"
 MANIFEST = "part int, doc_id long, row long, local long, n_tokens long, recipe binary, root binary"
 
@@ -41,50 +44,69 @@ def merkle(leaves: list[bytes]) -> bytes:
     """The root over the digests: pairs are hashed together, a last one without partner goes up as it is."""
     while len(leaves) > 1:
         leaves = [digest(b"".join(leaves[i : i + 2])) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-    return leaves[0]
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the rolling hash says so, at least SHORTEST and at most LONGEST ids apart."""
-    n, out, at = len(ids), [], 0
-    if n > SHORTEST:
-        h, k = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
-        while k < WINDOW:  # the hash of 2k ids from those of k
-            h = h[:-k] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % 2**64 | 1) + h[k:]
-            k *= 2
-        for end in (np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW).tolist():
-            while end - at > LONGEST:
-                at += LONGEST
-                out.append(at)
-            if end - at >= SHORTEST:
-                out.append(end)
-                at = end
-    while n - at > LONGEST:
-        at += LONGEST
-        out.append(at)
-    return out + [n] if not out or out[-1] < n else out
+    return leaves[0] if leaves else b""
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after a window of WINDOW ids whose rolling hash says that a chunk may end there, ascending."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
+    h, k = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1
+    while k < WINDOW:  # the hash of 2k ids from those of k
+        h = h[:-k] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % 2**64 | 1) + h[k:]
+        k *= 2
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
+
+
+def cuts(lo: int, hi: int, found: list[int]) -> list[int]:
+    """Ends of the chunks of the ids from lo to hi, given its marks: at least SHORTEST and at most LONGEST ids apart."""
+    out, at = [], lo
+    for end in (*found, hi):
+        while end - at > LONGEST:
+            at += LONGEST
+            out.append(at)
+        if end - at >= SHORTEST or end == hi > at:
+            out.append(end)
+            at = end
+    return out
+
+
+def with_ends(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' ids with the end id after each, and where each document ends."""
+    ends = np.cumsum(count + 1)
+    out = np.full(len(ids) + len(count), END, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, ends
 
 
 def chunked(docs: DataFrame, path: str) -> DataFrame:
     """A row per chunk of each document; a chunk's bytes come with its first row in a task only."""
+    names = ("doc_id", "row", "seq", "name", "n", "data")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        enc, sent = encoder(path, True, "H"), set()
+        enc, sent = encoder(path, True), set()
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "seq", "name", "n", "data")}
-            found = enc.encode(t or "" for t in b.column("text").to_pylist())
-            for doc, row, ids in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), found, strict=True):
-                ids, start = ids + END, 0
-                for seq, end in enumerate(cuts(np.frombuffer(ids, "<u2"))):
-                    data = ids[2 * start : 2 * end]
-                    name = digest(data)
-                    for key, v in zip(out, (doc, row, seq, name, end - start, None if name in sent else data), strict=True):
+            ids, ends = with_ends(*enc.encode(b.column("text").to_pylist()))
+            data, at = ids.astype("<u2", copy=False).tobytes(), marks(ids)
+            # windows that reach into the next document don't count
+            doc = np.searchsorted(ends, at - WINDOW, side="right")
+            at = at[at <= ends[doc]] if len(at) else at
+            split = np.split(at, np.searchsorted(at, ends[:-1], side="right")) if len(ends) else []
+            out: dict[str, list] = {k: [] for k in names}
+            start = 0
+            for doc, row, end, found in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), ends.tolist(), split, strict=True):
+                for seq, stop in enumerate(cuts(start, end, found.tolist())):
+                    chunk = data[2 * start : 2 * stop]
+                    name = digest(chunk)
+                    for key, v in zip(names, (doc, row, seq, name, stop - start, None if name in sent else chunk), strict=True):
                         out[key].append(v)
                     sent.add(name)
-                    start = end
+                    start = stop
             yield out
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.monotonically_increasing_id().alias("row"))
     return mapped(rows, step, "doc_id long, row long, seq int, name binary, n int, data binary")
 
 
@@ -95,7 +117,7 @@ def write_store(docs: DataFrame, path: str | None = None, folder: str | None = N
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Rows of one digest are in one partition: its bytes are kept the first time they come."""
+        """Rows that hold a digest's bytes are in one partition: its bytes are kept the first time they come."""
         kept = set()
         for b in batches:
             name, data = b.column("name").to_pylist(), b.column("data").to_pylist()
@@ -111,8 +133,10 @@ def write_store(docs: DataFrame, path: str | None = None, folder: str | None = N
                 "kind": ["ref"] * refs + ["chunk"] * len(new),
             }
 
-    rows = chunked(docs, path or vocabulary("word_bpe_49k.json")).repartition("name")
-    mapped(rows, once, OBJECTS).write.partitionBy("kind").parquet(f"{folder}/objects")
+    # bytes meet by their name, at most one row from each task; uses alone are spread by document
+    deal = F.when(F.col("data").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("name"))
+    rows = chunked(docs, path or vocabulary("word_bpe_49k.json")).repartition(deal)
+    stored(mapped(rows, once, OBJECTS), f"{folder}/objects", "kind")
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, at, key, names, n = TaskContext.get().partitionId(), 0, None, [], 0
@@ -140,84 +164,85 @@ def write_store(docs: DataFrame, path: str | None = None, folder: str | None = N
 
     refs = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'ref'").select("doc_id", "row", "seq", "name", "n")
     ordered = refs.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row", "seq")
-    mapped(ordered, recipes, MANIFEST).write.parquet(f"{folder}/manifest")
+    stored(mapped(ordered, recipes, MANIFEST), f"{folder}/manifest")
     return folder
 
 
-def shift_tables(bits: int = 40) -> np.ndarray:
-    """tables[k][j][x]: a checksum's byte j of value x carried over 2**k zero bytes."""
-    one = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        one = np.where(one & 1, (one >> 1) ^ np.uint32(0xEDB88320), one >> 1)
-    bit = np.array([1 << i for i in range(32)], np.uint32)
-    op = (bit >> 8) ^ one[bit & 255]  # what one zero byte makes of each bit
-    out = np.zeros((bits, 4, 256), np.uint32)
-    for k in range(bits):
-        for j in range(4):
-            for i in range(8):
-                out[k, j] ^= np.where((np.arange(256) >> i) & 1, op[8 * j + i], 0).astype(np.uint32)
-        op = carried(op, out[k])
-    return out
-
-
-def carried(v: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return t[0][v & 255] ^ t[1][(v >> 8) & 255] ^ t[2][(v >> 16) & 255] ^ t[3][v >> 24]
+def uses(manifest: DataFrame) -> DataFrame:
+    """(name, rows, seqs): which chunks the recipes name and where; recipes that don't fit their root are an error."""
 
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        asked: dict[bytes, tuple[list, list]] = {}
+        n = 0
 
-def combined(crc: np.ndarray, after: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Each checksum carried over the bytes that come after its part; their exclusive or is that of the whole."""
-    crc = crc.astype(np.uint32)
-    for k in range(len(tables)):
-        on = (after >> k) & 1 == 1
-        if on.any():
-            crc[on] = carried(crc[on], tables[k])
-        if not (after >> (k + 1)).any():
-            break
-    return crc
-
+        def told() -> dict:
+            return {"name": list(asked), "rows": [r for r, _ in asked.values()], "seqs": [s for _, s in asked.values()]}
 
-def read_store(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files, all of them verified."""
-    objects = spark.read.schema(OBJECTS).parquet(f"{folder}/objects")
+        for b in batches:
+            for row, recipe, root in zip(*(b.column(k).to_pylist() for k in ("row", "recipe", "root")), strict=True):
+                names = [recipe[i : i + DIGEST] for i in range(0, len(recipe), DIGEST)]
+                if merkle(names) != root:
+                    raise ValueError("a recipe doesn't fit its Merkle root")
+                for seq, name in enumerate(names):
+                    rows, seqs = asked.setdefault(name, ([], []))
+                    rows.append(row)
+                    seqs.append(seq)
+                n += len(names)
+                if n > USES:
+                    yield told()
+                    asked, n = {}, 0
+        yield told()
+
+    return mapped(manifest.select("row", "recipe", "root"), step, "name binary, rows array<long>, seqs array<int>")
+
+
+def rebuilt(spark, folder: str, of: Callable[[bytes], dict], schema: str) -> DataFrame:
+    """row, n (number of ids) and what `of` makes of each document's ids (16-bit little-endian), put together again."""
+    objects = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'chunk'").select("name", "data")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name, data = b.column("name").to_pylist(), b.column("data").to_pylist()
-            if any(digest(d) != k for k, d in zip(name, data, strict=True)):
+            if any(digest(d) != k for k, d in zip(b.column("name").to_pylist(), b.column("data").to_pylist(), strict=True)):
                 raise ValueError("a chunk isn't what its name says")
-            yield {"name": name, "crc": [zlib.crc32(np.frombuffer(d, "<u2").astype("<u4").tobytes()) for d in data], "size": [len(d) // 2 for d in data]}
-
-    chunks = mapped(objects.where("kind = 'chunk'").select("name", "data"), facts, "name binary, crc long, size int")
+            yield b
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            rows = list(zip(*(b.column(k).to_pylist() for k in ("row", "recipe", "root")), strict=True))
-            split = [[r[i : i + DIGEST] for i in range(0, len(r), DIGEST)] for _, r, _ in rows]
-            if any(merkle(s) != root for s, (_, _, root) in zip(split, rows, strict=True)):
-                raise ValueError("a recipe doesn't fit its Merkle root")
-            yield {"row": [r for (r, _, _), s in zip(rows, split, strict=True) for _ in s], "seq": [i for s in split for i in range(len(s))], "name": [k for s in split for k in s]}
-
-    uses = mapped(manifest.select("row", "recipe", "root"), opened, "row long, seq int, name binary")
+    chunks = objects.mapInArrow(named, "name binary, data binary")
     # a left join: a chunk that is missing shows as a null, not as a shorter document
-    parts = uses.join(chunks, "name", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "crc", "size"))).alias("parts"))
+    found = uses(manifest).hint("merge").join(chunks, "name", "left")
+    each = found.select(F.explode(F.arrays_zip("rows", "seqs")).alias("u"), "data").select("u.rows", "u.seqs", "data")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        tables = shift_tables()
+        last, held = None, []
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def closed(out: dict) -> None:
+            if last is not None:
+                ids = b"".join(held)
+                for k, v in ({"row": last, "n": len(ids) // 2} | of(ids)).items():
+                    out[k].append(v)
+
         for b in batches:
-            lists = b.column("parts")
-            flat, lens = lists.flatten(), np.diff(np.asarray(lists.offsets))
-            if flat.field("crc").null_count:
-                raise ValueError("a chunk is missing")
-            crc, size = np.asarray(flat.field("crc")).astype(np.uint32), np.asarray(flat.field("size")).astype(np.int64)
-            ends = np.cumsum(size)
-            at = np.concatenate(([0], np.cumsum(lens)))
-            doc_end = np.repeat(ends[at[1:] - 1], lens)
-            out = np.bitwise_xor.reduceat(combined(crc, 4 * (doc_end - ends), tables), at[:-1]) if len(lens) else np.zeros(0, np.uint32)
-            total = np.add.reduceat(size, at[:-1]) if len(lens) else size
-            yield {"row": b.column("row"), "ids_crc32": out.astype(np.int64), "found": total}
-
-    checks = mapped(parts, whole, "row long, ids_crc32 long, found long")
+            out: dict[str, list] = {k: [] for k in ("row", "n", *names)}
+            for row, data in zip(b.column("rows").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if data is None:
+                    raise ValueError("a chunk is missing")
+                if row != last:
+                    closed(out)
+                    last, held = row, []
+                held.append(data)
+            yield out
+        out = {k: [] for k in ("row", "n", *names)}
+        closed(out)
+        yield out
+
+    dealt = each.repartition("rows").sortWithinPartitions("rows", "seqs")
+    return mapped(dealt, whole, f"row long, n long, {schema}")
+
+
+def with_starts(spark, folder: str, found: DataFrame) -> DataFrame:
+    """The documents' rows with doc_id, start and n_tokens; a number of ids that isn't the manifest's is an error."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # one row per range partition: their totals give every partition's start
     totals = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     starts, at = [], 0  # an empty store has no totals
@@ -225,12 +250,23 @@ def read_store(spark, folder: str) -> DataFrame:
         starts.append((part, at))
         at += n
     base = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
-    return (
-        manifest.select("part", "doc_id", "row", "local", "n_tokens")
-        .join(base, "part")
-        .join(checks, "row")
-        .select("doc_id", (F.col("base") + F.col("local")).alias("start"), F.when(F.col("found") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document has lost ids")).cast("long")).alias("n_tokens"), "ids_crc32")
-    )
+    checked = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document has lost ids")).cast("long"))
+    rows = manifest.select("part", "doc_id", "row", "local", "n_tokens").join(base, "part").join(found, "row", "left")
+    return rows.select("doc_id", (F.col("base") + F.col("local")).alias("start"), checked.alias("n_tokens"), *[c for c in found.columns if c not in ("row", "n")])
+
+
+def documents(spark, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids (16-bit little-endian) of every document of the store."""
+    return with_starts(spark, folder, rebuilt(spark, folder, lambda ids: {"ids": ids}, "ids binary"))
+
+
+def wide_crc(ids: bytes) -> dict:
+    return {"ids_crc32": zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())}
+
+
+def read_store(spark, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from its rebuilt ids as 32-bit numbers."""
+    return with_starts(spark, folder, rebuilt(spark, folder, wide_crc, "ids_crc32 long"))
 
 
 def op7_token_store(spark, sf_dir: str) -> DataFrame:

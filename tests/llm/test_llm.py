@@ -423,13 +423,19 @@ def library(name):
 HARD = ["don't we'll I'VE 'x' it''s", "a  b\n\nc \t d ", "  lead", "x<|endoftext|>y <|ENDOFTEXT|>", "ÀÉß µº ½ 12a3 x²", "ẗ T̈ Σας ΑΣ", "tab\x1csep a\xa0b \x85", "word...!!%% $$ab*c", "日本語 text 漢字", "é É", "İI ıi"]
 
 
-@pytest.mark.parametrize("name,words,code", [("word_bpe_49k.json", True, "H"), ("byte_bpe_50k.json", False, "I")])
-def test_units(docs, name, words, code, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 200_000)
-    t, enc = library(name), tokens.Encoder(tokens.vocabulary(name), words, code)
+@pytest.mark.parametrize("part,memo", [(tokens.PART, tokens.MEMO), (700, 300)])
+@pytest.mark.parametrize("name,words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_units(docs, name, words, part, memo, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", part)
+    monkeypatch.setattr(tokens, "MEMO", memo)
+    t, enc, r = library(name), tokens.Encoder(tokens.vocabulary(name), words), random.Random(3)
     every = [*HARD, *[x or "" for x in ODD], *[x or "" for _, x in texts_of(docs)[:60]]]
-    for text, ids in zip(every, enc.encode(every), strict=True):
-        assert np.frombuffer(ids, f"<u{2 if words else 4}").tolist() == t.encode(text, add_special_tokens=False).ids, text[:80]
+    every += ["".join(r.choice("aB \n\t'.,1É×ßêÏsdmtl☃ ") for _ in range(r.randint(0, 60))) for _ in range(500)]
+    ids, count = enc.encode([x.encode() for x in every])
+    at = np.concatenate(([0], np.cumsum(count)))
+    assert at[-1] == len(ids) and len(enc.slots) == len(enc.size) and sum(enc.size) == len(enc.flat)
+    for text, a, b in zip(every, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids, text[:80]
 
 
 def test_store(spark, tmp_path):
@@ -437,32 +443,56 @@ def test_store(spark, tmp_path):
     ids = [*range(50, 50 + len(t) - 2), 3, 3]
     folder = store.write_store(frame(spark, t, ids), folder=f"file://{tmp_path}/s")
     got = sorted(tuple(x) for x in store.read_store(spark, folder).collect())
-    lib, at, want = library("word_bpe_49k.json"), 0, []
+    lib, at, want, whole = library("word_bpe_49k.json"), 0, [], []
     for i, x in sorted(zip(ids, t, strict=True), key=lambda p: (p[0], p[1] != t[-2])):
         e = np.array([*lib.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
         want.append((i, at, len(e), zlib.crc32(e.tobytes())))
+        whole.append((i, e.tolist()))
         at += len(e)
     key = lambda rows: sorted((d, n, c) for d, _, n, c in rows)
     assert key(got) == key(want) and [x for x in got if x[0] != 3] == [x for x in sorted(want) if x[0] != 3]
+    # every document's ids come back whole, whatever chunks it shares
+    back = store.documents(spark, folder).collect()
+    assert sorted((x["doc_id"], np.frombuffer(x["ids"], "<u2").tolist()) for x in back) == sorted(whole)
     chunks = spark.read.parquet(f"{folder}/objects").where("kind = 'chunk'")
     assert chunks.count() == chunks.select("name").distinct().count()
     assert store.read_store(spark, store.write_store(frame(spark, []), folder=f"file://{tmp_path}/e")).count() == 0
+    nulls = store.read_store(spark, store.write_store(frame(spark, ["a b", "c", None], [None, 4, None]), folder=f"file://{tmp_path}/n"))
+    assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in nulls.collect()) == [("4", 2), ("None", 1), ("None", 3)]
+
+
+def test_store_finds_damage(spark, tmp_path):
+    folder = store.write_store(frame(spark, [LONG, "b c d"]), folder=f"file://{tmp_path}/s")
+    objects = spark.read.schema(store.OBJECTS).parquet(f"{folder}/objects")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    chunk = F.col("kind") == "chunk"
+    last = objects.where(chunk).agg(F.max("name")).first()[0]
+    for k, (table, other) in enumerate([
+        (objects.withColumn("data", F.when(chunk & (F.col("name") == F.lit(last)), F.lit(bytearray(b"xx"))).otherwise(F.col("data"))), manifest),
+        (objects.where(~(chunk & (F.col("name") == F.lit(last)))), manifest),
+        (objects, manifest.withColumn("recipe", F.expr("substring(recipe, 1, length(recipe) - 16)"))),
+        (objects, manifest.withColumn("n_tokens", F.col("n_tokens") + 1)),
+    ]):
+        to = f"file://{tmp_path}/{k}"
+        table.write.partitionBy("kind").parquet(f"{to}/objects")
+        other.write.parquet(f"{to}/manifest")
+        with pytest.raises(Exception, match="chunk|recipe|lost|is missing"):
+            store.read_store(spark, to).collect()
 
 
 def test_store_pieces():
     r = np.random.default_rng(3)
-    tables = store.shift_tables()
-    parts = [r.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (1, 5, 300, 4096, 77)]
-    after = np.array([sum(map(len, parts[k + 1 :])) for k in range(len(parts))])
-    crc = store.combined(np.array([zlib.crc32(p) for p in parts], np.uint32), after, tables)
-    assert np.bitwise_xor.reduce(crc) == zlib.crc32(b"".join(parts))
     ids = r.integers(0, 49408, 20_000, dtype=np.uint16)
-    ends = store.cuts(ids)
-    assert ends[-1] == len(ids) and all(0 < b - a <= store.LONGEST for a, b in zip([0, *ends], ends, strict=False))
-    moved = {ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)}
-    other = np.concatenate((ids[:100], ids))
-    e2 = store.cuts(other)
-    assert len(moved & {other[a:b].tobytes() for a, b in zip([0, *e2], e2, strict=False)}) > len(moved) * 0.9
+
+    def chunks(x):
+        ends = store.cuts(0, len(x), store.marks(x).tolist())
+        assert ends[-1] == len(x) and all(0 < b - a <= store.LONGEST for a, b in zip([0, *ends], ends, strict=False))
+        assert all(b - a >= store.SHORTEST for a, b in zip([0, *ends], ends[:-1], strict=False))
+        return {x[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)}
+
+    own = chunks(ids)
+    assert len(own & chunks(np.concatenate((ids[:100], ids)))) > len(own) * 0.9
+    assert store.cuts(5, 5 + 5000, []) == [2053, 4101, 5005] and store.cuts(0, 1, []) == [1]
 
 
 def test_packing(spark):
