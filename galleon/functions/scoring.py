@@ -1,4 +1,4 @@
-"""Scorers: which table a score is in, its buckets A to E, and its map onto the 1-5 scale."""
+"""Scorers: which table a score is in, and its buckets E (lowest) to A."""
 
 from __future__ import annotations
 
@@ -7,18 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-UNSCORED = "UNSCORED"
-#: Half-open bucket edges. The top ones are closed by going a little over the domain.
-UNIT_BUCKETS = {"E": (0.0, 0.2), "D": (0.2, 0.4), "C": (0.4, 0.6), "B": (0.6, 0.8), "A": (0.8, 1.0001)}
-TEN_BUCKETS = {"E": (0.0, 2.0), "D": (2.0, 4.0), "C": (4.0, 6.0), "B": (6.0, 8.0), "A": (8.0, 10.001)}
+UNSCORED, LETTERS = "UNSCORED", "EDCBA"
+#: Edges of the half-open buckets, lowest first. The last one is a little over the domain, to close it.
+UNIT_EDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0001)
+TEN_EDGES = (0.0, 2.0, 4.0, 6.0, 8.0, 10.001)
 
 
 @dataclass(frozen=True)
 class Scorer:
     name: str
-    buckets: dict
-    scale: float = 4.0
-    offset: float = 1.0
+    edges: tuple[float, ...]
 
     @property
     def column(self) -> str:
@@ -31,24 +29,24 @@ class Scorer:
         side = waifu if self.name == "waifu" else aesthetic.where(F.col("scorer") == self.name)
         return posts.join(side.select(F.col("post_id").alias("id"), F.col("score").alias(self.column)), "id", "left")
 
-    def label(self) -> Column:
-        """The bucket of a score: the highest lower edge that it reaches; the lowest bucket takes the rest."""
-        c, ordered = F.col(self.column), sorted(self.buckets.items(), key=lambda b: -b[1][0])
-        out = F.when(c.isNull(), UNSCORED)
-        for name, (low, _) in ordered[:-1]:
-            out = out.when(c >= F.lit(low), name)
-        return out.otherwise(ordered[-1][0])
+    def bucket(self) -> Column:
+        """The letter of a score's bucket, by how many inner edges it reaches; scores beyond the ends count there."""
+        reached = sum(((F.col(self.column) >= F.lit(e)).cast("int") for e in self.edges[1:-1]), F.lit(1))
+        return F.coalesce(F.element_at(F.array(*map(F.lit, LETTERS)), reached), F.lit(UNSCORED))
 
     def levels(self, wanted: list[str]) -> Column | None:
         """Posts in any of the buckets; unknown names count for nothing, and None means no predicate is left."""
         c = F.col(self.column)
-        parts = [(c >= F.lit(self.buckets[n][0])) & (c < F.lit(self.buckets[n][1])) for n in wanted if n in self.buckets]
-        parts += [c.isNull()] * (UNSCORED in wanted)
+        inside = {x: (c >= F.lit(lo)) & (c < F.lit(hi)) for x, lo, hi in zip(LETTERS, self.edges, self.edges[1:], strict=False)}
+        inside[UNSCORED] = c.isNull()
+        parts = [inside[x] for x in wanted if x in inside]
         return reduce(Column.__or__, parts) if parts else None
 
-    def scaled(self) -> Column:
-        return F.col(self.column) * F.lit(self.scale) + F.lit(self.offset)
 
-
-WAIFU, SILVA, LUNA = Scorer("waifu", TEN_BUCKETS), Scorer("silva", UNIT_BUCKETS), Scorer("silva_luna", UNIT_BUCKETS)
+WAIFU, SILVA, LUNA = Scorer("waifu", TEN_EDGES), Scorer("silva", UNIT_EDGES), Scorer("silva_luna", UNIT_EDGES)
 SCORERS = {s.name: s for s in (WAIFU, SILVA, LUNA)}
+
+
+def in_stars(score: Column) -> Column:
+    """A score from 0 to 1 on the 1-5 scale of scores that are given by hand."""
+    return F.lit(1.0) + F.lit(4.0) * score

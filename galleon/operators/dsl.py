@@ -1,107 +1,89 @@
-"""The text form of a post filter: space-separated key:value terms, quotes, comparisons; what is left is search text."""
+"""Post filters written as text, such as: rating:>=2 score:5 tag:"long hair" ext:png silva:best beach
+
+A term is key:value or key:"some words", with a comparison before the value where the field is a scale. What isn't a
+term is search text; so is a term with an unknown key, which is refused as well. One regular expression finds the
+terms and a table says how each field reads its value, so this is a helper of one line of text and no query language.
+"""
 
 from __future__ import annotations
 
-import math
 import operator
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, replace
 
 from galleon.operators.filters import PostFilter
 
 #: Names of ratings, and of score levels with the bucket each stands for.
 RATINGS = {"unrated": 0, "none": 0, "general": 1, "g": 1, "safe": 1, "sensitive": 2, "s": 2, "questionable": 3, "q": 3, "explicit": 4, "e": 4}
-RATING_NAMES = ("unrated", "general", "sensitive", "questionable", "explicit")
 LEVELS = {"best": "A", "good": "B", "normal": "C", "bad": "D", "worst": "E"}
-COMPARE = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "": operator.eq}
-KEYS = {"rating": "rating", "r": "rating", "score": "score", "sc": "score", "tag": "tags", "t": "tags", "ext": "extension", "extension": "extension", "waifu": "waifu_score_levels", "silva": "silva_score_levels", "luna": "silva_luna_score_levels"}
-HIGHEST = {"rating": 4, "score": 5}
-
-
-@dataclass
-class Parsed:
-    rating: list[int] = field(default_factory=list)
-    score: list[int] = field(default_factory=list)
-    tags: list[str] = field(default_factory=list)
-    extension: list[str] = field(default_factory=list)
-    waifu_score_levels: list[str] = field(default_factory=list)
-    silva_score_levels: list[str] = field(default_factory=list)
-    silva_luna_score_levels: list[str] = field(default_factory=list)
-    text: str = ""
-    unknown: list[str] = field(default_factory=list)
-
-    def has_terms(self) -> bool:
-        return any(getattr(self, name) for name in set(KEYS.values()))
-
-    def to_filter(self) -> PostFilter:
-        """Level words become the buckets that the compiler knows."""
-        levels = {n: [LEVELS[v] for v in getattr(self, n)] for n in ("waifu_score_levels", "silva_score_levels", "silva_luna_score_levels")}
-        return PostFilter(self.rating, self.score, self.tags, self.extension, **levels)
-
-
-def tokens(text: str) -> list[str]:
-    """Split at white space outside quotes; the quotes go."""
-    out, now, quote = [], "", ""
-    for ch in text:
-        if quote:
-            quote, now = ("", now) if ch == quote else (quote, now + ch)
-        elif ch in "\"'":
-            quote = ch
-        elif not ch.isspace():
-            now += ch
-        elif now:
-            out.append(now)
-            now = ""
-    return out + [now] if now else out
-
-
-def number(text: str) -> float | None:
-    try:
-        n = float(text.strip() or 0)
-    except ValueError:
-        return None
-    return n if math.isfinite(n) else None
-
-
-def parse(text: str) -> Parsed:
-    found, free = Parsed(), []
-    for token in tokens(text):
-        head, colon, raw = token.partition(":")
-        if not (head and colon and raw):
-            free.append(token)
-            continue
-        name = KEYS.get(head.lower())
-        sign = next((o for o in (">=", "<=", ">", "<") if raw.startswith(o)), "")
-        value, new = raw[len(sign) :].strip() if sign else raw, None
-        if name in HIGHEST:
-            n = RATINGS.get(value.lower()) if name == "rating" else None
-            n = number(value) if n is None else n
-            new = None if n is None else [v for v in range(HIGHEST[name] + 1) if COMPARE[sign](v, n)]
-        elif name == "tags":
-            new = [value.replace(" ", "_")]
-        elif name == "extension":
-            new = [value.lower().removeprefix(".")]
-        elif name:
-            new = [value.lower()] if value.lower() in LEVELS else None
-        else:
-            free.append(token)  # unknown keys stay searchable
-        if new is None:
-            found.unknown.append(token)
+
+TERM = re.compile(r"""(?<!\S)([A-Za-z]+):(>=|<=|>|<|)(?:"([^"]+)"|'([^']+)'|([^\s"'<>=]\S*))(?!\S)""")
+HOLDS = {"": operator.eq, ">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt}
+
+
+def scale(top: int, names: dict[str, int] = {}):  # noqa: B006
+    """Reads a number or a name into all values from 0 to top that compare with it as written."""
+
+    def read(sign: str, value: str) -> list | None:
+        if value.lower() in names:
+            bound = names[value.lower()]
+        elif re.fullmatch(r"-?\d+(\.\d+)?", value):
+            bound = float(value)
         else:
-            have = getattr(found, name)
-            have.extend(v for v in new if v not in have)
-    found.text = " ".join(free).strip()
-    found.rating.sort()
-    found.score.sort()
-    return found
-
-
-def render(f: Parsed, text: str | None = None) -> str:
-    """The inverse of parse()."""
-    out = [f"rating:{RATING_NAMES[r] if 0 <= r < len(RATING_NAMES) else r}" for r in sorted(f.rating)]
-    out += [f"score:{s}" for s in sorted(f.score)]
-    out += [f'tag:"{t}"' if " " in t else f"tag:{t}" for t in f.tags]
-    out += [f"ext:{e}" for e in f.extension]
-    for key, name in (("waifu", "waifu_score_levels"), ("silva", "silva_score_levels"), ("luna", "silva_luna_score_levels")):
-        out += [f"{key}:{v}" for v in getattr(f, name)]
-    rest = (f.text if text is None else text).strip()
-    return " ".join([*out, rest] if rest else out)
+            return None
+        return [v for v in range(top + 1) if HOLDS[sign](v, bound)]
+
+    return read
+
+
+def level(sign: str, value: str) -> list | None:
+    bucket = LEVELS.get(value.lower())
+    return [bucket] if bucket else None
+
+
+#: Keys, the filter's field, how a value is read; the first key of a field is the one it is written with.
+FIELDS = [
+    (("rating", "r"), "rating", scale(4, RATINGS)),
+    (("score", "sc"), "score", scale(5)),
+    (("tag", "t"), "tags", lambda sign, value: [value.strip().replace(" ", "_")]),
+    (("ext", "extension"), "extension", lambda sign, value: [value.strip().lower().lstrip(".")]),
+    (("waifu",), "waifu_score_levels", level),
+    (("silva",), "silva_score_levels", level),
+    (("luna",), "silva_luna_score_levels", level),
+]
+READERS = {key: (field, read) for keys, field, read in FIELDS for key in keys}
+
+
+@dataclass(frozen=True)
+class Search:
+    """What a text asks for: a filter, words to look for, and the terms that couldn't be read."""
+
+    post: PostFilter
+    words: str = ""
+    refused: tuple[str, ...] = ()
+
+
+def read(text: str) -> Search:
+    """Values of repeated terms of a field add up; those of scales come in ascending order."""
+    values: dict[str, dict] = {}
+    refused: list[str] = []
+
+    def take(m: re.Match) -> str:
+        known = READERS.get(m[1].lower())
+        found = known[1](m[2], m[3] or m[4] or m[5]) if known else None
+        if found is None:
+            refused.append(m[0])
+            return "" if known else m[0]  # an unknown key may be a word of the text
+        values.setdefault(known[0], {}).update(dict.fromkeys(found))
+        return ""
+
+    words = " ".join(TERM.sub(take, text).split())
+    lists = {field: sorted(v) if field in ("rating", "score") else list(v) for field, v in values.items()}
+    return Search(replace(PostFilter(), **lists), words, tuple(refused))
+
+
+def write(search: Search) -> str:
+    """Text that reads as this search again, but for what was refused."""
+    spelled = {bucket: name for name, bucket in LEVELS.items()}
+    terms = [f"{keys[0]}:{spelled.get(v, v)}" for keys, field, _ in FIELDS for v in getattr(search.post, field)]
+    return " ".join([*terms, search.words]).strip()

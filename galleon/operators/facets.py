@@ -20,7 +20,7 @@ def count_by_column(lib, column: str, f: PostFilter) -> DataFrame:
 def count_by_bucket(lib, scorer: str, f: PostFilter) -> DataFrame:
     """Buckets without posts are absent."""
     s = SCORERS[scorer]
-    return s.join(apply_filter(lib, f), lib.waifu, lib.aesthetic).groupBy(s.label().alias("bucket")).agg(F.count("*").alias("n"))
+    return s.join(apply_filter(lib, f), lib.waifu, lib.aesthetic).groupBy(s.bucket().alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def facet_share(counts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from galleon.functions.columns import aspect_ratio, cosine, full_path, l2, match_probability, shuffle_key
-from galleon.functions.scoring import LUNA, SILVA, WAIFU
+from galleon.functions.scoring import LUNA, SILVA, WAIFU, in_stars
 from galleon.operators.filters import ORDERABLE, PostFilter, apply_filter, checked
 
 SIMPLE = ("id", "file_path", "file_name", "extension", "width", "height", "score", "rating")
@@ -15,7 +15,7 @@ GROUP_ORDER = ("artist", "copyright", "character", "general", "meta")
 
 def discrepancy() -> Column:
     """How far the model's score, on the 1-5 scale, is from the given one; null where either is unset."""
-    return F.when((F.col("score") >= 1) & F.col("silva_score").isNotNull(), F.abs(SILVA.scaled() - F.col("score")))
+    return F.when((F.col("score") >= 1) & F.col("silva_score").isNotNull(), F.abs(in_stars(F.col("silva_score")) - F.col("score")))
 
 
 def ordered(lib, posts: DataFrame, by: str = "id", direction: str = "desc") -> tuple[DataFrame, list[Column]]:

@@ -32,14 +32,14 @@ def test_scorers_join_once(lib):
     assert apply_filter(lib, PostFilter(waifu_score_levels=["nope"])).count() == apply_filter(lib, PostFilter()).count()
 
 
-def test_dsl():
-    p = dsl.parse('rating:g rating:>=3 score:<2 tag:"long hair" ext:.PNG silva:best waifu:nope foo:bar blue sky')
-    assert p.rating == [1, 3, 4] and p.score == [0, 1] and p.tags == ["long_hair"] and p.extension == ["png"]
-    assert p.silva_score_levels == ["best"] and p.unknown == ["waifu:nope", "foo:bar"] and p.text == "foo:bar blue sky"
-    assert p.to_filter().silva_score_levels == ["A"] and p.has_terms()
-    again = dsl.parse(dsl.render(p))
-    assert (again.rating, again.score, again.tags, again.text) == (p.rating, p.score, p.tags, p.text)
-    assert dsl.parse(":x y:").text == ":x y:" and not dsl.parse("").has_terms()
+def test_filter_text():
+    s = dsl.read('rating:g rating:>=3 score:<2 tag:"long hair" ext:.PNG silva:best waifu:nope foo:bar blue sky')
+    assert (s.post.rating, s.post.score, s.post.tags, s.post.extension) == ([1, 3, 4], [0, 1], ["long_hair"], ["png"])
+    assert s.post.silva_score_levels == ["A"] and s.refused == ("waifu:nope", "foo:bar") and s.words == "foo:bar blue sky"
+    again = dsl.read(dsl.write(s))
+    assert again.post == s.post and again.words == s.words
+    assert dsl.read(":x y:").words == ":x y:" and not dsl.read("").post.active()
+    assert dsl.read("score:>=4 rating:!2").post.score == [4, 5] and dsl.read("r:explicit").post.rating == [4]
 
 
 def test_paths_and_names(spark):
