@@ -6,7 +6,9 @@ shingles, weighted by how few items have them. Windows of an item's own size sli
 128 bits in BLOCKS blocks, so that RADIUS differing bits leave at least one block with one differing bit or none, and
 each block's table holds its items under their value and its one-bit neighbours. Items found are then compared with
 the window exactly, by weighted shingle similarity (sum of the smaller weights over the sum of the larger ones).
-Windows without any shingle of an item have similarity 0 and are passed over.
+A window can reach the similarity only if its shingles that the item has weigh SIMILARITY of the item together, and
+so only if it has one of the item's heaviest shingles, those without which the rest weighs less: windows that don't are
+passed over before they are hashed, whatever the order of their words.
 
 Items go to the tasks in parts of about PART_BYTES, one scan of the documents each. Weights are those of the whole
 benchmark in every part: a shingle of one item weighs as much as one of none, so beside its items a part gets only the
@@ -18,9 +20,10 @@ and documents are each reported. Whole texts are scanned, and no document meets
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +91,19 @@ class Index:
         self.unseen = math.log(1 + total) if total else 1.0
         self.weight = {k: math.log(1 + total / n) for k, n in spread.items() if n > 1}
         self.known = np.array(sorted({k for bag in self.bags for k in bag}), np.uint64)
-        self.where: dict[int, list[tuple[int, int]]] = {}
-        for k, c in enumerate(codes):
-            for at, code in enumerate(c.tolist()):
-                self.where.setdefault(code, []).append((k, at))
+        # an item's heaviest shingles: what is left beside them weighs less than SIMILARITY of it
+        self.heavy: dict[int, list[int]] = {}
+        self.own, self.mass = [np.unique(c) for c in codes], []
+        for k, bag in enumerate(self.bags):
+            parts = sorted(((self.weight.get(c, self.unseen) * n, c) for c, n in bag.items()), key=lambda x: (-x[0], x[1]))
+            mass = math.fsum(w for w, _ in parts)
+            self.mass.append(mass)
+            left = mass
+            for w, code in parts:
+                if left < SIMILARITY * mass * (1 - 1e-9):
+                    break
+                self.heavy.setdefault(code, []).append(k)
+                left -= w
         self.edges = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
         self.prints = [self.packed((self.weights(c)[:, None] * signs(c)).sum(0)) for c in codes]
         self.tables: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
@@ -155,17 +167,16 @@ class Index:
             return
         codes = shingle_codes(word_codes(ids))
         hit = codes[at]
-        at = at[self.known[np.minimum(np.searchsorted(self.known, hit), len(self.known) - 1)] == hit]
-        starts: dict[int, set[int]] = {}  # by window size
-        for p in at.tolist():
-            for item, offset in self.where[int(codes[p])]:
-                size = min(self.sizes[item], len(ids))
-                slack = max(2, size // 4)
-                first = min(max(0, p - offset - slack), len(ids) - size)
-                last = min(max(0, p - offset + slack), len(ids) - size)
-                starts.setdefault(size, set()).update(range(first, last + 1))
+        known = self.known[np.minimum(np.searchsorted(self.known, hit), len(self.known) - 1)] == hit
+        at, hit = at[known], hit[known]
+        starts: dict[int, list[np.ndarray]] = {}  # by window size
+        for item in sorted({k for c in set(hit.tolist()) for k in self.heavy.get(c, ()) if self.sizes[k] >= SHINGLE}):
+            size = min(self.sizes[item], len(ids))
+            found = self.enough(item, at, hit, size - SHINGLE + 1, len(codes))
+            if len(found):
+                starts.setdefault(size, []).append(found)
         for size, places in starts.items():
-            n, ordered, lo = size - SHINGLE + 1, np.array(sorted(places)), 0
+            n, ordered = size - SHINGLE + 1, np.unique(np.concatenate(places))
             for group in np.split(ordered, np.flatnonzero(np.diff(ordered) > size) + 1):
                 for lo in range(0, len(group), 4096):
                     some = group[lo : lo + 4096]
@@ -178,6 +189,34 @@ class Index:
                             if sim >= SIMILARITY and (-sim, s) < best.get(item, (2.0,))[:2]:
                                 best[item] = (-sim, s, size, d)
 
+    def enough(self, item: int, at: np.ndarray, hit: np.ndarray, n: int, most: int) -> np.ndarray:
+        """Starts of windows of n shingles in which the item's shingles, hit at these places, weigh enough for it."""
+        mine = self.own[item][np.minimum(np.searchsorted(self.own[item], hit), len(self.own[item]) - 1)] == hit
+        at, mass = at[mine], np.concatenate(([0.0], np.cumsum(self.weights(hit[mine]))))
+        out = []
+        for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > n) + 1):
+            s = np.arange(max(0, at[group[0]] - n + 1), min(at[group[-1]], most - n) + 1)
+            inside = mass[np.searchsorted(at, s + n)] - mass[np.searchsorted(at, s)]
+            out.append(s[inside >= SIMILARITY * self.mass[item] * (1 - 1e-9)])
+        return np.concatenate(out)
+
+
+#: The index that a worker made last, by its part's name: tasks of one query share it.
+_index: dict[str, Index] = {}
+
+
+def index_of(name: str, part) -> Index:
+    if name not in _index:
+        _index.clear()
+        _index[name] = Index(*part.value)
+    return _index[name]
+
+
+def shipped(docs: DataFrame, benchmark: DataFrame, part_bytes: int) -> Iterator[Callable[[], Index]]:
+    """For each part, what gives a task its index: a broadcast of the part's items, some part_bytes of text."""
+    for part in parts(benchmark, part_bytes):
+        yield partial(index_of, uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(part))
+
 
 def parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[tuple[list[tuple[int, bytes]], int | None, dict[int, int] | None]]:
     """The items in parts of about part_bytes, with the arguments of their index; the driver holds one part at a time."""
@@ -211,10 +250,10 @@ def frequencies(items: DataFrame) -> tuple[int, dict[int, int]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row per document and item that the document holds: the best window, its similarity and Hamming distance."""
     found = []
-    for part in parts(benchmark, part_bytes):
+    for made in shipped(docs, benchmark, part_bytes):
 
-        def step(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[dict]:
-            index = Index(*part)
+        def step(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[dict]:
+            index = made()
             for b in batches:
                 out: dict[str, list] = {k.split()[0]: [] for k in SCHEMA.split(", ")}
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -229,10 +268,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_B
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents that hold no item, with the columns they came with: searched in place, without a join."""
-    for part in parts(benchmark, part_bytes):
+    for made in shipped(docs, benchmark, part_bytes):
 
-        def step(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            index = Index(*part)
+        def step(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            index = made()
             for b in batches:
                 yield b.filter(pa.array([not index.search((t or "").encode()) for t in b.column("text").to_pylist()], pa.bool_()))
 

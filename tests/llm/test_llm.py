@@ -245,6 +245,46 @@ def test_decontaminate_in_parts_as_at_once(spark):
     assert [x for x in once if x[1] > 39] == [(40, 40, 2, 3, 1.0, 0)]
 
 
+def plain_contamination(text, items):
+    """Every window of every item, by the definition: (item, best similarity) where it is 0.8 or more."""
+    index = decontaminate.Index([(i, x.encode()) for i, x in enumerate(items)])
+    w = decontaminate.words(text.encode())
+    out = {}
+    for k, size in enumerate(index.sizes):
+        size = min(size, len(w))
+        codes = decontaminate.shingle_codes(decontaminate.word_codes(w)) if w else []
+        n = size - decontaminate.SHINGLE + 1
+        best = max((index.similarity(codes[s : s + n], k) for s in range(len(codes) - n + 1)), default=0.0) if n > 0 else 0.0
+        if best >= decontaminate.SIMILARITY:
+            out[k] = best
+    return out
+
+
+def test_decontaminate_finds_what_all_windows_have():
+    """Edited, shifted and rearranged items: the same as all windows have, and all of them within the radius."""
+    r = random.Random(44)
+    common = [f"c{r.randrange(60)}" for _ in range(14)]
+    items = [" ".join([*(f"x{r.randrange(900)}" for _ in range(r.randint(30, 70))), *common[: r.randint(0, 14)]]) for _ in range(24)]
+    index, far, seen = decontaminate.Index([(i, x.encode()) for i, x in enumerate(items)]), 0, 0
+    for _ in range(250):
+        w = r.choice(items).split()
+        kind = r.randrange(4)
+        if kind == 0:
+            w[r.randrange(len(w))] = "edited"
+        elif kind == 1:  # halves change places
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        elif kind == 2:
+            del w[: r.randint(0, 6)]
+        else:
+            at = r.randrange(len(w))
+            w[at:at] = ["put", "in"][: r.randint(1, 2)]
+        text = " ".join([*(f"b{r.randrange(50)}" for _ in range(r.randint(0, 40))), *w, *common[: r.randint(0, 14)], *(f"b{r.randrange(50)}" for _ in range(r.randint(0, 40)))])
+        got = index.search(text.encode())
+        assert {k: sim for k, _, _, sim, _ in got} == plain_contamination(text, items), text
+        far, seen = max([far, *(d for *_, d in got)]), seen + len(got)
+    assert seen > 100 and far <= decontaminate.RADIUS - 6
+
+
 def test_index_guarantees_radius():
     r = random.Random(11)
     items = [(i, " ".join(f"x{r.randrange(500)}" for _ in range(30)).encode()) for i in range(20)]
