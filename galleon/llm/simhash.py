@@ -9,9 +9,9 @@ the exact Hamming distance decides. Equal fingerprints are one node beforehand,
 spanning forest leaves it: never all pairs.
 
 The general operator for near copies works on the five-word shingle sets that decide: cells are bands of their smallest
-hashes, so the chance to meet depends on the similarity alone, not on where a copy was edited; a
-spanning forest of each cell (under the Hamming distance of the smallest hashes' low bits) is verified by the exact
-similarity of the sets, and where an edge fails, the cell's other pairs are too, unless verified edges connect them.
+hashes, so the chance to meet depends on the similarity alone, not on where a copy was edited. A sketch of 1,024 bits
+refutes most pairs of a cell, a spanning forest of the rest is verified by the exact similarity of the sets, and where
+an edge fails, the cell's other pairs are too, unless verified edges connect them.
 
 Null and empty texts have no shingles and the fingerprint zero. Rows that share a doc_id share a component when their
 fingerprints do; null ids come back as they are and never become a component's name unless no other id is in it.
@@ -25,7 +25,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from galleon.llm.base import LOWER, mapped, table, texts, written
 from galleon.llm.licenses import WORDS
@@ -165,147 +165,182 @@ def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: Similarity of five-word shingle sets from which on two documents are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Smallest hashes taken of each shingle set, and the cells: so many bands of so many of them. A pair at a similarity
-#: of 0.8 shares no cell with a probability of (1 - 0.8 ** 5) ** 20, or 0.04 %, whatever was edited.
-HASHES, BANDS, DEEP = 128, 20, 5
-#: Candidates differ in at most so many of the smallest hashes' 128 low bits: at 0.8 about 13 differ, and more than 28
-#: with a probability of about 0.002 %.
-FAR = 28
-#: Members of a cell up to which its links are a minimum spanning tree.
-CELL = 4096
-#: After each round of verification, members of a cell that are up to so many times further apart in it are compared.
-STRIDE = 8
+#: Cells: so many bands of so many smallest hashes. A pair at a similarity of 0.8 shares no cell with a probability of
+#: (1 - 0.8 ** 4) ** 15, or 0.04 %, whatever was edited.
+BANDS, DEEP = 15, 4
+#: Bins of the bit sketch: one bit of the smallest shingle code of each.
+BINS = 1024
+#: Members of a cell that one task gets at most; larger cells are cut into blocks. Members of all blocks of a cell.
+CELL, HUBS = 512, 8
+#: A node asks for so many more of its nearest others in each further round.
+FURTHER = 4
 
 
 _rng = np.random.default_rng(17)
-SALTS, ODDS = _rng.integers(0, 1 << 64, HASHES, np.uint64), _rng.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
+SALTS, ODDS = _rng.integers(0, 1 << 32, BANDS * DEEP, np.uint32), _rng.integers(0, 1 << 32, BANDS * DEEP, np.uint32) | np.uint32(1)
 POWERS = _rng.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
 
 
-def smallest(words: list[bytes]) -> np.ndarray | None:
-    """The smallest of each of HASHES hashes over the set of shingles; None if there are fewer words than a shingle has."""
+def sketched(words: list[bytes]) -> tuple[list[int], bytes, int]:
+    """The cells, the bit sketch and the size of the set of shingles; nothing if there are fewer words than a shingle has."""
     n = len(words) - SHINGLE + 1
     if n < 1:
-        return None
+        return [], b"", 0
     v = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     codes = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
         codes += (v[i : i + n] ^ v[i : i + n] >> np.uint64(29)) * POWERS[i]
-    codes = np.unique(codes ^ codes >> np.uint64(32))
-    best = np.full(HASHES, np.iinfo(np.uint64).max)
-    for lo in range(0, len(codes), 512):
-        h = (codes[lo : lo + 512, None] ^ SALTS) * ODDS
-        np.minimum(best, h.min(0), out=best)
-    return best
+    codes = np.unique((codes ^ codes >> np.uint64(32)) * POWERS[0])
+    best, small = np.full(BANDS * DEEP, np.iinfo(np.uint32).max), (codes >> np.uint64(16)).astype(np.uint32)
+    for lo in range(0, n, 1024):
+        np.minimum(best, ((small[lo : lo + 1024, None] ^ SALTS) * ODDS).min(0, initial=np.iinfo(np.uint32).max), out=best)
+    raw = best.tobytes()
+    cells = [xxhash.xxh3_64_intdigest(raw[4 * DEEP * k : 4 * DEEP * (k + 1)], seed=k) - (1 << 63) for k in range(BANDS)]
+    bins = (codes >> np.uint64(54)).astype(np.int64)  # codes ascend, so a bin's smallest comes first
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    bits = np.zeros(BINS, np.uint8)
+    bits[bins[first]] = codes[first] >> np.uint64(9) & np.uint64(1)
+    return cells, np.packbits(bits).tobytes(), len(codes)
+
+
+def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits that sketches of sets of these sizes have at most at a similarity of SIMILARITY.
+
+    Of the bins that the union fills, a share of 1 - SIMILARITY has another smallest code, and half of these another
+    bit. More than 4.5 standard deviations beyond that are met by about one pair in 300,000.
+    """
+    filled = BINS * (1 - np.exp(-(a + b) / ((1 + SIMILARITY) * BINS)))
+    share = (1 - SIMILARITY) / 2
+    return share * filled + 4.5 * np.sqrt(share * (1 - share) * filled) + 2
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """row, doc_id, a digest of the word sequence, the cells, and a low bit of each smallest hash in two longs.
+    """row, doc_id, a digest of the word sequence, the cells, the bit sketch and the number of shingles.
 
     Texts of fewer words than a shingle has get no cells: they are like equal sequences only, which are one node.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            same, cell, bits = [], [], np.zeros((b.num_rows, HASHES), np.uint8)
-            for i, text in enumerate(b.column("text").to_pylist()):
-                w = text.translate(WORDS).split()
-                same.append(xxhash.xxh3_128_digest(b" ".join(w)))
-                best = smallest(w)
-                if best is None:
-                    cell.append([])
-                    continue
-                bits[i] = best >> np.uint64(7) & np.uint64(1)
-                raw = best.tobytes()
-                cell.append([xxhash.xxh3_64_intdigest(raw[8 * DEEP * k : 8 * DEEP * (k + 1)], seed=k) - (1 << 63) for k in range(BANDS)])
-            packed = np.packbits(bits, axis=1).reshape(-1, 16).copy().view(np.int64)
-            yield {"row": b.column("row"), "doc_id": b.column("doc_id"), "same": same, "cells": cell, "low": packed[:, 0], "high": packed[:, 1]}
+            split = [t.translate(WORDS).split() for t in b.column("text").to_pylist()]
+            found = [sketched(w) for w in split]
+            yield {"row": b.column("row"), "doc_id": b.column("doc_id"), "same": [xxhash.xxh3_128_digest(b" ".join(w)) for w in split], "cells": [c for c, _, _ in found], "bits": [x for _, x, _ in found], "size": [n for _, _, n in found]}
+
+    return mapped(docs, step, "row long, doc_id long, same binary, cells array<long>, bits binary, size int")
+
+
+def members(nodes: DataFrame) -> DataFrame:
+    """(cell, row, blocks): the nodes of every cell that has several, and into how many blocks the cell is cut."""
+    placed = nodes.select("row", F.explode("cells").alias("cell"))
+    # counted before they meet, so a hot cell is one row here
+    several = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
+    return placed.hint("merge").join(several, "cell").select("cell", "row", "blocks")
+
 
-    return mapped(docs, step, "row long, doc_id long, same binary, cells array<long>, low long, high long")
+def unpacked(bits: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, BINS // 64)
 
 
-def group_cells(nodes: DataFrame) -> DataFrame:
-    """(cell, row, low, high): every node in its cells."""
-    return nodes.select("row", "low", "high", F.explode("cells").alias("cell")).select("cell", "row", "low", "high")
+def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by the key, and where the groups begin and end."""
+    left: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.asarray(b.column(key))
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or left and left[-1].column(key)[-1].as_py() != keys[0]:
+            yield edges_of(pa.Table.from_batches([*left, b.slice(0, last)]), key)
+            left = []
+        left.append(b.slice(last))
+    if left:
+        yield edges_of(pa.Table.from_batches(left), key)
+
 
+def edges_of(t: pa.Table, key: str) -> tuple[pa.Table, np.ndarray]:
+    t = t.combine_chunks()
+    k = np.asarray(t.column(key))
+    return t, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
 
-def nearest(row: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[int, int]]:
-    """Edges of a minimum spanning tree under the Hamming distance, without those longer than far. fp: (n, 2)."""
+
+def nearest(row: np.ndarray, bits: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest of the pairs within their limit, by distance as a share of it."""
     n = len(row)
-    best, by, todo, at, out = np.full(n, 999), np.zeros(n, int), np.ones(n, bool), 0, []
+    best, by, todo, at, out = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0, []
     todo[0] = False
     for _ in range(n - 1):
-        d = np.bitwise_count(fp ^ fp[at]).sum(1)
+        d = np.bitwise_count(bits ^ bits[at]).sum(1) / limit(size, size[at])
         closer = todo & (d < best)
         best[closer], by[closer] = d[closer], at
-        at = int(np.where(todo, best, 9999).argmin())
+        at = int(np.where(todo, best, np.inf).argmin())
+        if not todo[at]:
+            at = int(np.flatnonzero(todo)[0])
         todo[at] = False
-        if best[at] <= far:
+        if best[at] <= 1:
             out.append((int(row[at]), int(row[by[at]])))
     return out
 
 
-def forest(row: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of all pairs within far, for cells of any size: found nodes ask those not yet found."""
-    out, todo = [], np.arange(len(row))
-    while len(todo):
-        ask, todo = [int(todo[0])], todo[1:]
-        while ask and len(todo):
-            at = ask.pop()
-            near = np.bitwise_count(fp[todo] ^ fp[at]).sum(1) <= far
-            if near.any():
-                new = todo[near]
-                out += [(int(row[at]), int(x)) for x in row[new]]
-                ask += new.tolist()
-                todo = todo[~near]
-    return out
-
+def candidates(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (a, b, cell), a < b: a spanning forest of the pairs within their limit, of each block of each cell.
 
-def candidates(nodes: DataFrame, cell_size: int = CELL) -> DataFrame:
-    """Rows (a, b, cell), a < b: a spanning forest of each cell's pairs within FAR, of the nearest up to cell_size."""
+    Some members of a cell of several blocks, the same for all, stand in every block and tie the blocks together.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for cell, row, low, high in grouped(batches):
-            fp = np.stack((low, high), axis=1).view(np.uint64)
-            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-            first, size = edge[:-1], np.diff(edge)
-            two = first[size == 2]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1) <= FAR]
+        for t, at in grouped_rows(batches, "deal"):
+            row, cell, size, bits = np.asarray(t.column("row")), np.asarray(t.column("cell")), np.asarray(t.column("size")), unpacked(t.column("bits"))
+            first, n = at[:-1], np.diff(at)
+            two = first[n == 2]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) <= limit(size[two], size[two + 1])]
             a, b, c = row[two].tolist(), row[two + 1].tolist(), cell[two].tolist()
-            for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                for x, y in (nearest if n <= cell_size else forest)(row[lo : lo + n], fp[lo : lo + n], FAR):
+            for lo, m in zip(first[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+                for x, y in nearest(row[lo : lo + m], bits[lo : lo + m], size[lo : lo + m]):
                     a.append(x)
                     b.append(y)
                     c.append(int(cell[lo]))
-            if a:
-                a, b = np.array(a), np.array(b)
-                yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "cell": c}
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield {"a": np.minimum(a, b), "b": np.maximum(a, b), "cell": c}
 
-    dealt = group_cells(nodes).repartition("cell").sortWithinPartitions("cell", "low", "high", "row")
-    return mapped(dealt, step, "a long, b long, cell long")
+    blocked = held.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("row"), "row"))  # limited before it is dealt
+    hubs = blocked.where("blocks > 1").withColumn("place", place).where(F.col("place") <= HUBS)
+    others = hubs.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("b <> block").select("cell", "row", F.col("b").alias("block"))
+    every = blocked.select("cell", "row", "block").union(others).select("cell", "row", F.xxhash64("cell", "block").alias("deal"))
+    with_bits = every.hint("merge").join(nodes.select("row", "bits", "size"), "row")
+    return mapped(with_bits.repartition("deal").sortWithinPartitions("deal", "row"), step, "a long, b long, cell long")
 
 
-def apart(cells: DataFrame, least: int, most: int) -> DataFrame:
-    """Edges (a, b), a < b, with the components p and q of their ends: pairs of a cell within FAR, of two components,
-    whose places in the cell differ by least or more and less than most. cells: cell, row, low, high, component."""
+def apart(open_: DataFrame, least: int, most: int) -> DataFrame:
+    """Edges (a, b), a < b, with the components p and q of their ends: pairs of a cell within their limit, of two
+    components, where one is among the other's nearest from place `least` up to before `most`.
+
+    open_: cell, row, blocks, bits, size, component. Any two blocks of a cell meet once.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for cell, row, low, high, part in grouped(batches):
-            fp, found, held = np.stack((low, high), axis=1).view(np.uint64), [], 0
-            largest = int(np.unique(cell, return_counts=True)[1].max())
-            for gap in range(least, min(most, largest)):
-                at = np.flatnonzero((cell[:-gap] == cell[gap:]) & (part[:-gap] != part[gap:]))
-                at = at[np.bitwise_count(fp[at] ^ fp[at + gap]).sum(1) <= FAR]
-                found.append(np.stack((np.minimum(row[at], row[at + gap]), np.maximum(row[at], row[at + gap]), np.minimum(part[at], part[at + gap]), np.maximum(part[at], part[at + gap]))))
-                held += len(at)
-                if held > 1 << 18:
-                    yield dict(zip("abpq", np.concatenate(found, axis=1), strict=True))
-                    found, held = [], 0
-            if held:
-                yield dict(zip("abpq", np.concatenate(found, axis=1), strict=True))
-
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "low", "high", "row")
-    return mapped(dealt, step, "a long, b long, p long, q long").distinct()
+        for t, at in grouped_rows(batches, "deal"):
+            row, part, side, size, bits = *(np.asarray(t.column(k)) for k in ("row", "component", "side", "size")), unpacked(t.column("bits"))
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if (part[lo:hi] == part[lo]).all():
+                    continue
+                one = side[lo:hi] < 2  # 0: all against all, 1 against 2
+                x = np.arange(lo, hi)[one]
+                y = x if (side[lo:hi] == 0).all() else np.arange(lo, hi)[~one]
+                for i in x.tolist() if len(y) else ():
+                    d = np.bitwise_count(bits[y] ^ bits[i]).sum(1) / limit(size[y], size[i])
+                    near = y[(d <= 1) & (y != i)]
+                    if len(near) > least:
+                        near = near[np.lexsort((row[near], d[(d <= 1) & (y != i)]))][least:most]
+                        near = near[part[near] != part[i]]
+                        if len(near):
+                            yield {"a": np.minimum(row[i], row[near]), "b": np.maximum(row[i], row[near]), "p": np.full(len(near), part[i]), "q": part[near]}
+
+    block = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")
+    pairs = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("int")
+    dealt = pairs.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("deal"), "row", side.alias("side"), "component", "size", "bits")
+    return mapped(dealt.repartition("deal").sortWithinPartitions("deal", "row"), step, "a long, b long, p long, q long").distinct()
 
 
 def word_shingles(text: bytes) -> set[bytes]:
@@ -339,40 +374,39 @@ def verified(edges: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
     return mapped(both.select("a", "b", "x", "y"), step, "a long, b long")
 
 
-def linked_copies(nodes: DataFrame, text: DataFrame, similarity: float, cell_size: int = CELL) -> DataFrame:
-    """(id, component) of all nodes with a near copy: every pair of a cell within FAR is connected by verified edges,
-    or has been compared and refuted.
+def linked_copies(nodes: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) of all nodes with a near copy: every pair of a cell within its limit is connected by verified
+    edges, or has been compared and refuted.
 
-    Each cell's spanning forest is verified first. Where an edge of it fails, the pairs of different components are
-    verified too, those STRIDE times further apart in the cell's order after each round, until all have been.
+    Each block's spanning forest is verified first: if its edges hold, all its pairs within the limit are connected.
+    Cells where an edge fails, and those of several blocks, are gone through again: every node asks for its nearest
+    others of different components, for more of them in each round, until none is left to be asked for.
     """
-    found = written(candidates(nodes, cell_size))
+    held = written(members(nodes))
+    found = written(candidates(held, nodes))
     pairs = found.select("a", "b").distinct()
-    own = ends_of(pairs, text)
-    good = written(verified(pairs, own, similarity))
+    good = written(verified(pairs, ends_of(pairs, text), similarity))
     parts = written(connected_components(good, written))
-    # a cell of two has no pair but its edge; ends of edges are all that can be within FAR of another
-    failed = found.join(good.hint("merge"), ["a", "b"], "left_anti").select("cell").distinct()
-    ends = found.hint("merge").join(failed.hint("merge"), "cell", "left_semi").select("cell", F.explode(F.array("a", "b")).alias("row")).distinct()
-    larger = ends.groupBy("cell").agg(F.count("*").alias("n")).where("n > 2")
-    ends = written(ends.hint("merge").join(larger.hint("merge"), "cell"))
-    most = ends.agg(F.max("n")).first()[0] or 0
-    if not most:
-        return parts
-    open_ = ends.hint("merge").join(nodes.select("row", "low", "high"), "row")
-    open_ = open_.hint("merge").join(parts.withColumnRenamed("id", "row"), "row", "left")
-    open_ = written(open_.select("cell", "row", "low", "high", F.coalesce("component", "row").alias("component")))
-    least, more = 1, []
-    while least < most:
-        tried = written(apart(open_, least, least * STRIDE))
-        least *= STRIDE
-        new = written(verified(tried.select("a", "b"), own, similarity))
+    failed = found.join(good.hint("merge"), ["a", "b"], "left_anti").select("cell").union(held.where("blocks > 1").select("cell")).distinct()
+    named = parts.select(F.col("id").alias("row"), "component").hint("merge")
+    open_ = written(held.join(failed.hint("merge"), "cell", "left_semi").join(named, "row", "left").select("cell", "row", "blocks", F.coalesce("component", "row").alias("component")))
+    least, most, more = 0, 1, []
+    while True:
+        mixed = open_.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        mixed = written(mixed.select("cell", "n"))
+        if least >= (mixed.agg(F.max("n")).first()[0] or 0):
+            break
+        asked = open_.hint("merge").join(mixed.select("cell"), "cell", "left_semi").hint("merge").join(nodes.select("row", "bits", "size"), "row")
+        tried = written(apart(asked, least, most))
+        least, most = most, most + most * FURTHER
+        new = tried.select("a", "b").distinct()
+        new = written(verified(new, ends_of(new, text), similarity))
         if new.isEmpty():
             continue
         more.append(new)
-        between = tried.hint("merge").join(new.hint("merge"), ["a", "b"], "left_semi").select(F.col("p").alias("a"), F.col("q").alias("b"))
+        between = tried.join(new.hint("merge"), ["a", "b"], "left_semi").select(F.col("p").alias("a"), F.col("q").alias("b"))
         moved = connected_components(between, written).select(F.col("id").alias("component"), F.col("component").alias("now"))
-        open_ = written(open_.hint("merge").join(moved.hint("merge"), "component", "left").select("cell", "row", "low", "high", F.coalesce("now", "component").alias("component")))
+        open_ = written(open_.join(moved.hint("merge"), "component", "left").select("cell", "row", "blocks", F.coalesce("now", "component").alias("component")))
     if not more:
         return parts
     known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -388,7 +422,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     found = written(sketch(text))
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")
-    nodes = written(found.groupBy("same").agg(F.min(place).alias("place"), F.min("cells").alias("cells"), F.min("low").alias("low"), F.min("high").alias("high")).select("same", "place", F.col("place.row").alias("row"), "cells", "low", "high"))
+    nodes = written(found.groupBy("same").agg(F.min(place).alias("place"), F.min("cells").alias("cells"), F.min("bits").alias("bits"), F.min("size").alias("size")).select("same", "place", F.col("place.row").alias("row"), "cells", "bits", "size"))
     parts = linked_copies(nodes, text, similarity)
     named = nodes.join(parts, nodes["row"] == parts["id"], "left").select("same", "place", F.coalesce("component", "row").alias("component"))
     firsts = named.groupBy("component").agg(F.min("place").alias("least"))
@@ -397,6 +431,18 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without those that are copies or near copies of an earlier one: one of each group stays."""
-    gone = written(copy_groups(docs, similarity).where(F.col("row") != F.col("first")).select(F.col("row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("merge"), "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The documents without those that are copies or near copies of an earlier one: one of each group stays.
+
+    The columns come back as they were, whatever their names; docs is read three times, in the same order, as a table is.
+    """
+    number = unused(docs)
+    gone = written(copy_groups(docs, similarity).where(F.col("row") != F.col("first")).select(F.col("row").alias(number)))
+    return docs.withColumn(number, F.monotonically_increasing_id()).join(gone.hint("merge"), number, "left_anti").drop(number)
+
+
+def unused(docs: DataFrame) -> str:
+    """A column name that the frame hasn't got."""
+    name = "row_number"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -154,6 +154,8 @@ def test_copies(spark):
     assert kept.columns == frame(spark, t).columns
     assert sorted(x["doc_id"] for x in kept.collect()) == want
     assert simhash.drop_copies(frame(spark, [])).count() == 0
+    clash = frame(spark, ["a b", "c", "A  b"]).withColumn("Row_Number", F.col("doc_id") * 2).withColumn("__row", F.lit("x"))
+    assert sorted(tuple(x) for x in simhash.drop_copies(clash).select("doc_id", "Row_Number", "__row").collect()) == [(0, 0, "x"), (1, 2, "x")]
 
 
 def test_copies_with_edited_blocks(spark):
@@ -171,30 +173,61 @@ def test_copies_with_edited_blocks(spark):
     assert set(range(0, len(t), 4)) <= kept and len(kept & set(near)) <= 0.01 * len(near)
 
 
+def test_copies_against_all_pairs(spark, monkeypatch):
+    """Components of all pairs at 0.8: groups of hundreds of near copies, chains, and unrelated texts with a common passage."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    edited = lambda w, k: [word() if i in s else x for s in [set(r.sample(range(len(w)), k))] for i, x in enumerate(w)]
+    common = [word() for _ in range(150)]
+    base_text = [word() for _ in range(240)]
+    t = [edited(base_text, r.randint(1, 6)) for _ in range(120)]
+    t += [[word() for _ in range(60)] + common + [word() for _ in range(40)] for _ in range(60)]  # 0.4 alike
+    for _ in range(6):  # chains: each is like the one before it
+        w = [word() for _ in range(200)]
+        for _ in range(8):
+            t.append(w)
+            w = w[:-15] + [word() for _ in range(15)]
+    text = [" ".join(w) for w in t]
+    sets = [simhash.word_shingles(x.encode()) for x in text]
+    f = simhash.Forest(len(t))
+    for i in range(len(t)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                f.join(i, j)
+    want = [f.top(i) for i in range(len(t))]
+    for cell in (512, 20):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        got = simhash.copy_groups(frame(spark, text)).orderBy("doc_id").collect()
+        first = {x["row"]: x["doc_id"] for x in got}
+        found = [first[x["first"]] for x in got]
+        assert all(want[i] == want[k] for i, k in enumerate(found))  # no link that isn't one
+        assert sum(want[i] == i for i in range(len(t))) >= len(set(found)) * 0.99
+
+
 def test_copies_beside_reordered_ones(spark):
     """X and its near copies meet, though reordered texts with the same lines stand between them in every cell."""
-    docs = [(k, f"text {k}") for k in range(4)]
     text = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(300))), (1, " ".join(f"v{i}" for i in range(300))), (2, " ".join(f"w{i}" for i in [*range(290), *range(400, 410)])), (3, "v0 v1")], "row long, text string")
     text = text.select("row", F.col("text").cast("binary").alias("text"))
     # distances 0-1: 1, 1-2: 1, 0-2: 2; the tree is 0-1-2, both edges fail, 0-2 passes
-    nodes = spark.createDataFrame([(k, [5], (0, 1, 3, 7)[k], 0) for k, _ in docs], "row long, cells array<long>, low long, high long")
-    for size in (simhash.CELL, 1):
-        got = {r["id"]: r["component"] for r in simhash.linked_copies(nodes, text, 0.8, size).collect()}
-        assert got == {0: 0, 2: 0}
-
-
-def test_forest_of_large_cells():
-    rng = np.random.default_rng(2)
-    fp = rng.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
-    fp = np.concatenate((fp, fp ^ np.uint64(1 << 62), fp ^ np.array([1 << 61, 1 << 60], np.uint64)))
-    row, edges = np.arange(len(fp)), simhash.Forest(len(fp))
-    for x, y in simhash.forest(row, fp, 2):
-        assert edges.join(x, y)
-    want = simhash.Forest(len(fp))
-    for i in range(len(fp)):
-        for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]).sum(1) <= 2).tolist():
-            want.join(i, j)
-    assert [edges.top(i) for i in row] == [want.top(i) for i in row]
+    bits = [np.packbits([i < k for i in range(simhash.BINS)]).tobytes() for k in (0, 1, 2, 3)]
+    bits[2] = bytes([0x40 | bits[1][0] & 0x80, *bits[1][1:]])
+    nodes = spark.createDataFrame([(k, [5], bytearray(bits[k]), 300) for k in range(4)], "row long, cells array<long>, bits binary, size int")
+    got = {r["id"]: r["component"] for r in simhash.linked_copies(nodes, text, 0.8).collect()}
+    assert got == {0: 0, 2: 0}
+
+
+def test_sketches_keep_near_sets_within_their_limit():
+    r, far = random.Random(6), 0
+    for n in (30, 100, 500, 3000):
+        for _ in range(60):
+            w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            other = [*w[: n - n // 10], *(f"v{r.randrange(10**6)}" for _ in range(n // 10))]
+            (_, a, x), (_, b, y) = simhash.sketched([z.encode() for z in w]), simhash.sketched([z.encode() for z in other])
+            d = sum((p ^ q).bit_count() for p, q in zip(a, b, strict=True))
+            assert d <= simhash.limit(np.array(x), np.array(y))
+            far += d
+    assert far > 1000 and simhash.sketched([b"a"] * 4) == ([], b"", 0)
 
 
 # --- 3 -------------------------------------------------------------------------------------------------------------
