@@ -53,14 +53,20 @@ def shared(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, path: str, *parts: str) -> None:
-    """Writes the frame as Parquet. What it shuffled goes from the disks at once: nobody reads it again."""
+def stored(df: DataFrame, path: str, *parts: str, buckets: tuple[int, str] | None = None) -> None:
+    """Writes the frame as Parquet, in buckets of a column if asked. What it shuffled goes from the disks at once:
+    nobody reads it again."""
     spark = df.sparkSession
     before = spark.conf.get(CLEANUP, None)
     if before is not None:
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.partitionBy(*parts).parquet(path)
+        if buckets:  # Spark writes buckets of tables only; the table's name goes, its files stay
+            name = f"stored_{uuid.uuid4().hex}"
+            df.write.partitionBy(*parts).bucketBy(*buckets).format("parquet").option("path", path).saveAsTable(name)
+            spark.sql(f"DROP TABLE {name}")
+        else:
+            df.write.partitionBy(*parts).parquet(path)
     finally:
         if before is not None:
             spark.conf.set(CLEANUP, before)

@@ -1,11 +1,11 @@
 """Token ids in a content-addressed store.
 
 Every document's ids, with the end id 1, are cut into chunks by a rolling hash of WINDOW ids, so that equal passages
-give equal chunks wherever they stand. The store has two tables in the shared folder. `objects`: kind=chunk holds each
-distinct chunk once under its BLAKE2b digest (16-bit little-endian ids), kind=ref says which chunk is which part of
-which document. `manifest`: in ascending doc_id order, for each document its recipe (the digests in order), its number
-of ids, its start among all ids and the Merkle root over the recipe. Reading back checks every chunk against its name
-and every recipe against its root, fetches the chunks of each recipe and puts the document's ids together again.
+give equal chunks wherever they stand. The store has two tables in the shared folder. `objects` holds each distinct
+chunk once under its BLAKE2b digest (16-bit little-endian ids), in buckets by digest. `manifest` holds, in ascending
+doc_id order, for each document its recipe (the digests in order), its number of ids, its start among all ids and the
+Merkle root over the recipe. Reading back checks every recipe against its root and every chunk it uses against its
+name, fetches the chunks of each recipe and puts the document's ids together again.
 
 Null and empty texts are the end id alone. Rows that share a doc_id, or have none, are stored each (null ids first).
 Texts of any length give chunks of at most LONGEST ids. Copies, however many, share their chunks: a chunk's bytes
@@ -17,6 +17,7 @@ once, while they are encoded.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,7 @@ END, WINDOW, SHORTEST, MASK, LONGEST = 1, 8, 64, 255, 2048
 DIGEST = 16
 #: Uses of chunks that a task puts together before it asks for the chunks.
 USES = 1 << 16
-OBJECTS = "doc_id long, row long, seq int, n int, name binary, data binary, kind string"
+STAGED = "kind string, name binary, data binary, doc_id long, row long, n_tokens long, recipe binary, root binary"
 MANIFEST = "part int, doc_id long, row long, local long, n_tokens long, recipe binary, root binary"
 
 
@@ -82,8 +83,7 @@ def with_ends(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def chunked(docs: DataFrame, path: str) -> DataFrame:
-    """A row per chunk of each document; a chunk's bytes come with its first row in a task only."""
-    names = ("doc_id", "row", "seq", "name", "n", "data")
+    """kind=chunk: a row per chunk that is new in its task; kind=doc: a row per document with its recipe and root."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc, sent = encoder(path, True), set()
@@ -94,20 +94,27 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
             doc = np.searchsorted(ends, at - WINDOW, side="right")
             at = at[at <= ends[doc]] if len(at) else at
             split = np.split(at, np.searchsorted(at, ends[:-1], side="right")) if len(ends) else []
-            out: dict[str, list] = {k: [] for k in names}
-            start = 0
-            for doc, row, end, found in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), ends.tolist(), split, strict=True):
-                for seq, stop in enumerate(cuts(start, end, found.tolist())):
+            names, chunks, recipes, roots, start = [], [], [], [], 0
+            for end, found in zip(ends.tolist(), split, strict=True):
+                recipe = []
+                for stop in cuts(start, end, found.tolist()):
                     chunk = data[2 * start : 2 * stop]
                     name = digest(chunk)
-                    for key, v in zip(names, (doc, row, seq, name, stop - start, None if name in sent else chunk), strict=True):
-                        out[key].append(v)
-                    sent.add(name)
+                    recipe.append(name)
+                    if name not in sent:
+                        sent.add(name)
+                        names.append(name)
+                        chunks.append(chunk)
                     start = stop
-            yield out
+                recipes.append(b"".join(recipe))
+                roots.append(merkle(recipe))
+            k, n = [None] * len(names), [None] * b.num_rows
+            yield {"kind": ["chunk"] * len(k), "name": names, "data": chunks} | dict.fromkeys(("doc_id", "row", "n_tokens", "recipe", "root"), k)
+            sizes = np.diff(ends, prepend=0)
+            yield {"kind": ["doc"] * len(n), "name": n, "data": n, "doc_id": b.column("doc_id"), "row": b.column("row"), "n_tokens": sizes, "recipe": recipes, "root": roots}
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return mapped(rows, step, "doc_id long, row long, seq int, name binary, n int, data binary")
+    return mapped(rows, step, STAGED)
 
 
 def write_store(docs: DataFrame, path: str | None = None, folder: str | None = None) -> str:
@@ -116,58 +123,44 @@ def write_store(docs: DataFrame, path: str | None = None, folder: str | None = N
     folder = folder or shared(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Rows that hold a digest's bytes are in one partition: its bytes are kept the first time they come."""
-        kept = set()
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one digest are in one partition: the first one of each is kept, and so is every document."""
+        kept: set = set()
         for b in batches:
-            name, data = b.column("name").to_pylist(), b.column("data").to_pylist()
-            new = []
-            for i, (k, d) in enumerate(zip(name, data, strict=True)):
-                if d is not None and k not in kept:
-                    kept.add(k)
-                    new.append(i)
-            refs = len(name)
-            yield {k: b.column(k).to_pylist() + [None] * len(new) for k in ("doc_id", "row", "seq", "n")} | {
-                "name": name + [name[i] for i in new],
-                "data": [None] * refs + [data[i] for i in new],
-                "kind": ["ref"] * refs + ["chunk"] * len(new),
-            }
-
-    # bytes meet by their name, at most one row from each task; uses alone are spread by document
-    deal = F.when(F.col("data").isNull(), F.xxhash64("row", "seq")).otherwise(F.xxhash64("name"))
-    rows = chunked(docs, path or vocabulary("word_bpe_49k.json")).repartition(deal)
-    stored(mapped(rows, once, OBJECTS), f"{folder}/objects", "kind")
-
-    def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        part, at, key, names, n = TaskContext.get().partitionId(), 0, None, [], 0
-        out: dict[str, list] = {k: [] for k in ("part", "doc_id", "row", "local", "n_tokens", "recipe", "root")}
-
-        def close() -> None:
-            nonlocal at
-            if key is not None:
-                for k, v in zip(out, (part, key[0], key[1], at, n, b"".join(names), merkle(names)), strict=True):
-                    out[k].append(v)
-                at += n
-
+            keep = []
+            for name in b.column("name").to_pylist():
+                keep.append(name is None or name not in kept)
+                kept.add(name)
+            yield b.filter(pa.array(keep))
+
+    # chunks meet by their names, at most one row from each task; documents are spread by their numbers
+    deal = F.coalesce("name", F.encode(F.col("row").cast("string"), "utf-8"))
+    staged = chunked(docs, path or vocabulary("word_bpe_49k.json")).withColumn("deal", deal).repartition(parts, "deal").drop("deal")
+    stored(staged.mapInArrow(once, STAGED), f"{folder}/staged", "kind", buckets=(parts, "name"))
+    spark.createDataFrame([(parts,)], "buckets int").coalesce(1).write.parquet(f"{folder}/shape")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            for doc, row, name, size in zip(*(b.column(k).to_pylist() for k in ("doc_id", "row", "name", "n")), strict=True):
-                if key != (doc, row):
-                    close()
-                    key, names, n = (doc, row), [], 0
-                names.append(name)
-                n += size
-            if len(out["part"]) > 5000:
-                yield out
-                out = {k: [] for k in out}
-        close()
-        yield out
-
-    refs = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'ref'").select("doc_id", "row", "seq", "name", "n")
-    ordered = refs.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row", "seq")
-    stored(mapped(ordered, recipes, MANIFEST), f"{folder}/manifest")
+            n = np.asarray(b.column("n_tokens"))
+            ends = at + np.cumsum(n)
+            yield {k: b.column(k) for k in ("doc_id", "row", "n_tokens", "recipe", "root")} | {"part": [part] * len(n), "local": ends - n}
+            at = int(ends[-1]) if len(ends) else at
+
+    found = spark.read.schema(STAGED).parquet(f"{folder}/staged").where("kind = 'doc'")
+    ordered = found.select("doc_id", "row", "n_tokens", "recipe", "root").repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    stored(mapped(ordered, numbered, MANIFEST), f"{folder}/manifest")
     return folder
 
 
+def objects(spark, folder: str) -> DataFrame:
+    """(name, data) of every chunk, known to Spark as dealt out by name: a join on it moves the other side only."""
+    n = spark.read.parquet(f"{folder}/shape").first()[0]
+    name = f"chunks_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (name BINARY, data BINARY) USING parquet CLUSTERED BY (name) INTO {n} BUCKETS LOCATION '{folder}/staged/kind=chunk'")
+    return spark.table(name)
+
+
 def uses(manifest: DataFrame) -> DataFrame:
     """(name, rows, seqs): which chunks the recipes name and where; recipes that don't fit their root are an error."""
 
@@ -198,19 +191,10 @@ def uses(manifest: DataFrame) -> DataFrame:
 
 def rebuilt(spark, folder: str, of: Callable[[bytes], dict], schema: str) -> DataFrame:
     """row, n (number of ids) and what `of` makes of each document's ids (16-bit little-endian), put together again."""
-    objects = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'chunk'").select("name", "data")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if any(digest(d) != k for k, d in zip(b.column("name").to_pylist(), b.column("data").to_pylist(), strict=True)):
-                raise ValueError("a chunk isn't what its name says")
-            yield b
-
-    chunks = objects.mapInArrow(named, "name binary, data binary")
     # a left join: a chunk that is missing shows as a null, not as a shorter document
-    found = uses(manifest).hint("merge").join(chunks, "name", "left")
-    each = found.select(F.explode(F.arrays_zip("rows", "seqs")).alias("u"), "data").select("u.rows", "u.seqs", "data")
+    found = uses(manifest).hint("merge").join(objects(spark, folder), "name", "left")
+    each = found.select(F.explode(F.arrays_zip("rows", "seqs")).alias("u"), "name", "data").select("u.rows", "u.seqs", "name", "data")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         last, held = None, []
@@ -224,9 +208,11 @@ def rebuilt(spark, folder: str, of: Callable[[bytes], dict], schema: str) -> Dat
 
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("row", "n", *names)}
-            for row, data in zip(b.column("rows").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for row, name, data in zip(*(b.column(k).to_pylist() for k in ("rows", "name", "data")), strict=True):
                 if data is None:
                     raise ValueError("a chunk is missing")
+                if digest(data) != name:
+                    raise ValueError("a chunk isn't what its name says")
                 if row != last:
                     closed(out)
                     last, held = row, []

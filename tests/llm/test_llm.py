@@ -559,30 +559,28 @@ def test_store(spark, tmp_path):
     # every document's ids come back whole, whatever chunks it shares
     back = store.documents(spark, folder).collect()
     assert sorted((x["doc_id"], np.frombuffer(x["ids"], "<u2").tolist()) for x in back) == sorted(whole)
-    chunks = spark.read.parquet(f"{folder}/objects").where("kind = 'chunk'")
+    chunks = store.objects(spark, folder)
+    assert "Exchange" not in chunks.groupBy("name").count()._jdf.queryExecution().executedPlan().toString()
     assert chunks.count() == chunks.select("name").distinct().count()
     assert store.read_store(spark, store.write_store(frame(spark, []), folder=f"file://{tmp_path}/e")).count() == 0
     nulls = store.read_store(spark, store.write_store(frame(spark, ["a b", "c", None], [None, 4, None]), folder=f"file://{tmp_path}/n"))
     assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in nulls.collect()) == [("4", 2), ("None", 1), ("None", 3)]
 
 
-def test_store_finds_damage(spark, tmp_path):
+def test_store_finds_damage(spark, tmp_path, monkeypatch):
     folder = store.write_store(frame(spark, [LONG, "b c d"]), folder=f"file://{tmp_path}/s")
-    objects = spark.read.schema(store.OBJECTS).parquet(f"{folder}/objects")
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    chunk = F.col("kind") == "chunk"
-    last = objects.where(chunk).agg(F.max("name")).first()[0]
+    chunks, manifest = store.objects(spark, folder), spark.read.parquet(f"{folder}/manifest")
+    last = F.col("name") == F.lit(chunks.agg(F.max("name")).first()[0])
     for k, (table, other) in enumerate([
-        (objects.withColumn("data", F.when(chunk & (F.col("name") == F.lit(last)), F.lit(bytearray(b"xx"))).otherwise(F.col("data"))), manifest),
-        (objects.where(~(chunk & (F.col("name") == F.lit(last)))), manifest),
-        (objects, manifest.withColumn("recipe", F.expr("substring(recipe, 1, length(recipe) - 16)"))),
-        (objects, manifest.withColumn("n_tokens", F.col("n_tokens") + 1)),
+        (chunks.withColumn("data", F.when(last, F.lit(bytearray(b"xx"))).otherwise(F.col("data"))), manifest),
+        (chunks.where(~last), manifest),
+        (chunks, manifest.withColumn("recipe", F.expr("substring(recipe, 1, length(recipe) - 16)"))),
+        (chunks, manifest.withColumn("n_tokens", F.col("n_tokens") + 1)),
     ]):
-        to = f"file://{tmp_path}/{k}"
-        table.write.partitionBy("kind").parquet(f"{to}/objects")
-        other.write.parquet(f"{to}/manifest")
+        other.write.parquet(f"file://{tmp_path}/{k}/manifest")
+        monkeypatch.setattr(store, "objects", lambda spark, folder, table=table: table)
         with pytest.raises(Exception, match="chunk|recipe|lost|is missing"):
-            store.read_store(spark, to).collect()
+            store.read_store(spark, f"file://{tmp_path}/{k}").collect()
 
 
 def test_store_pieces():
