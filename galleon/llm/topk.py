@@ -5,12 +5,14 @@ vectors; its k-th best product there is a threshold that every later answer must
 threshold, divided by the query's length and the bucket's longest vector, is a cosine. Above 1 the bucket is passed
 over whole. A high cosine gives narrow intervals for a vector's largest coordinates: only vectors inside them are
 verified (coordinate pruning). A lower one bounds a vector's length only (length pruning). What is left is verified by
-exact products. Queries travel in blocks, buckets as one row each; a block meets a bucket once.
-
-Components are floor(64 * x) in doubles; products are exact (a value of 2**20 or more is an error, since sums could
-pass what a double holds exactly). Vectors that are null, or hold null or non-finite components, and rows without a
-vec_id take no part. Shorter vectors count as if filled up with zeros. Rows with a query's vec_id are its own and no
-answers; of equal scores the smaller vec_id comes first. Fewer candidates than k: all of them.
+exact products. Queries travel in blocks, buckets as one row each; a block meets a bucket once, and only if some query of it
+can reach its threshold there: blocks and buckets are first paired without their matrices.
+
+Components are floor(64 * x). Products are exact for components of any size: where lengths say that a sum could pass
+what a double holds exactly, what may be among the answers is multiplied again in whole numbers. A score that no long
+holds is an error. Vectors that are null, or hold null or non-finite components, and rows without a vec_id take no
+part. Shorter vectors count as if filled up with zeros. Rows with a query's vec_id are its own and no answers; of
+equal scores the smaller vec_id comes first. Fewer candidates than k: all of them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from galleon.llm.base import mapped, table, written
 K, EVERY, BUCKET, BLOCK = 20, 20, 16_384, 1024
 #: From this cosine on the coordinate intervals prune more than they cost.
 NARROW, FOCUS = 0.8, 3
-LIMIT = float(1 << 20)
+#: Below this length times length all sums are exact in doubles.
+EXACT = float(1 << 53)
 
 ORACLE = """
 WITH v AS (
@@ -44,7 +47,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    """vec_id, row, norm and the floored components as bytes of 32-bit integers."""
+    """vec_id, row, norm and the floored components, as bytes of 32-bit integers or, if wide, of doubles."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = embeddings.select("vec_id", F.monotonically_increasing_id().alias("row"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
@@ -53,38 +56,51 @@ def vectors(embeddings: DataFrame) -> DataFrame:
         for b in batches:
             lists = b.column("x")
             v = np.floor(64 * np.asarray(lists.flatten(), np.float64))
-            if len(v) and np.abs(v).max() >= LIMIT:
-                raise ValueError("a component is too large for exact products")
+            if not np.isfinite(v).all():
+                raise OverflowError("64 times a component is beyond what a double holds")
             at = np.asarray(lists.offsets).astype(np.int64)
-            at = at - at[0]
-            squares = np.concatenate(([0.0], np.cumsum(v * v)))
-            yield {"vec_id": b.column("vec_id"), "row": b.column("row"), "norm": np.sqrt(squares[at[1:]] - squares[at[:-1]]), "x": [v[i:j].astype("<i4").tobytes() for i, j in zip(at, at[1:], strict=False)]}
+            spans = list(zip(at - at[0], at[1:] - at[0], strict=False))
+            wide = [bool(j > i and np.abs(v[i:j]).max() >= 1 << 31) for i, j in spans]
+            norm = [float(np.linalg.norm(v[i:j])) for i, j in spans]
+            yield {"vec_id": b.column("vec_id"), "row": b.column("row"), "norm": norm, "wide": wide, "x": [v[i:j].astype("<f8" if w else "<i4").tobytes() for (i, j), w in zip(spans, wide, strict=True)]}
 
-    return mapped(rows, step, "vec_id long, row long, norm double, x binary")
+    return mapped(rows, step, "vec_id long, row long, norm double, wide boolean, x binary")
 
 
-def stacked(rows: list[bytes], width: int) -> np.ndarray:
-    """The vectors as rows of doubles, filled up with zeros to the width."""
-    if all(len(r) == 4 * width for r in rows):
-        return np.frombuffer(b"".join(rows), "<i4").reshape(len(rows), width).astype(np.float64)
-    return np.array([np.pad(np.frombuffer(r, "<i4"), (0, width - len(r) // 4)) for r in rows], np.float64).reshape(len(rows), width)
+def stacked(rows: list[bytes], wide: list[bool]) -> np.ndarray:
+    """The vectors as rows of doubles, filled up with zeros to the longest of them."""
+    v = [np.frombuffer(r, "<f8" if w else "<i4") for r, w in zip(rows, wide, strict=True)]
+    out = np.zeros((len(v), max(map(len, v), default=0)))
+    for o, r in zip(out, v, strict=True):
+        o[: len(r)] = r
+    return out
 
 
 def blocks(rows: DataFrame, n: int, order: list) -> DataFrame:
-    """One row per range partition: bucket, width, ids, rows and the matrix, longest vectors first."""
+    """One row per range partition: bucket, width, longest, wide, ids, rows, norms and the matrix, in this order."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids, numbers, x = [], [], []
+        found: dict[str, list] = {k: [] for k in ("vec_id", "row", "norm", "wide", "x")}
         for b in batches:
-            ids += b.column("vec_id").to_pylist()
-            numbers += b.column("row").to_pylist()
-            x += b.column("x").to_pylist()
-        if ids:
-            width = max(len(r) for r in x) // 4
-            yield {"bucket": [TaskContext.get().partitionId()], "width": [width], "ids": [np.array(ids, "<i8").tobytes()], "rows": [np.array(numbers, "<i8").tobytes()], "m": [stacked(x, width).astype("<i4").tobytes()]}
+            for k, v in found.items():
+                v += b.column(k).to_pylist()
+        if found["row"]:
+            m, wide = stacked(found["x"], found["wide"]), any(found["wide"])
+            yield {
+                "bucket": [TaskContext.get().partitionId()], "width": [m.shape[1]], "longest": [max(found["norm"])], "wide": [wide],
+                "ids": [np.array(found["vec_id"], "<i8").tobytes()], "rows": [np.array(found["row"], "<i8").tobytes()], "norms": [np.array(found["norm"], "<f8").tobytes()], "m": [m.astype("<f8" if wide else "<i4").tobytes()],
+            }
 
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return mapped(dealt, step, "bucket int, width int, ids binary, rows binary, m binary")
+    return mapped(dealt, step, "bucket int, width int, longest double, wide boolean, ids binary, rows binary, norms binary, m binary")
+
+
+def matrix(m: bytes, wide: bool, n: int, width: int, most: int) -> np.ndarray:
+    """A block's matrix as doubles, filled up with zeros to `most` columns."""
+    out = np.zeros((n, most))
+    if width:
+        out[:, :width] = np.frombuffer(m, "<f8" if wide else "<i4").reshape(n, width)
+    return out
 
 
 def answers(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -100,15 +116,26 @@ def answers(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarr
     by_coordinate = [i for i in range(len(q)) if NARROW <= cosine[i] <= 1 + 1e-9]
 
     def take(i: int, at: np.ndarray, score: np.ndarray) -> None:
-        keep = (c_ids[at] != q_ids[i]) & (score >= floor[i])
+        # what rounding can add up to, where sums aren't exact
+        loose = 0.0 if q_len[i] * longest < EXACT else (q.shape[1] + 2) * 2.0**-52 * q_len[i] * longest
+        keep = (c_ids[at] != q_ids[i]) & (score >= floor[i] - loose)
         at, score = at[keep], score[keep]
         if len(at) > 4 * k:  # more than enough: all that reach the k-th best, ties included
-            cut = np.partition(score, len(score) - k)[len(score) - k]
+            cut = np.partition(score, len(score) - k)[len(score) - k] - 2 * loose
             at, score = at[score >= cut], score[score >= cut]
-        best = np.lexsort((c_ids[at], -score))[:k]
+        if loose:
+            whole = list(map(int, q[i]))
+            exact = [sum(a * int(b) for a, b in zip(whole, c[j], strict=True)) for j in at.tolist()]
+            best = sorted(range(len(at)), key=lambda j: (-exact[j], int(c_ids[at[j]])))[:k]
+            if any(not -(1 << 63) <= exact[j] < 1 << 63 for j in best):
+                raise OverflowError("a score is beyond what a long holds")
+            chosen = [exact[j] for j in best]
+        else:
+            best = np.lexsort((c_ids[at], -score))[:k]
+            chosen = score[best].astype(np.int64).tolist()
         out[0].extend([i] * len(best))
         out[1].extend(c_ids[at[best]].tolist())
-        out[2].extend(score[best].astype(np.int64).tolist())
+        out[2].extend(chosen)
 
     for lo in range(0, len(by_length), 128):
         some = by_length[lo : lo + 128]
@@ -136,49 +163,51 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, bucket: int = B
     many = -(-n // bucket)
     buckets = written(blocks(rows, many, [F.desc("norm"), "vec_id", "row"]))
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = written(blocks(asked, max(1, -(-asked.count() // BLOCK)), ["vec_id", "row"])).withColumnRenamed("bucket", "block").withColumnRenamed("ids", "q_ids").withColumnRenamed("rows", "q_rows").withColumnRenamed("m", "q_m").withColumnRenamed("width", "q_width")
+    queries = written(blocks(asked, max(1, -(-asked.count() // BLOCK)), ["vec_id", "row"]).select(F.col("bucket").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("width", "wide", "ids", "rows", "norms", "m")]))
     first = buckets.agg(F.min("bucket")).first()[0]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for r in b.to_pylist():
-                width = max(r["width"], r["q_width"])
-                matrix = lambda m, w: np.pad(np.frombuffer(m, "<i4").reshape(-1, w).astype(np.float64) if w else np.zeros((0, 0)), ((0, 0), (0, width - w)))  # noqa: E731, B023
-                q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                q = matrix(r["q_m"], r["q_width"]) if r["q_width"] else np.zeros((len(q_ids), width))
-                c = matrix(r["m"], r["width"]) if r["width"] else np.zeros((len(c_ids), width))
+                q_ids, c_ids, numbers = (np.frombuffer(r[c], "<i8") for c in ("q_ids", "ids", "q_rows"))
+                most = max(r["width"], r["q_width"])
+                q, c = matrix(r["q_m"], r["q_wide"], len(q_ids), r["q_width"], most), matrix(r["m"], r["wide"], len(c_ids), r["width"], most)
                 floor = np.frombuffer(r["floor"], "<f8") if r["floor"] else np.full(len(q_ids), -np.inf)
                 place, vec, score = answers(q_ids, q, floor, c_ids, c, k)
-                numbers = np.frombuffer(r["q_rows"], "<i8")
                 yield {"query_row": numbers[place], "query_id": q_ids[place], "vec_id": vec, "score": score}
 
     out = "query_row long, query_id long, vec_id long, score long"
     ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    # the first bucket is one row: the longest vectors
-    start = mapped(queries.withColumn("at", F.lit(first)).join(buckets, F.col("at") == F.col("bucket")).withColumn("floor", F.lit(None).cast("binary")), meet, out)
-    start = written(start)
+    # every block of queries meets the first bucket, that of the longest vectors: one row, of at most `bucket` vectors
+    longest = buckets.where(F.col("bucket") == first).join(F.broadcast(queries.agg(F.collect_set("block").alias("all")))).withColumn("block", F.explode("all")).drop("all")
+    start = written(mapped(queries.join(longest, "block").withColumn("floor", F.lit(None).cast("binary")), meet, out))
     floors = start.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
 
-    # a block's floors travel as one row beside it
-    spread = mapped(queries.select("block", "q_rows"), _opened, "block int, place int, query_row long")
-    lists = spread.join(floors, "query_row", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least")))).alias("f"))
-    floor = mapped(lists, _packed, "block int, floor binary")
-    others = queries.join(floor, "block").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).where(F.col("at") != first)
-    rest = mapped(others.join(buckets, F.col("at") == F.col("bucket")), meet, out)
+    # a block's floors travel as one row beside it; need: the shortest vector that any of its queries can do with
+    spread = mapped(queries.select("block", "q_rows", "q_norms"), _opened, "block int, place int, query_row long, norm double")
+    below = spread.join(floors, "query_row", "left").withColumn("least", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
+    need = F.when(F.col("norm") > 0, F.col("least") / F.col("norm")).when(F.col("least") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    lists = below.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("f"), F.min(need).alias("need"))
+    floor = written(mapped(lists, _packed, "block int, need double, floor binary"))
+    # which block meets which bucket is settled before any matrix moves
+    ahead = buckets.select("bucket", "longest")
+    pairs = floor.select("block", "need", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("bucket")).where(F.col("bucket") != first)
+    pairs = written(pairs.join(ahead, "bucket").where(F.col("need") <= F.col("longest") * (1 + 1e-9)).select("block", "bucket"))
+    rest = mapped(pairs.join(queries.join(floor.select("block", "floor"), "block"), "block").join(buckets, "bucket"), meet, out)
     best = start.union(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
-        for block, rows in zip(b.column("block").to_pylist(), b.column("q_rows").to_pylist(), strict=True):
+        for block, rows, norms in zip(*(b.column(c).to_pylist() for c in ("block", "q_rows", "q_norms")), strict=True):
             numbers = np.frombuffer(rows, "<i8")
-            yield {"block": [block] * len(numbers), "place": list(range(len(numbers))), "query_row": numbers}
+            yield {"block": [block] * len(numbers), "place": list(range(len(numbers))), "query_row": numbers, "norm": np.frombuffer(norms, "<f8")}
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
-        yield {"block": b.column("block"), "floor": [np.array([x["least"] for x in f], "<f8").tobytes() for f in b.column("f").to_pylist()]}
+        yield {"block": b.column("block"), "need": b.column("need"), "floor": [np.array([x["least"] for x in f], "<f8").tobytes() for f in b.column("f").to_pylist()]}
 
 
 def op8_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -642,6 +643,22 @@ def test_topk(spark, bucket):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Whole numbers decide where doubles round: beyond 2**53, and beside vectors of ordinary size."""
+    r = random.Random(9)
+    v = [(i, [r.choice([1.0, 2.0**16, 2.0**18]) * r.randint(1, 99), 20_000.0, float(r.randint(0, 3))]) for i in range(60)]
+    v += [(60, [3.0e6, 1.0, 0.25]), (61, [3.0e6, 1.0, 0.265625]), (62, [0.5, 1.0]), (63, [1.0, 2.0])]
+    got = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>"), bucket=8).collect())
+    fine = {i: [math.floor(64 * y) for y in x] + [0] * (3 - len(x)) for i, x in v}
+    want = []
+    for q in (i for i in fine if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(fine[q], fine[c], strict=True)), c) for c in fine if c != q)[:20]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want) and max(x[3] for x in got) > 1 << 55
+    with pytest.raises(Exception, match="long holds"):
+        topk.top_k(spark.createDataFrame([(0, [1e18]), (1, [1e18])], "vec_id long, embedding array<double>")).collect()
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
