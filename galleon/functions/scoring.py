@@ -32,7 +32,7 @@ class Scorer:
     def bucket(self) -> Column:
         """The letter of a score's bucket, by how many inner edges it reaches; scores beyond the ends count there."""
         reached = sum(((F.col(self.column) >= F.lit(e)).cast("int") for e in self.edges[1:-1]), F.lit(1))
-        return F.coalesce(F.element_at(F.array(*map(F.lit, LETTERS)), reached), F.lit(UNSCORED))
+        return F.when(F.col(self.column).isNull(), UNSCORED).otherwise(F.element_at(F.array(*map(F.lit, LETTERS)), reached))
 
     def levels(self, wanted: list[str]) -> Column | None:
         """Posts in any of the buckets; unknown names count for nothing, and None means no predicate is left."""

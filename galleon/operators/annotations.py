@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TIMELINE = ("kind", "id", "created_at", "post_id", "other_id", "dimension", "verdict")
 
@@ -62,6 +62,29 @@ def queue_next_pairs(lib, queue_id: int, limit: int) -> DataFrame:
     return items.join(a, "post_a").join(b, "post_b").orderBy("position", "post_a").limit(limit).select("position", "post_a", "post_b", "name_a", "name_b")
 
 
+def queue_next_absolute(lib, queue_id: int, limit: int) -> DataFrame:
+    """Open items by position with what is shown of their posts; an item whose post is missing drops out."""
+    posts = lib.posts.select(F.col("id").alias("post_id"), "file_path", "file_name", "extension", "sha256", "width", "height")
+    items = lib.absolute_queue.where((F.col("queue_id") == queue_id) & (F.col("done") == 0)).select("position", "post_id")
+    return items.join(posts, "post_id").orderBy("position", "post_id").limit(limit).select("position", *posts.columns)
+
+
+def members_of(column: str) -> Column:
+    """A JSON list of post ids as an array; what is no such list is null."""
+    return F.from_json(column, "array<bigint>")
+
+
+def queue_next_lists(lib, queue_id: int, limit: int) -> DataFrame:
+    """Open groups by position with their members, in the order of presentation."""
+    items = lib.listwise_queue.where((F.col("queue_id") == queue_id) & (F.col("done") == 0))
+    return items.orderBy("position").limit(limit).select("position", members_of("post_ids").alias("post_ids"))
+
+
+def rankings(events: DataFrame) -> DataFrame:
+    """Events with members and ranking from their JSON texts, of any number of members; no ranking: skipped."""
+    return events.withColumns({"post_ids": members_of("post_ids"), "ranking": F.coalesce(members_of("ranking"), F.array().cast("array<bigint>"))})
+
+
 def ranking(listwise: DataFrame) -> DataFrame:
     """Events with their members and ranking as arrays: the best first, the rest as presented; none: skipped."""
     members = F.array("m1", "m2", "m3")
@@ -85,9 +108,10 @@ def history(events: DataFrame, post_id: int, *columns: str) -> DataFrame:
     return events.where(hit).orderBy("id")
 
 
-def win_loss(pairwise: DataFrame, dimension: str) -> DataFrame:
-    """Degree, wins and losses of each post: ties count for the degree, skips for nothing."""
-    judged = pairwise.where((F.col("dimension") == dimension) & (F.col("winner") != "skip"))
+def win_loss(pairwise: DataFrame, dimension: str | None) -> DataFrame:
+    """Degree, wins and losses of each post, in one dimension or all: ties count for the degree, skips for nothing."""
+    judged = pairwise.where(F.col("winner") != "skip")
+    judged = judged if dimension is None else judged.where(F.col("dimension") == dimension)
     ends = judged.select(F.explode(F.array(*[F.struct(F.col(f"post_{x}").alias("post_id"), (F.col("winner") == x).cast("int").alias("win"), (F.col("winner") == y).cast("int").alias("loss")) for x, y in ("ab", "ba")])).alias("e")).select("e.*")
     return ends.groupBy("post_id").agg(F.count("*").alias("degree"), F.sum("win").alias("wins"), F.sum("loss").alias("losses"))
 
@@ -136,8 +160,6 @@ def create_queue(spark, queue_id: int, items: list, schema: str) -> DataFrame:
 
 
 def mark_done(queue: DataFrame, queue_id: int, positions: list[int]) -> DataFrame:
+    """positions: what one request marks, some tens."""
     return queue.withColumn("done", F.when((F.col("queue_id") == queue_id) & F.col("position").isin(*positions), 1).otherwise(F.col("done")))
 
-
-def row_numbers(by: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

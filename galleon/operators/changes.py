@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from galleon.functions.columns import under
+from galleon.functions.columns import full_path, under
 from galleon.operators.filters import BULK_UPDATABLE, UPDATABLE, checked
 
 
@@ -40,7 +40,10 @@ def make_canonical(posts: DataFrame, post_id: int) -> DataFrame:
 
 
 def delete_posts(lib, ids: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the posts (column id); members of a deleted leader lead themselves."""
+    """Every table without the posts (column id); members of a deleted leader lead themselves.
+
+    Events and queue items go with any of their posts, lists with any of their members.
+    """
     gone = ids.select(F.col("id").alias("_gone"))
     left = lib.posts.join(gone, lib.posts["id"] == gone["_gone"], "left_anti")
     lead = left.join(gone, F.col("canonical_post_id") == F.col("_gone"), "left")
@@ -48,9 +51,23 @@ def delete_posts(lib, ids: DataFrame) -> dict[str, DataFrame]:
     for name in ("waifu", "aesthetic", "post_has_tag", "vectors", "failures"):
         df = getattr(lib, name)
         out[name] = df.join(gone, df["post_id"] == gone["_gone"], "left_anti")
+    for name, ends in (("absolute", ["post_id"]), ("flags", ["post_id"]), ("pairwise", ["post_a", "post_b"]), ("absolute_queue", ["post_id"]), ("pair_queue", ["post_a", "post_b"])):
+        df = getattr(lib, name)
+        for end in ends:
+            df = df.join(gone, F.col(end) == F.col("_gone"), "left_anti")
+        out[name] = df
+    for name in ("rankings", "listwise_queue"):
+        df, key = getattr(lib, name), ["id"] if name == "rankings" else ["queue_id", "position"]
+        dead = df.select(*key, F.explode(F.from_json("post_ids", "array<bigint>")).alias("_member")).join(gone, F.col("_member") == F.col("_gone"), "left_semi").select(*key).distinct()
+        out[name] = df.join(dead, key, "left_anti")
     return out
 
 
+def deleted_paths(posts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Files of the posts (column id) that are about to be deleted."""
+    return posts.join(ids.select("id"), "id", "left_semi").select("id", full_path().alias("path"))
+
+
 def create_post(posts: DataFrame, row: dict) -> DataFrame:
     """One more post; score and rating are unset (0) unless given."""
     new = posts.sparkSession.createDataFrame([tuple(({"score": 0, "rating": 0} | row).get(c) for c in posts.columns)], posts.schema)
@@ -113,6 +130,11 @@ def add_tag(tags: DataFrame, links: DataFrame, post_id: int, name: str, group_id
     return tags.unionByName(one.join(tags, "name", "left_anti")), links.unionByName(link.join(links, ["post_id", "tag_name"], "left_anti")), new
 
 
+def update_tag(tags: DataFrame, name: str, group_id: int | None) -> DataFrame:
+    """The tag in another group; an unknown tag changes nothing."""
+    return tags.withColumn("group_id", F.when(F.col("name") == name, F.lit(group_id).cast("int")).otherwise(F.col("group_id")))
+
+
 def delete_tags(tags: DataFrame, links: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     return tags.where(~F.col("name").isin(*names)), links.where(~F.col("tag_name").isin(*names))
 
@@ -139,6 +161,3 @@ def reconcile(on_disk: DataFrame, posts: DataFrame, failed: list[str] | None = N
     held = total >= floor and gone > share * total and not allow_mass_delete
     return new, lost.limit(0) if held else lost, held
 
-
-def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

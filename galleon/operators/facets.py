@@ -117,5 +117,11 @@ def selection_stats(posts: DataFrame) -> DataFrame:
     return posts.agg(F.count("*").alias("n"), *dist, F.min(positive("width")).alias("min_width"), F.max(positive("width")).alias("max_width"), F.min(positive("height")).alias("min_height"), F.max(positive("height")).alias("max_height"), common("rating"), common("score"), common("extension"), F.array_join(F.slice(low, 1, agreed), "/").alias("common_folder"))
 
 
+def selection_extensions(posts: DataFrame) -> DataFrame:
+    """Extensions of a selection in lower case with counts and pixels, most first: one row per extension."""
+    pixels = F.sum(F.greatest(F.coalesce("width", F.lit(0)), F.lit(0)).cast("bigint") * F.greatest(F.coalesce("height", F.lit(0)), F.lit(0)))
+    return posts.groupBy(F.lower("extension").alias("extension")).agg(F.count("*").alias("n"), pixels.alias("pixels")).orderBy(F.desc("n"), "extension")
+
+
 def extension_tally(posts: DataFrame) -> DataFrame:
     return posts.groupBy("extension").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "extension")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from galleon.functions.columns import is_image
 
@@ -94,10 +94,53 @@ def tagger_groups(tags: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def backlog(lib) -> DataFrame:
-    """Per pipeline: images, done and open ones."""
-    images = lib.posts.where(is_image()).select("id")
-    spark, out = lib.posts.sparkSession, None
-    for name, todo in (("waifu", pending_waifu(lib)), ("tagger", pending_tagger(lib)), ("embedding", pending_embedding(lib)), ("basics", pending_basics(lib).select("id"))):
-        row = todo.agg(F.count("*").alias("todo")).join(images.agg(F.count("*").alias("images"))).select(F.lit(name).alias("pipeline"), "images", "todo")
-        out = row if out is None else out.union(row)
-    return out
+    """Per pipeline: images, done and open ones, and the share that is done in per cent, to one decimal."""
+    images = lib.posts.where(is_image())
+    has = {
+        "waifu": images.join(_ids(lib.waifu), "id", "left_semi"),
+        "tagger": images.join(_ids(lib.post_has_tag.where("is_auto = 1")), "id", "left_semi"),
+        "embedding": images.join(_ids(lib.vectors), "id", "left_semi"),
+        "basics": images.where("sha256 <> '' AND lab_l IS NOT NULL"),
+    }
+    open_ = {"waifu": pending_waifu(lib), "tagger": pending_tagger(lib), "embedding": pending_embedding(lib), "basics": pending_basics(lib)}
+    rows = images.select(F.explode(F.array(*map(F.lit, has))).alias("pipeline"), F.lit(1).alias("images"), F.lit(0).alias("done"), F.lit(0).alias("todo"))
+    for name in has:
+        rows = rows.union(has[name].select(F.lit(name), F.lit(0), F.lit(1), F.lit(0))).union(open_[name].select(F.lit(name), F.lit(0), F.lit(0), F.lit(1)))
+    sums = rows.groupBy("pipeline").agg(*[F.sum(c).alias(c) for c in ("images", "done", "todo")])
+    return sums.withColumn("pct", F.when(F.col("images") > 0, F.round(F.col("done") * 100.0 / F.col("images"), 1)).otherwise(0.0))
+
+
+class ScanGate:
+    """Skips a scan for open posts while the greatest post id stays what it was when the last scan found none."""
+
+    def __init__(self) -> None:
+        self.empty_at: int | None = None
+
+    def scan(self, posts: DataFrame, todo: DataFrame) -> DataFrame | None:
+        """The open posts, or None if nothing can have come since the last, empty scan."""
+        top = posts.agg(F.max("id")).first()[0]
+        if self.empty_at is not None and top == self.empty_at:
+            return None
+        self.empty_at = top if todo.isEmpty() else None
+        return todo
+
+
+def basics(files: DataFrame) -> DataFrame:
+    """Digest and size of file contents (columns id, content): the part of the basics that needs no image decoder."""
+    return files.select("id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+def palette_entries(palettes: DataFrame) -> DataFrame:
+    """(id, position, colour) of palettes (id, colours): a palette replaces the old one whole, so an empty one is left out."""
+    return palettes.where(F.size("colours") > 0).select("id", F.posexplode("colours").alias("position", "colour"))
+
+
+def replace_palettes(state: DataFrame, new: DataFrame) -> DataFrame:
+    """state: (id, position, colour). Posts with a new palette lose all their old entries."""
+    fresh = palette_entries(new)
+    return state.join(fresh.select("id").distinct(), "id", "left_anti").select(*state.columns).unionByName(fresh.select(*state.columns))
+
+
+def fresh_within(when: str, days: int, now) -> Column:
+    """Whether a time lies at most so many days before now; unknown times count as stale."""
+    return F.coalesce(F.datediff(F.to_date(now), F.to_date(when)).between(0, days), F.lit(False))

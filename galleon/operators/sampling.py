@@ -1,7 +1,9 @@
-"""Samplers for annotation: seeded draws, strata, score windows, calibration partners, and the small greedy cores.
+"""Samplers for annotation: seeded draws, strata, similar pairs, score windows, close pairs, calibration, groups.
 
-Draws order by an arithmetic key of id and seed, so that they can be repeated. What the greedy cores get is a batch:
-tens of candidates, taken from the data by the frames before.
+Draws order by an arithmetic key of id and seed, so that they can be repeated. A batch has some tens of seeds; what is
+near a seed, or inside its score window, is found by one join over all posts and cut to tens of candidates each before
+anything is grouped, and the greedy choice inside a group is a small Python helper over these. A post that two seeds
+want goes to the earlier one, so a batch spends no post twice.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ import random
 from collections import defaultdict, deque
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from galleon.functions.columns import shuffle_key
+from galleon.functions.columns import cosine, shuffle_key
+from galleon.operators.annotations import main_component, unbounded, win_loss
 
 #: Sizes and limits of the samplers.
 DEGREE_CAP, CLUSTER, PER_CLUSTER, MIN_DISTANCE, SAME = 3, 48, 24, 0.04, 0.94
@@ -92,6 +96,176 @@ def calibration_partners(nodes: DataFrame, scores: DataFrame, per_node: int = 1,
     return found.withColumn("_n", place).where(F.col("_n") <= per_node).select("post_id", "direction", "partner", F.round("score", 6).alias("score"))
 
 
+# --- whole samplers: one plan each ---------------------------------------------------------------------------------
+
+
+def near_seeds(lib, seeds: DataFrame, k: int = CLUSTER) -> DataFrame:
+    """(place, seed_id, post_id) of each seed and its k nearest posts, without near copies of it.
+
+    seeds: seed_id and place, some tens of rows; their vectors are what is broadcast.
+    """
+    probes = seeds.join(lib.vectors.select(F.col("post_id").alias("seed_id"), F.col("embedding").alias("v")), "seed_id")
+    distance = F.when(F.col("post_id") == F.col("seed_id"), F.lit(0.0)).otherwise(1 - cosine(F.col("embedding"), F.col("v")))
+    found = lib.vectors.join(F.broadcast(probes)).select("place", "seed_id", "post_id", distance.alias("distance"))
+    first = F.row_number().over(Window.partitionBy("seed_id").orderBy("distance", "post_id"))
+    near = found.where("distance IS NOT NULL").withColumn("_n", first).where(F.col("_n") <= k + 1)
+    return near.where((F.col("post_id") == F.col("seed_id")) | (F.col("distance") >= MIN_DISTANCE)).select("place", "seed_id", "post_id")
+
+
+def spent_once(wanted: DataFrame) -> DataFrame:
+    """Each post with the earliest seed that wants it."""
+    return wanted.groupBy("post_id").agg(F.min(F.struct(*[c for c in wanted.columns if c != "post_id"])).alias("w")).select("post_id", "w.*")
+
+
+def in_turn(rows: list, fits) -> list[tuple]:
+    """Neighbours in the given order that fit, each row in one pair: who finds no partner gives way to the next."""
+    waits, out = None, []
+    for row in rows:
+        if waits is not None and fits(waits, row):
+            out.append((waits, row))
+            waits = None
+        else:
+            waits = row
+    return out
+
+
+def _pairs_of_cluster(rows: pd.DataFrame) -> pd.DataFrame:
+    """Scored members in score order, no more than one apart; unscored ones among themselves; no near copies."""
+    unit = {i: np.asarray(v) / max(float(np.linalg.norm(v)), 1e-12) for i, v in zip(rows["post_id"], rows["embedding"], strict=True)}
+    alike = lambda a, b: float(unit[a[1]] @ unit[b[1]]) >= SAME
+    scored = sorted((s, i) for s, i in zip(rows["score"], rows["post_id"], strict=True) if s)
+    others = sorted((0, i) for s, i in zip(rows["score"], rows["post_id"], strict=True) if not s)
+    pairs = in_turn(scored, lambda a, b: b[0] - a[0] <= 1 and not alike(a, b)) + in_turn(others, lambda a, b: not alike(a, b))
+    pairs = pairs[:PER_CLUSTER]
+    return pd.DataFrame({"place": [int(rows["place"].iloc[0])] * len(pairs), "nth": list(range(len(pairs))), "post_a": [a[1] for a, _ in pairs], "post_b": [b[1] for _, b in pairs]})
+
+
+def placed(posts: DataFrame, n: int, seed: int) -> DataFrame:
+    """seed_id and place of n drawn posts."""
+    drawn = draw(posts, n, seed)
+    return drawn.select(F.col("id").alias("seed_id"), F.row_number().over(Window.orderBy(shuffle_key(seed), "id")).alias("place"))
+
+
+def similar_pairs(lib, n: int, seed: int) -> DataFrame:
+    """Disjoint pairs of posts that look alike and have scores no more than one apart, from neighbourhoods of drawn seeds."""
+    posts = pairwise_eligible(lib)
+    seeds = placed(posts, 4 * max(1, -(-n // PER_CLUSTER)), seed)
+    members = spent_once(near_seeds(lib, seeds)).join(posts.select(F.col("id").alias("post_id"), "score"), "post_id").join(lib.vectors, "post_id")
+    pairs = members.select("place", "post_id", "score", "embedding").groupBy("place").applyInPandas(_pairs_of_cluster, "place int, nth int, post_a long, post_b long")
+    return pairs.orderBy("place", "nth").limit(n)
+
+
+def silva_scores(lib) -> DataFrame:
+    """post_id and silva score of posts that may be paired and have a vector."""
+    scores = lib.aesthetic.where("scorer = 'silva'").select("post_id", "score")
+    return scores.join(pairwise_eligible(lib).select(F.col("id").alias("post_id")), "post_id", "left_semi").join(lib.vectors.select("post_id"), "post_id", "left_semi")
+
+
+def window_members(lib, judged: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+    """(place, centre, nth, post_id): for each of n windows around drawn scores up to `size` members that look different.
+
+    judged: pairwise verdicts of one dimension. Posts with DEGREE_CAP comparisons are left out; up to REVISITS that
+    have been judged, the least compared first, come before the others.
+    """
+    degree = win_loss(judged, None).select("post_id", "degree")
+    scores = silva_scores(lib).join(degree, "post_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).where(F.col("degree") < DEGREE_CAP)
+    seeds = placed(scores.select(F.col("post_id").alias("id")), n, seed).join(scores.select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), "seed_id")
+    near = in_windows(scores, seeds)
+    again = F.row_number().over(Window.partitionBy("place").orderBy("degree", "post_id"))
+    old = near.where("degree > 0").withColumn("_n", again).where(F.col("_n") <= REVISITS).select("post_id", "place", F.lit(0).alias("kind"), "_n")
+    drawn = F.row_number().over(Window.partitionBy("place").orderBy(shuffle_key(seed, "post_id"), "post_id"))
+    new = near.withColumn("_n", drawn).where(F.col("_n") <= WINDOW_DRAW).select("post_id", "place", F.lit(1).alias("kind"), "_n")
+    mine = spent_once(old.union(new))
+    kept = F.row_number().over(Window.partitionBy("place", "kind").orderBy("_n"))
+    mine = mine.withColumn("_k", kept).where(F.col("_k") <= WINDOW_KEEP)
+    given = mine.join(seeds.select("place", "centre"), "place").join(lib.vectors, "post_id").select("place", "centre", "kind", "_n", "post_id", "embedding")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["kind", "_n", "post_id"])
+        ids = rows["post_id"].tolist()
+        chosen = diverse(ids, np.stack(rows["embedding"].tolist()).astype(float), size, first=max(1, int((rows["kind"] == 0).sum())))
+        return pd.DataFrame({"place": int(rows["place"].iloc[0]), "centre": float(rows["centre"].iloc[0]), "nth": list(range(len(chosen))), "post_id": chosen})
+
+    return given.groupBy("place").applyInPandas(choose, "place int, centre double, nth int, post_id long")
+
+
+def in_windows(scores: DataFrame, seeds: DataFrame, half: float = WINDOW) -> DataFrame:
+    """Scores inside the seeds' windows (columns centre and others): cells of the window's width make it an equi-join."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(half)).cast("bigint")
+    near = seeds.withColumn("_cell", F.explode(F.array(cell("centre") - 1, cell("centre"), cell("centre") + 1)))
+    found = scores.withColumn("_cell", cell("score")).join(F.broadcast(near), "_cell")  # a batch has some tens of seeds
+    return found.where(F.abs(F.col("score") - F.col("centre")) <= F.lit(half)).drop("_cell")
+
+
+def shown_pairs(judged: DataFrame) -> DataFrame:
+    """Pairs that were asked for already, either way round; skipped ones too."""
+    return judged.select(F.least("post_a", "post_b").alias("lo"), F.greatest("post_a", "post_b").alias("hi")).distinct()
+
+
+def unshown(pairs: DataFrame, judged: DataFrame) -> DataFrame:
+    keyed = pairs.where("post_a <> post_b").withColumns({"lo": F.least("post_a", "post_b"), "hi": F.greatest("post_a", "post_b")})
+    return keyed.join(shown_pairs(judged), ["lo", "hi"], "left_anti").drop("lo", "hi")
+
+
+def anchors(lib, judged: DataFrame, components: DataFrame, n: int, seed: int) -> DataFrame:
+    """(post_id, score) of n posts to tie a batch to: drawn from the ANCHORS least compared of the main component."""
+    main = components.join(F.broadcast(main_component(components).select("component")), "component").select(F.col("id").alias("post_id"))
+    open_ = win_loss(judged, None).where(F.col("degree") < DEGREE_CAP).join(main, "post_id", "left_semi").orderBy("degree", "post_id").limit(ANCHORS)
+    scored = open_.join(lib.aesthetic.where("scorer = 'silva'").select("post_id", "score"), "post_id")
+    free = scored.join(pairwise_eligible(lib).select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    return free.orderBy(shuffle_key(seed, "post_id"), "post_id").limit(n).select("post_id", "score")
+
+
+def calibration_pairs(lib, judged: DataFrame, components: DataFrame, n: int, seed: int) -> DataFrame:
+    """(post_a, post_b, score): posts of the main component that always won or lost, the most decided first, each with a
+    partner that the model puts clearly beyond it."""
+    main = components.join(F.broadcast(main_component(components).select("component")), "component").select(F.col("id").alias("post_id"))
+    needy = unbounded(win_loss(judged, None)).where((F.col("direction") != 0) & (F.col("degree") < DEGREE_CAP)).join(main, "post_id", "left_semi")
+    scores = lib.aesthetic.where("scorer = 'silva'").select("post_id", "score").join(pairwise_eligible(lib).select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    partners = calibration_partners(needy.select("post_id", "direction"), scores, 1, seed).select("post_id", "partner")
+    found = needy.join(partners, "post_id").join(scores, "post_id").select(F.col("post_id").alias("post_a"), F.col("partner").alias("post_b"), "score", (F.col("wins") + F.col("losses")).alias("decided"))
+    return unshown(found, judged).orderBy(F.desc("decided"), "post_a").limit(n).select("post_a", "post_b", "score")
+
+
+def close_pairs_plan(lib, judged: DataFrame, components: DataFrame, n: int, seed: int) -> DataFrame:
+    """(position, post_a, post_b): n pairs that the model scores alike, from rings of posts that look different.
+
+    Blocks are rings of score windows, single calibration pairs, and anchors without pairs of their own. They stand in
+    score order, each tied to the one before it by a bridge between their first posts, and are dealt out in turns: all
+    bridges and first pairs, then all second ones. A pair that was asked for before is left out; its posts are tied
+    already. So the pairs, with the history, hang together however early an annotator stops.
+    """
+    ring = Window.partitionBy("place").orderBy("nth")
+    members = window_members(lib, judged, max(1, n // 2), BLOCK, seed)
+    size = F.count("*").over(Window.partitionBy("place"))
+    around = members.withColumns({"next": F.lead("post_id").over(ring), "head": F.first("post_id").over(ring), "size": size}).where("size > 1")
+    # the last closes the ring, unless there are two
+    edges = around.select(F.concat(F.lit("w"), "place").alias("block"), F.col("centre").alias("score"), "head", F.col("nth").alias("turn"), F.col("post_id").alias("post_a"), F.coalesce("next", F.when(F.col("size") > 2, F.col("head"))).alias("post_b"))
+    single = calibration_pairs(lib, judged, components, max(1, round(n * CALIBRATION_SHARE)), seed).select(F.concat(F.lit("c"), "post_a").alias("block"), "score", F.col("post_a").alias("head"), F.lit(0).alias("turn"), "post_a", "post_b")
+    tied = anchors(lib, judged, components, 2, seed).select(F.concat(F.lit("a"), "post_id").alias("block"), "score", F.col("post_id").alias("head"), F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("post_a"), F.lit(None).cast("bigint").alias("post_b"))
+    every = edges.union(single).union(tied).where("post_b IS NOT NULL OR post_a IS NULL")
+    # blocks are at most n / 2 windows and some more: one small window puts them in order
+    blocks = every.groupBy("block").agg(F.first("score").alias("score"), F.first("head").alias("head"))
+    line = Window.orderBy("score", "block")
+    blocks = blocks.withColumns({"at": F.row_number().over(line), "before": F.lag("head").over(line)})
+    bridges = blocks.where("before IS NOT NULL").select(F.lit(0).alias("turn"), "at", F.lit(0).alias("kind"), F.col("before").alias("post_a"), F.col("head").alias("post_b"))
+    own = every.where("post_a IS NOT NULL").join(blocks.select("block", "at"), "block").select("turn", "at", F.lit(1).alias("kind"), "post_a", "post_b")
+    fresh = unshown(bridges.union(own), judged)
+    once = fresh.groupBy(F.least("post_a", "post_b").alias("lo"), F.greatest("post_a", "post_b").alias("hi")).agg(F.min(F.struct("turn", "at", "kind", "post_a", "post_b")).alias("p")).select("p.*")
+    dealt = once.orderBy("turn", "at", "kind").limit(n)
+    return dealt.select((F.row_number().over(Window.orderBy("turn", "at", "kind")) - 1).alias("position"), "post_a", "post_b")
+
+
+def listwise_groups(lib, judged: DataFrame, n: int, seed: int, size: int = 6) -> DataFrame:
+    """(place, post_ids): n groups of posts of one score window that look different, in shuffled order of presentation."""
+    if not 3 <= size <= 16:
+        raise ValueError("a group has 3 to 16 members")
+    members = window_members(lib, judged, 2 * n, size, seed)
+    order = F.array_sort(F.collect_list(F.struct(shuffle_key(seed, "post_id").alias("k"), "post_id")))
+    groups = members.groupBy("place").agg(order.alias("m")).where(F.size("m") >= 3)
+    return groups.select("place", F.transform("m", lambda m: m["post_id"]).alias("post_ids")).orderBy("place").limit(n)
+
+
 # --- cores over one batch ----------------------------------------------------------------------------------------
 
 
@@ -171,12 +345,16 @@ def connected_blocks(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]
     return [breadth_first(b) for b in blocks.values()]
 
 
-def diverse(ids: list[int], vectors: np.ndarray, n: int, same: float = SAME) -> list[int]:
-    """Farthest-point choice: the next one is least like its nearest chosen; stops where that is `same` or more."""
+def diverse(ids: list[int], vectors: np.ndarray, n: int, same: float = SAME, first: int = 1) -> list[int]:
+    """Farthest-point choice: the next one is least like its nearest chosen; stops where that is `same` or more.
+
+    The first ones, up to n, are chosen beforehand.
+    """
     if not ids:
         return []
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    chosen, near = [0], unit @ unit[0]
+    chosen = list(range(min(first, n, len(ids))))
+    near = (unit @ unit[chosen].T).max(1)
     while len(chosen) < min(n, len(ids)):
         left = np.where(np.isin(np.arange(len(ids)), chosen), np.inf, near)
         k = int(left.argmin())

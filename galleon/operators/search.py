@@ -72,7 +72,7 @@ def tags_page(counts: DataFrame, after: str | None, limit: int) -> DataFrame:
 
 
 def in_given_order(posts: DataFrame, ids: list[int], canonical: bool = False) -> DataFrame:
-    """Posts in the order of the ids; missing ones drop out."""
+    """Posts in the order of the ids, a page of them; missing ones drop out."""
     wanted = posts.sparkSession.createDataFrame([(i, p) for p, i in enumerate(ids)], "id long, pos int")
     found = posts.where("canonical_post_id IS NULL") if canonical else posts
     return found.join(F.broadcast(wanted), "id").orderBy("pos")
@@ -90,12 +90,18 @@ def tag_rank() -> Column:
 
 
 def details(lib, posts: DataFrame) -> DataFrame:
-    """Nested read model: posts with their tags (by group, then name), scores and number of members, in one plan."""
+    """Nested read model: posts with their tags (by group, then name), scores and number of members, in one plan.
+
+    What belongs to the posts is picked by their ids before anything is grouped.
+    """
+    mine = posts.select("id")
     groups = lib.tag_groups.select(F.col("id").alias("group_id"), F.col("name").alias("group_name"))
-    tags = lib.post_has_tag.join(lib.tags.select(F.col("name").alias("tag_name"), "group_id"), "tag_name").join(groups, "group_id", "left").withColumn("rank", tag_rank())
+    links = lib.post_has_tag.join(mine.withColumnRenamed("id", "post_id"), "post_id", "left_semi")
+    tags = links.join(lib.tags.select(F.col("name").alias("tag_name"), "group_id"), "tag_name").join(groups, "group_id", "left").withColumn("rank", tag_rank())
     listed = tags.groupBy(F.col("post_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("tag_name").alias("name"), "group_name", "is_auto"))).alias("tags"))
-    scores = lib.aesthetic.groupBy(F.col("post_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("scorer", "score"))).alias("aesthetic"))
-    out = WAIFU.join(posts, lib.waifu, lib.aesthetic).join(listed, "id", "left").join(scores, "id", "left").join(member_counts(lib.posts), "id", "left")
+    scores = lib.aesthetic.join(mine.withColumnRenamed("id", "post_id"), "post_id", "left_semi").groupBy(F.col("post_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("scorer", "score"))).alias("aesthetic"))
+    led = lib.posts.join(mine.withColumnRenamed("id", "canonical_post_id"), "canonical_post_id", "left_semi")
+    out = WAIFU.join(posts, lib.waifu, lib.aesthetic).join(listed, "id", "left").join(scores, "id", "left").join(member_counts(led), "id", "left")
     empty = lambda c: F.coalesce(F.col(c), F.array()).alias(c)
     return out.select(*SIMPLE, "canonical_post_id", full_path().alias("full_path"), aspect_ratio().alias("aspect_ratio"), "waifu_score", empty("tags"), empty("aesthetic"), F.coalesce("members", F.lit(0)).cast("bigint").alias("members"))
 

@@ -79,7 +79,6 @@ add("folder_direct", fa.folder_direct, f"SELECT file_path, posts, {AVG} FROM (SE
 add("folder_rollup", fa.folder_rollup, f"SELECT folder, posts, {AVG} FROM (SELECT f.folder, {SUMS} FROM g_posts p JOIN (SELECT DISTINCT file_path, '.' AS folder FROM g_posts UNION SELECT file_path, split_part(file_path, '/', 1) FROM g_posts UNION SELECT file_path, file_path FROM g_posts) f ON f.file_path = p.file_path {JOINS} GROUP BY 1)")  # A6b
 add("selection_stats", lambda lib: fa.selection_stats(lib.posts.where("file_path LIKE 'ECONOMY/%'")), "SELECT count(*) AS n, " + ", ".join([f"count(CASE WHEN rating = {k} THEN 1 END) AS rating_{k}" for k in range(5)] + [f"count(CASE WHEN score = {k} THEN 1 END) AS score_{k}" for k in range(6)]) + ", min(CASE WHEN width > 0 THEN width END) AS min_width, max(CASE WHEN width > 0 THEN width END) AS max_width, min(CASE WHEN height > 0 THEN height END) AS min_height, max(CASE WHEN height > 0 THEN height END) AS max_height, CASE WHEN min(rating) = max(rating) THEN min(rating) END AS common_rating, CASE WHEN min(score) = max(score) THEN min(score) END AS common_score, CASE WHEN min(extension) = max(extension) THEN min(extension) END AS common_extension, CASE WHEN min(file_path) = max(file_path) THEN min(file_path) WHEN min(split_part(file_path, '/', 1)) = max(split_part(file_path, '/', 1)) THEN min(split_part(file_path, '/', 1)) ELSE '' END AS common_folder FROM g_posts WHERE file_path LIKE 'ECONOMY/%'")  # A20
 add("extension_tally", lambda lib: fa.extension_tally(lib.posts), "SELECT extension, count(*) AS n FROM g_posts GROUP BY 1")  # A22
-add("backlog", pe.backlog, None)  # A19
 ROW = "id, file_path, file_name, extension, width, height, score, rating"
 
 # --- search and pages (O1-O9, W7) ---------------------------------------------------------------------------------
@@ -110,7 +109,7 @@ add("colour_columns", lambda lib: lib.posts.select("id", hex_colour(pack_rgb(F.c
 
 add("shape_simple", lambda lib: shaped(lib.posts.select("id", "file_path", "file_name", "score", "canonical_post_id")), 'SELECT id, file_path AS "filePath", file_name AS "fileName", coalesce(score, 0) AS score, canonical_post_id AS "canonicalPostId" FROM g_posts')  # P13
 add("folder_tree", lambda lib: folder_tree(lib.posts.withColumn("failed", F.lit(False)), fa.folder_rollup(lib)).select("folder", "name", "parent", "direct", "total", "rating_avg"), "SELECT f.folder AS folder, CASE WHEN f.folder = '.' THEN '' ELSE split_part(f.folder, '/', -1) END AS name, CASE WHEN f.folder = '.' THEN NULL WHEN contains(f.folder, '/') THEN split_part(f.folder, '/', 1) ELSE '.' END AS parent, count(*) FILTER (p.file_path = f.folder) AS direct, count(*) AS total, round(CAST(sum(p.rating) AS DOUBLE) / count(*), 6) AS rating_avg FROM g_posts p JOIN (SELECT DISTINCT file_path, '.' AS folder FROM g_posts UNION SELECT file_path, split_part(file_path, '/', 1) FROM g_posts UNION SELECT file_path, file_path FROM g_posts) f ON f.file_path = p.file_path GROUP BY 1")  # S4
-add("fetch_vectors", lambda lib: se.fetch_vectors(lib.vectors, lib.posts.where("id % 10 = 1").select("id")).select("post_id"), "SELECT post_id FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts WHERE id % 10 = 1)")  # S12
+add("fetch_vectors", lambda lib: se.fetch_vectors(lib.vectors, lib.posts.where("canonical_post_id IS NULL").select("id")).select("post_id"), f"SELECT post_id FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts WHERE {C})")  # S12
 add("rotate_post", lambda lib: ch.rotate(lib.posts, 5, "new").select("id", "width", "height", "sha256"), "SELECT id, CASE WHEN id = 5 THEN height ELSE width END AS width, CASE WHEN id = 5 THEN width ELSE height END AS height, CASE WHEN id = 5 THEN 'new' ELSE sha256 END AS sha256 FROM g_posts")  # D22
 
 # --- vectors (V1-V9) ----------------------------------------------------------------------------------------------
@@ -127,11 +126,20 @@ PAIRS = f"SELECT a.post_id AS a, b.post_id AS b FROM g_vectors a JOIN g_vectors
 add("near_pairs", lambda lib: dedup.near_pairs(lib.vectors, 0.55), PAIRS)  # V9, J16
 
 
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder. Only a local session may do without one: its executors are this machine."""
+    if top := spark.conf.get("spark.checkpoint.dir", None):
+        return top
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/galleon"
+
+
 def _keep(lib: Library):
-    """Rounds of iterative operators are written to the cluster's shared folder, or a temporary one where none is named."""
+    """Rounds of iterative operators are written to the cluster's shared folder."""
     spark = lib.posts.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='galleon-')}")
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return lambda df: df.checkpoint()
 
 
@@ -158,8 +166,17 @@ ENDS = "SELECT post_a AS post_id, winner = 'a' AS win, winner = 'b' AS loss FROM
 WL = f"SELECT post_id, count(*) AS degree, count(*) FILTER (win) AS wins, count(*) FILTER (loss) AS losses FROM ({ENDS}) GROUP BY 1"
 add("win_loss_degree", lambda lib: an.win_loss(lib.pairwise, "overall"), WL)
 add("unbounded_players", lambda lib: an.unbounded(an.win_loss(lib.pairwise, "overall")).where("direction <> 0"), f"SELECT * FROM (SELECT *, CASE WHEN wins + losses >= 2 AND losses = 0 THEN 1 WHEN wins + losses >= 2 AND wins = 0 THEN -1 ELSE 0 END AS direction FROM ({WL})) WHERE direction <> 0")  # G3
-add("components", lambda lib: connected_components(lib.pairwise.where("dimension = 'overall' AND winner <> 'skip'").select(F.col("post_a").alias("a"), F.col("post_b").alias("b")), _keep(lib)))  # G1
-add("main_component", lambda lib: an.main_component(connected_components(lib.pairwise.where("dimension = 'overall' AND winner <> 'skip'").select(F.col("post_a").alias("a"), F.col("post_b").alias("b")), _keep(lib))))  # G2
+OVERALL = lambda lib: lib.pairwise.where("dimension = 'overall'")
+PARTS = lambda lib: connected_components(OVERALL(lib).where("winner <> 'skip'").select(F.col("post_a").alias("a"), F.col("post_b").alias("b")), _keep(lib))
+EDGES = "e AS (SELECT post_a AS a, post_b AS b FROM g_pairwise WHERE dimension = 'overall' AND winner <> 'skip' UNION SELECT post_b, post_a FROM g_pairwise WHERE dimension = 'overall' AND winner <> 'skip')"
+PARTS_SQL = f"WITH RECURSIVE {EDGES}, cc(id, component) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(cc.component) FROM cc JOIN e ON cc.id = e.a JOIN recurring.cc AS r ON r.id = e.b WHERE cc.component < r.component GROUP BY e.b)"
+add("components", PARTS, f"{PARTS_SQL} SELECT id, component FROM cc")  # G1
+add("main_component", lambda lib: an.main_component(PARTS(lib)), f"{PARTS_SQL} SELECT component, count(*) AS n FROM cc GROUP BY 1 ORDER BY n DESC, component LIMIT 1")  # G2
+add("queue_next_absolute", lambda lib: an.queue_next_absolute(lib, 1, 20), "SELECT position, p.id AS post_id, file_path, file_name, extension, sha256, width, height FROM g_absolute_queue q JOIN g_posts p ON p.id = q.post_id WHERE queue_id = 1 AND done = 0 ORDER BY position, p.id LIMIT 20")  # O13, J13
+add("queue_next_listwise", lambda lib: an.queue_next_lists(lib, 1, 20).select("position", F.array_join("post_ids", ",").alias("members"), F.size("post_ids").alias("n")), "SELECT position, replace(replace(post_ids, '[', ''), ']', '') AS members, CAST(len(string_split(post_ids, ',')) AS INT) AS n FROM g_listwise_queue WHERE queue_id = 1 AND done = 0 ORDER BY position LIMIT 20")
+add("queue_progress_all", lambda lib: an.queue_progress([("pairwise", lib.pair_queue), ("absolute", lib.absolute_queue), ("listwise", lib.listwise_queue)]), " UNION ALL ".join(f"SELECT '{k}' AS kind, queue_id, count(*) AS total, CAST(sum(done) AS BIGINT) AS done FROM {v} GROUP BY queue_id" for k, v in (("pairwise", "g_pair_queue"), ("absolute", "g_absolute_queue"), ("listwise", "g_listwise_queue"))))  # A11
+add("ranking_pairs", lambda lib: an.listwise_pairs(an.rankings(lib.rankings)), "WITH r AS (SELECT id, list_transform(string_split(replace(replace(ranking, '[', ''), ']', ''), ','), lambda x: CAST(x AS BIGINT)) AS l FROM g_rankings WHERE ranking <> '[]'), i AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM r), j AS (SELECT id, l, i, unnest(range(i + 1, len(l) + 1)) AS j FROM i) SELECT id, l[i] AS winner, l[j] AS loser FROM j")  # 2.8 json, X15
+add("valid_rankings", lambda lib: an.rankings(lib.rankings).select("id", an.valid_ranking().alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "SELECT true AS ok, count(*) AS n FROM g_rankings")  # P22
 add("valid_verdicts", lambda lib: lib.absolute.select("id", an.valid_absolute().alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "SELECT scale IN (2, 3, 5) AND value BETWEEN 1 AND scale AS ok, count(*) AS n FROM g_absolute GROUP BY 1")  # P22
 
 # --- samplers (G8-G17) --------------------------------------------------------------------------------------------
@@ -167,12 +184,22 @@ KEY = "(id * 99) % 2147483647"
 add("sample_stratified", lambda lib: sa.stratified(lib.posts.where("canonical_post_id IS NULL"), 30, 99), f"WITH q AS (SELECT id, score, row_number() OVER (PARTITION BY score ORDER BY {KEY}, id) AS n FROM g_posts WHERE {C} AND score BETWEEN 1 AND 5), s AS (SELECT id, score, 0 AS r FROM q WHERE n <= 6), f AS (SELECT id, score, 1 AS r FROM g_posts WHERE {C} AND id NOT IN (SELECT id FROM s) ORDER BY {KEY}, id LIMIT 30) SELECT id, score FROM (SELECT * FROM s UNION ALL SELECT * FROM f) ORDER BY r, {KEY}, id LIMIT 30")  # G9, W4
 add("sample_random_pairs", lambda lib: sa.random_pairs(sa.pairwise_eligible(lib), 10, 99), f"WITH d AS (SELECT id, row_number() OVER (ORDER BY {KEY}, id) - 1 AS n FROM g_posts WHERE {C} AND id NOT IN (SELECT post_a FROM g_pair_queue WHERE done = 0 UNION SELECT post_b FROM g_pair_queue WHERE done = 0) QUALIFY n < 20) SELECT CAST(floor(n / 2) AS BIGINT) AS pair, arg_min(id, n) AS post_a, arg_max(id, n) AS post_b FROM d GROUP BY 1 HAVING count(*) = 2")  # G10, P19
 SILVAS = lambda lib: lib.aesthetic.where("scorer = 'silva'").select("post_id", "score")
-add("score_window_candidates", lambda lib: sa.window_candidates(SILVAS(lib), SILVAS(lib).where("post_id % 50 = 2").select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), seed=99), "SELECT seed_id, post_id, score FROM (SELECT s.post_id AS seed_id, c.post_id AS post_id, c.score AS score, row_number() OVER (PARTITION BY s.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM g_aesthetic s JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> s.post_id AND abs(c.score - s.score) <= 0.05::DOUBLE WHERE s.scorer = 'silva' AND s.post_id % 50 = 2) WHERE n <= 32")  # G13, J17
+add("score_window_candidates", lambda lib: sa.window_candidates(SILVAS(lib), SILVAS(lib).select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), seed=99), "SELECT seed_id, post_id, score FROM (SELECT s.post_id AS seed_id, c.post_id AS post_id, c.score AS score, row_number() OVER (PARTITION BY s.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM g_aesthetic s JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> s.post_id AND abs(c.score - s.score) <= 0.05::DOUBLE WHERE s.scorer = 'silva') WHERE n <= 32")  # G13, J17
 add("calibration_partners", lambda lib: sa.calibration_partners(an.unbounded(an.win_loss(lib.pairwise, "overall")).select("post_id", "direction"), SILVAS(lib), seed=99), f"WITH w AS (SELECT post_id, CASE WHEN wins + losses >= 2 AND losses = 0 THEN 1 WHEN wins + losses >= 2 AND wins = 0 THEN -1 ELSE 0 END AS direction FROM ({WL})) SELECT post_id, direction, partner, round(score, 6) AS score FROM (SELECT w.post_id AS post_id, direction, c.post_id AS partner, c.score AS score, row_number() OVER (PARTITION BY w.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM w JOIN g_aesthetic o ON o.post_id = w.post_id AND o.scorer = 'silva' JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> w.post_id AND (c.score - o.score) * direction >= 0.15::DOUBLE AND (c.score - o.score) * direction <= 0.25::DOUBLE WHERE direction <> 0) WHERE n <= 1")  # G17
 add("revisit_pool", lambda lib: sa.revisit_pool(lib.pairwise.where("dimension = 'overall'"), an.win_loss(lib.pairwise, "overall").select("post_id", "degree")), f"SELECT e.post_id AS post_id, coalesce(w.degree, 0) AS degree FROM (SELECT post_a AS post_id FROM g_pairwise WHERE dimension = 'overall' UNION SELECT post_b FROM g_pairwise WHERE dimension = 'overall') e LEFT JOIN ({WL}) w ON w.post_id = e.post_id WHERE coalesce(w.degree, 0) < 3")  # G14, J18, U2
 add("eligible_absolute", lambda lib: sa.eligible(lib, ["overall", "color"]).select("id"), f"SELECT id FROM g_posts WHERE {C} AND id NOT IN (SELECT post_id FROM g_absolute WHERE dimension IN ('overall', 'color'))")  # P18
 add("draw_embedded", lambda lib: sa.draw_embedded(lib, lib.posts.where("canonical_post_id IS NULL"), 40, 99).select("id"), f"SELECT id FROM (SELECT id FROM g_posts WHERE {C} ORDER BY {KEY}, id LIMIT 80) WHERE id IN (SELECT post_id FROM g_vectors) ORDER BY {KEY}, id LIMIT 40")  # G8, U4
 
+add("eligible_unqueued", lambda lib: sa.eligible(lib, ["overall"], lib.absolute_queue.where("done = 0").select(F.col("post_id").alias("id"))).select("id"), f"SELECT id FROM g_posts WHERE {C} AND id NOT IN (SELECT post_id FROM g_absolute WHERE dimension = 'overall') AND id NOT IN (SELECT post_id FROM g_absolute_queue WHERE done = 0)")  # P18
+add("sample_similar", lambda lib: sa.similar_pairs(lib, 20, 99))  # G11
+add("sample_windows", lambda lib: sa.window_members(lib, OVERALL(lib), 12, 6, 99))  # G12, G13, G15
+add("sample_close", lambda lib: sa.close_pairs_plan(lib, OVERALL(lib), PARTS(lib), 20, 99))  # G18, G19
+add("sample_groups", lambda lib: sa.listwise_groups(lib, OVERALL(lib), 8, 99))  # G20
+FREE = f"{C} AND id NOT IN (SELECT post_a FROM g_pair_queue WHERE done = 0 UNION SELECT post_b FROM g_pair_queue WHERE done = 0)"
+MAIN = "m AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)"
+add("sample_anchors", lambda lib: sa.anchors(lib, OVERALL(lib), PARTS(lib), 5, 99), f"{PARTS_SQL}, {MAIN}, l AS (SELECT post_id FROM ({WL}) WHERE degree < 3 AND post_id IN (SELECT id FROM cc JOIN m USING (component)) ORDER BY degree, post_id LIMIT 200) SELECT l.post_id AS post_id, s.score AS score FROM l JOIN g_aesthetic s ON s.post_id = l.post_id AND s.scorer = 'silva' WHERE l.post_id IN (SELECT id FROM g_posts WHERE {FREE}) ORDER BY (l.post_id * 99) % 2147483647, l.post_id LIMIT 5")  # G16
+add("sample_calibration", lambda lib: sa.calibration_pairs(lib, OVERALL(lib), PARTS(lib), 8, 99))  # G17
+
 # --- pending sets (B1-B5, P15, P17, J5-J8) ------------------------------------------------------------------------
 IMG = "lower(extension) IN ('jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp')"
 OPEN = "NOT EXISTS (SELECT 1 FROM g_failures f WHERE f.post_id = p.id AND f.worker = '{}')"
@@ -181,6 +208,12 @@ add("pending_waifu", pe.pending_waifu, f"SELECT id FROM g_posts p LEFT JOIN g_wa
 add("pending_tagger", pe.pending_tagger, f"SELECT id FROM g_posts p WHERE {IMG} AND id NOT IN (SELECT post_id FROM g_post_has_tag WHERE is_auto = 1) AND {OPEN.format('tagger')}")
 add("pending_embedding", pe.pending_embedding, f"SELECT id FROM g_posts p WHERE {IMG} AND id NOT IN (SELECT post_id FROM g_vectors) AND {OPEN.format('embedding:siglip2')}")
 add("pending_basics", pe.pending_basics, f"SELECT id, sha256 <> '' AS has_sha256, lab_l IS NOT NULL AS has_colour FROM g_posts p WHERE {IMG} AND (sha256 = '' OR lab_l IS NULL) AND {OPEN.format('basics')}")
+BACKLOG = [("waifu", "id IN (SELECT post_id FROM g_waifu)"), ("tagger", "id IN (SELECT post_id FROM g_post_has_tag WHERE is_auto = 1)"), ("embedding", "id IN (SELECT post_id FROM g_vectors)"), ("basics", "sha256 <> '' AND lab_l IS NOT NULL")]
+add("backlog", pe.backlog, " UNION ALL ".join(f"SELECT '{n}' AS pipeline, CAST(count(*) AS BIGINT) AS images, CAST(count(*) FILTER ({d}) AS BIGINT) AS done, CAST(count(*) FILTER (NOT ({d}) AND {OPEN.format('embedding:siglip2' if n == 'embedding' else n)}) AS BIGINT) AS todo, round(count(*) FILTER ({d}) * 100.0 / count(*), 1) AS pct FROM g_posts p WHERE {IMG}" for n, d in BACKLOG))  # A19
+add("basics_digest", lambda lib: pe.basics(lib.posts.select("id", F.encode("file_name", "utf-8").alias("content"))), "SELECT id, sha256(file_name) AS sha256, CAST(length(file_name) AS BIGINT) AS bytes FROM g_posts")  # X9 in part, 2.8 sha256
+add("palette_entries", lambda lib: pe.palette_entries(lib.posts.select("id", F.transform(F.sequence(F.lit(1), F.when(F.col("id") % 4 == 0, 1).otherwise(F.col("id") % 4).cast("int")), lambda i: (F.col("id") * i % 256).cast("int")).alias("colours"))), "SELECT id, CAST(i - 1 AS INT) AS position, CAST(id * i % 256 AS INT) AS colour FROM (SELECT id, unnest(range(1, CASE WHEN id % 4 = 0 THEN 1 ELSE id % 4 END + 1)) AS i FROM g_posts)")  # 2.8 positional entries
+add("fresh_posts", lambda lib: lib.pairwise.select("id", pe.fresh_within("created_at", 30, F.lit("2024-06-30").cast("date")).alias("fresh")).groupBy("fresh").agg(F.count("*").alias("n")), "SELECT date_diff('day', CAST(created_at AS DATE), DATE '2024-06-30') BETWEEN 0 AND 30 AS fresh, count(*) AS n FROM g_pairwise GROUP BY 1")  # 2.8 recency
+add("selection_extensions", lambda lib: fa.selection_extensions(lib.posts.where("file_path LIKE 'ECONOMY/%'")), "SELECT lower(extension) AS extension, count(*) AS n, CAST(sum(CAST(width AS BIGINT) * height) AS BIGINT) AS pixels FROM g_posts WHERE file_path LIKE 'ECONOMY/%' GROUP BY 1")  # A20
 add("non_images", lambda lib: lib.posts.where(~F.lower("extension").isin("jpg", "jpeg", "png", "webp", "gif", "bmp")).select("id", "extension"), f"SELECT id, extension FROM g_posts WHERE NOT {IMG}")  # P21
 
 # --- changes (D1-D15, T8) -----------------------------------------------------------------------------------------
@@ -198,7 +231,8 @@ STATE = ("id", "score", "rating", "canonical_post_id")
 add("score_mirror", lambda lib: ch.update_field(lib.posts, 21, "score", 5).select(*STATE), "SELECT id, CAST(CASE WHEN id = 21 OR canonical_post_id = 21 THEN 5 ELSE score END AS INT) AS score, rating, canonical_post_id FROM g_posts")  # D1
 add("bulk_rating", lambda lib: ch.bulk_update(lib.posts, [1, 2, 3], "rating", 4).select(*STATE), "SELECT id, score, CAST(CASE WHEN id IN (1, 2, 3) THEN 4 ELSE rating END AS INT) AS rating, canonical_post_id FROM g_posts")  # D2
 add("make_canonical", lambda lib: ch.make_canonical(lib.posts, 20).select("id", "canonical_post_id"), "SELECT id, CASE WHEN id = 20 THEN NULL WHEN id = o.c OR canonical_post_id = o.c THEN 20 ELSE canonical_post_id END AS canonical_post_id FROM g_posts, (SELECT canonical_post_id AS c FROM g_posts WHERE id = 20) o")  # D4
-add("delete_cascade", lambda lib: _deleted(lib), "SELECT 'posts' AS t, count(*) AS n, count(canonical_post_id) FILTER (canonical_post_id % 3 <> 0) AS m FROM g_posts WHERE id % 3 <> 0 UNION ALL SELECT 'waifu', count(*), 0 FROM g_waifu WHERE post_id % 3 <> 0 UNION ALL SELECT 'aesthetic', count(*), 0 FROM g_aesthetic WHERE post_id % 3 <> 0 UNION ALL SELECT 'post_has_tag', count(*), 0 FROM g_post_has_tag WHERE post_id % 3 <> 0 UNION ALL SELECT 'vectors', count(*), 0 FROM g_vectors WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL SELECT 'failures', count(*), 0 FROM g_failures WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts))")  # D5
+DEAD = "(SELECT id FROM g_posts WHERE id % 3 = 0)"
+add("delete_cascade", lambda lib: _deleted(lib), "SELECT 'posts' AS t, count(*) AS n, count(canonical_post_id) FILTER (canonical_post_id % 3 <> 0) AS m FROM g_posts WHERE id % 3 <> 0 UNION ALL SELECT 'waifu', count(*), 0 FROM g_waifu WHERE post_id % 3 <> 0 UNION ALL SELECT 'aesthetic', count(*), 0 FROM g_aesthetic WHERE post_id % 3 <> 0 UNION ALL SELECT 'post_has_tag', count(*), 0 FROM g_post_has_tag WHERE post_id % 3 <> 0 UNION ALL SELECT 'vectors', count(*), 0 FROM g_vectors WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL SELECT 'failures', count(*), 0 FROM g_failures WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', count(*), 0 FROM g_{n} WHERE NOT ({' OR '.join(f'{e} IN {DEAD}' for e in ends)})" for n, ends in (("absolute", ["post_id"]), ("flags", ["post_id"]), ("pairwise", ["post_a", "post_b"]), ("absolute_queue", ["post_id"]), ("pair_queue", ["post_a", "post_b"]))) + f" UNION ALL SELECT 'rankings', count(*), 0 FROM g_rankings r WHERE NOT EXISTS (SELECT 1 FROM (SELECT id, CAST(unnest(string_split(replace(replace(post_ids, '[', ''), ']', ''), ',')) AS BIGINT) AS m FROM g_rankings) x WHERE x.id = r.id AND m IN {DEAD}) UNION ALL SELECT 'listwise_queue', count(*), 0 FROM g_listwise_queue r WHERE NOT EXISTS (SELECT 1 FROM (SELECT queue_id, position, CAST(unnest(string_split(replace(replace(post_ids, '[', ''), ']', ''), ',')) AS BIGINT) AS m FROM g_listwise_queue) x WHERE x.queue_id = r.queue_id AND x.position = r.position AND m IN {DEAD})")  # D5
 
 
 def _deleted(lib: Library) -> DataFrame:
@@ -247,7 +281,7 @@ add("zgap_extremes", lambda lib: st.z_gaps(st.scored_pairs(lib)), f"WITH v AS ({
 def _stream_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.streaming.pipelines import run_backfill
 
-    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    top = _shared(spark) + f"/galleon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     open_library(spark, sf_dir).posts.select("id").write.mode("overwrite").parquet(f"{top}/in")
     run_backfill(spark, f"{top}/in", "id long", f"{top}/out", f"{top}/state", _half)
     return spark.read.parquet(f"{top}/out").select("post_id", "score")
@@ -265,7 +299,7 @@ def _stream_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.streaming.pipelines import stream_tag_counts
 
     name = f"tag_counts_{uuid.uuid4().hex}"
-    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}") + f"/galleon-{spark.sparkContext.applicationId}-{name}"
+    top = _shared(spark) + f"/galleon-{spark.sparkContext.applicationId}-{name}"
     open_library(spark, sf_dir).post_has_tag.write.mode("overwrite").parquet(f"{top}/in")
     return stream_tag_counts(spark, f"{top}/in", "post_id long, tag_name string, is_auto int", name, f"{top}/state")
 

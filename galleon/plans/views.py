@@ -65,13 +65,26 @@ FROM {events} WHERE event_type = 'error' GROUP BY 1, 2""",
 SELECT o_orderkey % 4 + 1 AS queue_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS position, o_custkey + 1 AS post_a, o_custkey + 2 AS post_b,
        CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
 FROM {orders}""",
+    "g_absolute_queue": """
+SELECT o_orderkey % 3 + 1 AS queue_id, CAST(floor(o_orderkey / 3) AS BIGINT) AS position, o_custkey + 1 AS post_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
+FROM {orders} WHERE o_orderkey % 5 = 0""",
+    "g_listwise_queue": """
+SELECT o_orderkey % 2 + 1 AS queue_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS position,
+       '[' || CAST(o_custkey + 1 AS STRING) || ',' || CAST(o_custkey + 2 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ',' || CAST(o_custkey + 9 AS STRING) ELSE '' END || ']' AS post_ids,
+       CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
+FROM {orders} WHERE o_orderkey % 5 = 1""",
+    "g_rankings": """
+SELECT event_id + 1 AS id, '[' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ',' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ']' AS post_ids,
+       CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ']'
+       ELSE '[' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ',' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ']' END AS ranking
+FROM {events} WHERE event_type = 'signup'""",
 }
 TABLES = ("part", "embeddings", "events", "orders")
 
 
 class Library:
     """The frames of a gallery: posts, waifu, aesthetic, post_has_tag, tags, tag_groups, vectors, pairwise, absolute,
-    flags, listwise, failures, pair_queue. Each is made when it is first asked for, so a query opens what it reads."""
+    flags, listwise, rankings, failures, pair_queue, absolute_queue, listwise_queue. Each is made when it is first asked for, so a query opens what it reads."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._folder, self._made = spark, sf_dir, {}
@@ -113,4 +126,6 @@ def sql_of(query: str) -> str:
     body = query.strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     return f"WITH {parts}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {parts} {body}"

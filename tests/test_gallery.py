@@ -211,3 +211,122 @@ def test_palette():
     px = np.array([[255, 0, 0, 255]] * 6 + [[0, 0, 255, 255]] * 3 + [[255, 255, 255, 255]] * 5 + [[0, 255, 0, 0]] * 5)
     assert palette.median_cut(px, 2) == [0xFF0000, 0x0000FF]
     assert palette.median_cut(np.zeros((0, 4))) == []
+
+
+# --- whole samplers ------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def silva(lib):
+    return {r["post_id"]: r["score"] for r in lib.aesthetic.where("scorer = 'silva'").collect()}
+
+
+@pytest.fixture(scope="module")
+def unit(lib):
+    rows = {r["post_id"]: np.array(r["embedding"], float) for r in lib.vectors.collect()}
+    return {i: v / np.linalg.norm(v) for i, v in rows.items()}
+
+
+def overall(lib):
+    from galleon.operators.graph import connected_components
+
+    judged = lib.pairwise.where("dimension = 'overall'")
+    return judged, connected_components(judged.where("winner <> 'skip'").select(F.col("post_a").alias("a"), F.col("post_b").alias("b")))
+
+
+def test_similar_pairs(lib, unit):
+    pairs = [tuple(r)[2:] for r in sa.similar_pairs(lib, 20, 5).collect()]
+    ends = [x for p in pairs for x in p]
+    score = {r["id"]: r["score"] for r in lib.posts.collect()}
+    free = {r["id"] for r in sa.pairwise_eligible(lib).collect()}
+    assert 0 < len(pairs) <= 20 and len(set(ends)) == len(ends) and set(ends) <= free
+    for a, b in pairs:
+        assert unit[a] @ unit[b] < sa.SAME and bool(score[a]) == bool(score[b]) and abs(score[a] - score[b]) <= 1
+    assert [tuple(r) for r in sa.similar_pairs(lib, 20, 5).collect()] == [tuple(r) for r in sa.similar_pairs(lib, 20, 5).collect()]
+
+
+def test_window_members_and_groups(lib, silva, unit):
+    judged, _ = overall(lib)
+    rows = sa.window_members(lib, judged, 10, 6, 3).collect()
+    ids = [r["post_id"] for r in rows]
+    assert rows and len(set(ids)) == len(ids)
+    by = {}
+    for r in rows:
+        assert abs(silva[r["post_id"]] - r["centre"]) <= sa.WINDOW + 1e-12
+        by.setdefault(r["place"], []).append(r["post_id"])
+    assert all(len(m) <= 6 for m in by.values())
+    groups = sa.listwise_groups(lib, judged, 5, 3, 4).collect()
+    assert all(3 <= len(g["post_ids"]) <= 4 and max(silva[x] for x in g["post_ids"]) - min(silva[x] for x in g["post_ids"]) <= 2 * sa.WINDOW + 1e-12 for g in groups)
+    with pytest.raises(ValueError):
+        sa.listwise_groups(lib, judged, 5, 3, 17)
+
+
+def test_close_pairs_hang_together(spark, lib):
+    """Every prefix of the pairs is connected, counting the history; no pair was asked before; none comes twice."""
+    judged, parts = overall(lib)
+    for history, components in ((judged, parts), (judged.limit(0), parts.limit(0))):
+        pairs = [tuple(r)[1:] for r in sa.close_pairs_plan(lib, history, components, 24, 7).collect()]
+        old = [(r["post_a"], r["post_b"]) for r in history.collect()]
+        keys = [frozenset(p) for p in pairs]
+        assert 0 < len(pairs) <= 24 and len(set(keys)) == len(keys) and not set(keys) & {frozenset(p) for p in old}
+        seen = {}
+        top = lambda x: x if seen.setdefault(x, x) == x else top(seen[x])  # noqa: E731, B023
+        for a, b in old:
+            seen[top(a)] = top(b)
+        first = None
+        for a, b in pairs:
+            first = first or a
+            seen[top(a)] = top(b)
+            assert top(a) == top(first)
+    assert sa.anchors(lib, judged, parts, 3, 1).count() <= 3
+
+
+def test_in_turn():
+    assert sa.in_turn([1, 2, 5, 6, 9], lambda a, b: b - a <= 1) == [(1, 2), (5, 6)]
+    assert sa.in_turn([1, 3, 4], lambda a, b: b - a <= 1) == [(3, 4)] and sa.in_turn([], None) == []
+
+
+def test_scan_gate(spark):
+    posts, none = spark.range(1, 5), spark.range(0)
+    gate = pe.ScanGate()
+    assert gate.scan(posts, posts) is posts  # open ones were found: no skip
+    assert gate.scan(posts, none) is none and gate.scan(posts, none) is None
+    assert gate.scan(spark.range(1, 9), none) is none
+
+
+def test_basics_and_palettes(spark):
+    state = spark.createDataFrame([(1, 0, 7), (1, 1, 8), (2, 0, 9)], "id long, position int, colour int")
+    new = spark.createDataFrame([(1, [5]), (2, [])], "id long, colours array<int>")
+    assert sorted(map(tuple, pe.replace_palettes(state, new).collect())) == [(1, 0, 5), (2, 0, 9)]
+    import hashlib
+
+    r = pe.basics(spark.createDataFrame([(1, bytearray(b"abc"))], "id long, content binary")).first()
+    assert tuple(r) == (1, hashlib.sha256(b"abc").hexdigest(), 3)
+
+
+def test_small_changes(spark, lib):
+    from galleon.sources.snapshots import snapshot
+
+    touched = ch.touch(lib.posts, 3, F.lit("2024-01-01").cast("timestamp"))
+    assert touched.where("last_accessed_at IS NOT NULL").select("id").collect()[0][0] == 3
+    tags, links = ch.delete_tags(lib.tags, lib.post_has_tag, ["hot"])
+    assert tags.where("name = 'hot'").isEmpty() and links.where("tag_name = 'hot'").isEmpty()
+    assert ch.update_tag(lib.tags, "hot", 3).where("name = 'hot' AND group_id = 3").count() == lib.tags.where("name = 'hot'").count()
+    new = spark.createDataFrame([(1, [0.5] * 64), (10**9, [0.5] * 64)], "post_id long, embedding array<float>")
+    up = pe.upsert_vectors(lib, new)
+    assert up.where("post_id = 1").first()["embedding"][0] == 0.5 and up.where(f"post_id = {10**9}").isEmpty()
+    b = pe.upsert_basics(lib.posts, spark.createDataFrame([(1, "s", None, 7, 1.0, 2.0, 3.0)], "id long, sha256 string, width int, height int, lab_l double, lab_a double, lab_b double"))
+    got, was = b.where("id = 1").first(), lib.posts.where("id = 1").first()
+    assert (got["sha256"], got["width"], got["height"]) == ("s", was["width"], 7) and got["lab_l"] == (was["lab_l"] if was["lab_l"] is not None else 1.0)
+    paths = ch.deleted_paths(lib.posts, spark.createDataFrame([(1,), (2,)], "id long"))
+    assert paths.count() == 2
+    top = spark.conf.get("spark.checkpoint.dir")
+    assert snapshot(lib.tags, f"{top}/snap-{np.random.default_rng().integers(1 << 60)}").count() == lib.tags.count()
+
+
+def test_components_of_a_long_chain(spark):
+    from galleon.operators.graph import connected_components
+
+    edges = spark.range(1, 1000).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(5000, 5001), (7, 7)], "a long, b long"))
+    got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(1000)} | {5000: 5000, 5001: 5000}
