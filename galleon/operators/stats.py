@@ -30,16 +30,17 @@ def pearson(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.round(F.corr("x", "y"), 6).alias("r"))
 
 
-def average_rank(pairs: DataFrame, column: str, cells: int = 1024) -> DataFrame:
+def average_rank(pairs: DataFrame, column: str, cells: int = 64) -> DataFrame:
     """Value and average rank, from counts per value.
 
-    Values are dealt into cells of equal width, in order: a value's rank is what the cells before hold, plus its place
-    in its own cell. No window spans more than one cell, or the cells' totals (cells + 1 rows).
+    The different values are dealt into cells at their quantiles, in order: a value's rank is what the cells before
+    hold, plus its place in its own cell. So no cell has much more than its share of the values, however they lie, and
+    no window spans more than one cell, or the cells' totals (cells + 1 rows).
     """
     counts = pairs.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)).otherwise(0).cast("int")
-    placed = counts.join(F.broadcast(ends)).select(column, "n", cell.alias("cell"))
+    splits = counts.agg(F.percentile_approx(column, [k / cells for k in range(1, cells)], 1000).alias("splits"))
+    cell = F.size(F.filter("splits", lambda s: s < F.col(column)))
+    placed = counts.join(F.broadcast(splits)).select(column, "n", cell.alias("cell"))
     totals = placed.groupBy("cell").agg(F.sum("n").alias("total"))
     before = totals.select("cell", (F.sum("total").over(Window.orderBy("cell")) - F.col("total")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("cell").orderBy(column)) - F.col("n")

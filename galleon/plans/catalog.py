@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ from galleon.operators import annotations as an, changes as ch, dedup, facets as
 from galleon.operators.filters import PostFilter as PF, apply_filter
 from galleon.operators.graph import connected_components
 from galleon.operators.tree import folder_tree
-from galleon.plans.views import Library, open_library, sql_of
+from galleon.plans.views import Library, open_library, shared_folder, sql_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,9 +64,9 @@ add("facet_waifu_bucket", lambda lib: fa.count_by_bucket(lib, "waifu", PF()), _b
 add("facet_silva_bucket", lambda lib: fa.count_by_bucket(lib, "silva", PF()), _bucket_sql("g_aesthetic", (0.2, 0.4, 0.6, 0.8), "silva"))
 add("facet_luna_bucket", lambda lib: fa.count_by_bucket(lib, "silva_luna", PF()), _bucket_sql("g_aesthetic", (0.2, 0.4, 0.6, 0.8), "silva_luna"))
 TAGS = f"SELECT t.tag_name AS name, count(*) AS n FROM g_post_has_tag t JOIN g_posts p ON p.id = t.post_id WHERE {C}"
-add("facet_tags_fast", lambda lib: fa.tag_facet(lib, PF(), limit=20), f"{TAGS} GROUP BY 1 ORDER BY n DESC, name LIMIT 20")  # A7
+add("facet_tags_fast", lambda lib: fa.tag_facet(lib, PF(), limit=20, kept=lib.tag_counts), f"{TAGS} GROUP BY 1 ORDER BY n DESC, name LIMIT 20")  # A7
 add("facet_tags_filtered", lambda lib: fa.tag_facet(lib, PF(rating=[1, 2]), limit=20), f"{TAGS} AND p.rating IN (1, 2) GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
-add("facet_tags_like", lambda lib: fa.tag_facet(lib, PF(), query="BRAND#1", extra=["hot"], limit=20), f"SELECT * FROM ({TAGS} GROUP BY 1) WHERE contains(lower(name), 'brand#1') OR name = 'hot' ORDER BY n DESC, name LIMIT 20")
+add("facet_tags_like", lambda lib: fa.tag_facet(lib, PF(), query="BRAND#1", extra=["hot"], limit=20, kept=lib.tag_counts), f"SELECT * FROM ({TAGS} GROUP BY 1) WHERE contains(lower(name), 'brand#1') OR name = 'hot' ORDER BY n DESC, name LIMIT 20")
 add("facet_without_self", lambda lib: fa.facet_share(fa.count_by_column(lib, "rating", PF(rating=[1], extension=["jpg"]).without("rating"))), f"SELECT rating, n, round(n * 100.0 / sum(n) OVER (), 1) AS pct FROM (SELECT rating, count(id) AS n FROM g_posts WHERE {C} AND extension = 'jpg' GROUP BY rating)")  # A21
 add("stats_overall", lambda lib: fa.overall_stats(lib, PF()), f"SELECT count(*) AS total, round(avg(CASE WHEN p.score > 0 THEN p.score END), 6) AS avg_score, count(CASE WHEN p.score > 0 THEN 1 END) AS scored_count, round(avg(w.score), 6) AS avg_waifu, count(w.score) AS waifu_count FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE {C}")  # A5
 add("stats_rating_distribution", lambda lib: fa.rating_distribution(lib, PF()), f"SELECT coalesce(rating, 0) AS rating, count(*) AS n FROM g_posts WHERE {C} GROUP BY 1")
@@ -93,7 +92,7 @@ add("search_random_resort", lambda lib: se.search(lib, PF(), direction="random",
 add("search_lab", lambda lib: se.search(lib, PF(lab=(50, 0, 0)), limit=20).withColumn("distance", F.round("distance", 5)), f"SELECT {ROW}, round(sqrt((lab_l - 50) * (lab_l - 50) + lab_a * lab_a + lab_b * lab_b), 5) AS distance FROM g_posts WHERE {C} AND lab_l IS NOT NULL ORDER BY sqrt((lab_l - 50) * (lab_l - 50) + lab_a * lab_a + lab_b * lab_b), id LIMIT 20")  # O6, V5
 add("list_keyset", lambda lib: se.keyset_page(lib, 100, 50), f"SELECT id, row_number() OVER (ORDER BY id) > 50 AS is_next FROM (SELECT id FROM g_posts WHERE id >= 100 AND {C} ORDER BY id LIMIT 51)")  # O8, W7
 COUNTS = f"SELECT g.name AS name, g.group_id AS group_id, count(p.id) AS post_count FROM g_tags g LEFT JOIN g_post_has_tag t ON t.tag_name = g.name LEFT JOIN g_posts p ON p.id = t.post_id AND p.{C} GROUP BY 1, 2"
-add("tags_keyset", lambda lib: se.tags_page(fa.tag_counts(lib), "Brand#2", 15), f"SELECT name, post_count FROM ({COUNTS}) WHERE name > 'Brand#2' ORDER BY name LIMIT 15")  # O9
+add("tags_keyset", lambda lib: se.tags_page(lib.tag_counts, "Brand#2", 15), f"SELECT name, post_count FROM ({COUNTS}) WHERE name > 'Brand#2' ORDER BY name LIMIT 15")  # O9
 add("tag_count_refresh", fa.tag_counts, COUNTS)  # D15
 
 # --- read models (J9, J19, J22, P12, P13) -------------------------------------------------------------------------
@@ -126,20 +125,11 @@ PAIRS = f"SELECT a.post_id AS a, b.post_id AS b FROM g_vectors a JOIN g_vectors
 add("near_pairs", lambda lib: dedup.near_pairs(lib.vectors, 0.55), PAIRS)  # V9, J16
 
 
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a local session may do without one: its executors are this machine."""
-    if top := spark.conf.get("spark.checkpoint.dir", None):
-        return top
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/galleon"
-
-
 def _keep(lib: Library):
     """Rounds of iterative operators are written to the cluster's shared folder."""
     spark = lib.posts.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(_shared(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
 
 
@@ -281,7 +271,7 @@ add("zgap_extremes", lambda lib: st.z_gaps(st.scored_pairs(lib)), f"WITH v AS ({
 def _stream_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.streaming.pipelines import run_backfill
 
-    top = _shared(spark) + f"/galleon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    top = shared_folder(spark) + f"/galleon-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     open_library(spark, sf_dir).posts.select("id").write.mode("overwrite").parquet(f"{top}/in")
     run_backfill(spark, f"{top}/in", "id long", f"{top}/out", f"{top}/state", _half)
     return spark.read.parquet(f"{top}/out").select("post_id", "score")
@@ -299,9 +289,9 @@ def _stream_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from galleon.streaming.pipelines import stream_tag_counts
 
     name = f"tag_counts_{uuid.uuid4().hex}"
-    top = _shared(spark) + f"/galleon-{spark.sparkContext.applicationId}-{name}"
+    top = shared_folder(spark) + f"/galleon-{spark.sparkContext.applicationId}-{name}"
     open_library(spark, sf_dir).post_has_tag.write.mode("overwrite").parquet(f"{top}/in")
-    return stream_tag_counts(spark, f"{top}/in", "post_id long, tag_name string, is_auto int", name, f"{top}/state")
+    return stream_tag_counts(spark, f"{top}/in", "post_id long, tag_name string, is_auto int", f"{top}/out", f"{top}/state")
 
 
 QUERIES["stream_tag_counts"] = _stream_tag_counts

@@ -1,7 +1,14 @@
-"""Gallery-shaped views over the driver's tables: one SQL text each, read by Spark and by DuckDB alike."""
+"""Gallery-shaped tables over the driver's tables: one SQL text each, read by Spark and by DuckDB alike.
+
+A gallery keeps its posts, scores, links and tag counts as tables of its own. So does Library: the first query of a
+session that asks for a table writes it, and later ones scan what they need of it.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: {name} stands for a table of the folder, or for another view.
@@ -38,6 +45,8 @@ SELECT p_partkey + 1, p_brand, 0 FROM {part} WHERE p_partkey % 6 = 0""",
 SELECT tag_name AS name, CASE WHEN tag_name LIKE 'Brand#%' THEN 1 WHEN max(is_auto) = 1 THEN 4 END AS group_id FROM {g_post_has_tag} GROUP BY tag_name""",
     "g_tag_groups": """
 SELECT 1 AS id, 'artist' AS name UNION ALL SELECT 2, 'character' UNION ALL SELECT 3, 'copyright' UNION ALL SELECT 4, 'general' UNION ALL SELECT 5, 'meta'""",
+    "g_tag_counts": """
+SELECT g.name AS name, g.group_id AS group_id, count(p.id) AS post_count FROM {g_tags} g LEFT JOIN {g_post_has_tag} t ON t.tag_name = g.name LEFT JOIN {g_posts} p ON p.id = t.post_id AND p.canonical_post_id IS NULL GROUP BY 1, 2""",
     "g_vectors": """
 SELECT vec_id + 1 AS post_id, embedding FROM {embeddings}""",
     "g_pairwise": """
@@ -82,22 +91,48 @@ FROM {events} WHERE event_type = 'signup'""",
 TABLES = ("part", "embeddings", "events", "orders")
 
 
+#: Bytes of a kept table up to which it is read as one partition: grouping and joining it then needs no shuffle.
+SMALL = 8 << 20
+#: Kept tables of this process: (application, folder, table) -> path.
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder. Only a local session may do without one: its executors are this machine."""
+    if top := spark.conf.get("spark.checkpoint.dir", None):
+        return top.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/galleon"
+
+
 class Library:
-    """The frames of a gallery: posts, waifu, aesthetic, post_has_tag, tags, tag_groups, vectors, pairwise, absolute,
-    flags, listwise, rankings, failures, pair_queue, absolute_queue, listwise_queue. Each is made when it is first asked for, so a query opens what it reads."""
+    """The frames of a gallery: posts, waifu, aesthetic, post_has_tag, tags, tag_counts, tag_groups, vectors, pairwise,
+    absolute, flags, listwise, rankings, failures, pair_queue, absolute_queue, listwise_queue. Each is made when it is
+    first asked for, so a query opens what it reads."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._folder, self._made = spark, sf_dir, {}
 
     def _frame(self, name: str) -> DataFrame:
         if name not in self._made:
-            if name in VIEWS:
-                parts = {t: self._frame(t) for t in (*TABLES, *VIEWS) if "{" + t + "}" in VIEWS[name]}
-                self._made[name] = self._spark.sql(VIEWS[name], **parts)
-            else:
-                self._made[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            self._made[name] = self._kept(name) if name in VIEWS else self._spark.read.parquet(f"{self._folder}/{name}.parquet")
         return self._made[name]
 
+    def _kept(self, name: str) -> DataFrame:
+        key = (self._spark.sparkContext.applicationId, self._folder, name)
+        jvm = self._spark.sparkContext._jvm
+        path = _kept.get(key) or f"{shared_folder(self._spark)}/gallery-{uuid.uuid4().hex}/{name}"
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+        if key not in _kept:
+            parts = {t: self._frame(t) for t in (*TABLES, *VIEWS) if "{" + t + "}" in VIEWS[name]}
+            fs.deleteOnExit(where.getParent())
+            self._spark.sql(VIEWS[name], **parts).write.parquet(path)
+            _kept[key] = path
+        table = self._spark.read.parquet(path)
+        return table.coalesce(1) if fs.getContentSummary(where).getLength() <= SMALL else table
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"g_{name}" not in VIEWS:
             raise AttributeError(name)
@@ -105,7 +140,7 @@ class Library:
 
 
 def open_library(spark: SparkSession, sf_dir: str) -> Library:
-    """The views over the folder's tables; nothing is read before a query runs."""
+    """The gallery over the folder's tables."""
     return Library(spark, sf_dir)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,8 +38,14 @@ class ListingReader(DataSourceReader):
         import json
 
         with open(self.path, encoding="utf-8") as f:
-            rows = sorted((r for r in json.load(f)), key=lambda r: -r.get("id", 0))
-        for r in pages(lambda before, n: [x for x in rows if before is None or x.get("id", 0) < before][:n], self.limit):
+            rows = sorted(json.load(f), key=lambda r: -r.get("id", 0))
+        ids = [-r.get("id", 0) for r in rows]
+
+        def fetch(before: int | None, n: int) -> list[dict]:
+            start = 0 if before is None else bisect.bisect_right(ids, -before)
+            return rows[start : start + n]
+
+        for r in pages(fetch, self.limit):
             yield (json.dumps(r),)
 
 

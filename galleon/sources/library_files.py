@@ -30,23 +30,27 @@ class LibraryReader(DataSourceReader):
         self.root = root
 
     def partitions(self) -> list[InputPartition]:
-        """One task per top-level directory, and one for the files beside them."""
-        tops = [e.name for e in os.scandir(self.root) if e.is_dir() and not e.name.startswith(".")]
+        """One task per top-level directory, and one for the files beside them, or for a root that can't be read."""
+        try:
+            tops = [e.name for e in os.scandir(self.root) if e.is_dir() and not e.name.startswith(".")]
+        except OSError:
+            tops = []
         return [Part(None), *map(Part, sorted(tops))]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        if partition.top is None:
-            with os.scandir(self.root) as entries:
-                for e in entries:
-                    if e.is_file() and not e.name.startswith(".") and not e.name.endswith(".part"):
-                        yield (".", *split_name(e.name), e.stat().st_mtime, False)
-            return
         bad: list[str] = []
-        for here, _, names in os.walk(os.path.join(self.root, partition.top), onerror=lambda e: bad.append(e.filename)):
+        walk = os.walk(os.path.join(self.root, partition.top or ""), onerror=lambda e: bad.append(e.filename))
+        for here, folders, names in walk:
             folder = os.path.relpath(here, self.root).replace(os.sep, "/")
+            if partition.top is None:
+                folders.clear()  # the other tasks go down
+                names = [n for n in names if not n.startswith(".")]
             for name in names:
                 if not name.endswith(".part"):
-                    yield (folder, *split_name(name), os.stat(os.path.join(here, name)).st_mtime, False)
+                    try:
+                        yield (folder, *split_name(name), os.stat(os.path.join(here, name)).st_mtime, False)
+                    except FileNotFoundError:  # gone since the directory was read, as if it had never been there
+                        continue
         for path in bad:
             yield (os.path.relpath(path, self.root).replace(os.sep, "/"), None, None, None, True)
 

@@ -1,4 +1,4 @@
-"""State without a table format: versioned Parquet folders with a pointer that is replaced at once, and manifests."""
+"""State without a table format: versioned Parquet folders, and manifests."""
 
 from __future__ import annotations
 
@@ -14,16 +14,21 @@ def _fs(spark: SparkSession, path: str):
 
 
 class VersionedTable:
-    """Readers always see one whole version: the one that the pointer file names."""
+    """Readers always see one whole version: the newest one that Spark has committed, which its _SUCCESS file tells.
+
+    Versions are named in order of time, so nothing is ever replaced: a writer that is lost leaves a folder that no
+    reader takes, and a reader keeps the version that it began with.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def version(self) -> str | None:
         fs, path = _fs(self.spark, self.path)
-        if not fs.exists(path(f"{self.path}/CURRENT")):
+        if not fs.exists(path(self.path)):
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path(self.path)))
+        return next((v for v in reversed(names) if v.startswith("v") and fs.exists(path(f"{self.path}/{v}/_SUCCESS"))), None)
 
     def read(self) -> DataFrame:
         if (v := self.version()) is None:
@@ -31,15 +36,9 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/{v}")
 
     def write(self, df: DataFrame) -> str:
-        """A new version; it counts once the pointer is renamed into place."""
-        v = f"v{time.time_ns()}"
+        """A new version; it counts once Spark has committed it."""
+        v = f"v{time.time_ns():020d}"
         df.write.parquet(f"{self.path}/{v}")
-        fs, path = _fs(self.spark, self.path)
-        out = fs.create(path(f"{self.path}/.next"), True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        fs.rename(path(f"{self.path}/.next"), path(f"{self.path}/CURRENT"))
         return v
 
 

@@ -38,26 +38,25 @@ def enrich(df: DataFrame, compute: Callable[[list[int]], list[float]], batch: in
     return df.select("id").mapInPandas(step, "post_id long, score double, error string")
 
 
-def run_backfill(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, compute: Callable[[list[int]], list[float]], on_drained: Callable[[], None] | None = None) -> int:
-    """Everything new in a Parquet folder goes through `compute` into sink/batch=n; returns the number of batches.
+def run_backfill(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, compute: Callable[[list[int]], list[float]], on_drained: Callable[[], None] | None = None, every: str | None = None):
+    """Everything new in a Parquet folder goes through `compute` into sink/batch=n, each id once.
 
-    A batch that is run again overwrites its own folder, and ids that are in the sink are left out: exactly once.
+    Ids that came before are kept in the stream's own state, so a batch costs what is new in it; a batch that is run
+    again overwrites its own folder. Without `every` what is there is drained, on_drained is called and the number of
+    batches returned; with it ("30 seconds") the running query is returned, which looks for new files that often. One
+    checkpoint has one query at a time: Spark refuses a second one.
     """
     seen: list[int] = []
 
     def each(df: DataFrame, batch_id: int) -> None:
-        try:
-            old = spark.read.parquet(sink).where(F.col("batch") != batch_id).select(F.col("post_id").alias("id"))
-            df = df.join(old, "id", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         enrich(df, compute).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         seen.append(batch_id)
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    stream = spark.readStream.schema(schema).parquet(source).dropDuplicates(["id"])
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    writer.trigger(availableNow=True).start().awaitTermination()
     if on_drained:
         on_drained()
     return len(seen)
@@ -72,12 +71,27 @@ def progressed(last: list[int] | None, now: list[int]) -> bool:
     return bool(now) and (last is None or batch_key(last) != batch_key(now))
 
 
-def stream_tag_counts(spark: SparkSession, source: str, schema: str, name: str, checkpoint: str) -> DataFrame:
-    """Running counts of a stream of tag links, drained into a table in memory."""
+def stream_tag_counts(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str) -> DataFrame:
+    """Running counts of a stream of tag links, drained: each batch writes the tags that changed, the newest row counts."""
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
     counts = spark.readStream.schema(schema).parquet(source).groupBy("tag_name").agg(F.count("*").alias("n"))
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    counts.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).groupBy("tag_name").agg(F.max_by("n", "batch").alias("n"))
+
+
+def watch(spark: SparkSession, source: str, schema: str, changed: Callable[[DataFrame], None], checkpoint: str, every: str = "10 minutes"):
+    """Calls `changed` with the new rows of a folder of manifests, looked for as often as said; returns the running query."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(lambda df, _: changed(df)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def retained(tasks: DataFrame, now, done_hours: int = 1, other_hours: int = 24) -> DataFrame:
+    """Tasks (state, updated_at) that are kept: finished ones for an hour, all others for a day."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 3600
+    return tasks.where(age <= F.when(F.col("state") == "done", done_hours).otherwise(other_hours))
 
 
 class TimelineView:
