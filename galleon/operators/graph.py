@@ -34,7 +34,7 @@ def shortened(pairs: DataFrame) -> DataFrame:
                 if a != b:
                     up[max(a, b)] = min(a, b)
             n += batch.num_rows
-            if n >= TOGETHER:
+            if n > TOGETHER:
                 yield star()
                 up.clear()
                 n = 0
@@ -48,9 +48,9 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
 
     Large-star and small-star steps in turn, until nothing changes: the number of rounds grows with the logarithm of a
     component's size, and each step is one aggregation and one join on the node, so that no component is ever gathered
-    in one place. Before each round tasks shorten the paths among the edges they hold. keep() materialises a round's
-    edges (a checkpoint by default) so that the plan stays short. Null ends and self loops are dropped. Empty input:
-    empty output.
+    in one place. Before each round tasks shorten the paths among the edges they hold; once no more than TOGETHER edges
+    are left, one task does so with all of them and is done. keep() materialises a round's edges (a checkpoint by
+    default) so that the plan stays short. Null ends and self loops are dropped. Empty input: empty output.
     """
     keep = keep or (lambda df: df.checkpoint())
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
@@ -58,7 +58,10 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
     while True:
         pairs = keep(shortened(pairs).distinct())
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (now["n"], now["h"]) == last or not now["n"]:
+        if now["n"] <= TOGETHER:
+            pairs = keep(shortened(pairs.coalesce(1)))
+            break
+        if (now["n"], now["h"]) == last:
             break
         last = (now["n"], now["h"])
         # large star: each node's larger neighbours are linked to the smallest node around it

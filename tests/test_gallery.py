@@ -324,9 +324,11 @@ def test_small_changes(spark, lib):
     assert snapshot(lib.tags, f"{top}/snap-{np.random.default_rng().integers(1 << 60)}").count() == lib.tags.count()
 
 
-def test_components_of_a_long_chain(spark):
-    from galleon.operators.graph import connected_components
+@pytest.mark.parametrize("together", [200_000, 40])
+def test_components_of_a_long_chain(spark, monkeypatch, together):
+    from galleon.operators import graph
 
+    monkeypatch.setattr(graph, "TOGETHER", together)
     edges = spark.range(1, 1000).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(5000, 5001), (7, 7)], "a long, b long"))
     got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(1000)} | {5000: 5000, 5001: 5000}
