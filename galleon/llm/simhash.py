@@ -172,8 +172,8 @@ BANDS, DEEP = 15, 4
 BINS = 1024
 #: Members of a cell that one task gets at most; larger cells are cut into blocks. Members of all blocks of a cell.
 CELL, HUBS = 512, 8
-#: A node asks for so many more of its nearest others in each further round.
-FURTHER = 4
+#: A node asks for so many of its nearest others in the first round, and for so many times more in each further one.
+ASKED, FURTHER = 8, 16
 
 
 _rng = np.random.default_rng(17)
@@ -315,10 +315,12 @@ def apart(open_: DataFrame, least: int, most: int) -> DataFrame:
     """Edges (a, b), a < b, with the components p and q of their ends: pairs of a cell within their limit, of two
     components, where one is among the other's nearest from place `least` up to before `most`.
 
-    open_: cell, row, blocks, bits, size, component. Any two blocks of a cell meet once.
+    open_: cell, row, blocks, bits, size, component. Any two blocks of a cell meet once. A row with a = -1 says that
+    some node has others of another component from place `most` on.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        left = False
         for t, at in grouped_rows(batches, "deal"):
             row, part, side, size, bits = *(np.asarray(t.column(k)) for k in ("row", "component", "side", "size")), unpacked(t.column("bits"))
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -329,12 +331,17 @@ def apart(open_: DataFrame, least: int, most: int) -> DataFrame:
                 y = x if (side[lo:hi] == 0).all() else np.arange(lo, hi)[~one]
                 for i in x.tolist() if len(y) else ():
                     d = np.bitwise_count(bits[y] ^ bits[i]).sum(1) / limit(size[y], size[i])
-                    near = y[(d <= 1) & (y != i)]
+                    within = (d <= 1) & (y != i)
+                    near = y[within]
                     if len(near) > least:
-                        near = near[np.lexsort((row[near], d[(d <= 1) & (y != i)]))][least:most]
+                        near = near[np.lexsort((row[near], d[within]))][least:]
+                        near, beyond = near[: most - least], near[most - least :]
                         near = near[part[near] != part[i]]
                         if len(near):
                             yield {"a": np.minimum(row[i], row[near]), "b": np.maximum(row[i], row[near]), "p": np.full(len(near), part[i]), "q": part[near]}
+                        if not left and (part[beyond] != part[i]).any():
+                            left = True
+                            yield dict.fromkeys("abpq", [-1])
 
     block = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")
     pairs = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -348,12 +355,6 @@ def word_shingles(text: bytes) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))) if len(w) > SHINGLE else {b" ".join(w)}
 
 
-def ends_of(edges: DataFrame, text: DataFrame) -> DataFrame:
-    """row and text of the edges' ends, written once."""
-    ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
-    return written(text.join(ends.hint("merge"), "row", "left_semi").select("row", "text"))
-
-
 def verified(edges: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
     """The edges whose ends' shingle sets have this similarity or more, from whole texts."""
 
@@ -383,24 +384,21 @@ def linked_copies(nodes: DataFrame, text: DataFrame, similarity: float) -> DataF
     others of different components, for more of them in each round, until none is left to be asked for.
     """
     held = written(members(nodes))
+    own = written(text.join(held.select("row").distinct().hint("merge"), "row", "left_semi").select("row", "text"))
     found = written(candidates(held, nodes))
-    pairs = found.select("a", "b").distinct()
-    good = written(verified(pairs, ends_of(pairs, text), similarity))
+    good = written(verified(found.select("a", "b").distinct(), own, similarity))
     parts = written(connected_components(good, written))
     failed = found.join(good.hint("merge"), ["a", "b"], "left_anti").select("cell").union(held.where("blocks > 1").select("cell")).distinct()
     named = parts.select(F.col("id").alias("row"), "component").hint("merge")
     open_ = written(held.join(failed.hint("merge"), "cell", "left_semi").join(named, "row", "left").select("cell", "row", "blocks", F.coalesce("component", "row").alias("component")))
-    least, most, more = 0, 1, []
-    while True:
-        mixed = open_.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        mixed = written(mixed.select("cell", "n"))
-        if least >= (mixed.agg(F.max("n")).first()[0] or 0):
-            break
-        asked = open_.hint("merge").join(mixed.select("cell"), "cell", "left_semi").hint("merge").join(nodes.select("row", "bits", "size"), "row")
+    least, most, more, left = 0, ASKED, [], True
+    while left:
+        mixed = open_.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell")
+        asked = open_.hint("merge").join(mixed, "cell", "left_semi").hint("merge").join(nodes.select("row", "bits", "size"), "row")
         tried = written(apart(asked, least, most))
-        least, most = most, most + most * FURTHER
-        new = tried.select("a", "b").distinct()
-        new = written(verified(new, ends_of(new, text), similarity))
+        left, tried = not tried.where("a = -1").isEmpty(), tried.where("a <> -1")
+        least, most = most, most * FURTHER
+        new = written(verified(tried.select("a", "b").distinct(), own, similarity))
         if new.isEmpty():
             continue
         more.append(new)
