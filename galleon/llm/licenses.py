@@ -5,7 +5,8 @@ spaces. A notice of a known length with at most k errors, cut into k + 1 pieces,
 (pigeonhole), so one Aho-Corasick pass over the pieces of all notices finds every place where a notice can be. The
 regex library then matches the notice there with at most k errors and tells the span.
 
-Null and empty texts have no words: counts of 0, empty labels, null places, score 0. Repeated rows are each scanned.
+Null and empty texts have no words: counts of 0, empty labels, null places, score 0. Repeated rows, also
+those that share a doc_id or have none, are each scanned. No rows: no rows. Other columns go, whatever their names.
 Texts of any length are scanned whole; no row meets another, so no key can be hot.
 """
 
@@ -76,28 +77,30 @@ def searcher():
 def fuzzy(words: str) -> list[tuple[str, int, int, int]]:
     """(label, start, end, errors) of every notice in the joined words, best match first at each place."""
     automaton, patterns = searcher()
+    # the library puts no letter in at the place where a search begins or ends: there is a space around every window
+    text = f" {words} "
     windows: dict[int, list[list[int]]] = {}
-    for end, (length, where) in automaton.iter(words):
+    for end, (length, where) in automaton.iter(text):
         for i, at in where:
             notice, _, k = NOTICES[i]
             start = max(0, end + 1 - length - at - k)
-            stop = min(len(words), start + len(notice) + 2 * k + 1)
+            stop = min(len(text), start + len(notice) + 2 * k + 1)
             spans = windows.setdefault(i, [])
             if spans and start <= spans[-1][1] and stop - spans[-1][0] <= STRETCH:
-                spans[-1][1] = max(spans[-1][1], stop)
+                spans[-1][:] = min(spans[-1][0], start), max(spans[-1][1], stop)
             else:
                 spans.append([start, stop])
     found = []
     for i, spans in windows.items():
         for start, stop in spans:
             # whole words at both ends, so that the pattern's word boundaries see what the text has there
-            start = words.rfind(" ", 0, start) + 1
-            stop = len(words) if (e := words.find(" ", stop)) < 0 else e
+            start = max(0, text.rfind(" ", 0, start + 1))
+            stop = len(text) if (e := text.find(" ", stop)) < 0 else e + 1
             todo = [(start, stop)]
             while todo:  # the best match comes first: what lies before it is searched like what lies after it
                 lo, hi = todo.pop()
-                if m := patterns[i].search(words, lo, hi):
-                    found.append((NOTICES[i][1], m.start(), m.end(), sum(m.fuzzy_counts)))
+                if m := patterns[i].search(text, lo, hi):
+                    found.append((NOTICES[i][1], m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)))
                     todo += [(x, y) for x, y in ((lo, m.start()), (m.end(), hi)) if y - x >= len(NOTICES[i][0]) - NOTICES[i][2]]
     # the same place can look like two notices (version 2, version 3): the one with fewer errors stays
     found.sort(key=lambda x: (x[3], x[1], x[0]))

@@ -7,7 +7,8 @@ margin is mapped to (0, 1) by a logistic curve fitted on rows the model wasn't f
 
 The model is fitted on at most SAMPLE labelled rows that aren't held out, in one task; every document is scored
 whole. Null and empty texts have no n-grams and get the score of the bias alone. Without usable labels of both
-classes every score is 0.5. Repeated rows get equal scores. No row meets another, so no key can be hot.
+classes every score is 0.5. Repeated rows, also those that share a doc_id or have none, get a row and equal scores
+each. No rows: no rows. No row meets another, so no key can be hot.
 """
 
 from __future__ import annotations

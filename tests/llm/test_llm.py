@@ -63,6 +63,26 @@ def test_licenses_side_by_side(spark):
     assert [x["spans"] for x in r] == ["mit:0:4:2,mit:4:8:1,mit:8:12:0", "mit:0:4:0,mit:4:8:1,mit:8:12:1", "all-rights-reserved:0:3:1,all-rights-reserved:3:6:0,all-rights-reserved:6:9:1"]
 
 
+def test_licenses_as_the_patterns_over_whole_texts():
+    """Wherever a notice's pattern finds a match in a text, the scan has a span there with as few errors or fewer."""
+    r, patterns, seen = random.Random(5), licenses.searcher()[1], 0
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for _ in range(1500):
+        notice, _, k = r.choice(licenses.NOTICES)
+        s = list(notice)
+        for _ in range(r.randint(0, k + 1)):
+            at, what = r.randrange(len(s)), r.randrange(3)
+            s[at : at + (what != 2)] = [] if what == 1 else [r.choice(letters)]
+        text = " ".join((r.choice(["some words ", "a", "und ", ""]) + "".join(s) + r.choice([" and more", "s x", ""])).split())
+        found = licenses.fuzzy(text)
+        for p in patterns:
+            if m := p.search(text):
+                seen += 1
+                assert any(a < m.end() and m.start() < b and e <= sum(m.fuzzy_counts) for _, a, b, e in found), (text, m, found)
+    assert seen > 1000 and licenses.fuzzy("some words aundeur the mit license and more") == [("mit", 11, 34, 2)]
+    assert licenses.fuzzy("aundeur the mit license") == [("mit", 0, 23, 2)]
+
+
 def test_pieces_keep_one_whole():
     r = random.Random(1)
     for notice, _, k in licenses.NOTICES:
@@ -509,6 +529,55 @@ def test_channel_of_any_length(docs):
         assert b"".join(got) == letters and {b"stupid", b"worthless", b"idiot"} <= set(got)
 
 
+def test_restoring_is_the_best_of_all_readings():
+    """Viterbi search against all paths through the lattice."""
+    rng = np.random.default_rng(2)
+    lm = np.log(rng.dirichlet(np.ones(toxicity.SIGNS), (toxicity.SIGNS, toxicity.SIGNS))).astype(np.float32)
+
+    def value(parts):
+        x = y = 0
+        total = sum(cost for _, cost in parts)
+        for ch in "".join(out for out, _ in parts) + " ":
+            z = int(toxicity.CODE[ord(ch)])
+            total += lm[x, y, z]
+            x, y = y, z
+        return total
+
+    r = random.Random(4)
+    for _ in range(150):
+        place = "".join(r.choice("ab01357@$!ooss") * r.choice([1, 1, 2, 3]) for _ in range(r.randint(1, 5)))
+        paths = list(itertools.product(*toxicity.lattice(place)))
+        best = max(map(value, paths))
+        got = toxicity.restore(place.encode(), lm).decode()
+        assert any("".join(o for o, _ in p).strip() == got and value(p) >= best - 1e-4 for p in paths), place
+
+
+def test_ratios_by_definition():
+    r = random.Random(8)
+    found = [b"One two 33 two.", b"aa bb bb cc, DD!", b"", b"x", b"One two three"]
+    rows, y = [quality.features(t, np.zeros(quality.DIM, bool)) for t in found], np.array([1, -1, 1, -1, 1])
+    got = quality.ratios(rows, y)
+    count = {1: np.ones(quality.DIM), -1: np.ones(quality.DIM)}
+    for row, v in zip(rows, y, strict=True):
+        for k in row.tolist():
+            count[v][k] += 1
+    for k in r.sample(range(quality.DIM), 500) + [k for row in rows for k in row.tolist()]:
+        want = math.log(count[1][k] / count[1].sum()) - math.log(count[-1][k] / count[-1].sum())
+        assert abs(got[k] - want) < 1e-9
+    # a pair of bytes counts once, however often it stands in a text
+    assert quality.features(b"abab", np.zeros(quality.DIM, bool)).tolist()[:2] == sorted([97 << 8 | 98, 98 << 8 | 97])
+
+
+def test_empty_tables_and_missing_ids(spark):
+    """No rows: no rows; rows without an id are kept as they are, each for itself."""
+    labels, bench = base.table(spark, DATA, "labels"), base.table(spark, DATA, "benchmark")
+    none, some = frame(spark, []), frame(spark, ["one two three", "one two three", None], [None, None, 7])
+    for step in (lambda d: simhash.near_copies(d), lambda d: pii.find_pii(d), lambda d: pii.mask_pii(d), lambda d: quality.quality_scores(d, labels), lambda d: quality.keep_good(d, labels, 0.0), lambda d: toxicity.toxicity_scores(d, labels), lambda d: decontaminate.drop_contaminated(d, bench), lambda d: licenses.license_scan(d), lambda d: substrings.remove_repeats(d), lambda d: packing.pack(d)):
+        assert step(none).count() == 0
+        assert step(some).count() == 3
+    assert decontaminate.drop_contaminated(some, bench.limit(0)).count() == 3
+
+
 def test_dual_coordinate_descent():
     rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])]
     y = np.array([1, 1, -1, -1])
