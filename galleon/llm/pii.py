@@ -107,44 +107,50 @@ def start_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return p
 
 
-def run_lstm(x: np.ndarray, p: dict, d: str, keep: bool = False):
-    """Hidden states (T, B, H) of codes (B, T); gates and cells too if they are kept for learning."""
+def emissions(x: np.ndarray, p: dict, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """Scores of the tags (T, B, K) of codes (B, T), the hidden states behind them, and what learning needs if it is kept.
+
+    Both directions run side by side; the backward one reads the codes from the end.
+    """
     n, t = x.shape
-    h, c, states, saved = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.empty((t, n, HIDDEN)), []
+    given = np.stack((p["xf"][x.T] + p["bf"], p["xb"][x.T[::-1]] + p["bb"]), axis=1)  # (T, 2, B, 4H)
+    inner = np.stack((p["hf"], p["hb"]))
+    h, c = np.zeros((2, n, HIDDEN), given.dtype), np.zeros((2, n, HIDDEN), given.dtype)
+    states, saved = np.empty((t, 2, n, HIDDEN), given.dtype), []
     for k in range(t):
-        z = p[f"x{d}"][x[:, k]] + h @ p[f"h{d}"] + p[f"b{d}"]
-        s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
-        g = np.tanh(z[:, 3 * HIDDEN :])
-        i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
+        z = given[k] + h @ inner
+        s = 1 / (1 + np.exp(-np.clip(z[..., : 3 * HIDDEN], -30, 30)))
+        g = np.tanh(z[..., 3 * HIDDEN :])
+        i, f, o = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :]
         last, c = c, f * c + i * g
         th = np.tanh(c)
         if keep:
             saved.append((h, last, i, f, o, g, th))
         h = o * th
         states[k] = h
-    return states, saved
-
-
-def emissions(x: np.ndarray, p: dict, keep: bool = False):
-    a, sa = run_lstm(x, p, "f", keep)
-    b, sb = run_lstm(x[:, ::-1], p, "b", keep)
-    both = np.concatenate((a, b[::-1]), axis=2)
-    return both @ p["out"] + p["bias"], both, sa, sb
+    both = np.concatenate((states[:, 0], states[::-1, 1]), axis=2)
+    return (both @ p["out"] + p["bias"]).astype(np.float64), both, saved
 
 
-def back(x: np.ndarray, grad: np.ndarray, saved: list, p: dict, d: str, g: dict) -> None:
-    """Adds the gradients of one direction, given those of its hidden states."""
+def back(x: np.ndarray, grad: np.ndarray, saved: list, p: dict, g: dict) -> None:
+    """Adds the gradients of both directions, given those of the hidden states (T, B, 2H)."""
     n, t = x.shape
-    dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+    ahead = np.stack((grad[:, :, :HIDDEN], grad[::-1, :, HIDDEN:]), axis=1).astype(p["hf"].dtype)
+    turned = np.stack((p["hf"].T, p["hb"].T))
+    kind = turned.dtype
+    dh, dc = np.zeros((2, n, HIDDEN), kind), np.zeros((2, n, HIDDEN), kind)
+    dz, before = np.empty((t, 2, n, 4 * HIDDEN), kind), np.empty((t, 2, n, HIDDEN), kind)
     for k in range(t - 1, -1, -1):
-        h, last, i, f, o, u, th = saved[k]
-        dh = dh + grad[k]
+        before[k], last, i, f, o, u, th = saved[k]
+        dh = dh + ahead[k]
         dc = dc + dh * o * (1 - th**2)
-        dz = np.concatenate((dc * u * i * (1 - i), dc * last * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - u**2)), axis=1)
-        np.add.at(g[f"x{d}"], x[:, k], dz)
-        g[f"h{d}"] += h.T @ dz
-        g[f"b{d}"] += dz.sum(0)
-        dh, dc = dz @ p[f"h{d}"].T, dc * f
+        dz[k] = np.concatenate((dc * u * i * (1 - i), dc * last * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - u**2)), axis=2)
+        dh, dc = dz[k] @ turned, dc * f
+    for side, d, codes_ in ((0, "f", x.T), (1, "b", x.T[::-1])):
+        flat = dz[:, side].reshape(t * n, -1)
+        g[f"x{d}"] += np.eye(CLASSES, dtype=kind)[codes_.reshape(-1)].T @ flat
+        g[f"h{d}"] += before[:, side].reshape(t * n, -1).T @ flat
+        g[f"b{d}"] += flat.sum(0)
 
 
 def lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -267,19 +273,18 @@ def fit(ids: list[int], found: list[bytes], label: list[int]) -> bytes:
         xs.append(x)
         ys.append(y)
     x, y = np.array(xs), np.array(ys)
-    p = start_weights(rng)
+    p = {q: w.astype(np.float32) for q, w in start_weights(rng).items()}
     m, v, k = {q: np.zeros_like(w) for q, w in p.items()}, {q: np.zeros_like(w) for q, w in p.items()}, 0
     for epoch in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 100)):
-            e, both, sa, sb = emissions(x[rows], p, True)
+            e, both, saved = emissions(x[rows], p, True)
             ge, gt, _ = crf(e, y[rows], p["trans"])
             ge, gt = ge / len(rows), gt / len(rows)
             g = {q: np.zeros_like(w) for q, w in p.items()}
-            g["trans"], g["bias"] = gt, ge.sum((0, 1))
-            g["out"] = np.tensordot(both, ge, ([0, 1], [0, 1]))
-            dh = ge @ p["out"].T
-            back(x[rows], dh[:, :, :HIDDEN], sa, p, "f", g)
-            back(x[rows][:, ::-1], dh[::-1, :, HIDDEN:], sb, p, "b", g)
+            ge = ge.astype(np.float32)
+            g["trans"], g["bias"] = gt.astype(np.float32), ge.sum((0, 1))
+            g["out"] = both.reshape(-1, 2 * HIDDEN).T @ ge.reshape(-1, TAGS)
+            back(x[rows], ge @ p["out"].T, saved, p, g)
             norm, k = np.sqrt(sum((w**2).sum() for w in g.values())), k + 1
             for q in p:
                 w = g[q] * min(1.0, 5.0 / norm)
@@ -391,7 +396,7 @@ def all_spans(text: str, p: dict) -> tuple[list, list]:
 
 
 def load(model: bytes) -> dict:
-    return {k: v.astype(np.float64) for k, v in np.load(io.BytesIO(model)).items()}
+    return dict(np.load(io.BytesIO(model)).items())
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
