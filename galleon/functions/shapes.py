@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from galleon.functions.columns import iso_text
 
@@ -15,16 +15,21 @@ def camel(name: str) -> str:
     return head + "".join(w.capitalize() for w in rest)
 
 
+def client_form(c: Column, kind: T.DataType, name: str = "") -> Column:
+    """A value as clients get it; structs and lists of structs are gone through at any depth."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[client_form(c[f.name], f.dataType, f.name).alias(camel(f.name)) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+            c = F.transform(c, lambda x: client_form(x, kind.elementType))
+        return F.coalesce(c, F.array())
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if isinstance(kind, T.StringType) and name.endswith("_at"):
+        return iso_text(c)
+    return F.coalesce(c, F.lit(0).cast(kind)) if name in ZERO else c
+
+
 def shaped(df: DataFrame) -> DataFrame:
-    """Timestamps become ISO text, unset numbers 0, names camelCase; nested values stay."""
-    out = []
-    for name, kind in df.dtypes:
-        c = F.col(name)
-        if kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        elif kind == "string" and name.endswith("_at"):
-            c = iso_text(c)
-        elif name in ZERO:
-            c = F.coalesce(c, F.lit(0).cast(kind))
-        out.append(c.alias(camel(name)))
-    return df.select(*out)
+    """Times become ISO text, unset numbers 0, missing lists empty, names camelCase, inside nested values too."""
+    return df.select(*[client_form(F.col(f.name), f.dataType, f.name).alias(camel(f.name)) for f in df.schema.fields])

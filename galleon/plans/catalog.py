@@ -100,6 +100,10 @@ add("detail_nested", lambda lib: se.details(lib, lib.posts.where("id <= 50")).se
 SELECT p.id AS id, file_path || '/' || file_name || '.' || extension AS full_path, round(CASE WHEN height <> 0 THEN CAST(width AS DOUBLE) / height END, 6) AS aspect_ratio, w.score AS waifu_score, (SELECT count(*) FROM g_posts m WHERE m.canonical_post_id = p.id) AS members,
  coalesce((SELECT string_agg(t.tag_name, ',' ORDER BY CASE g.name WHEN 'artist' THEN 0 WHEN 'copyright' THEN 1 WHEN 'character' THEN 2 WHEN 'general' THEN 3 WHEN 'meta' THEN 4 ELSE 5 END, t.tag_name) FROM g_post_has_tag t JOIN g_tags n ON n.name = t.tag_name LEFT JOIN g_tag_groups g ON g.id = n.group_id WHERE t.post_id = p.id), '') AS tags,
  CAST((SELECT count(*) FROM g_aesthetic a WHERE a.post_id = p.id) AS INT) AS scores FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE p.id <= 50""")
+add("shape_detail", lambda lib: shaped(se.details(lib, lib.posts.where("id <= 50"))).select("id", "fullPath", "waifuScore", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", F.coalesce(t["groupName"], F.lit("")), t["name"])), ",").alias("tags")), """
+SELECT p.id AS id, file_path || '/' || file_name || '.' || extension AS "fullPath", w.score AS "waifuScore",
+ coalesce((SELECT string_agg(coalesce(g.name, '') || ':' || t.tag_name, ',' ORDER BY CASE g.name WHEN 'artist' THEN 0 WHEN 'copyright' THEN 1 WHEN 'character' THEN 2 WHEN 'general' THEN 3 WHEN 'meta' THEN 4 ELSE 5 END, t.tag_name) FROM g_post_has_tag t JOIN g_tags n ON n.name = t.tag_name LEFT JOIN g_tag_groups g ON g.id = n.group_id WHERE t.post_id = p.id), '') AS tags
+FROM g_posts p LEFT JOIN g_waifu w ON w.post_id = p.id WHERE p.id <= 50""")  # P13
 add("group_members", lambda lib: lib.posts.where("canonical_post_id = 21").select("id"), "SELECT id FROM g_posts WHERE canonical_post_id = 21")
 add("member_counts", lambda lib: se.member_counts(lib.posts), "SELECT canonical_post_id AS id, count(*) AS members FROM g_posts WHERE canonical_post_id IS NOT NULL GROUP BY 1")  # A9
 add("ordered_lookup", lambda lib: se.in_given_order(lib.posts, [7, 3, 999999999, 5], True).select("id", "pos"), f"SELECT p.id AS id, v.pos AS pos FROM g_posts p JOIN (SELECT * FROM (VALUES (7, 0), (3, 1), (999999999, 2), (5, 3)) t(id, pos)) v ON v.id = p.id WHERE {C}")  # J22
