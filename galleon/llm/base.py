@@ -109,7 +109,8 @@ def held_out_column(name: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """text and label of at most `rows` labelled documents that aren't held out, chosen by a hash of the id.
 
-    The sample's ids are the only thing that is broadcast; their number is bounded by `rows`.
+    The sample's ids are the only thing that is broadcast; their number is bounded by `rows`. Documents that share an
+    id don't make it more rows.
     """
     ids = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out_column())
@@ -118,7 +119,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    found = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[int], list[bytes], list[int]], bytes]) -> bytes:

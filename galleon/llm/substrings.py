@@ -11,6 +11,8 @@ stretches are dealt out by the hashes of their single strings instead, so no tas
 
 Null and empty texts, and texts of under 100 bytes, lose nothing. Order is by doc_id (nulls first), then by the
 order of reading for rows that share a doc_id, then by start. Texts of any length are read whole, in overlapping parts.
+The documents must come from a table: its rows are numbered in the order of reading, which is the same each time.
+Stretches count as equal if the 64-bit hashes of their anchors and of their bytes both agree.
 """
 
 from __future__ import annotations

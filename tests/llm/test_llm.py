@@ -568,8 +568,11 @@ def test_ratios_by_definition():
     assert quality.features(b"abab", np.zeros(quality.DIM, bool)).tolist()[:2] == sorted([97 << 8 | 98, 98 << 8 | 97])
 
 
-def test_empty_tables_and_missing_ids(spark):
+def test_empty_tables_and_missing_ids(spark, monkeypatch):
     """No rows: no rows; rows without an id are kept as they are, each for itself."""
+    monkeypatch.setattr(pii, "EXAMPLES", 100)
+    model = pii.fit([], [], [])
+    monkeypatch.setattr(pii, "train", lambda docs: model)
     labels, bench = base.table(spark, DATA, "labels"), base.table(spark, DATA, "benchmark")
     none, some = frame(spark, []), frame(spark, ["one two three", "one two three", None], [None, None, 7])
     for step in (lambda d: simhash.near_copies(d), lambda d: pii.find_pii(d), lambda d: pii.mask_pii(d), lambda d: quality.quality_scores(d, labels), lambda d: quality.keep_good(d, labels, 0.0), lambda d: toxicity.toxicity_scores(d, labels), lambda d: decontaminate.drop_contaminated(d, bench), lambda d: licenses.license_scan(d), lambda d: substrings.remove_repeats(d), lambda d: packing.pack(d)):
