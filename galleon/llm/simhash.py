@@ -11,7 +11,7 @@ spanning forest leaves it: never all pairs.
 The general operator for near copies works on the five-word shingle sets that decide: cells are bands of their smallest
 hashes, so the chance to meet depends on the similarity alone, not on where a copy was edited. A sketch of 1,024 bits
 refutes most pairs of a cell, a spanning forest of the rest is verified by the exact similarity of the sets, and where
-an edge fails, the cell's other pairs are too, unless verified edges connect them.
+an edge fails, the other pairs around it are compared too, in blocks, unless verified edges connect them.
 
 Null and empty texts have no shingles and the fingerprint zero. Rows that share a doc_id share a component when their
 fingerprints do; null ids come back as they are and never become a component's name unless no other id is in it.
@@ -172,8 +172,8 @@ BANDS, DEEP = 15, 4
 BINS = 1024
 #: Members of a cell that one task gets at most; larger cells are cut into blocks. Members of all blocks of a cell.
 CELL, HUBS = 512, 8
-#: A node asks for so many of its nearest others in the first round, and for so many times more in each further one.
-ASKED, FURTHER = 8, 16
+#: Members of a group of unsettled nodes that one task gets at most, twice.
+BLOCK = 2048
 
 
 _rng = np.random.default_rng(17)
@@ -181,18 +181,25 @@ SALTS, ODDS = _rng.integers(0, 1 << 32, BANDS * DEEP, np.uint32), _rng.integers(
 POWERS = _rng.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
 
 
-def sketched(words: list[bytes]) -> tuple[list[int], bytes, int]:
-    """The cells, the bit sketch and the size of the set of shingles; nothing if there are fewer words than a shingle has."""
+def shingle_codes(words: list[bytes]) -> np.ndarray:
+    """Different 64-bit codes of the five-word shingles, ascending."""
     n = len(words) - SHINGLE + 1
     if n < 1:
-        return [], b"", 0
+        return np.zeros(0, np.uint64)
     v = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     codes = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
         codes += (v[i : i + n] ^ v[i : i + n] >> np.uint64(29)) * POWERS[i]
-    codes = np.unique((codes ^ codes >> np.uint64(32)) * POWERS[0])
+    return np.unique((codes ^ codes >> np.uint64(32)) * POWERS[0])
+
+
+def sketched(words: list[bytes]) -> tuple[list[int], bytes, int]:
+    """The cells, the bit sketch and the size of the set of shingles; nothing if there are fewer words than a shingle has."""
+    codes = shingle_codes(words)
+    if not len(codes):
+        return [], b"", 0
     best, small = np.full(BANDS * DEEP, np.iinfo(np.uint32).max), (codes >> np.uint64(16)).astype(np.uint32)
-    for lo in range(0, n, 1024):
+    for lo in range(0, len(codes), 1024):
         np.minimum(best, ((small[lo : lo + 1024, None] ^ SALTS) * ODDS).min(0, initial=np.iinfo(np.uint32).max), out=best)
     raw = best.tobytes()
     cells = [xxhash.xxh3_64_intdigest(raw[4 * DEEP * k : 4 * DEEP * (k + 1)], seed=k) - (1 << 63) for k in range(BANDS)]
@@ -311,43 +318,57 @@ def candidates(held: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped(with_bits.repartition("deal").sortWithinPartitions("deal", "row"), step, "a long, b long, cell long")
 
 
-def apart(open_: DataFrame, least: int, most: int) -> DataFrame:
-    """Edges (a, b), a < b, with the components p and q of their ends: pairs of a cell within their limit, of two
-    components, where one is among the other's nearest from place `least` up to before `most`.
+def settled(groups: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect, by way of each other, all pairs of a group that are within their limit and have this
+    similarity, but for those whose components are one already.
 
-    open_: cell, row, blocks, bits, size, component. Any two blocks of a cell meet once. A row with a = -1 says that
-    some node has others of another component from place `most` on.
+    groups: grp, row, blocks, bits, size, component. Any two blocks of a group meet once, with the codes of their
+    shingles, and what leaves them is a forest, however many pairs there are.
     """
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"row": b.column("row"), "codes": [shingle_codes(t.translate(WORDS).split()).tobytes() for t in b.column("text").to_pylist()]}
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        left = False
         for t, at in grouped_rows(batches, "deal"):
             row, part, side, size, bits = *(np.asarray(t.column(k)) for k in ("row", "component", "side", "size")), unpacked(t.column("bits"))
+            codes = t.column("codes")
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if (part[lo:hi] == part[lo]).all():
                     continue
-                one = side[lo:hi] < 2  # 0: all against all, 1 against 2
-                x = np.arange(lo, hi)[one]
-                y = x if (side[lo:hi] == 0).all() else np.arange(lo, hi)[~one]
-                for i in x.tolist() if len(y) else ():
-                    d = np.bitwise_count(bits[y] ^ bits[i]).sum(1) / limit(size[y], size[i])
-                    within = (d <= 1) & (y != i)
-                    near = y[within]
-                    if len(near) > least:
-                        near = near[np.lexsort((row[near], d[within]))][least:]
-                        near, beyond = near[: most - least], near[most - least :]
-                        near = near[part[near] != part[i]]
-                        if len(near):
-                            yield {"a": np.minimum(row[i], row[near]), "b": np.maximum(row[i], row[near]), "p": np.full(len(near), part[i]), "q": part[near]}
-                        if not left and (part[beyond] != part[i]).any():
-                            left = True
-                            yield dict.fromkeys("abpq", [-1])
-
+                mine = [np.frombuffer(codes[i].as_py(), np.uint64) for i in range(lo, hi)]
+                names, node = np.unique(part[lo:hi], return_inverse=True)  # the group's components, by number
+                forest, one = Forest(len(names)), side[lo:hi] < 2  # side 0: all against all; 1 against 2
+                y = np.arange(hi - lo) if (side[lo:hi] == 0).all() else np.flatnonzero(~one)
+                far, many = bits[lo:hi], size[lo:hi]
+                out: tuple[list, list] = ([], [])
+                for i in np.flatnonzero(one).tolist() if len(y) else ():
+                    later = y[y > i] if one.all() else y
+                    later = later[node[later] != node[i]]
+                    if not len(later):
+                        continue
+                    d = np.bitwise_count(far[later] ^ far[i]).sum(1) / limit(many[later], many[i])
+                    order = np.argsort(d, kind="stable")
+                    for j in later[order[d[order] <= 1]].tolist():
+                        if forest.top(int(node[i])) != forest.top(int(node[j])):
+                            a, b = mine[i], mine[j]
+                            both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+                            if both >= similarity * (len(a) + len(b) - both):
+                                forest.join(int(node[i]), int(node[j]))
+                                out[0].append(int(row[lo + i]))
+                                out[1].append(int(row[lo + j]))
+                if out[0]:
+                    a, b = map(np.array, out)
+                    yield {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+    codes = written(mapped(own.hint("merge").join(groups.select("row").distinct(), "row", "left_semi"), coded, "row long, codes binary"))
     block = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")
-    pairs = open_.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = groups.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("int")
-    dealt = pairs.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("deal"), "row", side.alias("side"), "component", "size", "bits")
-    return mapped(dealt.repartition("deal").sortWithinPartitions("deal", "row"), step, "a long, b long, p long, q long").distinct()
+    dealt = pairs.select(F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("deal"), "row", side.alias("side"), "component", "size", "bits")
+    whole = dealt.hint("merge").join(codes, "row").repartition("deal").sortWithinPartitions("deal", "row")
+    return mapped(whole, step, "a long, b long").distinct()
 
 
 def word_shingles(text: bytes) -> set[bytes]:
@@ -380,35 +401,28 @@ def linked_copies(nodes: DataFrame, text: DataFrame, similarity: float) -> DataF
     edges, or has been compared and refuted.
 
     Each block's spanning forest is verified first: if its edges hold, all its pairs within the limit are connected.
-    Cells where an edge fails, and those of several blocks, are gone through again: every node asks for its nearest
-    others of different components, for more of them in each round, until none is left to be asked for.
+    Where an edge fails, or a cell has several blocks, what hangs together by edges, good or bad, and by such cells is
+    a group; the nodes of its components are compared once more, group by group.
     """
     held = written(members(nodes))
     own = written(text.join(held.select("row").distinct().hint("merge"), "row", "left_semi").select("row", "text"))
     found = written(candidates(held, nodes))
     good = written(verified(found.select("a", "b").distinct(), own, similarity))
     parts = written(connected_components(good, written))
-    failed = found.join(good.hint("merge"), ["a", "b"], "left_anti").select("cell").union(held.where("blocks > 1").select("cell")).distinct()
-    named = parts.select(F.col("id").alias("row"), "component").hint("merge")
-    open_ = written(held.join(failed.hint("merge"), "cell", "left_semi").join(named, "row", "left").select("cell", "row", "blocks", F.coalesce("component", "row").alias("component")))
-    least, most, more, left = 0, ASKED, [], True
-    while left:
-        mixed = open_.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("cell")
-        asked = open_.hint("merge").join(mixed, "cell", "left_semi").hint("merge").join(nodes.select("row", "bits", "size"), "row")
-        tried = written(apart(asked, least, most))
-        left, tried = not tried.where("a = -1").isEmpty(), tried.where("a <> -1")
-        least, most = most, most * FURTHER
-        new = written(verified(tried.select("a", "b").distinct(), own, similarity))
-        if new.isEmpty():
-            continue
-        more.append(new)
-        between = tried.join(new.hint("merge"), ["a", "b"], "left_semi").select(F.col("p").alias("a"), F.col("q").alias("b"))
-        moved = connected_components(between, written).select(F.col("id").alias("component"), F.col("component").alias("now"))
-        open_ = written(open_.join(moved.hint("merge"), "component", "left").select("cell", "row", "blocks", F.coalesce("now", "component").alias("component")))
-    if not more:
+    large = held.where("blocks > 1")
+    hung = large.join(large.groupBy("cell").agg(F.min("row").alias("b")).hint("merge"), "cell").select(F.col("row").alias("a"), "b")
+    named = connected_components(found.select("a", "b").union(hung), written).select(F.col("id").alias("row"), F.col("component").alias("grp"))
+    both = named.hint("merge").join(parts.select(F.col("id").alias("row"), "component"), "row", "left").select("grp", "row", F.coalesce("component", "row").alias("component"))
+    both = written(both)
+    mixed = both.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mixed = mixed.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    groups = written(both.hint("merge").join(mixed, "grp").hint("merge").join(nodes.select("row", "bits", "size"), "row"))
+    more = written(settled(groups, own, similarity))
+    if more.isEmpty():
         return parts
+    more = verified(more, own, similarity)
     known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return connected_components(reduce(DataFrame.union, more, known), written)
+    return connected_components(more.select("a", "b").union(known), written)
 
 
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -218,8 +218,9 @@ def test_copies_against_all_pairs(spark, monkeypatch):
             if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 f.join(i, j)
     want = [f.top(i) for i in range(len(t))]
-    for cell in (512, 20):
+    for cell, block in ((512, 2048), (20, 16)):
         monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "BLOCK", block)
         got = simhash.copy_groups(frame(spark, text)).orderBy("doc_id").collect()
         first = {x["row"]: x["doc_id"] for x in got}
         found = [first[x["first"]] for x in got]
