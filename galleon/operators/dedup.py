@@ -116,7 +116,26 @@ def replace_groups(posts: DataFrame, assignment: DataFrame) -> DataFrame:
     return posts.drop("canonical_post_id").join(new, "id", "left").withColumnRenamed("_new", "canonical_post_id").select(*posts.columns)
 
 
-def rebuild_groups(lib, threshold: float = THRESHOLD) -> DataFrame:
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """(post_id, rep): posts with the same vector have the one with the smallest id as representative."""
+    least = vectors.groupBy("embedding").agg(F.min("post_id").alias("rep"))
+    return vectors.join(least, "embedding").select("post_id", "rep")
+
+
+def grouped_vectors(vectors: DataFrame, threshold: float = THRESHOLD, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(member, canonical) of all posts near another, without a pair for every two of a class of equal vectors.
+
+    Equal vectors are near the same others. So representatives are compared alone: the rest of a class follows its
+    representative to its canonical, or has it as canonical. That is what all pairs would give.
+    """
+    keep = keep or (lambda df: df.checkpoint())
+    classes = keep(vector_classes(vectors))
+    own = classes.where("post_id = rep").select("post_id")
+    assigned = keep(assign_canonicals(near_pairs(vectors.join(own, "post_id", "left_semi"), threshold), keep))
+    rest = classes.where("post_id <> rep").join(assigned.withColumnRenamed("member", "rep"), "rep", "left")
+    return assigned.unionByName(rest.select(F.col("post_id").alias("member"), F.coalesce("canonical", "rep").alias("canonical")))
+
+
+def rebuild_groups(lib, threshold: float = THRESHOLD, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The posts regrouped; with fewer than two vectors all groups are cleared."""
-    vectors = export_vectors(lib)
-    return replace_groups(lib.posts, assign_canonicals(near_pairs(vectors, threshold)))
+    return replace_groups(lib.posts, grouped_vectors(export_vectors(lib), threshold, keep))
