@@ -337,14 +337,14 @@ def test_components_of_a_long_chain(spark, monkeypatch, together):
 def test_equal_vectors_are_grouped_as_all_pairs_are(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(8, 16))
-    v = [(10 * k + j, (base[k] + (r.normal(size=16) * 0.02 if j == 2 else 0)).tolist()) for k in range(8) for j in range(4)] + [(500, base[0].tolist()), (1, base[7].tolist())]
+    v = [(10 * k + j, (base[k] + (r.normal(size=16) * 0.02 if j == 2 else 0)).tolist()) for k in range(8) for j in range(4)] + [(500, base[0].tolist()), (5, base[7].tolist())]
     vectors = spark.createDataFrame(v, "post_id long, embedding array<double>")
     want = rows(dedup.assign_canonicals(dedup.near_pairs(vectors)).select("member", "canonical"))
     assert rows(dedup.grouped_vectors(vectors).select("member", "canonical")) == want and len(want) > 20
 
 
 def test_rebuilt_groups(lib):
-    posts = dedup.rebuild_groups(lib, 0.55)
+    posts = dedup.rebuild_groups(lib, 0.8)
     assert posts.count() == lib.posts.count() and posts.columns == lib.posts.columns
     led = {r["id"]: r["canonical_post_id"] for r in posts.where("canonical_post_id IS NOT NULL").collect()}
     assert led and not set(led.values()) & set(led)  # leaders are led by nobody
