@@ -73,7 +73,7 @@ FROM {events} WHERE event_type = 'error' GROUP BY 1, 2""",
     "g_pair_queue": """
 SELECT o_orderkey % 4 + 1 AS queue_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS position, o_custkey + 1 AS post_a, o_custkey + 2 AS post_b,
        CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
-FROM {orders}""",
+FROM {orders} WHERE o_orderkey % 31 = 0""",
     "g_absolute_queue": """
 SELECT o_orderkey % 3 + 1 AS queue_id, CAST(floor(o_orderkey / 3) AS BIGINT) AS position, o_custkey + 1 AS post_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
 FROM {orders} WHERE o_orderkey % 5 = 0""",
