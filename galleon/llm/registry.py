@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galleon.llm import decontaminate, licenses, packing, pii, quality, simhash, store, substrings, topk, toxicity
+from galleon.llm import collocations, decontaminate, fim, leaks, licenses, packing, pii, quality, simhash, store, substrings, topk, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_exact_topk": topk.op8_exact_topk,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_secret_scan": leaks.op12_secret_scan,
+    "op13_collocations": collocations.op13_collocations,
+}
+ORACLE: dict[str, str] = {
+    "op8_exact_topk": topk.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_secret_scan": leaks.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
-ORACLE: dict[str, str] = {"op8_exact_topk": topk.ORACLE}
