@@ -51,7 +51,7 @@ def delete_posts(lib, ids: DataFrame) -> dict[str, DataFrame]:
     for name in ("waifu", "aesthetic", "post_has_tag", "vectors", "failures"):
         df = getattr(lib, name)
         out[name] = df.join(gone, df["post_id"] == gone["_gone"], "left_anti")
-    for name, ends in (("absolute", ["post_id"]), ("flags", ["post_id"]), ("pairwise", ["post_a", "post_b"]), ("absolute_queue", ["post_id"]), ("pair_queue", ["post_a", "post_b"])):
+    for name, ends in (("absolute", ["post_id"]), ("flags", ["post_id"]), ("pairwise", ["post_a", "post_b"]), ("listwise", ["m1", "m2", "m3"]), ("absolute_queue", ["post_id"]), ("pair_queue", ["post_a", "post_b"])):
         df = getattr(lib, name)
         for end in ends:
             df = df.join(gone, F.col(end) == F.col("_gone"), "left_anti")

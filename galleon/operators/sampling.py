@@ -8,8 +8,7 @@ want goes to the earlier one, so a batch spends no post twice.
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict, deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,15 @@ from galleon.operators.annotations import main_component, unbounded, win_loss
 #: Sizes and limits of the samplers.
 DEGREE_CAP, CLUSTER, PER_CLUSTER, MIN_DISTANCE, SAME = 3, 48, 24, 0.04, 0.94
 WINDOW, WINDOW_DRAW, WINDOW_KEEP, BLOCK, REVISITS, ANCHORS = 0.05, 96, 32, 6, 2, 200
-CALIBRATION_SHARE, GAP_LOW, GAP_HIGH = 0.2, 0.15, 0.25
+CALIBRATION_SHARE, GAP_LOW, GAP_HIGH, NEEDY = 0.2, 0.15, 0.25, 4
+
+
+#: Materialises a frame that is read more than once.
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def eligible(lib, dimensions: list[str], queued: DataFrame | None = None) -> DataFrame:
@@ -81,19 +88,22 @@ def revisit_pool(pairwise: DataFrame, degrees: DataFrame, cap: int = DEGREE_CAP)
     return ends.join(degrees, "post_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).where(F.col("degree") < cap).orderBy("degree", "post_id")
 
 
-def calibration_partners(nodes: DataFrame, scores: DataFrame, per_node: int = 1, seed: int = 1) -> DataFrame:
-    """For posts that always won or lost (direction): partners whose score is GAP_LOW to GAP_HIGH further that way."""
+def calibration_partners(nodes: DataFrame, scores: DataFrame, per_node: int = 1, seed: int = 1, free: DataFrame | None = None) -> DataFrame:
+    """For posts that always won or lost (direction): partners whose score is GAP_LOW to GAP_HIGH further that way.
+
+    Partners come from `free`, scores that may be paired; from all scores unless given.
+    """
     own = scores.select("post_id", F.col("score").alias("own"))
     known = nodes.where("direction <> 0").join(own, "post_id")
     width = GAP_HIGH - GAP_LOW
     target = F.col("own") + F.col("direction") * F.lit((GAP_LOW + GAP_HIGH) / 2)
     cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     looking = known.withColumn("_cell", F.explode(F.array(cell(target) - 1, cell(target), cell(target) + 1)))
-    partner = scores.select(F.col("post_id").alias("partner"), "score").withColumn("_cell", cell(F.col("score")))
+    partner = (scores if free is None else free).select(F.col("post_id").alias("partner"), "score").withColumn("_cell", cell(F.col("score")))
     gap = (F.col("score") - F.col("own")) * F.col("direction")
     found = looking.join(partner, "_cell").where((F.col("partner") != F.col("post_id")) & (gap >= F.lit(GAP_LOW)) & (gap <= F.lit(GAP_HIGH)))
     place = F.row_number().over(Window.partitionBy("post_id").orderBy(shuffle_key(seed, "partner"), "partner"))
-    return found.withColumn("_n", place).where(F.col("_n") <= per_node).select("post_id", "direction", "partner", F.round("score", 6).alias("score"))
+    return found.withColumn("_n", place).where(F.col("_n") <= per_node).drop("_n", "_cell")
 
 
 # --- whole samplers: one plan each ---------------------------------------------------------------------------------
@@ -161,16 +171,17 @@ def silva_scores(lib) -> DataFrame:
     return scores.join(pairwise_eligible(lib).select(F.col("id").alias("post_id")), "post_id", "left_semi").join(lib.vectors.select("post_id"), "post_id", "left_semi")
 
 
-def window_members(lib, judged: DataFrame, n: int, size: int, seed: int) -> DataFrame:
+def window_members(lib, judged: DataFrame, n: int, size: int, seed: int, keep: Keep = as_is) -> DataFrame:
     """(place, centre, nth, post_id): for each of n windows around drawn scores up to `size` members that look different.
 
     judged: pairwise verdicts of one dimension. Posts with DEGREE_CAP comparisons are left out; up to REVISITS that
     have been judged, the least compared first, come before the others.
     """
     degree = win_loss(judged, None).select("post_id", "degree")
-    scores = silva_scores(lib).join(degree, "post_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).where(F.col("degree") < DEGREE_CAP)
+    scores = keep(silva_scores(lib).join(degree, "post_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).where(F.col("degree") < DEGREE_CAP))
     seeds = placed(scores.select(F.col("post_id").alias("id")), n, seed).join(scores.select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), "seed_id")
-    near = in_windows(scores, seeds)
+    seeds = keep(seeds)
+    near = keep(in_windows(scores, seeds))
     again = F.row_number().over(Window.partitionBy("place").orderBy("degree", "post_id"))
     old = near.where("degree > 0").withColumn("_n", again).where(F.col("_n") <= REVISITS).select("post_id", "place", F.lit(0).alias("kind"), "_n")
     drawn = F.row_number().over(Window.partitionBy("place").orderBy(shuffle_key(seed, "post_id"), "post_id"))
@@ -216,38 +227,48 @@ def anchors(lib, judged: DataFrame, components: DataFrame, n: int, seed: int) ->
     return free.orderBy(shuffle_key(seed, "post_id"), "post_id").limit(n).select("post_id", "score")
 
 
-def calibration_pairs(lib, judged: DataFrame, components: DataFrame, n: int, seed: int) -> DataFrame:
+def calibration_pairs(lib, judged: DataFrame, components: DataFrame, n: int, seed: int, nodes: DataFrame | None = None) -> DataFrame:
     """(post_a, post_b, score): posts of the main component that always won or lost, the most decided first, each with a
-    partner that the model puts clearly beyond it."""
+    partner that the model puts clearly beyond it.
+
+    Only the partner must be free to be paired. The first NEEDY * n posts are looked at. nodes: win_loss of judged.
+    """
     main = components.join(F.broadcast(main_component(components).select("component")), "component").select(F.col("id").alias("post_id"))
-    needy = unbounded(win_loss(judged, None)).where((F.col("direction") != 0) & (F.col("degree") < DEGREE_CAP)).join(main, "post_id", "left_semi")
-    scores = lib.aesthetic.where("scorer = 'silva'").select("post_id", "score").join(pairwise_eligible(lib).select(F.col("id").alias("post_id")), "post_id", "left_semi")
-    partners = calibration_partners(needy.select("post_id", "direction"), scores, 1, seed).select("post_id", "partner")
-    found = needy.join(partners, "post_id").join(scores, "post_id").select(F.col("post_id").alias("post_a"), F.col("partner").alias("post_b"), "score", (F.col("wins") + F.col("losses")).alias("decided"))
-    return unshown(found, judged).orderBy(F.desc("decided"), "post_a").limit(n).select("post_a", "post_b", "score")
+    nodes = win_loss(judged, None) if nodes is None else nodes
+    needy = unbounded(nodes).where((F.col("direction") != 0) & (F.col("degree") < DEGREE_CAP)).join(main, "post_id", "left_semi")
+    needy = needy.withColumn("decided", F.col("wins") + F.col("losses")).orderBy(F.desc("decided"), "post_id").limit(NEEDY * n)
+    scores = lib.aesthetic.where("scorer = 'silva'").select("post_id", "score")
+    free = scores.join(pairwise_eligible(lib).select(F.col("id").alias("post_id")), "post_id", "left_semi")
+    found = calibration_partners(needy.select("post_id", "direction", "decided"), scores, 1, seed, free)
+    pairs = found.select(F.col("post_id").alias("post_a"), F.col("partner").alias("post_b"), F.col("own").alias("score"), "decided")
+    once = pairs.groupBy(F.least("post_a", "post_b").alias("lo"), F.greatest("post_a", "post_b").alias("hi")).agg(F.max_by(F.struct(*pairs.columns), F.struct("decided", -F.col("post_a"))).alias("p")).select("p.*")
+    return unshown(once, judged).orderBy(F.desc("decided"), "post_a").limit(n).select("post_a", "post_b", "score")
 
 
-def close_pairs_plan(lib, judged: DataFrame, components: DataFrame, n: int, seed: int) -> DataFrame:
+def close_pairs_plan(lib, judged: DataFrame, components: DataFrame, n: int, seed: int, keep: Keep = as_is) -> DataFrame:
     """(position, post_a, post_b): n pairs that the model scores alike, from rings of posts that look different.
 
     Blocks are rings of score windows, single calibration pairs, and anchors without pairs of their own. They stand in
     score order, each tied to the one before it by a bridge between their first posts, and are dealt out in turns: all
     bridges and first pairs, then all second ones. A pair that was asked for before is left out; its posts are tied
-    already. So the pairs, with the history, hang together however early an annotator stops.
+    already. So the pairs, with the history, hang together however early an annotator stops. keep() materialises what
+    is read more than once: a batch's members, blocks and pairs, some hundreds of rows, and the components.
     """
+    components = keep(components)
     ring = Window.partitionBy("place").orderBy("nth")
-    members = window_members(lib, judged, max(1, n // 2), BLOCK, seed)
+    members = keep(window_members(lib, judged, max(1, n // 2), BLOCK, seed, keep))
     size = F.count("*").over(Window.partitionBy("place"))
     around = members.withColumns({"next": F.lead("post_id").over(ring), "head": F.first("post_id").over(ring), "size": size}).where("size > 1")
     # the last closes the ring, unless there are two
     edges = around.select(F.concat(F.lit("w"), "place").alias("block"), F.col("centre").alias("score"), "head", F.col("nth").alias("turn"), F.col("post_id").alias("post_a"), F.coalesce("next", F.when(F.col("size") > 2, F.col("head"))).alias("post_b"))
     single = calibration_pairs(lib, judged, components, max(1, round(n * CALIBRATION_SHARE)), seed).select(F.concat(F.lit("c"), "post_a").alias("block"), "score", F.col("post_a").alias("head"), F.lit(0).alias("turn"), "post_a", "post_b")
     tied = anchors(lib, judged, components, 2, seed).select(F.concat(F.lit("a"), "post_id").alias("block"), "score", F.col("post_id").alias("head"), F.lit(0).alias("turn"), F.lit(None).cast("bigint").alias("post_a"), F.lit(None).cast("bigint").alias("post_b"))
-    every = edges.union(single).union(tied).where("post_b IS NOT NULL OR post_a IS NULL")
+    every = keep(edges.union(single).union(tied).where("post_b IS NOT NULL OR post_a IS NULL"))
     # blocks are at most n / 2 windows and some more: one small window puts them in order
     blocks = every.groupBy("block").agg(F.first("score").alias("score"), F.first("head").alias("head"))
     line = Window.orderBy("score", "block")
     blocks = blocks.withColumns({"at": F.row_number().over(line), "before": F.lag("head").over(line)})
+    blocks = keep(blocks)
     bridges = blocks.where("before IS NOT NULL").select(F.lit(0).alias("turn"), "at", F.lit(0).alias("kind"), F.col("before").alias("post_a"), F.col("head").alias("post_b"))
     own = every.where("post_a IS NOT NULL").join(blocks.select("block", "at"), "block").select("turn", "at", F.lit(1).alias("kind"), "post_a", "post_b")
     fresh = unshown(bridges.union(own), judged)
@@ -256,95 +277,16 @@ def close_pairs_plan(lib, judged: DataFrame, components: DataFrame, n: int, seed
     return dealt.select((F.row_number().over(Window.orderBy("turn", "at", "kind")) - 1).alias("position"), "post_a", "post_b")
 
 
-def listwise_groups(lib, judged: DataFrame, n: int, seed: int, size: int = 6) -> DataFrame:
+def listwise_groups(lib, judged: DataFrame, n: int, seed: int, size: int = 6, keep: Keep = as_is) -> DataFrame:
     """(place, post_ids): n groups of posts of one score window that look different, in shuffled order of presentation."""
     if not 3 <= size <= 16:
         raise ValueError("a group has 3 to 16 members")
-    members = window_members(lib, judged, 2 * n, size, seed)
+    members = window_members(lib, judged, 2 * n, size, seed, keep)
     order = F.array_sort(F.collect_list(F.struct(shuffle_key(seed, "post_id").alias("k"), "post_id")))
     groups = members.groupBy("place").agg(order.alias("m")).where(F.size("m") >= 3)
     return groups.select("place", F.transform("m", lambda m: m["post_id"]).alias("post_ids")).orderBy("place").limit(n)
 
 
-# --- cores over one batch ----------------------------------------------------------------------------------------
-
-
-class PairGraph:
-    """Verdicts of a dimension as a graph: which pairs were shown, and how often each post was."""
-
-    def __init__(self, events: list[tuple[int, int, str]], cap: int = DEGREE_CAP) -> None:
-        self.shown: set[frozenset] = set()
-        self.degree: dict[int, int] = defaultdict(int)
-        self.beside: dict[int, set[int]] = defaultdict(set)
-        self.cap = cap
-        for a, b, winner in events:
-            self.shown.add(frozenset((a, b)))
-            if winner != "skip":
-                self.degree[a] += 1
-                self.degree[b] += 1
-                self.beside[a].add(b)
-                self.beside[b].add(a)
-
-    def spent(self, x: int) -> bool:
-        return self.degree[x] >= self.cap
-
-    def claim(self, a: int, b: int) -> tuple[int, int] | None:
-        """The pair, if it is one and new; it then counts as shown."""
-        key = frozenset((a, b))
-        if len(key) < 2 or key in self.shown:
-            return None
-        self.shown.add(key)
-        self.degree[a] += 1
-        self.degree[b] += 1
-        return a, b
-
-
-def cycle_edges(members: list[int]) -> list[tuple[int, int]]:
-    """Each member with the next, the last with the first; two members have one edge."""
-    if len(members) < 2:
-        return []
-    around = list(zip(members, [*members[1:], members[0]], strict=True))
-    return around[:1] if len(members) == 2 else around
-
-
-def breadth_first(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The edges so that each one, but the first of a component, touches an earlier one."""
-    beside: dict[int, list[int]] = defaultdict(list)
-    for k, (a, b) in enumerate(edges):
-        beside[a].append(k)
-        beside[b].append(k)
-    done, out = set(), []
-    for first in range(len(edges)):
-        todo = deque([first] if first not in done else [])
-        done.add(first)
-        while todo:
-            k = todo.popleft()
-            out.append(edges[k])
-            for end in edges[k]:
-                for n in beside[end]:
-                    if n not in done:
-                        done.add(n)
-                        todo.append(n)
-    return out
-
-
-def connected_blocks(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """The edges by component, each in breadth-first order."""
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while top.setdefault(x, x) != x:
-            x = top[x]
-        return x
-
-    for a, b in edges:
-        top[find(a)] = find(b)
-    blocks: dict[int, list] = {}
-    for e in edges:
-        blocks.setdefault(find(e[0]), []).append(e)
-    return [breadth_first(b) for b in blocks.values()]
-
-
 def diverse(ids: list[int], vectors: np.ndarray, n: int, same: float = SAME, first: int = 1) -> list[int]:
     """Farthest-point choice: the next one is least like its nearest chosen; stops where that is `same` or more.
 
@@ -363,59 +305,3 @@ def diverse(ids: list[int], vectors: np.ndarray, n: int, same: float = SAME, fir
         chosen.append(k)
         near = np.maximum(near, unit @ unit[k])
     return [ids[k] for k in chosen]
-
-
-def band_pairs(members: list[tuple[int, float]], graph: PairGraph, band: float = 1.0, most: int = PER_CLUSTER) -> list[tuple[int, int]]:
-    """Greedy pairs of neighbours in score order that are no further apart than the band; each member once."""
-    left, out = sorted(members, key=lambda m: (m[1], m[0])), []
-    while left and len(out) < most:
-        a, score = left.pop(0)
-        hit = next((i for i, (b, s) in enumerate(left) if abs(s - score) <= band and frozenset((a, b)) not in graph.shown), None)
-        if hit is not None:
-            out.append(graph.claim(a, left.pop(hit)[0]))
-    return out
-
-
-def window_block(fresh: list[int], revisits: list[int], size: int = BLOCK, again: int = REVISITS) -> list[tuple[int, int]]:
-    """A cycle through up to `again` known posts and new ones."""
-    back = revisits[:again]
-    return cycle_edges([*back, *[x for x in fresh if x not in back][: size - len(back)]])
-
-
-def close_pairs(blocks: list[list[tuple[int, int]]], graph: PairGraph, count: int) -> list[tuple[int, int]]:
-    """Blocks in turn, tied together by bridges to the first one's posts, up to count: every prefix is connected."""
-    out: list[tuple[int, int]] = []
-    inside: list[int] = []
-    for block in blocks:
-        room = count - len(out)
-        if room <= 0:
-            break
-        ends = list(dict.fromkeys(x for e in block for x in e))
-        if inside and not set(ends) & set(inside):
-            bridge = next((p for a in inside for b in ends if not graph.spent(a) and (p := graph.claim(a, b))), None)
-            if bridge is None:
-                continue
-            out.append(bridge)
-            room -= 1
-            block = breadth_first([bridge, *block])[1:]
-        seen = set(inside) | ({x for x in out[-1]} if out else set())
-        for a, b in block:
-            if room <= 0:
-                break
-            if seen and a not in seen and b not in seen:
-                continue
-            if pair := graph.claim(a, b):
-                out.append(pair)
-                seen.update(pair)
-                room -= 1
-        inside = [*inside, *[x for x in ends if x in seen and x not in inside]]
-    return out
-
-
-def listwise_group(seed_id: int, candidates: list[int], vectors: np.ndarray, size: int = 6, seed: int = 1, least: int = 3) -> list[int] | None:
-    """A diverse group around a seed in shuffled order of presentation; None for fewer than `least`."""
-    if not 3 <= size <= 16:
-        raise ValueError("a group has 3 to 16 members")
-    group = diverse([seed_id, *candidates], vectors, size)
-    random.Random(seed).shuffle(group)
-    return group if len(group) >= least else None

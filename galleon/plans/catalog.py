@@ -170,7 +170,7 @@ add("queue_next_absolute", lambda lib: an.queue_next_absolute(lib, 1, 20), "SELE
 add("queue_next_listwise", lambda lib: an.queue_next_lists(lib, 1, 20).select("position", F.array_join("post_ids", ",").alias("members"), F.size("post_ids").alias("n")), "SELECT position, replace(replace(post_ids, '[', ''), ']', '') AS members, CAST(len(string_split(post_ids, ',')) AS INT) AS n FROM g_listwise_queue WHERE queue_id = 1 AND done = 0 ORDER BY position LIMIT 20")
 add("queue_progress_all", lambda lib: an.queue_progress([("pairwise", lib.pair_queue), ("absolute", lib.absolute_queue), ("listwise", lib.listwise_queue)]), " UNION ALL ".join(f"SELECT '{k}' AS kind, queue_id, count(*) AS total, CAST(sum(done) AS BIGINT) AS done FROM {v} GROUP BY queue_id" for k, v in (("pairwise", "g_pair_queue"), ("absolute", "g_absolute_queue"), ("listwise", "g_listwise_queue"))))  # A11
 add("ranking_pairs", lambda lib: an.listwise_pairs(an.rankings(lib.rankings)), "WITH r AS (SELECT id, list_transform(string_split(replace(replace(ranking, '[', ''), ']', ''), ','), lambda x: CAST(x AS BIGINT)) AS l FROM g_rankings WHERE ranking <> '[]'), i AS (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM r), j AS (SELECT id, l, i, unnest(range(i + 1, len(l) + 1)) AS j FROM i) SELECT id, l[i] AS winner, l[j] AS loser FROM j")  # 2.8 json, X15
-add("valid_rankings", lambda lib: an.rankings(lib.rankings).select("id", an.valid_ranking().alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "SELECT true AS ok, count(*) AS n FROM g_rankings")  # P22
+add("valid_rankings", lambda lib: an.rankings(lib.rankings).select("id", an.valid_ranking().alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "WITH r AS (SELECT id, list_transform(string_split(replace(replace(post_ids, '[', ''), ']', ''), ','), lambda x: CAST(x AS BIGINT)) AS m, CASE WHEN ranking = '[]' THEN [] ELSE list_transform(string_split(replace(replace(ranking, '[', ''), ']', ''), ','), lambda x: CAST(x AS BIGINT)) END AS l FROM g_rankings) SELECT len(l) = 0 OR (list_sort(l) = list_sort(m) AND len(list_distinct(l)) = len(l)) AS ok, count(*) AS n FROM r GROUP BY 1")  # P22
 add("valid_verdicts", lambda lib: lib.absolute.select("id", an.valid_absolute().alias("ok")).groupBy("ok").agg(F.count("*").alias("n")), "SELECT scale IN (2, 3, 5) AND value BETWEEN 1 AND scale AS ok, count(*) AS n FROM g_absolute GROUP BY 1")  # P22
 
 # --- samplers (G8-G17) --------------------------------------------------------------------------------------------
@@ -179,20 +179,24 @@ add("sample_stratified", lambda lib: sa.stratified(lib.posts.where("canonical_po
 add("sample_random_pairs", lambda lib: sa.random_pairs(sa.pairwise_eligible(lib), 10, 99), f"WITH d AS (SELECT id, row_number() OVER (ORDER BY {KEY}, id) - 1 AS n FROM g_posts WHERE {C} AND id NOT IN (SELECT post_a FROM g_pair_queue WHERE done = 0 UNION SELECT post_b FROM g_pair_queue WHERE done = 0) QUALIFY n < 20) SELECT CAST(floor(n / 2) AS BIGINT) AS pair, arg_min(id, n) AS post_a, arg_max(id, n) AS post_b FROM d GROUP BY 1 HAVING count(*) = 2")  # G10, P19
 SILVAS = lambda lib: lib.aesthetic.where("scorer = 'silva'").select("post_id", "score")
 add("score_window_candidates", lambda lib: sa.window_candidates(SILVAS(lib), SILVAS(lib).select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), seed=99), "SELECT seed_id, post_id, score FROM (SELECT s.post_id AS seed_id, c.post_id AS post_id, c.score AS score, row_number() OVER (PARTITION BY s.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM g_aesthetic s JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> s.post_id AND abs(c.score - s.score) <= 0.05::DOUBLE WHERE s.scorer = 'silva') WHERE n <= 32")  # G13, J17
-add("calibration_partners", lambda lib: sa.calibration_partners(an.unbounded(an.win_loss(lib.pairwise, "overall")).select("post_id", "direction"), SILVAS(lib), seed=99), f"WITH w AS (SELECT post_id, CASE WHEN wins + losses >= 2 AND losses = 0 THEN 1 WHEN wins + losses >= 2 AND wins = 0 THEN -1 ELSE 0 END AS direction FROM ({WL})) SELECT post_id, direction, partner, round(score, 6) AS score FROM (SELECT w.post_id AS post_id, direction, c.post_id AS partner, c.score AS score, row_number() OVER (PARTITION BY w.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM w JOIN g_aesthetic o ON o.post_id = w.post_id AND o.scorer = 'silva' JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> w.post_id AND (c.score - o.score) * direction >= 0.15::DOUBLE AND (c.score - o.score) * direction <= 0.25::DOUBLE WHERE direction <> 0) WHERE n <= 1")  # G17
+add("calibration_partners", lambda lib: sa.calibration_partners(an.unbounded(an.win_loss(lib.pairwise, "overall")).select("post_id", "direction"), SILVAS(lib), seed=99).select("post_id", "direction", "partner", F.round("score", 6).alias("score")), f"WITH w AS (SELECT post_id, CASE WHEN wins + losses >= 2 AND losses = 0 THEN 1 WHEN wins + losses >= 2 AND wins = 0 THEN -1 ELSE 0 END AS direction FROM ({WL})) SELECT post_id, direction, partner, round(score, 6) AS score FROM (SELECT w.post_id AS post_id, direction, c.post_id AS partner, c.score AS score, row_number() OVER (PARTITION BY w.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) AS n FROM w JOIN g_aesthetic o ON o.post_id = w.post_id AND o.scorer = 'silva' JOIN g_aesthetic c ON c.scorer = 'silva' AND c.post_id <> w.post_id AND (c.score - o.score) * direction >= 0.15::DOUBLE AND (c.score - o.score) * direction <= 0.25::DOUBLE WHERE direction <> 0) WHERE n <= 1")  # G17
 add("revisit_pool", lambda lib: sa.revisit_pool(lib.pairwise.where("dimension = 'overall'"), an.win_loss(lib.pairwise, "overall").select("post_id", "degree")), f"SELECT e.post_id AS post_id, coalesce(w.degree, 0) AS degree FROM (SELECT post_a AS post_id FROM g_pairwise WHERE dimension = 'overall' UNION SELECT post_b FROM g_pairwise WHERE dimension = 'overall') e LEFT JOIN ({WL}) w ON w.post_id = e.post_id WHERE coalesce(w.degree, 0) < 3")  # G14, J18, U2
 add("eligible_absolute", lambda lib: sa.eligible(lib, ["overall", "color"]).select("id"), f"SELECT id FROM g_posts WHERE {C} AND id NOT IN (SELECT post_id FROM g_absolute WHERE dimension IN ('overall', 'color'))")  # P18
 add("draw_embedded", lambda lib: sa.draw_embedded(lib, lib.posts.where("canonical_post_id IS NULL"), 40, 99).select("id"), f"SELECT id FROM (SELECT id FROM g_posts WHERE {C} ORDER BY {KEY}, id LIMIT 80) WHERE id IN (SELECT post_id FROM g_vectors) ORDER BY {KEY}, id LIMIT 40")  # G8, U4
 
 add("eligible_unqueued", lambda lib: sa.eligible(lib, ["overall"], lib.absolute_queue.where("done = 0").select(F.col("post_id").alias("id"))).select("id"), f"SELECT id FROM g_posts WHERE {C} AND id NOT IN (SELECT post_id FROM g_absolute WHERE dimension = 'overall') AND id NOT IN (SELECT post_id FROM g_absolute_queue WHERE done = 0)")  # P18
 add("sample_similar", lambda lib: sa.similar_pairs(lib, 20, 99))  # G11
-add("sample_windows", lambda lib: sa.window_members(lib, OVERALL(lib), 12, 6, 99))  # G12, G13, G15
-add("sample_close", lambda lib: sa.close_pairs_plan(lib, OVERALL(lib), PARTS(lib), 20, 99))  # G18, G19
-add("sample_groups", lambda lib: sa.listwise_groups(lib, OVERALL(lib), 8, 99))  # G20
+add("sample_windows", lambda lib: sa.window_members(lib, OVERALL(lib), 12, 6, 99, _keep(lib)))  # G12, G13, G15
+add("sample_close", lambda lib: sa.close_pairs_plan(lib, OVERALL(lib), PARTS(lib), 20, 99, _keep(lib)))  # G18, G19
+add("sample_groups", lambda lib: sa.listwise_groups(lib, OVERALL(lib), 8, 99, keep=_keep(lib)))  # G20
 FREE = f"{C} AND id NOT IN (SELECT post_a FROM g_pair_queue WHERE done = 0 UNION SELECT post_b FROM g_pair_queue WHERE done = 0)"
 MAIN = "m AS (SELECT component FROM cc GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)"
 add("sample_anchors", lambda lib: sa.anchors(lib, OVERALL(lib), PARTS(lib), 5, 99), f"{PARTS_SQL}, {MAIN}, l AS (SELECT post_id FROM ({WL}) WHERE degree < 3 AND post_id IN (SELECT id FROM cc JOIN m USING (component)) ORDER BY degree, post_id LIMIT 200) SELECT l.post_id AS post_id, s.score AS score FROM l JOIN g_aesthetic s ON s.post_id = l.post_id AND s.scorer = 'silva' WHERE l.post_id IN (SELECT id FROM g_posts WHERE {FREE}) ORDER BY (l.post_id * 99) % 2147483647, l.post_id LIMIT 5")  # G16
-add("sample_calibration", lambda lib: sa.calibration_pairs(lib, OVERALL(lib), PARTS(lib), 8, 99))  # G17
+CALIBRATED = f"""{PARTS_SQL}, {MAIN}, w AS (SELECT post_id, wins + losses AS decided, CASE WHEN losses = 0 THEN 1 ELSE -1 END AS direction FROM ({WL}) WHERE degree < 3 AND wins + losses >= 2 AND (wins = 0 OR losses = 0) AND post_id IN (SELECT id FROM cc JOIN m USING (component)) ORDER BY decided DESC, post_id LIMIT 32),
+ p AS (SELECT w.post_id AS post_a, c.post_id AS post_b, o.score AS score, decided FROM w JOIN g_aesthetic o ON o.post_id = w.post_id AND o.scorer = 'silva' JOIN g_aesthetic c ON c.scorer = 'silva' AND (c.score - o.score) * direction BETWEEN 0.15::DOUBLE AND 0.25::DOUBLE WHERE c.post_id IN (SELECT id FROM g_posts WHERE {FREE}) QUALIFY row_number() OVER (PARTITION BY w.post_id ORDER BY (c.post_id * 99) % 2147483647, c.post_id) = 1),
+ q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY least(post_a, post_b), greatest(post_a, post_b) ORDER BY decided DESC, post_a) = 1)
+SELECT post_a, post_b, score FROM q WHERE NOT EXISTS (SELECT 1 FROM g_pairwise h WHERE h.dimension = 'overall' AND least(h.post_a, h.post_b) = least(q.post_a, q.post_b) AND greatest(h.post_a, h.post_b) = greatest(q.post_a, q.post_b)) ORDER BY decided DESC, post_a LIMIT 8"""
+add("sample_calibration", lambda lib: sa.calibration_pairs(lib, OVERALL(lib), PARTS(lib), 8, 99), CALIBRATED)  # G17
 
 # --- pending sets (B1-B5, P15, P17, J5-J8) ------------------------------------------------------------------------
 IMG = "lower(extension) IN ('jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp')"
@@ -226,7 +230,7 @@ add("score_mirror", lambda lib: ch.update_field(lib.posts, 21, "score", 5).selec
 add("bulk_rating", lambda lib: ch.bulk_update(lib.posts, [1, 2, 3], "rating", 4).select(*STATE), "SELECT id, score, CAST(CASE WHEN id IN (1, 2, 3) THEN 4 ELSE rating END AS INT) AS rating, canonical_post_id FROM g_posts")  # D2
 add("make_canonical", lambda lib: ch.make_canonical(lib.posts, 20).select("id", "canonical_post_id"), "SELECT id, CASE WHEN id = 20 THEN NULL WHEN id = o.c OR canonical_post_id = o.c THEN 20 ELSE canonical_post_id END AS canonical_post_id FROM g_posts, (SELECT canonical_post_id AS c FROM g_posts WHERE id = 20) o")  # D4
 DEAD = "(SELECT id FROM g_posts WHERE id % 3 = 0)"
-add("delete_cascade", lambda lib: _deleted(lib), "SELECT 'posts' AS t, count(*) AS n, count(canonical_post_id) FILTER (canonical_post_id % 3 <> 0) AS m FROM g_posts WHERE id % 3 <> 0 UNION ALL SELECT 'waifu', count(*), 0 FROM g_waifu WHERE post_id % 3 <> 0 UNION ALL SELECT 'aesthetic', count(*), 0 FROM g_aesthetic WHERE post_id % 3 <> 0 UNION ALL SELECT 'post_has_tag', count(*), 0 FROM g_post_has_tag WHERE post_id % 3 <> 0 UNION ALL SELECT 'vectors', count(*), 0 FROM g_vectors WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL SELECT 'failures', count(*), 0 FROM g_failures WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', count(*), 0 FROM g_{n} WHERE NOT ({' OR '.join(f'{e} IN {DEAD}' for e in ends)})" for n, ends in (("absolute", ["post_id"]), ("flags", ["post_id"]), ("pairwise", ["post_a", "post_b"]), ("absolute_queue", ["post_id"]), ("pair_queue", ["post_a", "post_b"]))) + f" UNION ALL SELECT 'rankings', count(*), 0 FROM g_rankings r WHERE NOT EXISTS (SELECT 1 FROM (SELECT id, CAST(unnest(string_split(replace(replace(post_ids, '[', ''), ']', ''), ',')) AS BIGINT) AS m FROM g_rankings) x WHERE x.id = r.id AND m IN {DEAD}) UNION ALL SELECT 'listwise_queue', count(*), 0 FROM g_listwise_queue r WHERE NOT EXISTS (SELECT 1 FROM (SELECT queue_id, position, CAST(unnest(string_split(replace(replace(post_ids, '[', ''), ']', ''), ',')) AS BIGINT) AS m FROM g_listwise_queue) x WHERE x.queue_id = r.queue_id AND x.position = r.position AND m IN {DEAD})")  # D5
+add("delete_cascade", lambda lib: _deleted(lib), "SELECT 'posts' AS t, count(*) AS n, count(canonical_post_id) FILTER (canonical_post_id % 3 <> 0) AS m FROM g_posts WHERE id % 3 <> 0 UNION ALL SELECT 'waifu', count(*), 0 FROM g_waifu WHERE post_id % 3 <> 0 UNION ALL SELECT 'aesthetic', count(*), 0 FROM g_aesthetic WHERE post_id % 3 <> 0 UNION ALL SELECT 'post_has_tag', count(*), 0 FROM g_post_has_tag WHERE post_id % 3 <> 0 UNION ALL SELECT 'vectors', count(*), 0 FROM g_vectors WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL SELECT 'failures', count(*), 0 FROM g_failures WHERE NOT (post_id % 3 = 0 AND post_id IN (SELECT id FROM g_posts)) UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', count(*), 0 FROM g_{n} WHERE NOT ({' OR '.join(f'{e} IN {DEAD}' for e in ends)})" for n, ends in (("absolute", ["post_id"]), ("flags", ["post_id"]), ("pairwise", ["post_a", "post_b"]), ("listwise", ["m1", "m2", "m3"]), ("absolute_queue", ["post_id"]), ("pair_queue", ["post_a", "post_b"]))) + f" UNION ALL SELECT 'rankings', count(*), 0 FROM g_rankings r WHERE NOT EXISTS (SELECT 1 FROM (SELECT id, CAST(unnest(string_split(replace(replace(post_ids, '[', ''), ']', ''), ',')) AS BIGINT) AS m FROM g_rankings) x WHERE x.id = r.id AND m IN {DEAD}) UNION ALL SELECT 'listwise_queue', count(*), 0 FROM g_listwise_queue r WHERE NOT EXISTS (SELECT 1 FROM (SELECT queue_id, position, CAST(unnest(string_split(replace(replace(post_ids, '[', ''), ']', ''), ',')) AS BIGINT) AS m FROM g_listwise_queue) x WHERE x.queue_id = r.queue_id AND x.position = r.position AND m IN {DEAD})")  # D5
 
 
 def _deleted(lib: Library) -> DataFrame:

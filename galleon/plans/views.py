@@ -50,13 +50,13 @@ SELECT g.name AS name, g.group_id AS group_id, count(p.id) AS post_count FROM {g
     "g_vectors": """
 SELECT vec_id + 1 AS post_id, embedding FROM {embeddings}""",
     "g_pairwise": """
-SELECT event_id + 1 AS id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS created_at, user_id + 1 AS post_a, user_id + 2 + event_id % 7 AS post_b,
+SELECT event_id + 1 AS id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS created_at, user_id + 1 AS post_a, (user_id + 1) * (1 + event_id % 5) + 1 + event_id % 3 AS post_b,
        CASE event_id % 3 WHEN 0 THEN 'overall' WHEN 1 THEN 'color' ELSE 'finish' END AS dimension,
        CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'tie' ELSE 'skip' END AS winner
 FROM {events} WHERE event_type = 'purchase'""",
     "g_absolute": """
 SELECT event_id + 1 AS id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS created_at, user_id + 1 AS post_id,
-       CASE event_id % 3 WHEN 0 THEN 'overall' WHEN 1 THEN 'color' ELSE 'finish' END AS dimension, 5 AS scale, CAST(1 + event_id % 5 AS INT) AS value
+       CASE event_id % 3 WHEN 0 THEN 'overall' WHEN 1 THEN 'color' ELSE 'finish' END AS dimension, CASE event_id % 23 WHEN 7 THEN 4 WHEN 9 THEN 3 ELSE 5 END AS scale, CAST(1 + event_id % 5 AS INT) AS value
 FROM {events} WHERE event_type = 'view'""",
     "g_flags": """
 SELECT event_id + 1 AS id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS created_at, user_id + 1 AS post_id,
@@ -72,19 +72,19 @@ SELECT user_id + 1 AS post_id, CASE event_id % 4 WHEN 0 THEN 'basics' WHEN 1 THE
 FROM {events} WHERE event_type = 'error' GROUP BY 1, 2""",
     "g_pair_queue": """
 SELECT o_orderkey % 4 + 1 AS queue_id, CAST(floor(o_orderkey / 4) AS BIGINT) AS position, o_custkey + 1 AS post_a, o_custkey + 2 AS post_b,
-       CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
-FROM {orders} WHERE o_orderkey % 31 = 0""",
+       CASE WHEN o_orderstatus = 'F' OR o_orderkey % 31 <> 0 THEN 1 ELSE 0 END AS done
+FROM {orders}""",
     "g_absolute_queue": """
-SELECT o_orderkey % 3 + 1 AS queue_id, CAST(floor(o_orderkey / 3) AS BIGINT) AS position, o_custkey + 1 AS post_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
-FROM {orders} WHERE o_orderkey % 5 = 0""",
+SELECT o_orderkey % 3 + 1 AS queue_id, CAST(floor(o_orderkey / 3) AS BIGINT) AS position, o_custkey + 1 AS post_id, CASE WHEN o_orderstatus = 'F' OR o_orderkey % 5 <> 0 THEN 1 ELSE 0 END AS done
+FROM {orders}""",
     "g_listwise_queue": """
 SELECT o_orderkey % 2 + 1 AS queue_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS position,
        '[' || CAST(o_custkey + 1 AS STRING) || ',' || CAST(o_custkey + 2 AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ',' || CAST(o_custkey + 9 AS STRING) ELSE '' END || ']' AS post_ids,
-       CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS done
-FROM {orders} WHERE o_orderkey % 5 = 1""",
+       CASE WHEN o_orderstatus = 'F' OR o_orderkey % 5 <> 1 THEN 1 ELSE 0 END AS done
+FROM {orders}""",
     "g_rankings": """
 SELECT event_id + 1 AS id, '[' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ',' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ']' AS post_ids,
-       CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ']'
+       CASE WHEN event_id % 17 = 3 THEN '[' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 1 AS STRING) || ']' WHEN event_id % 17 = 5 THEN '[' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 3 AS STRING) || ']' WHEN event_id % 3 = 0 THEN '[]' WHEN event_id % 3 = 1 THEN '[' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ']'
        ELSE '[' || CAST(user_id + 1 AS STRING) || ',' || CAST(user_id + 2 AS STRING) || ',' || CAST(user_id + 5 AS STRING) || ',' || CAST(user_id + 7 AS STRING) || ']' END AS ranking
 FROM {events} WHERE event_type = 'signup'""",
 }

@@ -180,31 +180,10 @@ def test_groups_and_posts(spark, lib):
     assert new.count() == lib.posts.count() + 1 and new.where("id = 1000000").first()["score"] == 0
 
 
-def test_batch_cores():
-    assert sa.cycle_edges([1, 2, 3]) == [(1, 2), (2, 3), (3, 1)] and sa.cycle_edges([1, 2]) == [(1, 2)] and sa.cycle_edges([1]) == []
-    r = random.Random(2)
-    for _ in range(50):
-        edges = list({tuple(sorted(r.sample(range(9), 2))) for _ in range(8)})
-        for block in sa.connected_blocks(edges):
-            seen = set(block[0])
-            for e in block[1:]:
-                assert seen & set(e)
-                seen |= set(e)
-        assert sorted(sa.breadth_first(edges)) == sorted(edges)
-    g = sa.PairGraph([(1, 2, "a"), (1, 3, "skip")])
-    assert g.claim(1, 1) is None and g.claim(2, 1) is None and g.claim(3, 1) is None and g.claim(2, 3) == (2, 3)
-    pairs = sa.close_pairs([sa.cycle_edges([1, 2, 3, 4]), sa.cycle_edges([5, 6, 7]), sa.cycle_edges([8, 9])], sa.PairGraph([]), 8)
-    assert len(pairs) == 8 == len({frozenset(p) for p in pairs})
-    seen = set(pairs[0])
-    for p in pairs[1:]:
-        assert seen & set(p)
-        seen |= set(p)
-    band = sa.band_pairs([(i, i * 0.6) for i in range(10)], sa.PairGraph([]))
-    assert all(abs(a - b) * 0.6 <= 1 for a, b in band) and len({x for p in band for x in p}) == 2 * len(band)
+def test_farthest_point_choice():
     v = np.eye(6)
     assert len(sa.diverse(list(range(6)), v, 4)) == 4
-    assert sa.diverse([1, 2], np.ones((2, 3)), 2) == [1]
-    assert sorted(sa.listwise_group(0, [1, 2, 3, 4, 5], v)) == [0, 1, 2, 3, 4, 5] and sa.listwise_group(0, [1], v[:2]) is None
+    assert sa.diverse([1, 2], np.ones((2, 3)), 2) == [1] and sa.diverse([], np.ones((0, 3)), 2) == []
 
 
 def test_palette():

@@ -33,6 +33,7 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in catalog.ORACLE:
+        assert got  # what has no SQL has rows at least; its tests are elsewhere
         return
     r = duck.sql(catalog.ORACLE[name])
     assert sorted(r.columns) == cols
