@@ -29,22 +29,27 @@ from galleon.llm.base import table, written
 MAX_N, LEAST, TOP, COVER, SCALE, UND, ENDS = 3, 10, 2000, 50, 1_000_000, "und", r"[.,;:!?\x0A-\x0D]"
 #: Parts with at least this share (one in HOT) of all word occurrences are joined by broadcast.
 HOT = 4096
-#: Cells of the last ranking but one.
-CELLS = 8
+#: Cells of the last rankings but one and two.
+CELLS = (16, 2)
+
+
+def lowered(text: Column) -> Column:
+    """A-Z in lower case; texts of ASCII alone take the short way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
     """lang, words and how often the piece occurs; each different piece once."""
-    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.select(F.coalesce(F.col("lang"), F.lit(UND)).alias("lang"), F.explode(F.split(lower, ENDS)).alias("piece"))
-    counted = rows.where(F.col("piece").rlike("[^ \t]")).groupBy("lang", "piece").agg(F.count("*").alias("times"))
-    return counted.select("lang", F.filter(F.split("piece", "[ \t]+"), lambda w: w != "").alias("words"), "times")
+    rows = docs.select(F.coalesce(F.col("lang"), F.lit(UND)).alias("lang"), F.explode(F.split("text", ENDS)).alias("piece"))
+    trimmed = rows.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''").select("lang", lowered(F.col("piece")).alias("piece"))
+    return trimmed.groupBy("lang", "piece").agg(F.count("*").alias("times")).select("lang", F.split("piece", "[ \t]+").alias("words"), "times")
 
 
 def grams(found: DataFrame, n: int, least: int) -> DataFrame:
     """lang, phrase and f of every run of n words that occurs at least so often."""
-    at = lambda i: F.concat_ws(" ", *[F.element_at("words", i + k) for k in range(n)])
-    rows = found.where(F.size("words") >= n).select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), at)).alias("phrase"), "times")
+    spaced = lambda i: [x for k in range(n) for x in (F.lit(" "), F.element_at("words", i + k))][1:]
+    runs = F.col("words") if n == 1 else F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.concat(*spaced(i)))
+    rows = found.where(F.size("words") >= n).select("lang", F.explode(runs).alias("phrase"), "times")
     return rows.groupBy("lang", "phrase").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
 
 
@@ -63,7 +68,7 @@ def score(a: str, left: str, right: str) -> Column:
 def leading(rows: DataFrame, top: int, cells: int) -> DataFrame:
     """Each language's first rows with their rank, by score, then count, then phrase."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    for among in (cells, CELLS, 1):
+    for among in (cells, *CELLS, 1):
         of = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(among))).orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(of).cast("long")).where(F.col("rank") <= top)
     return rows
