@@ -1,24 +1,19 @@
-"""Near-duplicate grouping of vectors: blocked exact search, lexicographically first canonicals, regrouping."""
+"""Near-duplicate grouping of vectors: lexicographically first canonicals over exact near pairs, regrouping."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from galleon.functions.columns import unit
+from galleon.operators.metric import near_pairs
 
-THRESHOLD, BLOCK = 0.01, 1024
+THRESHOLD = 0.01
 #: So many open edges are settled in one task; more are in rounds.
 FEW = 500_000
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    return vectors.select("post_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-
-
 def export_vectors(lib) -> DataFrame:
     """Vectors of posts that exist, by id; vectors of another width than the rest are an error."""
     kept = lib.vectors.join(lib.posts.select(F.col("id").alias("post_id")), "post_id", "left_semi")
@@ -27,40 +22,6 @@ def export_vectors(lib) -> DataFrame:
     return kept.join(F.broadcast(dim)).select("post_id", same.alias("embedding")).orderBy("post_id")
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: all pairs with a cosine of 1 - threshold or more, exactly.
-
-    Vectors are put into blocks by a hash of their id; a block travels as one row of packed floats, and every two
-    blocks meet once in one matrix product. The number of block pairs is quadratic, as an exact search of all pairs
-    is; a task holds two blocks whatever the corpus is.
-    """
-    units = unit_vectors(vectors)
-    n = max(1, -(-units.count() // block))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([r["k"]], pa.int32()), "ids": [np.array([x["post_id"] for x in r["rows"]], "<i8").tobytes()], "m": [np.array([x["v"] for x in r["rows"]], "<f8").tobytes()]})
-
-    rows = units.groupBy(F.pmod(F.xxhash64("post_id"), F.lit(n)).cast("int").alias("k")).agg(F.collect_list(F.struct("post_id", "v")).alias("rows"))
-    blocks = rows.mapInArrow(pack, "k int, ids binary, m binary")
-    left = blocks.withColumn("other", F.explode(F.sequence("k", F.lit(n - 1))))
-    pairs = left.join(blocks.select(F.col("k").alias("other"), F.col("ids").alias("ids2"), F.col("m").alias("m2")), "other")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                i, j = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["ids2"], "<i8")
-                x, y = np.frombuffer(r["m"], "<f8").reshape(len(i), -1), np.frombuffer(r["m2"], "<f8").reshape(len(j), -1)
-                p, q = np.nonzero(x @ y.T >= 1 - threshold)
-                a, c = i[p], j[q]
-                keep = (a < c) if r["k"] == r["other"] else (a != c)
-                lo, hi = np.minimum(a, c)[keep], np.maximum(a, c)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
-
-    return pairs.mapInArrow(multiply, "a long, b long")
-
-
 def first_set(edges: DataFrame) -> DataFrame:
     """(id) of the first maximal independent set in id order, in one task: for bounded numbers of edges a < b."""
 
@@ -131,7 +92,7 @@ def grouped_vectors(vectors: DataFrame, threshold: float = THRESHOLD, keep: Call
     keep = keep or (lambda df: df.checkpoint())
     classes = keep(vector_classes(vectors))
     own = classes.where("post_id = rep").select("post_id")
-    assigned = keep(assign_canonicals(near_pairs(vectors.join(own, "post_id", "left_semi"), threshold), keep))
+    assigned = keep(assign_canonicals(near_pairs(vectors.join(own, "post_id", "left_semi"), threshold, keep), keep))
     rest = classes.where("post_id <> rep").join(assigned.withColumnRenamed("member", "rep"), "rep", "left")
     return assigned.unionByName(rest.select(F.col("post_id").alias("member"), F.coalesce("canonical", "rep").alias("canonical")))
 

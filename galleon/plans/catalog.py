@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleon.functions.columns import aspect_ratio, extension, full_path, hex_colour, is_image_path, match_probability, pack_rgb, safe_dir, srgb_to_lab, stem
 from galleon.functions.shapes import shaped
-from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, pending as pe, sampling as sa, search as se, stats as st
+from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, metric, pending as pe, sampling as sa, search as se, stats as st
 from galleon.operators.filters import PostFilter as PF, apply_filter
 from galleon.operators.graph import connected_components
 from galleon.operators.tree import folder_tree
@@ -123,12 +123,9 @@ add("knn_seed", lambda lib: R5(se.knn_of(lib.vectors, 42, 10)), f"SELECT post_id
 add("similar_posts", lambda lib: R5(se.similar_posts(lib, 42, 20)).select("post_id", "distance", F.round("match_prob", 5).alias("match_prob")), f"SELECT n.post_id AS post_id, round(abs(d), 5) AS distance, round(1 - d, 5) AS match_prob FROM (SELECT * FROM ({NEAR} LIMIT 21) WHERE post_id <> 42) n JOIN g_posts p ON p.id = n.post_id WHERE {C}")  # V2
 add("text_vector_search", lambda lib: R5(se.text_search(lib, [1.0] * 8 + [0.0] * 56, PF(rating=[0, 1, 2]), 15, 5)).select("post_id", "distance"), f"SELECT n.post_id AS post_id, round(abs(d), 5) AS distance FROM (SELECT b.post_id, 1 - list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), list_concat(list_transform(range(8), lambda x: 1.0::DOUBLE), list_transform(range(56), lambda x: 0.0::DOUBLE))) AS d FROM g_vectors b ORDER BY d, b.post_id LIMIT 1000) n JOIN g_posts p ON p.id = n.post_id WHERE {C} AND rating IN (0, 1, 2) ORDER BY d, n.post_id LIMIT 15 OFFSET 5")  # V3, J14
 add("match_prob", lambda lib: se.knn_of(lib.vectors, 42, 10).select("post_id", F.round(match_probability(1 - F.col("distance"), 10.0, -5.0), 5).alias("p")), f"SELECT post_id, round(1 / (1 + exp(-((1 - d) * 10 - 5))), 5) AS p FROM ({NEAR} LIMIT 10)")  # V4
-add("unit_vectors", lambda lib: dedup.unit_vectors(lib.vectors).select("post_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total")), "SELECT post_id, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS total FROM g_vectors WHERE list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0")  # V6
+add("unit_vectors", lambda lib: metric.units_of(lib.vectors).select("post_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total")), "SELECT post_id, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS total FROM g_vectors WHERE list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0")  # V6
 add("vector_export", lambda lib: dedup.export_vectors(lib).select("post_id", F.size("embedding").alias("dim")), "SELECT v.post_id AS post_id, CAST(len(embedding) AS INT) AS dim FROM g_vectors v JOIN g_posts p ON p.id = v.post_id")  # S10, J15
 PAIRS = f"SELECT a.post_id AS a, b.post_id AS b FROM g_vectors a JOIN g_vectors b ON a.post_id < b.post_id WHERE {COS} >= 0.45"
-add("near_pairs", lambda lib: dedup.near_pairs(lib.vectors, 0.55), PAIRS)  # V9, J16
-
-
 def _keep(lib: Library):
     """Rounds of iterative operators are written to the cluster's shared folder."""
     spark = lib.posts.sparkSession
@@ -137,10 +134,25 @@ def _keep(lib: Library):
     return lambda df: df.checkpoint()
 
 
+add("near_pairs", lambda lib: metric.near_pairs(lib.vectors, 0.55, _keep(lib)), PAIRS)  # V9, J16
+#: Vectors with copies: every third one is there again under another id, every ninth one twice.
+COPIED = "SELECT post_id, embedding FROM g_vectors UNION ALL SELECT post_id + 10000000, embedding FROM g_vectors WHERE post_id % 3 = 0 UNION ALL SELECT post_id + 20000000, embedding FROM g_vectors WHERE post_id % 9 = 0"
+CLASSES = f"WITH x AS ({COPIED}), k AS (SELECT min(post_id) AS rep, count(*) AS copies, embedding FROM x GROUP BY embedding)"
+
+
+def _copied(lib: Library) -> DataFrame:
+    again = lambda m, k: lib.vectors.where(F.col("post_id") % m == 0).select((F.col("post_id") + 10_000_000 * k).alias("post_id"), "embedding")
+    return lib.vectors.unionByName(again(3, 1)).unionByName(again(9, 2))
+
+
+add("near_class_pairs", lambda lib: metric.near_classes(_copied(lib), 0.55, _keep(lib))[0], f"{CLASSES} SELECT a.rep AS a, b.rep AS b, a.copies * b.copies AS post_pairs FROM k a JOIN k b ON a.rep < b.rep WHERE {COS} >= 0.45")
+add("vector_classes", lambda lib: metric.near_classes(_copied(lib), 0.55, _keep(lib))[1], f"{CLASSES} SELECT rep, copies, CAST(copies * (copies - 1) / 2 AS BIGINT) AS inner_pairs FROM k")
+
+
 # lexicographically first: three rounds of "no smaller neighbour is canonical" settle these graphs
 FIRST = f"WITH e AS ({PAIRS}), s0 AS (SELECT DISTINCT a AS id FROM e WHERE a NOT IN (SELECT b FROM e)), m0 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM s0)), e1 AS (SELECT * FROM e WHERE a NOT IN (SELECT id FROM s0 UNION SELECT id FROM m0) AND b NOT IN (SELECT id FROM s0 UNION SELECT id FROM m0)), s1 AS (SELECT DISTINCT a AS id FROM e1 WHERE a NOT IN (SELECT b FROM e1)), m1 AS (SELECT DISTINCT b AS id FROM e1 WHERE a IN (SELECT id FROM s1)), s2 AS (SELECT id FROM (SELECT a AS id FROM e UNION SELECT b FROM e) WHERE id NOT IN (SELECT id FROM s0 UNION SELECT id FROM m0 UNION SELECT id FROM s1 UNION SELECT id FROM m1)), s AS (SELECT id FROM s0 UNION SELECT id FROM s1 UNION SELECT id FROM s2) SELECT b AS member, min(a) AS canonical FROM e WHERE a IN (SELECT id FROM s) AND b NOT IN (SELECT id FROM s) GROUP BY b"
-add("canonical_assign", lambda lib: dedup.assign_canonicals(dedup.near_pairs(lib.vectors, 0.55), _keep(lib)), FIRST)  # V10
-add("regroup_posts", lambda lib: dedup.replace_groups(lib.posts, dedup.assign_canonicals(dedup.near_pairs(dedup.export_vectors(lib), 0.55), _keep(lib))).where("canonical_post_id IS NOT NULL").select("id", "canonical_post_id"), FIRST.replace("FROM g_vectors a JOIN g_vectors b", "FROM (SELECT * FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts)) a JOIN (SELECT * FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts)) b").replace("SELECT b AS member, min(a) AS canonical", "SELECT b AS id, min(a) AS canonical_post_id"))  # V11
+add("canonical_assign", lambda lib: dedup.assign_canonicals(metric.near_pairs(lib.vectors, 0.55, _keep(lib)), _keep(lib)), FIRST)  # V10
+add("regroup_posts", lambda lib: dedup.rebuild_groups(lib, 0.55, _keep(lib)).where("canonical_post_id IS NOT NULL").select("id", "canonical_post_id"), FIRST.replace("FROM g_vectors a JOIN g_vectors b", "FROM (SELECT * FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts)) a JOIN (SELECT * FROM g_vectors WHERE post_id IN (SELECT id FROM g_posts)) b").replace("SELECT b AS member, min(a) AS canonical", "SELECT b AS id, min(a) AS canonical_post_id"))  # V11
 
 # --- annotations (U1, O10, A10, W1, A11, A12, D23, X15) -----------------------------------------------------------
 LINE = "SELECT 'pairwise' AS kind, id, created_at, post_a AS post_id, post_b AS other_id, dimension, winner AS verdict FROM g_pairwise UNION ALL SELECT 'absolute', id, created_at, post_id, NULL, dimension, CAST(value AS VARCHAR) FROM g_absolute UNION ALL SELECT 'flag', id, created_at, post_id, NULL, NULL, flag FROM g_flags UNION ALL SELECT 'listwise', id, created_at, coalesce(best, m1), NULL, NULL, NULL FROM g_listwise"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galleon.functions import columns as co, palette
 from galleon.functions.scoring import SILVA
-from galleon.operators import annotations as an, changes as ch, dedup, dsl, facets as fa, pending as pe, sampling as sa
+from galleon.operators import annotations as an, changes as ch, dedup, metric, dsl, facets as fa, pending as pe, sampling as sa
 from galleon.operators.filters import PostFilter, apply_filter, checked, GROUPABLE
 from galleon.operators.graph import connected_components
 
@@ -119,9 +119,37 @@ def test_components(spark):
     assert rows(connected_components(spark.createDataFrame([], "a long, b long"))) == []
 
 
+def near(vectors, threshold=0.01, **more):
+    return metric.near_pairs(vectors, threshold, lambda df: df.checkpoint(), **more)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.002, 0.02, 0.3, 1.0])
+def test_near_pairs_like_all_pairs(spark, threshold):
+    """Clusters of all densities, equal vectors, one cell with a third of them: small blocks give what all pairs give."""
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(12, 8))
+    v = [centres[i % 12] + g.normal(size=8) * (0.5 if i % 12 > 6 else 0.02) for i in range(160)] + [centres[0] + g.normal(size=8) * 0.01 for _ in range(80)] + [centres[1] * k for k in range(1, 5)]
+    rows_ = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [0.0] * 8), (901, None)]
+    df = spark.createDataFrame(rows_, "post_id long, embedding array<double>")
+    u = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    want = [(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if u[i] @ u[j] >= 1 - threshold]
+    got = rows(near(df, threshold, block=16, pivots=9))
+    edge = [p for p in set(got) ^ set(want) if abs(u[p[0]] @ u[p[1]] - 1 + threshold) > 1e-12]  # at the bound, rounding decides
+    assert not edge and len(set(got)) == len(got)
+    met, every = metric.moved_share(df, threshold, lambda x: x.checkpoint(), block=16, pivots=9)
+    assert 0 < met <= every and (threshold > 0.002 or met < every / 2)
+
+
+def test_near_pairs_of_few_vectors(spark):
+    kind = "post_id long, embedding array<double>"
+    assert rows(near(spark.createDataFrame([], kind))) == [] and rows(near(spark.createDataFrame([(1, [1.0, 2.0])], kind))) == []
+    pairs, classes = metric.near_classes(spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.001]), (4, [0.0, 1.0])], kind), 0.01, lambda df: df.checkpoint())
+    assert rows(pairs) == [(1, 2, 2)] and rows(classes) == [(1, 2, 1), (2, 1, 0), (4, 1, 0)]
+
+
 def test_regroup_defaults(spark, lib):
     v = [(i, [float(np.sin(s * 7.13 + k * 0.011)) for k in range(32)]) for i, s in ((1, 1), (2, 1), (3, 5))]
-    assert rows(dedup.near_pairs(spark.createDataFrame(v, "post_id long, embedding array<float>"))) == [(1, 2)]
+    assert rows(near(spark.createDataFrame(v, "post_id long, embedding array<float>"))) == [(1, 2)]
     posts = spark.createDataFrame([(1, None), (2, None), (3, 1)], "id long, canonical_post_id long")
     new = dedup.replace_groups(posts, spark.createDataFrame([(2, 1), (3, 99)], "member long, canonical long"))
     assert rows(new.select("id", F.coalesce("canonical_post_id", F.lit(0)))) == [(1, 0), (2, 1), (3, 0)]
@@ -318,7 +346,7 @@ def test_equal_vectors_are_grouped_as_all_pairs_are(spark):
     base = r.normal(size=(8, 16))
     v = [(10 * k + j, (base[k] + (r.normal(size=16) * 0.02 if j == 2 else 0)).tolist()) for k in range(8) for j in range(4)] + [(500, base[0].tolist()), (5, base[7].tolist())]
     vectors = spark.createDataFrame(v, "post_id long, embedding array<double>")
-    want = rows(dedup.assign_canonicals(dedup.near_pairs(vectors)).select("member", "canonical"))
+    want = rows(dedup.assign_canonicals(near(vectors)).select("member", "canonical"))
     assert rows(dedup.grouped_vectors(vectors).select("member", "canonical")) == want and len(want) > 20
 
 
