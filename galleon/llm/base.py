@@ -57,9 +57,8 @@ def stored(df: DataFrame, path: str, *parts: str, buckets: tuple[int, str] | Non
     """Writes the frame as Parquet, in buckets of a column if asked. What it shuffled goes from the disks at once:
     nobody reads it again."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    if before is not None:
-        spark.conf.set(CLEANUP, "true")
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
         if buckets:  # Spark writes buckets of tables only; the table's name goes, its files stay
             name = f"stored_{uuid.uuid4().hex}"
@@ -68,8 +67,7 @@ def stored(df: DataFrame, path: str, *parts: str, buckets: tuple[int, str] | Non
         else:
             df.write.partitionBy(*parts).parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, before)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -47,10 +47,10 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 def grams(found: DataFrame, n: int, least: int) -> DataFrame:
     """lang, phrase and f of every run of n words that occurs at least so often."""
-    spaced = lambda i: [x for k in range(n) for x in (F.lit(" "), F.element_at("words", i + k))][1:]
-    runs = F.col("words") if n == 1 else F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.concat(*spaced(i)))
-    rows = found.where(F.size("words") >= n).select("lang", F.explode(runs).alias("phrase"), "times")
-    return rows.groupBy("lang", "phrase").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
+    shifted = F.arrays_zip(*[F.slice("words", k + 1, F.size("words") - (n - 1)).alias(f"w{k}") for k in range(n)])
+    rows = found.where(F.size("words") >= n).select("lang", "times", F.inline(shifted))
+    phrase = F.concat_ws(" ", *rows.columns[2:])
+    return rows.select("lang", phrase.alias("phrase"), "times").groupBy("lang", "phrase").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
 
 
 def with_count(rows: DataFrame, part: str, counts: DataFrame, hot: DataFrame, name: str) -> DataFrame:
