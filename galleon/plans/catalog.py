@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleon.functions.columns import aspect_ratio, extension, full_path, hex_colour, is_image_path, match_probability, pack_rgb, safe_dir, srgb_to_lab, stem
 from galleon.functions.shapes import shaped
-from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, metric, pending as pe, sampling as sa, search as se, stats as st
+from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, kept, metric, pending as pe, sampling as sa, search as se, stats as st
 from galleon.operators.filters import PostFilter as PF, apply_filter
 from galleon.operators.graph import connected_components
 from galleon.operators.tree import folder_tree
 from galleon.plans.views import Library, open_library, shared_folder, sql_of
+from galleon.sources.keyed import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -316,3 +317,60 @@ def _stream_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_tag_counts"] = _stream_tag_counts
 ORACLE["stream_tag_counts"] = sql_of("SELECT tag_name, count(*) AS n FROM g_post_has_tag GROUP BY 1")
+
+
+# --- stored state: keyed tables, and figures kept beside them (D1-D15, G1-G4) --------------------------------------
+def _stored(lib: Library, name: str, keys: list[str], by: list[str] | None = None, buckets: int = 16) -> KeyedTable:
+    """A new keyed table in the shared folder; it goes when the session's JVM ends."""
+    spark = lib.posts.sparkSession
+    path = f"{shared_folder(spark)}/galleon-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return KeyedTable(spark, f"{path}/{name}", keys, by, buckets)
+
+
+def _keyed_scores(lib: Library) -> DataFrame:
+    """Scores are replaced, then some are deleted, then new ones come."""
+    table = _stored(lib, "waifu", ["post_id"])
+    table.create(lib.waifu)
+    table.upsert(lib.waifu.where("post_id % 5 = 0").select("post_id", (F.col("score") / 2).alias("score")))
+    table.delete(lib.waifu.where("post_id % 7 = 0"))
+    table.upsert(lib.posts.where("id % 35 = 0").select(F.col("id").alias("post_id"), F.lit(1.5).alias("score")))
+    return table.read()
+
+
+add("keyed_scores", _keyed_scores, "SELECT post_id, CASE WHEN post_id % 5 = 0 THEN score / 2 ELSE score END AS score FROM g_waifu WHERE post_id % 7 <> 0 UNION ALL SELECT id, 1.5::DOUBLE FROM g_posts WHERE id % 35 = 0")  # D9 as stored state
+
+
+def _tag_counts_feed(lib: Library) -> DataFrame:
+    """Counts that follow grouping, ungrouping, deletes and links, each refreshed once, with a refresh that has nothing to do."""
+    links, posts, counts = _stored(lib, "links", ["post_id", "tag_name"], ["post_id"]), _stored(lib, "posts", ["id"]), _stored(lib, "counts", ["name"])
+    pair, own = lib.post_has_tag.select("post_id", "tag_name").distinct(), lib.posts.select("id", "canonical_post_id")
+    links.create(pair)
+    posts.create(own)
+    feed = kept.TagCounts(links, posts, counts)
+    feed.refresh()
+    posts.upsert(own.where("id % 8 = 3").select("id", (F.col("id") - 1).alias("canonical_post_id")))
+    feed.refresh()
+    posts.upsert(own.where("id % 20 = 0").select("id", F.lit(None).cast("bigint").alias("canonical_post_id")))
+    links.delete(pair.where("post_id % 9 = 1"))
+    feed.refresh()
+    posts.delete(own.where("id % 11 = 5").select("id"))
+    links.upsert(own.where("id % 6 = 2").select(F.col("id").alias("post_id"), F.lit("fresh").alias("tag_name")))
+    feed.refresh()
+    feed.refresh()
+    return counts.read()
+
+
+add("tag_counts_feed", _tag_counts_feed, "WITH p AS (SELECT id, CASE WHEN id % 20 = 0 THEN NULL WHEN id % 8 = 3 THEN id - 1 ELSE canonical_post_id END AS c FROM g_posts WHERE id % 11 <> 5), l AS (SELECT DISTINCT post_id, tag_name FROM g_post_has_tag WHERE post_id % 9 <> 1 UNION SELECT id, 'fresh' FROM g_posts WHERE id % 6 = 2) SELECT tag_name AS name, count(*) AS post_count FROM l JOIN p ON p.id = l.post_id AND p.c IS NULL GROUP BY 1")  # D15
+
+
+def _comparison_graph(lib: Library) -> DataFrame:
+    """The graph of all verdicts of a dimension, taken in batches by time, one of them twice."""
+    graph = kept.ComparisonGraph(_stored(lib, "nodes", ["id"]), _keep(lib))
+    for batch, part in enumerate(("id % 10 < 6", "id % 10 = 6", "id % 10 = 6", "id % 10 > 6")):
+        graph.add(OVERALL(lib).where(part), batch if batch < 2 else batch - 1)
+    return graph.nodes.read()
+
+
+add("comparison_graph", _comparison_graph, f"{PARTS_SQL}, w AS ({WL}) SELECT cc.id AS id, component, degree, wins, losses FROM cc JOIN w ON w.post_id = cc.id")  # G1-G4
