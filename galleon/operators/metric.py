@@ -39,8 +39,8 @@ def pivots_of(units: DataFrame, most: int = PIVOTS) -> np.ndarray:
     return np.array([r["v"] for r in rows], float)
 
 
-def packed(units: DataFrame, pivots: np.ndarray, radius: float, block: int = BLOCK) -> DataFrame:
-    """Blocks: id, cell, lo and hi (distance from the cell's pivot), ids and m (packed floats), and `meets`: the cells
+def packed(units: DataFrame, pivots: np.ndarray, radius: float, block: int = BLOCK, first: int = 0) -> DataFrame:
+    """Blocks with ids above `first`: id, cell, lo and hi (distance from the cell's pivot), ids and m (packed floats), and `meets`: the cells
     where neighbours can be, each with the least and greatest distance from its pivot."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def packed(units: DataFrame, pivots: np.ndarray, radius: float, block: int = BLO
             own = d[:, cell]
             meets = [{"cell": int(c), "lo": float(d[:, c].min()), "hi": float(d[:, c].max())} for c in near]
             number += 1
-            row = {"id": pa.array([(part << 32) + number], pa.int64()), "cell": pa.array([cell], pa.int32()), "lo": [float(own.min())], "hi": [float(own.max())], "ids": [np.array(ids, "<i8").tobytes()], "m": [x.tobytes()], "n": pa.array([len(ids)], pa.int64())}
+            row = {"id": pa.array([first + (part << 24) + number], pa.int64()), "cell": pa.array([cell], pa.int32()), "lo": [float(own.min())], "hi": [float(own.max())], "ids": [np.array(ids, "<i8").tobytes()], "m": [x.tobytes()], "n": pa.array([len(ids)], pa.int64())}
             return pa.RecordBatch.from_pydict(row | {"meets": pa.array([meets], pa.list_(pa.struct([("cell", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())])))})
 
         for b in batches:
@@ -83,25 +83,20 @@ def packed(units: DataFrame, pivots: np.ndarray, radius: float, block: int = BLO
     return sorted_.mapInArrow(blocks, "id long, cell int, lo double, hi double, ids binary, m binary, n long, meets array<struct<cell int, lo double, hi double>>")
 
 
-def meeting(blocks: DataFrame, radius: float) -> DataFrame:
-    """(x, y), x <= y: ids of blocks that the triangle inequality can't keep apart."""
+def meeting(blocks: DataFrame, radius: float, new: DataFrame | None = None) -> DataFrame:
+    """(x, y): ids of blocks that the triangle inequality can't keep apart, each two once; x among `new` ones if given."""
     width, reach = max(radius, NARROW), radius + SLACK
     shells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / F.lit(width)).cast("int"), F.floor(hi / F.lit(width)).cast("int"))).alias("shell")
     home = blocks.select(F.col("id").alias("y"), "cell", F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), shells(F.col("lo"), F.col("hi")))
-    guests = blocks.select(F.col("id").alias("x"), F.explode("meets").alias("c")).select("x", "c.cell", "c.lo", "c.hi").select("*", shells(F.greatest(F.col("lo") - reach, F.lit(0.0)), F.col("hi") + reach))
-    found = guests.join(home, ["cell", "shell"]).where((F.col("x") <= F.col("y")) & (F.col("lo") <= F.col("hi_y") + reach) & (F.col("lo_y") <= F.col("hi") + reach))
-    return found.select("x", "y").distinct()
+    guests = (blocks if new is None else new).select(F.col("id").alias("x"), F.explode("meets").alias("c")).select("x", "c.cell", "c.lo", "c.hi").select("*", shells(F.greatest(F.col("lo") - reach, F.lit(0.0)), F.col("hi") + reach))
+    found = guests.join(home, ["cell", "shell"]).where((F.col("lo") <= F.col("hi_y") + reach) & (F.col("lo_y") <= F.col("hi") + reach))
+    return found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
-def near_pairs(vectors: DataFrame, threshold: float, keep: Keep, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b), a < b: all pairs with a cosine of 1 - threshold or more, exactly. keep() materialises the blocks."""
-    units = units_of(vectors)
-    centres, radius = pivots_of(units, pivots), math.sqrt(2 * max(threshold, 0.0))
-    if not len(centres):
-        return units.select(F.col("post_id").cast("long").alias("a"), F.col("post_id").cast("long").alias("b")).limit(0)
-    blocks = keep(packed(units, centres, radius, block))
+def multiplied(blocks: DataFrame, meets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: near vectors of blocks that meet."""
     side = lambda end, n: blocks.select(F.col("id").alias(end), F.col("ids").alias(f"ids{n}"), F.col("m").alias(f"m{n}"))
-    moved = meeting(blocks, radius).join(side("x", 1), "x").join(side("y", 2), "y")
+    moved = meets.join(side("x", 1), "x").join(side("y", 2), "y")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,6 +111,16 @@ def near_pairs(vectors: DataFrame, threshold: float, keep: Keep, block: int = BL
     return moved.mapInArrow(multiply, "a long, b long")
 
 
+def near_pairs(vectors: DataFrame, threshold: float, keep: Keep, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b), a < b: all pairs with a cosine of 1 - threshold or more, exactly. keep() materialises the blocks."""
+    units = units_of(vectors)
+    centres, radius = pivots_of(units, pivots), math.sqrt(2 * max(threshold, 0.0))
+    if not len(centres):
+        return units.select(F.col("post_id").cast("long").alias("a"), F.col("post_id").cast("long").alias("b")).limit(0)
+    blocks = keep(packed(units, centres, radius, block))
+    return multiplied(blocks, meeting(blocks, radius), threshold)
+
+
 def moved_share(vectors: DataFrame, threshold: float, keep: Keep, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[int, int]:
     """(pairs of blocks that meet, all pairs of blocks)."""
     units, radius = units_of(vectors), math.sqrt(2 * max(threshold, 0.0))

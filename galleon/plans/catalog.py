@@ -12,6 +12,7 @@ from galleon.functions.shapes import shaped
 from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, kept, metric, pending as pe, sampling as sa, search as se, stats as st
 from galleon.operators.filters import PostFilter as PF, apply_filter
 from galleon.operators.graph import connected_components
+from galleon.operators.regroup import NearGroups
 from galleon.operators.tree import folder_tree
 from galleon.plans.views import Library, open_library, shared_folder, sql_of
 from galleon.sources.keyed import KeyedTable
@@ -374,3 +375,15 @@ def _comparison_graph(lib: Library) -> DataFrame:
 
 
 add("comparison_graph", _comparison_graph, f"{PARTS_SQL}, w AS ({WL}) SELECT cc.id AS id, component, degree, wins, losses FROM cc JOIN w ON w.post_id = cc.id")  # G1-G4
+
+
+def _regroup_batches(lib: Library) -> DataFrame:
+    """Groups after three batches of vectors whose ids come in no order."""
+    table = _stored(lib, "near", ["id"])
+    groups = NearGroups(table.spark, table.path, 0.55, _keep(lib), buckets=4)
+    for part in ("post_id % 3 = 1", "post_id % 3 = 0", "post_id % 3 = 2"):
+        groups.add(lib.vectors.where(part))
+    return groups.groups()
+
+
+add("regroup_batches", _regroup_batches, FIRST)  # V10-V12, T5

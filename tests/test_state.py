@@ -132,3 +132,42 @@ def test_comparison_graph_follows_batches(spark, tmp_path):
 def test_deleting_with_a_function(spark, table):
     table.merge(spark.range(0, 100, 2), removed(["id"]))
     assert rows(table.read().agg(F.count("*"), F.min("id"))) == [(50, 1)]
+
+
+@pytest.mark.parametrize("rounds", [12, 1])
+def test_groups_of_new_vectors_like_a_rebuild(spark, tmp_path, monkeypatch, rounds):
+    """Batches in any order of ids, with copies of vectors that are there, chains and an empty batch."""
+    import numpy as np
+
+    from galleon.operators import regroup
+    from galleon.operators.dedup import grouped_vectors
+
+    monkeypatch.setattr(regroup, "ROUNDS", rounds)
+    g, kind = np.random.default_rng(5), "post_id long, embedding array<double>"
+    turn = [[float(np.cos(t)), float(np.sin(t)), 0.0, 0.0] for t in np.linspace(0, 1.5, 25)]  # a chain of near ones
+    v = turn + [(x + g.normal(size=4) * 0.01).tolist() for x in np.repeat(g.normal(size=(4, 4)), 5, 0)]
+    v += [v[i] for i in (3, 7, 30, 31)] + [[0.0] * 4]
+    ids = g.permutation(len(v)).tolist()
+    groups = regroup.NearGroups(spark, f"file://{tmp_path}/near", 0.01, keep, buckets=4, block=8)
+    assert groups.groups().count() == 0
+    have = []
+    for n, part in enumerate((range(0, 30), range(0), range(30, len(v)))):
+        new = [(ids[i], v[i]) for i in part]
+        have += new
+        assert groups.add(spark.createDataFrame(new, kind)) == n + 1
+        want = rows(grouped_vectors(spark.createDataFrame(have, kind), 0.01, keep).select("member", "canonical"))
+        assert rows(groups.groups()) == want and want
+
+
+@pytest.mark.parametrize("small", [1, 20, 100_000])
+def test_quantiles_like_the_aggregate(spark, monkeypatch, small):
+    """Skewed, tied, huge and few values: what `percentile` gives, however small the ranges are made."""
+    from galleon.operators import stats
+
+    monkeypatch.setattr(stats, "SMALL", small)
+    monkeypatch.setattr(stats, "PARTS", 4)
+    r, shares = random.Random(9), (0.0, 0.05, 0.5, 0.731, 0.95, 1.0)
+    for values in ([r.gauss(0, 1) for _ in range(300)], [float(r.randrange(3)) for _ in range(200)] + [1e300, -1e300, 5e-324], [2.0] * 50, [1.0, None, 4.0], [None], [-(10.0 ** r.randrange(-9, 9)) for _ in range(150)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        want = list(df.agg(*[F.percentile("x", F.lit(s)) for s in shares]).first())
+        assert stats.quantiles(df, "x", shares) == pytest.approx(want, rel=1e-12) if want[0] is not None else stats.quantiles(df, "x", shares) == want
