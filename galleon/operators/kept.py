@@ -98,3 +98,53 @@ class ComparisonGraph:
         else:
             self.nodes.upsert(rows, facts={"batch": batch}, expect=version)
         return True
+
+
+class TimelineHead:
+    """The newest rows of a timeline, k of them to be shown and some more in reserve, kept from inserts, edits and deletes.
+
+    events: keyed by kind and id, with the timeline's columns; head: a keyed table of the same rows, in one bucket. A
+    refresh takes the rows of buckets that changed and the head's own rows of the others. Rows outside the head are older
+    than its last one, so that is exact while k rows no older than it are left; when deletes have used up the
+    reserve, it is filled again from rows below.
+    """
+
+    def __init__(self, events: KeyedTable, head: KeyedTable, k: int, reserve: int | None = None) -> None:
+        self.events, self.head, self.k, self.size = events, head, k, k + (k if reserve is None else reserve)
+
+    def _first(self, rows: DataFrame) -> DataFrame:
+        return rows.orderBy(F.desc("created_at"), F.desc("kind"), F.desc("id")).limit(self.size)
+
+    def refresh(self) -> str:
+        """"same", "kept" (from what changed) or "filled" (from all rows)."""
+        now = self.events.version()
+        if self.head.version() is None:
+            rows = self._first(self.events.read(now))
+            self.head.create(rows, self._facts(rows, now))
+            return "filled"
+        version, facts = self.head.version(), self.head.facts()
+        if facts["events"] == now:
+            return "same"
+        touched = self.events.differing(facts["events"], now)
+        old = self.head.read(version)
+        rest = self.events._placed(old).where(~F.col("_bucket").isin(*touched)).drop("_bucket")
+        rows = self._first(rest.unionByName(self.events.read(now, touched).select(*old.columns)))
+        how = "kept"
+        if facts["last"] is not None:  # there are rows below the head
+            kind, at, number = facts["last"]
+            last = F.struct(F.timestamp_micros(F.lit(at)), F.lit(kind), F.lit(number).cast("bigint"))
+            rows = rows.where(F.struct("created_at", "kind", "id") >= last)
+            if rows.count() < self.k:
+                rows, how = self._first(self.events.read(now)), "filled"
+        self.head.merge(rows, lambda _, new: new, self._facts(rows, now), expect=version) if not rows.isEmpty() else self.head.delete(old, facts=self._facts(rows, now), expect=version)
+        return how
+
+    def _facts(self, rows: DataFrame, now: int) -> dict:
+        """The events' version, and the head's last row if there can be rows below it."""
+        n = rows.count()
+        below = n < self.size and self.events.read(now).count() == n
+        last = None if below or not n else rows.orderBy("created_at", "kind", "id").select("kind", F.unix_micros("created_at"), "id").first()
+        return {"events": now, "last": None if last is None else list(last)}
+
+    def page(self) -> DataFrame:
+        return self.head.read().orderBy(F.desc("created_at"), F.desc("kind"), F.desc("id")).limit(self.k)

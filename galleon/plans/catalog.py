@@ -387,3 +387,47 @@ def _regroup_batches(lib: Library) -> DataFrame:
 
 
 add("regroup_batches", _regroup_batches, FIRST)  # V10-V12, T5
+
+
+def _timeline_head(lib: Library) -> DataFrame:
+    """The first page after inserts, edits and deletes, some of which use up the reserve."""
+    events, head = _stored(lib, "events", ["kind", "id"]), _stored(lib, "head", ["kind", "id"], buckets=1)
+    line = an.timeline(lib)
+    events.create(line)
+    top = kept.TimelineHead(events, head, 50)
+    top.refresh()
+    late = line.where("kind = 'flag' AND id % 50 = 0").select("kind", (F.col("id") + 90_000_000).alias("id"), (F.col("created_at") + F.expr("INTERVAL 20 DAYS")).alias("created_at"), "post_id", "other_id", "dimension", "verdict")
+    events.upsert(late)
+    top.refresh()
+    events.upsert(line.where("kind = 'pairwise' AND id % 3 = 0").withColumn("verdict", F.lit("edited")))
+    events.delete(line.where("created_at >= '2024-01-30' AND id % 4 <> 1"))
+    top.refresh()
+    events.delete(late.where("id % 100 = 0"))
+    top.refresh()
+    return top.page()
+
+
+HEAD = f"SELECT kind, id, created_at, post_id, other_id, dimension, CASE WHEN kind = 'pairwise' AND id % 3 = 0 THEN 'edited' ELSE verdict END AS verdict FROM ({LINE}) WHERE NOT (created_at >= TIMESTAMP '2024-01-30' AND id % 4 <> 1) UNION ALL SELECT kind, id + 90000000, created_at + INTERVAL 20 DAYS, post_id, other_id, dimension, verdict FROM ({LINE}) WHERE kind = 'flag' AND id % 50 = 0 AND id % 100 <> 0"
+add("timeline_head", _timeline_head, f"SELECT * FROM ({HEAD}) {NEWEST}")  # T12
+
+
+# --- a stream with state that expires (T11) -----------------------------------------------------------------------
+TASK_STATE = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END"
+
+
+def _stream_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that are kept at the end of the events, which come in two parts, with a restart between them."""
+    from galleon.streaming import tasks
+
+    top = _stored(open_library(spark, sf_dir), "tasks", ["task_id"]).path
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    updates = events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.expr(TASK_STATE).alias("state"), F.col("ts").cast("timestamp").alias("updated_at"))
+    cut = F.lit("2024-01-20").cast("timestamp")
+    for part in (F.col("updated_at") < cut, F.col("updated_at") >= cut):
+        updates.where(part).write.mode("append").parquet(f"{top}/in")
+        tasks.retain_tasks(spark, f"{top}/in", f"{top}/out", f"{top}/state")
+    return tasks.shown_tasks(spark, f"{top}/out")
+
+
+QUERIES["stream_tasks"] = _stream_tasks
+ORACLE["stream_tasks"] = f"WITH l AS (SELECT user_id AS task_id, {TASK_STATE} AS state, CAST(ts AS TIMESTAMP) AS updated_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), w AS (SELECT max(epoch_us(CAST(ts AS TIMESTAMP))) // 1000 AS ms FROM events) SELECT task_id, state, updated_at FROM l, w WHERE epoch_us(updated_at) // 1000 + CASE state WHEN 'done' THEN 3600000 ELSE 86400000 END >= ms"

@@ -171,3 +171,59 @@ def test_quantiles_like_the_aggregate(spark, monkeypatch, small):
         df = spark.createDataFrame([(v,) for v in values], "x double")
         want = list(df.agg(*[F.percentile("x", F.lit(s)) for s in shares]).first())
         assert stats.quantiles(df, "x", shares) == pytest.approx(want, rel=1e-12) if want[0] is not None else stats.quantiles(df, "x", shares) == want
+
+
+def test_tasks_expire_like_a_batch_at_several_times(spark, tmp_path):
+    """After each part, with a restart between parts: kept is what is younger than its time at the newest update."""
+    from galleon.streaming import tasks
+
+    r, hour = random.Random(10), 3_600_000_000
+    updates, t = [], 1_700_000_000_000_000
+    for seq in range(120):
+        t += r.choice([0, hour // 7, hour // 2, 5 * hour])
+        updates.append((r.randrange(12), seq, r.choice(["done", "running", "failed"]), t))
+    top = f"file://{tmp_path}"
+    for part in (updates[:40], updates[40:41], updates[41:]):
+        df = spark.createDataFrame(part, "task_id long, seq long, state string, us long")
+        df.select("task_id", "seq", "state", F.timestamp_micros("us").alias("updated_at")).coalesce(1).write.mode("append").parquet(f"{top}/in")
+        tasks.retain_tasks(spark, f"{top}/in", f"{top}/out", f"{top}/state")
+        seen = updates[: updates.index(part[-1]) + 1]
+        last = {u[0]: u for u in seen}
+        want = sorted(((k, u[2]) for k, u in last.items() if u[3] // 1000 + tasks.kept_for(u[2]) >= seen[-1][3] // 1000), key=repr)
+        assert rows(tasks.shown_tasks(spark, f"{top}/out").select("task_id", "state")) == want
+    assert want and len(want) < len(last)
+
+
+def test_timeline_head_after_any_changes(spark, tmp_path):
+    r = random.Random(11)
+    new = lambda name, buckets: KeyedTable(spark, f"file://{tmp_path}/{name}", ["kind", "id"], buckets=buckets)
+    events, head = new("events", 4), new("head", 1)
+    kind = "kind string, id long, created_at timestamp, verdict string"
+    frame = lambda some: spark.createDataFrame(some, "kind string, id long, s long, verdict string").select("kind", "id", F.timestamp_seconds("s").alias("created_at"), "verdict")
+    state = {(r.choice("ab"), i): (r.randrange(1000), "x") for i in range(40)}
+    events.create(frame([(*k, *v) for k, v in state.items()]))
+    top, how = kept.TimelineHead(events, head, 5, reserve=3), []
+    assert events.read().dtypes == spark.createDataFrame([], kind).dtypes
+    how.append(top.refresh())
+    newest = lambda n: sorted(((v[0], *k, v[1]) for k, v in state.items()), reverse=True)[:n]
+    for step in range(6):
+        match step % 3:
+            case 0:
+                some = {(r.choice("ab"), 100 + 10 * step + i): (r.randrange(1100), "new") for i in range(3)}
+                some |= {(x[1], x[2]): (x[0], "edit") for x in newest(2)}
+                state |= some
+                events.upsert(frame([(*k, *v) for k, v in some.items()]))
+            case 1:
+                gone = [(x[1], x[2]) for x in newest(2 if step < 3 else 7)]
+                state = {k: v for k, v in state.items() if k not in gone}
+                events.delete(spark.createDataFrame(gone, "kind string, id long"))
+            case 2 if step > 3:
+                events.delete(events.read().where("id >= 3"))
+                state = {k: v for k, v in state.items() if k[1] < 3}
+        how.append(top.refresh())
+        got = [(r_["kind"], r_["id"], r_["verdict"]) for r_ in top.page().collect()]
+        assert got == [(x[1], x[2], x[3]) for x in newest(5)]
+    assert {"same", "kept", "filled"} <= set(how)
+    events.delete(events.read())
+    top.refresh()
+    assert top.page().count() == 0
