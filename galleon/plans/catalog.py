@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleon.functions.columns import aspect_ratio, extension, full_path, hex_colour, is_image_path, match_probability, pack_rgb, safe_dir, srgb_to_lab, stem
+from galleon.functions.palette import palettes
 from galleon.functions.shapes import shaped
 from galleon.operators import annotations as an, changes as ch, dedup, facets as fa, kept, metric, pending as pe, sampling as sa, search as se, stats as st
 from galleon.operators.filters import PostFilter as PF, apply_filter
@@ -411,6 +412,75 @@ HEAD = f"SELECT kind, id, created_at, post_id, other_id, dimension, CASE WHEN ki
 add("timeline_head", _timeline_head, f"SELECT * FROM ({HEAD}) {NEWEST}")  # T12
 
 
+# --- palettes (X14): every three components of a vector are a pixel ------------------------------------------------
+def _pixels(lib: Library) -> DataFrame:
+    channel = lambda k: F.least(F.greatest(F.floor((F.element_at("embedding", k).cast("double") + 1) * 128), F.lit(0)), F.lit(255)).cast("int")
+    pixel = lambda j: F.struct(*[channel(3 * j + k + 1).alias(c) for k, c in enumerate("rgb")], F.lit(255).alias("a"))
+    return lib.vectors.select(F.col("post_id").alias("picture"), F.inline(F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1), pixel)))
+
+
+def _split_sql(k: int, by_volume: bool) -> str:
+    """Round k of the palettes in SQL: box sizes, the box to split and the side, the median, the cut."""
+    side = {c: f"({c}2 - {c}1 + 1)" for c in "rgb"}
+    longest = f"greatest({', '.join(side.values())})"
+    of = lambda f: f"CASE WHEN {side['r']} = {longest} THEN {f('r')} WHEN {side['g']} = {longest} THEN {f('g')} ELSE {f('b')} END"
+    ends = ", ".join(f"min({c}) OVER w AS {c}1, max({c}) OVER w AS {c}2" for c in "rgb")
+    volume = " * ".join(side.values())
+    return f"""s{k} AS (SELECT *, sum(n) OVER w AS m, {ends} FROM c{k - 1} WINDOW w AS (PARTITION BY picture, box)),
+ t{k} AS (SELECT *, CASE WHEN {volume} > 1 THEN m {f'* {volume}' if by_volume else ''} ELSE -1 END AS weight, {of(str)} AS x, {of(lambda c: c + '1')} AS lo, {of(lambda c: c + '2')} AS hi FROM s{k}),
+ u{k} AS (SELECT *, max(weight) OVER (PARTITION BY picture) AS top, sum(n) OVER (PARTITION BY picture, box ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t{k}),
+ v{k} AS (SELECT *, min(CASE WHEN 2 * upto > m THEN x END) OVER (PARTITION BY picture, box) AS mid, min(CASE WHEN weight = top THEN box END) OVER (PARTITION BY picture) AS chosen FROM u{k}),
+ c{k} AS (SELECT picture, r, g, b, n, CASE WHEN top > 0 AND box = chosen AND x > CASE WHEN mid - lo <= hi - mid THEN least(hi - 1, floor(mid + (hi - mid) / 2.0)) ELSE greatest(lo, floor(mid - 1 - (mid - lo) / 2.0)) END THEN {k} ELSE box END AS box FROM v{k})"""
+
+
+_CHANNEL = ", ".join(f"CAST(least(greatest(floor((CAST(embedding[3 * j + {k + 1}] AS DOUBLE) + 1) * 128), 0), 255) AS INT) AS {c}" for k, c in enumerate("rgb"))
+_CENTRE = {c: f"CAST(floor(sum(n * (2 * {c} + 1) * 8) / (2 * sum(n))) AS INT)" for c in "rgb"}
+PALETTES = f"""WITH p AS (SELECT post_id AS picture, {_CHANNEL} FROM (SELECT post_id, embedding, unnest(range(0, len(embedding) // 3)) AS j FROM g_vectors)),
+ c0 AS (SELECT picture, r >> 3 AS r, g >> 3 AS g, b >> 3 AS b, count(*) AS n, 0 AS box FROM p WHERE least(r, g, b) <= 250 GROUP BY 1, 2, 3, 4),
+ {", ".join(_split_sql(k, k >= 4) for k in range(1, 5))},
+ o AS (SELECT picture, box, {_CENTRE["r"]} * 65536 + {_CENTRE["g"]} * 256 + {_CENTRE["b"]} AS colour, CAST(sum(n) AS BIGINT) AS n FROM c4 GROUP BY 1, 2)
+SELECT picture, row_number() OVER (PARTITION BY picture ORDER BY n DESC, colour) - 1 AS position, colour, n FROM o"""
+add("palettes", lambda lib: palettes(_pixels(lib), 5, _keep(lib)), PALETTES)  # X14
+
+
+# --- workers that feed one another (T1, T4) -----------------------------------------------------------------------
+def _embedded(ids: list[int]) -> list[float]:
+    if any(i % 97 == 0 for i in ids):
+        raise ValueError("no picture")
+    return [i / 4 for i in ids]
+
+
+def _aesthetic(ids: list[int]) -> list[float]:
+    if any(i % 89 == 0 for i in ids):
+        raise ValueError("no score")
+    return [float(i % 10) for i in ids]
+
+
+def _worker_chain(lib: Library) -> DataFrame:
+    """Embeddings, then scores of what has one; more posts come after the first drain."""
+    from galleon.streaming.workers import Chain, Worker
+
+    names = {"posts": ["id"], "embedding": ["post_id"], "silva": ["post_id"], "failures": ["post_id", "worker"]}
+    tables = {n: _stored(lib, n, keys, buckets=4) for n, keys in names.items()}
+    images = lib.posts.where(is_image_path(full_path())).select("id")
+    scored = images.select(F.col("id").alias("post_id"), F.lit(0.0).alias("score")).limit(0)
+    tables["posts"].create(images.where("id % 5 <> 0"))
+    tables["embedding"].create(scored)
+    tables["silva"].create(scored)
+    tables["failures"].create(scored.select("post_id", F.lit("").alias("worker"), F.lit("").alias("error")))
+    chain = Chain(tables, [Worker("embedding", ("posts",), lambda posts: posts, _embedded), Worker("silva", ("embedding",), lambda e: e.select(F.col("post_id").alias("id")), _aesthetic)], _keep(lib))
+    chain.drain()
+    tables["posts"].upsert(images.where("id % 5 = 0"))
+    chain.drain()
+    out = tables["failures"].read().select("worker", "post_id", F.lit(None).cast("double").alias("score"), "error")
+    for n in ("embedding", "silva"):
+        out = out.unionByName(tables[n].read().select(F.lit(n).alias("worker"), "post_id", "score", F.lit(None).cast("string").alias("error")))
+    return out
+
+
+add("worker_chain", _worker_chain, f"WITH i AS (SELECT id FROM g_posts WHERE {IMG}) SELECT 'embedding' AS worker, id AS post_id, CASE WHEN id % 97 <> 0 THEN id / 4.0::DOUBLE END AS score, CASE WHEN id % 97 = 0 THEN 'ValueError: no picture' END AS error FROM i UNION ALL SELECT 'silva', id, CASE WHEN id % 89 <> 0 THEN CAST(id % 10 AS DOUBLE) END, CASE WHEN id % 89 = 0 THEN 'ValueError: no score' END FROM i WHERE id % 97 <> 0")  # T1, T4
+
+
 # --- a stream with state that expires (T11) -----------------------------------------------------------------------
 TASK_STATE = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END"
 

@@ -227,3 +227,27 @@ def test_timeline_head_after_any_changes(spark, tmp_path):
     events.delete(events.read())
     top.refresh()
     assert top.page().count() == 0
+
+
+def test_workers_wake_and_idle(spark, tmp_path):
+    from galleon.streaming.workers import Chain, Worker
+
+    table = lambda name, keys: KeyedTable(spark, f"file://{tmp_path}/{name}", keys, buckets=2)
+    scores = lambda name: (t := table(name, ["post_id"])).create(spark.createDataFrame([], "post_id long, score double")) or t
+    posts, failures = table("posts", ["id"]), table("failures", ["post_id", "worker"])
+    posts.create(spark.range(6).select("id"))
+    failures.create(spark.createDataFrame([], "post_id long, worker string, error string"))
+
+    def first(ids):
+        if 3 in ids:
+            raise ValueError("three")
+        return [float(i) for i in ids]
+
+    tables = {"posts": posts, "failures": failures, "one": scores("one"), "two": scores("two")}
+    chain = Chain(tables, [Worker("one", ("posts",), lambda p: p, first), Worker("two", ("one",), lambda o: o.select(F.col("post_id").alias("id")), lambda ids: [i + 0.5 for i in ids])], keep)
+    assert chain.drain() == {"one": 6, "two": 5} and chain.drain() == {"one": 0, "two": 0}
+    assert rows(failures.read()) == [(3, "one", "ValueError: three")] and rows(tables["two"].read())[-1] == (5, 5.5)
+    assert all(chain.pending(w).isEmpty() for w in chain.workers)
+    posts.upsert(spark.range(6, 8).select("id"))
+    failures.delete(spark.createDataFrame([(3, "one")], "post_id long, worker string"))
+    assert chain.drain() == {"one": 3, "two": 2}  # three is tried again, and fails again
