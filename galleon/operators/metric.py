@@ -32,10 +32,10 @@ def units_of(vectors: DataFrame) -> DataFrame:
     return vectors.select("post_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
 
 
-def pivots_of(units: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """About the square root of the vectors' number, `most` at most, chosen by a hash of their ids."""
+def pivots_of(units: DataFrame, most: int = PIVOTS, block: int = BLOCK) -> np.ndarray:
+    """So many that a cell has about a block of vectors, `most` at most, chosen by a hash of their ids."""
     n = units.count()
-    rows = units.orderBy(F.xxhash64("post_id"), "post_id").limit(min(most, max(1, math.isqrt(n)))).collect()
+    rows = units.orderBy(F.xxhash64("post_id"), "post_id").limit(min(most, max(1, n // block))).collect()
     return np.array([r["v"] for r in rows], float)
 
 
@@ -114,7 +114,7 @@ def multiplied(blocks: DataFrame, meets: DataFrame, threshold: float) -> DataFra
 def near_pairs(vectors: DataFrame, threshold: float, keep: Keep, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(a, b), a < b: all pairs with a cosine of 1 - threshold or more, exactly. keep() materialises the blocks."""
     units = units_of(vectors)
-    centres, radius = pivots_of(units, pivots), math.sqrt(2 * max(threshold, 0.0))
+    centres, radius = pivots_of(units, pivots, block), math.sqrt(2 * max(threshold, 0.0))
     if not len(centres):
         return units.select(F.col("post_id").cast("long").alias("a"), F.col("post_id").cast("long").alias("b")).limit(0)
     blocks = keep(packed(units, centres, radius, block))
@@ -124,7 +124,7 @@ def near_pairs(vectors: DataFrame, threshold: float, keep: Keep, block: int = BL
 def moved_share(vectors: DataFrame, threshold: float, keep: Keep, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[int, int]:
     """(pairs of blocks that meet, all pairs of blocks)."""
     units, radius = units_of(vectors), math.sqrt(2 * max(threshold, 0.0))
-    blocks = keep(packed(units, pivots_of(units, pivots), radius, block))
+    blocks = keep(packed(units, pivots_of(units, pivots, block), radius, block))
     n = blocks.count()
     return meeting(blocks, radius).count(), n * (n + 1) // 2
 

@@ -40,7 +40,7 @@ class NearGroups:
         return self.leads.facts()["batches"] if self.leads.version() is not None else 0
 
     def _start(self, units: DataFrame) -> None:
-        centres = metric.pivots_of(units)
+        centres = metric.pivots_of(units, block=self.block)
         facts = {"pivots": base64.b64encode(centres.tobytes()).decode(), "width": centres.shape[1] if len(centres) else 0}
         frame = lambda kind: self.spark.createDataFrame([], kind)
         for t, kind in ((self.classes, "digest string, cls long, front long"), (self.members, "post_id long, cls long"), (self.edges, "cls long, other long")):
