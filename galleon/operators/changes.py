@@ -145,16 +145,29 @@ def count_changes(counts: DataFrame, added: DataFrame, removed: DataFrame) -> Da
     return counts.join(delta, "name", "full").select("name", "group_id", (F.coalesce("post_count", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("post_count"))
 
 
-def reconcile(on_disk: DataFrame, posts: DataFrame, failed: list[str] | None = None, allow_mass_delete: bool = False, floor: int = 100, share: float = 0.5) -> tuple[DataFrame, DataFrame, bool]:
+def outside(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Rows whose file_path is neither one of the folders (file_path) nor below one; "." holds all."""
+    paths = rows.select("file_path").distinct()
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    each = paths.select("file_path", F.explode(F.array_distinct(F.concat(F.array(F.lit(".")), above))).alias("above"))
+    under_one = each.join(folders.select(F.col("file_path").alias("above")).distinct(), "above", "left_semi").select("file_path")
+    return rows.join(under_one, "file_path", "left_anti")
+
+
+def reconcile(on_disk: DataFrame, posts: DataFrame, failed: list[str] | DataFrame | None = None, allow_mass_delete: bool = False, floor: int = 100, share: float = 0.5) -> tuple[DataFrame, DataFrame, bool]:
     """(new files, rows to delete, whether the deletion was held back).
 
     Rows under directories that couldn't be read are exempt. Deleting more than half of at least 100 rows is held
-    back unless allowed. Keys are (file_path, file_name, extension).
+    back unless allowed. Keys are (file_path, file_name, extension). failed: folders, or a frame of them (file_path).
     """
     key = ["file_path", "file_name", "extension"]
     null_safe = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
     new = on_disk.join(posts, null_safe(on_disk, posts), "left_anti")
     lost = posts.join(on_disk, null_safe(posts, on_disk), "left_anti")
+    if isinstance(failed, DataFrame):
+        lost = outside(lost, failed).select(*posts.columns)
+        failed = None
     for folder in failed or []:
         lost = lost.limit(0) if folder == "." else lost.where(~under(folder))
     total, gone = posts.count(), lost.count()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galleon.functions.columns import aspect_ratio, extension, full_path, hex_colour, is_image_path, match_probability, pack_rgb, safe_dir, srgb_to_lab, stem
@@ -501,3 +504,47 @@ def _stream_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_tasks"] = _stream_tasks
 ORACLE["stream_tasks"] = f"WITH l AS (SELECT user_id AS task_id, {TASK_STATE} AS state, CAST(ts AS TIMESTAMP) AS updated_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), w AS (SELECT max(epoch_us(CAST(ts AS TIMESTAMP))) // 1000 AS ms FROM events) SELECT task_id, state, updated_at FROM l, w WHERE epoch_us(updated_at) // 1000 + CASE state WHEN 'done' THEN 3600000 ELSE 86400000 END >= ms"
+
+
+# --- a library that is watched (S2, T6, T8) -----------------------------------------------------------------------
+def _on_disk(files: DataFrame, root: str, there: bool) -> None:
+    """Makes or removes the files (file_path, file_name, extension) below the root, on the workers."""
+
+    def step(frames):
+        for frame in frames:
+            for folder, name, ext in frame.itertuples(index=False):
+                os.makedirs(f"{root}/{folder}", exist_ok=True)
+                path = f"{root}/{folder}/{name}.{ext}"
+                if there:
+                    open(path, "w").close()
+                else:
+                    os.unlink(path)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files.mapInPandas(step, "n long").agg(F.sum("n")).collect()
+
+
+def _watch_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts after files came and went twice; at first the posts are another state than the files."""
+    from galleon.sources.watched import known_files
+    from galleon.streaming import sync
+
+    lib = open_library(spark, sf_dir)
+    posts = _stored(lib, "posts", sync.KEY, buckets=8)
+    top = urlparse(posts.path).path
+    root, state, checkpoint = f"{top}/library", f"{top}/watch", f"{posts.path}/polls"
+    rows = lib.posts.select("id", *sync.KEY)
+    posts.create(rows.where("id % 5 <> 0"))
+    late = rows.where("id % 7 = 3").withColumn("file_name", F.concat(F.lit("late"), "file_name"))
+    for come, go in ((rows.where("id % 7 <> 3"), None), (late, rows.where("id % 7 <> 3 AND id % 11 = 0"))):
+        _on_disk(come.select(*sync.KEY), root, True)
+        if go is not None:
+            _on_disk(go.select(*sync.KEY), root, False)
+        sync.settle(spark, root, state, checkpoint, 8)
+        sync.sync_posts(known_files(spark, root, state, 8), posts, _keep(lib))
+    known = F.col("id") <= F.lit(rows.where("id % 5 <> 0").agg(F.max("id")).first()[0])  # ids of new posts have gaps
+    return posts.read().select(*sync.KEY, F.when(known, F.col("id")).alias("known_id"))
+
+
+QUERIES["watch_library"] = _watch_library
+ORACLE["watch_library"] = sql_of("SELECT file_path, file_name, extension, CASE WHEN id % 5 <> 0 THEN id END AS known_id FROM g_posts WHERE id % 7 <> 3 AND id % 11 <> 0 UNION ALL SELECT file_path, 'late' || file_name, extension, NULL FROM g_posts WHERE id % 7 = 3")

@@ -10,15 +10,13 @@ a writer that is lost leaves files that no manifest names.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from galleon.sources.snapshots import _fs
+from galleon.sources.snapshots import _fs, create_once
 
 Change = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -39,8 +37,7 @@ def removed(keys: list[str]) -> Change:
 class KeyedTable:
     """keys tell rows apart; rows are dealt into buckets by a hash of `by`, the keys or some of them.
 
-    Manifests are as long as there are buckets. Commits are atomic where renaming a file onto another one fails, as in
-    HDFS, and on a local disk, where a link does the same; an object store needs a file system layer that does.
+    Manifests are as long as there are buckets. Commits are as atomic as `create_once`.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], by: list[str] | None = None, buckets: int = 64) -> None:
@@ -72,25 +69,7 @@ class KeyedTable:
         return self.manifest()["facts"] if self.version() is not None else {}
 
     def _commit(self, version: int, manifest: dict) -> bool:
-        fs, path = _fs(self.spark, self.path)
-        fs.mkdirs(path(f"{self.path}/manifests"))
-        whole, name = f"{self.path}/manifests/.{uuid.uuid4().hex}", f"{self.path}/manifests/v{version:012d}"
-        out = fs.create(path(whole), False)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
-        if urlparse(str(fs.getUri().toString())).scheme == "file":
-            try:
-                os.link(urlparse(whole).path, urlparse(name).path)
-                done = True
-            except FileExistsError:
-                done = False
-        else:
-            done = not fs.exists(path(name)) and fs.rename(path(whole), path(name))
-        if not done:
-            fs.delete(path(whole), False)
-        return done
+        return create_once(self.spark, f"{self.path}/manifests/v{version:012d}", json.dumps(manifest))
 
     # --- reading ---
 

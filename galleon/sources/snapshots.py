@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import time
+import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +16,35 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def create_once(spark: SparkSession, name: str, text: str) -> bool:
+    """Makes a whole file, which only one of several writers can do: whether it was this one.
+
+    Atomic where renaming a file onto another one fails, as in HDFS, and on a local disk, where a link does the same; an
+    object store needs a file system layer that does.
+    """
+    fs, path = _fs(spark, name)
+    folder, last = name.rsplit("/", 1)
+    whole = f"{folder}/.{last}-{uuid.uuid4().hex}"
+    fs.mkdirs(path(folder))
+    out = fs.create(path(whole), False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.link(urlparse(whole).path, urlparse(name).path)
+            done = True
+        except FileExistsError:
+            done = False
+        fs.delete(path(whole), False)
+        return done
+    done = not fs.exists(path(name)) and fs.rename(path(whole), path(name))
+    if not done:
+        fs.delete(path(whole), False)
+    return done
+
+
 class VersionedTable:
     """Readers always see one whole version: the newest one that Spark has committed, which its _SUCCESS file tells.
 
