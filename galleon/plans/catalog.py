@@ -548,3 +548,46 @@ def _watch_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["watch_library"] = _watch_library
 ORACLE["watch_library"] = sql_of("SELECT file_path, file_name, extension, CASE WHEN id % 5 <> 0 THEN id END AS known_id FROM g_posts WHERE id % 7 <> 3 AND id % 11 <> 0 UNION ALL SELECT file_path, 'late' || file_name, extension, NULL FROM g_posts WHERE id % 7 = 3")
+
+
+# --- an import run over a listing (S5, S6, P20, X10) --------------------------------------------------------------
+LISTED = """SELECT page_id + 1 AS id, page_id % 19 = 4 AS malformed, '2024-01-01' AS created_at, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN '' END AS source,
+ CASE page_id % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'General' WHEN 2 THEN 'explicit' WHEN 3 THEN 'questionable' END AS rating, CASE WHEN page_id % 40 BETWEEN 10 AND 17 THEN 'mp4' WHEN page_id % 7 = 0 THEN 'PNG' ELSE 'jpg' END AS file_ext,
+ CASE WHEN page_id % 13 <> 0 THEN url WHEN page_id % 2 = 0 THEN '' END AS file_url, split_part(url, '/', 3) AS tag_string_artist, CASE WHEN page_id % 4 = 0 THEN split_part(url, '/', 4) ELSE '' END AS tag_string_character, '' AS tag_string_copyright,
+ split_part(url, '/', 4) || ' page ' || split_part(url, '/', 3) AS tag_string_general, CAST(NULL AS {text}) AS tag_string_meta FROM {pages}"""
+#: Half of the listing is there, but for one post in 61.
+THERE = "id < (SELECT max(page_id) FROM {pages}) * 0.7 AND id % 61 <> 5 AND id % 40 <> 12"
+
+
+def _import_run(spark: SparkSession, sf_dir: str, **more) -> tuple[DataFrame, DataFrame]:
+    from galleon.operators.imports import import_run
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = spark.sql(LISTED.replace("{text}", "STRING"), pages=pages)
+    there = spark.sql(f"SELECT id FROM {{listed}} WHERE {THERE}", listed=listed, pages=pages)
+    outcome = F.when(F.col("id") % 17 == 3, "failed").when(F.col("id") % 6 == 0, "skipped").otherwise("downloaded")
+    return import_run(listed, there, lambda wanted: wanted.select("id", outcome.alias("outcome")), _keep(open_library(spark, sf_dir)), "site/tag", "https://posts.example/", page=4, **more)
+
+
+def _import_sql(body: str) -> str:
+    listed = LISTED.replace("{text}", "VARCHAR").replace("{pages}", "pages")
+    return f"""WITH l AS ({listed}), r AS (SELECT *, (row_number() OVER (ORDER BY id DESC) - 1) // 4 AS page, {THERE.replace('{pages}', 'pages')} AS known, coalesce(file_url <> '' AND lower(file_ext) IN ('jpg', 'png'), false) AS taken FROM l),
+ w AS (SELECT *, taken AND NOT known AS wanted, CASE WHEN id % 17 = 3 THEN 'failed' WHEN id % 6 = 0 THEN 'skipped' ELSE 'downloaded' END AS outcome FROM r WHERE NOT malformed),
+ g AS (SELECT page, bool_or(wanted) AS pending, bool_or(known) AS known FROM w GROUP BY page), i AS (SELECT *, count(*) FILTER (pending) OVER (ORDER BY page) AS island FROM g),
+ n AS (SELECT *, count(*) FILTER (known AND NOT pending) OVER (PARTITION BY island ORDER BY page) AS run FROM i), e AS (SELECT min(page) AS stop FROM n WHERE run >= 3), s AS (SELECT w.* FROM w, e WHERE stop IS NULL OR page <= stop) {body}"""
+
+
+def _imported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _import_run(spark, sf_dir)
+    return rows.withColumn("tags", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["name"], t["group_id"].cast("string"))), " "))
+
+
+QUERIES["import_run_rows"] = _imported_rows
+ORACLE["import_run_rows"] = _import_sql("""SELECT id, 'site/tag' AS file_path, CAST(id AS VARCHAR) AS file_name, file_ext AS extension, CASE WHEN source <> '' THEN source ELSE 'https://posts.example/' || id END AS source, created_at AS published_at,
+ CASE lower(rating) WHEN 'general' THEN 1 WHEN 'questionable' THEN 3 WHEN 'explicit' THEN 4 ELSE 0 END AS rating,
+ tag_string_artist || ':1' || CASE WHEN tag_string_character <> '' THEN ' ' || tag_string_character || ':2 page:4' ELSE ' ' || split_part(tag_string_general, ' ', 1) || ':4 page:4' END AS tags FROM s WHERE wanted AND outcome <> 'failed'""")
+_FIGURES = "count(*) AS total, count(*) FILTER (file_url <> '') AS with_url, count(*) FILTER (taken) AS filtered, count(*) FILTER (wanted AND outcome = 'downloaded') AS downloaded, count(*) FILTER (taken AND NOT wanted OR wanted AND outcome = 'skipped') AS skipped, count(*) FILTER (wanted AND outcome = 'failed') AS failed"
+QUERIES["import_run_stats"] = lambda spark, sf_dir: _import_run(spark, sf_dir)[1]
+ORACLE["import_run_stats"] = _import_sql(f"SELECT {_FIGURES}, (SELECT stop IS NOT NULL FROM e) AS early_stopped FROM s")
+QUERIES["import_full_scan"] = lambda spark, sf_dir: _import_run(spark, sf_dir, full_scan=True)[1]
+ORACLE["import_full_scan"] = _import_sql(f"SELECT {_FIGURES}, false AS early_stopped FROM w")

@@ -21,7 +21,7 @@ def plain(v):
 def duck():
     c = duckdb.connect()
     c.sql("SET TimeZone = 'UTC'")
-    for t in ("part", "embeddings", "events", "orders"):
+    for t in ("part", "embeddings", "events", "orders", "pages"):
         p = f"{DATA}/{t}.parquet"
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return c

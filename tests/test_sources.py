@@ -106,3 +106,35 @@ def test_translations(spark, tmp_path):
     assert tr.languages(spark, top) == ["bad", "de"] and tr.languages(spark, f"{top}/none") == []
     assert rows(tr.names_like(tr.table(spark, top, "de"), "kat")) == [("cat",), ("tomcat",)]
     assert tr.table(spark, top, "../de").count() == 0 and tr.table(spark, top, "bad").count() == 0
+
+
+def test_import_runs(spark):
+    """Where paging ends against a plain loop; limits, malformed rows, empty listings, nothing known."""
+    import random
+
+    from galleon.operators import imports as ir
+
+    draw = random.Random(5)
+    for _ in range(4):
+        pages = [(p, draw.choice([0, 0, 0, 2]), draw.choice([0, 1, 3])) for p in range(draw.randint(1, 60))]
+        run, stop = 0, None
+        for p, pending, known in pages:
+            run = 0 if pending else run + (known > 0)
+            if run >= 3:
+                stop = p
+                break
+        df = spark.createDataFrame(pages, "page long, pending long, known long")
+        assert ir.last_page(df, cells=8).first()[0] == stop, pages
+    assert rows(ir.numbered(spark.range(1, 100, 7), "id", "n", 4)) == sorted((i, k) for k, i in enumerate(range(99, 0, -7)))
+    cols = [f.split()[0] for f in im.LISTING.split(", ")[:-1]]
+    every = spark.range(1, 11).selectExpr("id", *[f"'{v}' AS {c}" for c, v in zip(cols[1:], ["2024", "", "s", "jpg", "u", "a", "", "", "b b", ""], strict=True)], "id = 8 AS malformed")
+    none = spark.createDataFrame([], "id long")
+    fetch = lambda w: w.selectExpr("id", "CASE WHEN id = 9 THEN 'failed' ELSE 'downloaded' END AS outcome")
+    keep = lambda df: df
+    got, stats = ir.import_run(every, none, fetch, keep, "f", "https://x/", limit=5, page=2)
+    assert rows(got.select("id", "file_name", "source", "rating")) == [(6, "6", "https://x/6", 0), (7, "7", "https://x/7", 0), (10, "10", "https://x/10", 0)]
+    assert tuple(stats.first()) == (4, 4, 4, 3, 0, 1, False)
+    _, stats = ir.import_run(every, every.select("id"), fetch, keep, "f", "https://x/", page=2)
+    assert tuple(stats.first()) == (5, 5, 5, 0, 5, 0, True)  # three pages of two, one row malformed
+    got, stats = ir.import_run(every.limit(0), none, fetch, keep, "f", "https://x/")
+    assert got.count() == 0 and tuple(stats.first()) == (0, 0, 0, 0, 0, 0, False)
