@@ -173,17 +173,18 @@ def test_quiet_and_auto_sync(spark, place, tmp_path):
     posts = KeyedTable(spark, f"file://{tmp_path}/posts", sy.KEY, buckets=2)
     posts.create(spark.createDataFrame([], "id long, file_path string, file_name string, extension string"))
     done = []
-    query = sy.auto_sync(spark, str(root), str(tmp_path / "shared"), posts, keeper(spark, tmp_path), "200 milliseconds", 2.5, 2, done.append)
+    query = sy.auto_sync(spark, str(root), str(tmp_path / "shared"), posts, keeper(spark, tmp_path), "200 milliseconds", 5.0, 2, done.append)
     try:
         assert [d["added"] for d in done] == [5]  # at the start
         for k in range(4):
             lay(root, f"burst/{k}.jpg")
             time.sleep(0.7)
         until = time.time() + 60
-        while len(done) < 2 and time.time() < until:
+        while sum(d["added"] for d in done) < 9 and time.time() < until:
             assert query.exception() is None
             time.sleep(0.2)
-        assert [d["added"] for d in done] == [5, 4] and posts.read().count() == 9
+        assert sum(d["added"] for d in done) == 9 and posts.read().count() == 9
+        assert len(done) < 5  # not one for each file, however slow the machine is
     finally:
         query.stop()
 
