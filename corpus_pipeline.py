@@ -22,7 +22,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One document of each group of copies and near copies stays: of the SimHash operator's components, and of what an
+    exact similarity joins to them."""
     return simhash.drop_copies(docs)
 
 

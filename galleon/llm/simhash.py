@@ -8,10 +8,12 @@ its own cell and asks in the cells one step up. Every pair within one step meets
 the exact Hamming distance decides. Equal fingerprints are one node beforehand, and of the links inside a cell only a
 spanning forest leaves it: never all pairs.
 
-The general operator for near copies works on the five-word shingle sets that decide: cells are bands of their smallest
-hashes, so the chance to meet depends on the similarity alone, not on where a copy was edited. A sketch of 1,024 bits
-refutes most pairs of a cell, a spanning forest of the rest is verified by the exact similarity of the sets, and where
-an edge fails, the other pairs around it are compared too, in blocks, unless verified edges connect them.
+The general operator for near copies takes these components, of every row, and joins to them what is alike further
+than three bits apart, where a grid of popcounts rules out too little: texts whose five-word shingle sets have an exact
+similarity of 0.8 or more. For these cells are bands of the sets' smallest hashes, so the chance to meet depends on the
+similarity alone, not on where a copy was edited. A sketch of 1,024 bits refutes most pairs of a cell, a spanning forest
+of the rest is verified by the exact similarity of the sets, and where an edge fails, the other pairs around it are
+compared too, in blocks, unless verified edges connect them. Neither way stands for the other: a link of either is kept.
 
 Null and empty texts have no shingles and the fingerprint zero. Rows that share a doc_id share a component when their
 fingerprints do; null ids come back as they are and never become a component's name unless no other id is in it.
@@ -442,13 +444,32 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return found.join(by_node, "same").select("row", "doc_id", "first")
 
 
+def later_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row: the rows that aren't the first (by doc_id, then reading order) of what they are linked to, by near_copies or
+    by copy_groups, by way of both.
+    """
+    # rows are the ids here: documents may share one or have none
+    near = written(near_copies(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"))
+    alike = written(copy_groups(docs, similarity))
+    # a component and a group are each named by a row of their own, so they meet in the rows that both hold
+    ties = alike.join(near.hint("merge"), "row").select(F.col("first").alias("a"), F.col("component_id").alias("b"))
+    parts = connected_components(ties, written)
+    place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")
+    firsts = alike.where("row = first").select("row", place.alias("place"))
+    met = written(firsts.join(parts, firsts["row"] == parts["id"]).select("row", "component", "place"))
+    least = met.groupBy("component").agg(F.min("place").alias("least"))
+    beaten = met.join(least.hint("merge"), "component").where("row <> least.row").select("row")
+    return alike.where("row <> first").select("row").union(beaten)
+
+
 def drop_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without those that are copies or near copies of an earlier one: one of each group stays.
 
-    The columns come back as they were, whatever their names; docs is read three times, in the same order, as a table is.
+    The columns come back as they were, whatever their names; docs is read again by each step, in the same order, as a
+    table is.
     """
     number = unused(docs)
-    gone = written(copy_groups(docs, similarity).where(F.col("row") != F.col("first")).select(F.col("row").alias(number)))
+    gone = written(later_copies(docs, similarity).select(F.col("row").alias(number)))
     return docs.withColumn(number, F.monotonically_increasing_id()).join(gone.hint("merge"), number, "left_anti").drop(number)
 
 

@@ -240,6 +240,39 @@ def test_copies_beside_reordered_ones(spark):
     assert got == {0: 0, 2: 0}
 
 
+def test_copies_by_fingerprints_too(spark):
+    """The pipeline's stage: links of fingerprints hold where the similarity is lower, and meet those of the similarity."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    chorus = " ".join(word() for _ in range(21))
+    verses = lambda n: [" ".join(word() for _ in range(6)) for _ in range(n)]
+    song = lambda v: "\n".join(f"{chorus} {chorus}\n{x}" for x in v)
+    mine = verses(20)
+    theirs = mine[:10] + verses(10)
+    t = [song(mine), song(theirs), song(theirs) + " again" * 3000, " ".join(verses(20)), song(mine).upper(), "", None, " ".join(verses(20))]
+    sets, fps = [simhash.word_shingles((x or "").encode()) for x in t], [plain_fingerprint(x) for x in t]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert alike(0, 1) < 0.8 and (fps[0] ^ fps[1]).bit_count() <= 3  # one by the fingerprints only
+    assert alike(0, 2) < 0.8 <= alike(1, 2) and min((fps[2] ^ x).bit_count() for x in fps[:2]) > 3  # one by the similarity only
+    docs = frame(spark, t)
+    assert sorted(x["doc_id"] for x in corpus_pipeline.single(spark, docs, DATA).collect()) == [0, 3, 5, 7]
+    # ids that are shared or null: rows count, and the row with the smallest id stays, one without an id before it
+    odd = frame(spark, t, [9, 9, 4, 4, 9, None, 7, 7])
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in corpus_pipeline.single(spark, odd, DATA).collect()) == [(False, 4), (False, 4), (False, 7), (True, 0)]
+
+
+def test_stage_keeps_one_of_each_component(spark):
+    """On the given documents no two that stay are in one of op2's components."""
+    import corpus_pipeline
+
+    docs = base.table(spark, DATA, "documents")
+    part = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(docs).collect()}
+    kept = [x["doc_id"] for x in corpus_pipeline.single(spark, docs, DATA).collect()]
+    assert len({part[d] for d in kept}) == len(kept) < len(part)
+
+
 def test_sketches_keep_near_sets_within_their_limit():
     r, far = random.Random(6), 0
     for n in (30, 100, 500, 3000):
