@@ -68,3 +68,24 @@ def test_windows_of_many_posts_make_no_pairs(spark):
     """8,000 posts with 1,600 in a window: a join gives some rows for each post, not 1,600."""
     df = spark.range(8000).select(F.col("id").alias("post_id"), ((F.col("id") * 53) % 1001 / 1000).alias("score"))
     assert joined(sa.window_candidates(df, df.select(F.col("post_id").alias("seed_id"), F.col("score").alias("centre")), half=0.1, keep=4, seed=99)) < 8000 * 20
+
+
+@pytest.mark.parametrize("seed", [1, 99])
+@pytest.mark.parametrize("kind", ["few", "edges", "dense", "rising", "odd"])
+def test_partners_like_all_pairs(spark, kind, seed):
+    all_ = scores(kind)
+    df = spark.createDataFrame(all_, KIND)
+    fine = [(i, s) for i, s in all_ if s is not None and abs(s) < float("inf")]
+    want = []
+    for i, c in fine:
+        way = 1 if i % 2 else -1
+        near = sorted((j for j, s in fine if j != i and 0.15 <= (s - c) * way <= 0.25), key=lambda j: key(j, seed))
+        want += [(i, way, f"n{i}", c, j, dict(fine)[j]) for j in near[:3]]
+    nodes = df.select("post_id", F.when(F.col("post_id") % 2 == 1, 1).otherwise(-1).alias("direction"), F.concat(F.lit("n"), "post_id").alias("note"))
+    got = sa.calibration_partners(nodes, df, 3, seed)
+    assert got.columns == ["post_id", "direction", "note", "own", "partner", "score"] and rows(got) == sorted(want)
+
+
+def test_partners_of_many_posts_make_no_pairs(spark):
+    df = spark.range(8000).select(F.col("id").alias("post_id"), ((F.col("id") * 53) % 1001 / 1000).alias("score"))
+    assert joined(sa.calibration_partners(df.select("post_id", F.lit(1).alias("direction")), df, 4, 99)) < 8000 * 20
