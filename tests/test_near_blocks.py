@@ -37,3 +37,13 @@ def test_unit_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [-2.0]), (5, [1.0, None])], KIND)
     got = {r["post_id"]: r["v"] for r in metric.units_of(df).select("post_id", F.col("v")).collect()}
     assert got == {1: [0.6, 0.8], 4: [-1.0]}
+
+
+def test_tables_of_rounds_leave_no_shuffle_files(spark):
+    from galleon.plans.views import as_table
+
+    files = lambda: sum("shuffle_" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    spark.range(10).repartition(3, "id").write.format("noop").mode("overwrite").save()
+    was = files()
+    table = as_table(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count())
+    assert was > 0 and files() <= was and sorted(r["count"] for r in table.collect()) == [142] * 1 + [143] * 6
