@@ -47,3 +47,18 @@ def test_tables_of_rounds_leave_no_shuffle_files(spark):
     was = files()
     table = as_table(spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count())
     assert was > 0 and files() <= was and sorted(r["count"] for r in table.collect()) == [142] * 1 + [143] * 6
+
+
+def test_zero_vectors_are_in_no_group(spark):
+    from galleon.operators.dedup import grouped_vectors
+
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (5, [1.0, 0.0]), (4, [2.0, 0.0]), (6, None), (7, None)], KIND)
+    assert sorted(tuple(r) for r in grouped_vectors(df, 0.01).select("member", "canonical").collect()) == [(4, 3), (5, 3)]
+
+
+def test_pairs_may_come_twice_and_either_way(spark):
+    from galleon.operators.dedup import assign_canonicals
+
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (3, 4), (5, 5)], "a long, b long")
+    for few in (0, 100):
+        assert sorted(tuple(r) for r in assign_canonicals(pairs, few=few).collect()) == [(2, 1), (4, 3)]
